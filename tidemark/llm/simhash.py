@@ -176,6 +176,7 @@ def plan_partitions(nodes: DataFrame, distance: int = DISTANCE, ways: tuple[int,
 
 def _forest(fp: np.ndarray, own: np.ndarray, other: np.ndarray, distance: int) -> Iterator[tuple[int, int]]:
     """A spanning forest of the links between members ``own`` and ``other`` (places in fp), met in slices."""
+    fp = fp.view(np.uint64)  # the count of a negative number is that of its size
     up = list(range(len(fp)))
 
     def root(i: int) -> int:
