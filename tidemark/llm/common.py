@@ -18,6 +18,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have yet."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name = f"_{name}"
+    return name
+
+
+def keep_ids(docs: DataFrame, stay: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose id is in the one column of ``stay``, null among them."""
+    name = fresh(docs, "stay_id")
+    ids = stay.toDF(name).distinct()
+    return docs.join(ids, F.col(id_col).eqNullSafe(F.col(name)), "left_semi")
+
+
 def arrow_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches, so that a Python worker never holds many long texts at once."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

@@ -68,11 +68,8 @@ def cycle_schedule(quota: DataFrame) -> DataFrame:
     return placed.select(F.col("q")[F.col("job.i")]["source"].alias("source"), F.col("q")[F.col("job.i")]["quota"].alias("quota"), "cycle", F.col("job.k").alias("k"), "slot")
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, block_rows: int = BLOCK_ROWS, cycle: int = CYCLE, seed: int = 17, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """The rows of ``docs`` with ``_block, _release, _deadline, _slot, _position, _in_proportion`` added.
-
-    ``_position`` orders the mix. Columns of the same names in ``docs`` are replaced. ``_in_proportion`` holds up to the slot in which the first source runs out.
-    """
+def _placed(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, block_rows: int = BLOCK_ROWS, cycle: int = CYCLE, seed: int = 17, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """Each row as the struct ``_row``, with its place in the schedule."""
     # the row travels as one struct, so its columns never meet the names used here
     picked = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"))
     rows = picked.withColumn("_hash", F.xxhash64("_id", F.lit(seed))).withColumn("_range", F.shiftrightunsigned("_hash", 64 - RANGE_BITS))
@@ -100,7 +97,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
     start = F.col("_turn") * F.col("_cycle")
     slot = start + F.col("_cycle_slot")
     return placed.select(
-        *[F.col(f"_row.`{c}`") for c in docs.columns if c not in ADDED],
+        "_row",
         F.col("_block").cast("bigint").alias("_block"),
         (start + F.floor((F.col("_k") - 1) * F.col("_cycle") / F.col("_quota"))).cast("bigint").alias("_release"),
         (start + F.ceil(F.col("_k") * F.col("_cycle") / F.col("_quota"))).cast("bigint").alias("_deadline"),
@@ -110,6 +107,16 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
     )
 
 
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, **options) -> DataFrame:
+    """The rows of ``docs`` with ``_block, _release, _deadline, _slot, _position, _in_proportion`` added.
+
+    ``_position`` orders the mix. ``_in_proportion`` holds up to the slot in which the first source runs out.
+    Columns of the same names in ``docs`` are replaced. Without ``weights`` by source, ``temperature`` decides;
+    further options: ``block_rows``, ``cycle``, ``seed``, ``id_col`` and ``source_col``.
+    """
+    return _placed(docs, weights, **options).select(*[F.col(f"_row.`{c}`") for c in docs.columns if c not in ADDED], *ADDED)
+
+
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents, all of them once, in the order of the mix."""
-    return mix(docs, **options).orderBy("_position").select(docs.columns)
+    """The documents, all of them once and as they were, in the order of the mix."""
+    return _placed(docs, **options).orderBy("_position").select("_row.*")

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpoint, map_texts
+from tidemark.llm.common import checkpoint, keep_ids, map_texts
 from tidemark.llm.components import connected_components
 
 BITS, DISTANCE, SHINGLE, SEED = 64, 3, 3, 42
@@ -277,5 +277,4 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, id_col: str = "do
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One document of each component stays, with all its columns: the one with the smallest doc_id."""
-    stay = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay_id")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_stay_id")), "left_semi")
+    return keep_ids(docs, near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"))

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpoint, map_texts
+from tidemark.llm.common import checkpoint, keep_ids, map_texts
 from tidemark.llm.toxic_segments import _logistic
 
 TRAIN_ROWS = 20_000
@@ -137,5 +137,4 @@ def quality(docs: DataFrame, labels: DataFrame, keep: float = KEEP, model: Class
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier keeps, with all their columns. An id stays if any of its rows does."""
-    stay = quality(docs, labels).where("keep").select(F.col("doc_id").alias("_stay_id")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_stay_id")), "left_semi")
+    return keep_ids(docs, quality(docs, labels).where("keep").select("doc_id"))
