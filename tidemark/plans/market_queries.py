@@ -77,11 +77,8 @@ def pending_partitions(spark, d):
   SELECT substr(md5(concat_ws(':', 'DISPATCHPRICE', region_id, CAST(day AS VARCHAR))), 1, 12) AS partition_id, 'DISPATCHPRICE' AS "table", region_id AS region, day FROM days, regions""")
 def work_list(spark, d):
     """The days and regions that the data have."""
-    m = market(spark, d)
-    days, regions = m.select(F.to_date(TS).alias("day")).distinct(), m.select(F.col(REGION).alias("region")).distinct()
-    listed = regions.groupBy().agg(F.collect_set("region").alias("regions"))
-    units = days.groupBy().agg(F.collect_set("day").alias("days")).withColumn("k", F.lit(1)).join(listed.withColumn("k", F.lit(1)), "k")
-    units = units.select(F.lit("DISPATCHPRICE").alias("table"), F.explode("days").alias("day"), "regions").select("table", "day", F.explode("regions").alias("region"))
+    found = market(spark, d).agg(F.collect_set(F.to_date(TS)).alias("days"), F.collect_set(REGION).alias("regions"))
+    units = found.select(F.lit("DISPATCHPRICE").alias("table"), F.explode("days").alias("day"), "regions").select("table", "day", F.explode("regions").alias("region"))
     return units.select(quality.partition_id("table", "region", "day").alias("partition_id"), "table", "region", "day")
 
 
