@@ -1,7 +1,8 @@
 """Toxicity by maximum-scoring segments.
 
 Tokens carry the log-odds of toxic against clean labelled documents, with a Dirichlet prior in proportion to
-their use in both. A linear scan over the tokens of a text finds every maximal segment of positive score,
+their use in both. A token too rare for that takes those of its longest known beginning (``STEMS`` letters), as
+compounds and inflections share one. A linear scan over the tokens of a text finds every maximal segment of positive score,
 where each token without a weight costs a little. Scores of segments in clean documents have an exponential
 tail, so the best of a text follows an extreme-value law in its length; a segment is significant if it is
 rarer under that law than ``SIGNIFICANT``. A text's evidence is calibrated to a probability on the labelled rows.
@@ -30,6 +31,9 @@ TRAIN_ROWS, VOCABULARY, PRIOR, LEAST_Z, LEAST_DOCS = 20_000, 5_000, 500.0, 3.0,
 #: What a token without a weight costs; how rare a segment has to be; the threshold of ``predicted``.
 GAP, SIGNIFICANT, THRESHOLD = 0.03, 0.05, 0.7
 TOKEN = re.compile(r"[^\W\d_]+")
+#: Lengths of the beginnings that may stand in for a longer token, written with a star.
+STEMS = (7, 5)
+REMEMBERED = 200_000
 
 
 @dataclass(frozen=True)
@@ -68,9 +72,26 @@ def segments(hits: list[tuple[int, float]], n: int, gap: float = GAP) -> list[tu
     return [(a, b, after - before) for before, after, a, b in stack]
 
 
-def hits_of(text: str, weights: dict[str, float]) -> tuple[list[tuple[int, float]], int]:
+class Weights(dict):
+    """Token -> weight or 0, worked out once for each token; the memory is emptied when full."""
+
+    def __init__(self, known: dict[str, float]):
+        self.known = known
+
+    def __missing__(self, token: str) -> float:
+        weight = self.known.get(token)
+        if weight is None:
+            weight = next((self.known[f"{token[:n]}*"] for n in STEMS if len(token) > n and f"{token[:n]}*" in self.known), 0.0)
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[token] = weight
+        return weight
+
+
+def hits_of(text: str, weights: Weights) -> tuple[list[tuple[int, float]], int]:
     tokens = TOKEN.findall(text.lower())
-    return [(i, weights[t]) for i, t in enumerate(tokens) if t in weights], len(tokens)
+    found = list(map(weights.__getitem__, tokens))
+    return [(i, w) for i, w in enumerate(found) if w], len(tokens)
 
 
 def rarity(score: float, n: int, rate: float, k: float) -> float:
@@ -106,6 +127,10 @@ def crc_rest(id_col: str) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3
 
 
+def _beginnings(words: Column, n: int) -> Column:
+    return F.transform(F.filter(words, lambda w: F.length(w) > n), lambda w: F.concat(F.substring(w, 1, n), F.lit("*")))
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     known = labels.select(F.col(id_col).alias("_k"), F.col(label_col).cast("int").alias("_y")).where(F.col("_y").isin(0, 1) & (crc_rest("_k") != 1))
     known = known.groupBy("_k").agg(F.max("_y").alias("_y"))
@@ -120,7 +145,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: st
         share = size.get(1, 0) / (size.get(0, 0) + size.get(1, 0)) if size else 0.5
         share = min(max(share, 1e-6), 1 - 1e-6)
         return Model({}, 1.0, 1.0, (math.log(share / (1 - share)),) + (0.0,) * 7)
-    token = F.explode(F.array_distinct(F.expr(r"regexp_extract_all(lower(_text), '\\p{L}+', 0)"))).alias("t")
+    words = F.array_distinct(F.expr(r"regexp_extract_all(lower(_text), '\\p{L}+', 0)"))
+    token = F.explode(F.array_distinct(F.concat(words, *[_beginnings(words, n) for n in STEMS]))).alias("t")
     counts = texts.select("_y", token).groupBy("t").agg(F.sum("_y").alias("toxic"), F.count(F.lit(1)).alias("both")).where(F.col("toxic") >= LEAST_DOCS)
     toxic, both = F.col("toxic").cast("double"), F.col("both").cast("double")
     n1, n0 = float(size[1]), float(size[0])
@@ -131,7 +157,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: st
     weights = {r["t"]: float(r["w"]) for r in top.orderBy(F.desc("z"), "t").limit(VOCABULARY).collect()}
 
     def scan(ids: list, texts_: list) -> list:
-        found = [hits_of(t, weights) for t in texts_]
+        memory = Weights(weights)
+        found = [hits_of(t, memory) for t in texts_]
         return [ids, [[float(i) for i, _ in h] for h, _ in found], [[w for _, w in h] for h, _ in found], [n for _, n in found]]
 
     scanned = map_texts(texts, scan, "y int, places array<double>, weights array<double>, n bigint", "_y", "_text").collect()
@@ -146,8 +173,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: st
     return Model(weights, float(rate), float(k), tuple(_logistic(x, y).tolist()))
 
 
-def score_text(text: str, model: Model) -> tuple[float, list[tuple[int, int, float]]]:
-    hits, n = hits_of(text, model.weights)
+def score_text(text: str, model: Model, weights: Weights | None = None) -> tuple[float, list[tuple[int, int, float]]]:
+    hits, n = hits_of(text, Weights(model.weights) if weights is None else weights)
     z = float(np.dot(evidence(hits, n, model.rate, model.k), model.coefficients))
     strong = [s for s in segments(hits, n) if rarity(s[2], n, model.rate, model.k) >= -math.log10(SIGNIFICANT)]
     return 1 / (1 + math.exp(-max(min(z, 30.0), -30.0))), strong
@@ -157,8 +184,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, model: Model | None = None, id_
     """doc_id, held_out, score, predicted, passages (token start:end of the significant segments, comma-joined)."""
     model = model or train(docs, labels, id_col=id_col, text_col=text_col)
 
+    memory = Weights(model.weights)
+
     def rows(ids: list, texts: list) -> list:
-        found = [score_text(t, model) for t in texts]
+        found = [score_text(t, model, memory) for t in texts]
         return [ids, [s for s, _ in found], [int(s >= THRESHOLD) for s, _ in found], [",".join(f"{a}:{b}" for a, b, _ in p) for _, p in found]]
 
     scored = map_texts(docs, rows, "doc_id bigint, score double, predicted int, passages string", id_col, text_col)
