@@ -103,34 +103,36 @@ def evidence(docs: DataFrame, model: Classifier | None, id_col: str = "doc_id",
     return map_texts(keyed, rows, "key struct<doc_id: bigint, host: string, path: string>, evidence double", "_key", "_text").select("key.*", "evidence")
 
 
-def _strength(sites: DataFrame, mean: str) -> Column:
-    """Documents that the prior of a site is worth, by moments over the sites' means."""
+def _strength(sites: DataFrame, mean: Column) -> float:
+    """Documents that the prior of a site is worth, by moments over the sites' means: one number to the driver."""
     n, m = F.col("n"), F.col("m")
-    between = F.sum(n * F.pow(m - F.col(mean), 2)) / F.sum(n)
-    inside = F.sum(n * m * (1 - m)) / F.sum(n)
-    return F.greatest(F.lit(2.0), F.least(F.lit(10_000.0), inside / F.greatest(between, F.lit(1e-6))))
+    between, inside = sites.agg(F.sum(n * F.pow(m - mean, 2)) / F.sum(n), F.sum(n * m * (1 - m)) / F.sum(n)).first()
+    return max(2.0, min(10_000.0, (inside or 0.0) / max(between or 0.0, 1e-6)))
 
 
-def site_posteriors(seen: DataFrame) -> DataFrame:
-    """host, path, host_posterior, path_posterior, all_mean: means of the evidence, shrunk down the hierarchy."""
-    paths = seen.groupBy("host", "path").agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("evidence").alias("m"))
-    everything = paths.agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("all_mean")).withColumn("one", F.lit(1))
-    hosts = paths.groupBy("host").agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("m"), F.sum("n").alias("n"))
-    hosts = hosts.withColumn("one", F.lit(1)).join(F.broadcast(everything), "one")
-    host_strength = hosts.agg(_strength(hosts, "all_mean").alias("ks")).withColumn("one", F.lit(1))
-    hosts = hosts.join(F.broadcast(host_strength), "one").select("one", F.col("host").alias("h"), "all_mean", ((F.col("n") * F.col("m") + F.col("ks") * F.col("all_mean")) / (F.col("n") + F.col("ks"))).alias("host_posterior"))
-    below = paths.join(hosts, F.col("host").eqNullSafe(F.col("h")))
-    path_strength = below.agg(_strength(below, "host_posterior").alias("kp")).withColumn("one", F.lit(1))
-    return below.join(F.broadcast(path_strength), "one").select("host", "path", "all_mean", "host_posterior", ((F.col("n") * F.col("m") + F.col("kp") * F.col("host_posterior")) / (F.col("n") + F.col("kp"))).alias("path_posterior"))
+def site_posteriors(seen: DataFrame) -> tuple[DataFrame, float]:
+    """host, path, host_posterior, path_posterior: means of the evidence, shrunk down the hierarchy; and the mean of all."""
+    paths = checkpoint(seen.groupBy("host", "path").agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("evidence").alias("m")))
+    weighted = F.sum(F.col("n") * F.col("m")) / F.sum("n")
+    overall = paths.agg(weighted).first()[0]
+    overall = 0.5 if overall is None else float(overall)
+    hosts = paths.groupBy("host").agg(weighted.alias("m"), F.sum("n").alias("n"))
+    ks = _strength(hosts, F.lit(overall))
+    shrunk = hosts.select(F.col("host").alias("h"), ((F.col("n") * F.col("m") + ks * overall) / (F.col("n") + ks)).alias("host_posterior"))
+    below = paths.join(shrunk, F.col("host").eqNullSafe(F.col("h")))
+    kp = _strength(below, F.col("host_posterior"))
+    posterior = (F.col("n") * F.col("m") + kp * F.col("host_posterior")) / (F.col("n") + kp)
+    return below.select("host", "path", "host_posterior", posterior.alias("path_posterior")), overall
 
 
 def quality(docs: DataFrame, labels: DataFrame, keep: float = KEEP, model: Classifier | None = None, **columns) -> DataFrame:
     """doc_id, evidence, host_posterior, path_posterior, score, keep: one row for each document."""
     model = model or train(docs, labels)
     seen = checkpoint(evidence(docs, model, **columns))
-    sites = site_posteriors(seen).select(F.col("host").alias("h"), F.col("path").alias("p"), "all_mean", "host_posterior", "path_posterior")
+    posteriors, overall = site_posteriors(seen)
+    sites = posteriors.select(F.col("host").alias("h"), F.col("path").alias("p"), "host_posterior", "path_posterior")
     joined = seen.join(sites, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")))
-    odds = _logit(F.col("evidence")) + SITE_WEIGHT * (_logit(F.col("path_posterior")) - _logit(F.col("all_mean")))
+    odds = _logit(F.col("evidence")) + SITE_WEIGHT * (_logit(F.col("path_posterior")) - _logit(F.lit(overall)))
     score = 1 / (1 + F.exp(-odds))
     return joined.select("doc_id", "host", "path", "evidence", "host_posterior", "path_posterior", score.alias("score"), (score >= keep).alias("keep"))
 
