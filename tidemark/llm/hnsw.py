@@ -27,7 +27,7 @@ from tidemark.llm.common import arrow_batches, checkpoint
 #: Distinct vectors of a shard at most (on average), least number of shards, queries of a block.
 SHARD_ROWS, LEAST_SHARDS, BLOCK = 16384, 12, 1024
 #: Links of a node a level (as many again come back to it on the lowest), pool they are pruned from, beam width.
-LINKS, POOL, BEAM = 16, 64, 96
+LINKS, POOL, BEAM = 16, 64, 128
 
 
 def _nearest(vectors: np.ndarray, pool: int) -> np.ndarray:
