@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import sinks
-from tidemark.sources import custom, json_sources, reports, schemas, synthetic
+from tidemark.sources import custom, json_sources, reports, schemas, synthetic, tables
 
 
 def zipped(name, text):
@@ -153,3 +153,11 @@ def test_sinks_write_files_and_totals(spark, tmp_path):
     lines = [x for p in (tmp_path / "m").glob("part-*") for x in p.read_text().splitlines()]
     assert sorted(lines)[0] == "market_demand,region=A value=8000.0 1704067200000000000"
     assert sorted(r["line"] for r in sinks.metric_lines(df, "ts", "region", "demand").collect()) == sorted(lines)
+
+
+def test_csv_binds_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("rrp,region_id\n5.5,NSW1\njunk,VIC1\n")
+    df = tables.read_csv(spark, str(tmp_path / "a.csv"), "region_id string, rrp double, missing int")
+    assert [tuple(r) for r in df.collect()] == [("NSW1", 5.5, None), ("VIC1", None, None)]
+    df.write.mode("overwrite").saveAsTable("csv_table")
+    assert tables.read_table(spark, "csv_table").count() == 2
