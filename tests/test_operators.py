@@ -4,7 +4,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
-from tidemark.operators import clean, features, joins, layout, metrics, models, quality, ranking, rollups, sinks, windows
+from tidemark.operators import clean, features, joins, layout, metrics, models, percentiles, quality, ranking, rollups, sinks, windows
 from tidemark.plans.medallion import market
 from tidemark.sources import synthetic
 
@@ -191,3 +191,18 @@ def test_latest_breaks_ties(spark):
     assert joins.latest_by(df, ["k"], "ts", ["id"], "id").first()["id"] == 3
     assert ranking.best_group(df, ["k"], F.sum("id"), "s").first()["s"] == 6
     assert rollups.distinct_counts(df, "ts", approximate=True).first()[0] == 2
+
+
+@pytest.mark.parametrize(("few", "accuracy"), [(100, 20), (100, 10_000), (1, 20)])
+def test_exact_percentiles_of_few_and_many_groups(spark, few, accuracy):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    groups = {"a": rng.normal(size=1500).tolist(), "b": [1.0] * 700 + [2.0, None], "c": [3.0], None: rng.integers(0, 5, 300).astype(float).tolist()}
+    df = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs], "k string, v double")
+    shares = {"p0": 0.0, "p5": 0.05, "p50": 0.5, "p95": 0.95, "p100": 1.0}
+    got = {r["k"]: r for r in percentiles.exact_percentiles(df, "k", "v", shares, few, accuracy).collect()}
+    for k, vs in groups.items():
+        for n, s in shares.items():
+            assert got[k][n] == pytest.approx(np.quantile([v for v in vs if v is not None], s))
+    assert percentiles.exact_percentiles(df.limit(0), "k", "v", shares).count() == 0

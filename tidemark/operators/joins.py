@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions import columns as C
+from tidemark.operators.percentiles import exact_percentiles
 
 #: Largest size in bytes that Catalyst may estimate for a side before it is no longer broadcast by hint.
 BROADCAST_BYTES = 32 << 20
@@ -72,8 +73,7 @@ def forecast_vs_actual(forecasts: DataFrame, actuals: DataFrame, run: str, inter
 
 def above_group_percentile(df: DataFrame, key: str, value: str, share: float = 0.95, name: str = "p95") -> DataFrame:
     """Rows above the percentile of their group."""
-    limits = df.groupBy(key).agg(F.percentile(value, F.lit(share)).alias(name))
-    return df.join(limits, key).where(F.col(value) > F.col(name))
+    return df.join(exact_percentiles(df, key, value, {name: share}), key).where(F.col(value) > F.col(name))
 
 
 def as_of(left: DataFrame, right: DataFrame, key: str, ts: str, values: Sequence[str], include_current: bool = False) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.joins import above_group_percentile
+from tidemark.operators.percentiles import exact_percentiles
 
 
 def period(ts: str, unit: str = "hour") -> Column:
@@ -109,7 +110,10 @@ def kpis(df: DataFrame, price: str, demand: str, threshold: float = 300, digits:
 
 
 def percentiles(df: DataFrame, keys: Mapping[str, Column], value: str, shares: Mapping[str, float], exact: bool = True) -> DataFrame:
-    """Exact percentiles, or approximate ones in bounded memory for groups too large to sort."""
+    """Exact percentiles of many small groups, or approximate ones in bounded memory.
+
+    For few large groups see ``tidemark.operators.percentiles``.
+    """
     if exact:
         return rollup_by(df, keys, {n: F.percentile(value, F.lit(s)) for n, s in shares.items()})
     return rollup_by(df, keys, {n: F.percentile_approx(value, s, 10_000) for n, s in shares.items()})
@@ -160,9 +164,10 @@ def histogram(df: DataFrame, value: str, low: float, high: float, bins: int = 50
 
 def box_stats(df: DataFrame, key: str, value: str) -> DataFrame:
     """Quartiles and the fences 1.5 ranges beyond them."""
-    q = df.groupBy(key).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.min(value).alias("least"), F.max(value).alias("most"))
-    iqr = F.col("q")[2] - F.col("q")[0]
-    return q.select(key, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), (F.col("q")[0] - 1.5 * iqr).alias("low_fence"), (F.col("q")[2] + 1.5 * iqr).alias("high_fence"), "least", "most")
+    q = exact_percentiles(df, key, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    ends = df.groupBy(key).agg(F.min(value).alias("least"), F.max(value).alias("most"))
+    iqr = F.col("q3") - F.col("q1")
+    return q.join(ends, key).select(key, "q1", "median", "q3", (F.col("q1") - 1.5 * iqr).alias("low_fence"), (F.col("q3") + 1.5 * iqr).alias("high_fence"), "least", "most")
 
 
 def class_counts(df: DataFrame, label: Column, name: str = "label") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
 from tidemark.operators import clean, joins, layout, metrics, models, quality, ranking, rollups, sinks
+from tidemark.operators.percentiles import exact_percentiles
 from tidemark.plans.frames import market, query, scratch, table
 from tidemark.sources import reports
 
@@ -187,7 +188,7 @@ def kpis(spark, d):
 
 @query("{m} SELECT region_id, quantile_cont(rrp, 0.5) AS p50, quantile_cont(rrp, 0.95) AS p95, quantile_cont(rrp, 0.99) AS p99 FROM m GROUP BY 1", rounded=["p50", "p95", "p99"])
 def percentiles(spark, d):
-    return rollups.percentiles(market(spark, d), {REGION: F.col(REGION)}, PRICE, {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    return exact_percentiles(market(spark, d), REGION, PRICE, {"p50": 0.5, "p95": 0.95, "p99": 0.99})
 
 
 @query(f"{{m}} SELECT {HOUR} AS hour, region_id, quantile_cont(rrp, 0.95) AS p95 FROM m GROUP BY 1, 2", rounded=["p95"])
