@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_batches, checkpoint
+from tidemark.llm.common import arrow_batches, checkpoint, fresh
 
 #: Smallest and largest chunk in bytes; a cut falls on one position in 2**CUT_BITS of those that may be cut.
 SMALLEST, LARGEST, CUT_BITS = 256, 16384, 10
@@ -102,7 +102,10 @@ def recipes(chunked: DataFrame) -> DataFrame:
     A document without an ambiguous chunk, that is nearly every one, keeps its list of short hashes as it is;
     the others get the long digests of the ambiguous chunks in their place.
     """
-    bad = ambiguous_hashes(chunked)
+    plain = F.transform("chunks", lambda c: F.hex(c["short"]))
+    bad = checkpoint(ambiguous_hashes(chunked))
+    if bad.isEmpty():
+        return chunked.select("doc_id", "text_sha256", plain.alias("recipe"))
     marked = (
         chunked.select("doc_id", "text_sha256", F.posexplode("chunks").alias("place", "c"))
         .select("doc_id", "text_sha256", "c.short")
@@ -111,7 +114,6 @@ def recipes(chunked: DataFrame) -> DataFrame:
         .agg(F.collect_set("short").alias("bad"))
     )
     joined = chunked.join(marked, ["doc_id", "text_sha256"], "left")
-    plain = F.transform("chunks", lambda c: F.hex(c["short"]))
     verified = F.transform("chunks", lambda c: F.when(F.array_contains("bad", c["short"]), F.hex(c["digest"])).otherwise(F.hex(c["short"])))
     return joined.select("doc_id", "text_sha256", F.when(F.col("bad").isNull(), plain).otherwise(verified).alias("recipe"))
 
@@ -137,9 +139,11 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def drop_duplicates(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns."""
     # one key of id and digest, so that the join and the distinct share a single exchange of the texts
+    name = fresh(docs, "stay_key")
+
     def key(digest):
-        return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), digest).alias("_tidemark_key")
+        return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), digest).alias(name)
 
     stay = exact_duplicates(docs).where("kept").select(key(F.col("text_sha256"))).distinct()
     keyed = docs.select("*", key(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)))
-    return keyed.join(stay, "_tidemark_key", "left_semi").dropDuplicates(["_tidemark_key"]).drop("_tidemark_key")
+    return keyed.join(stay, name, "left_semi").dropDuplicates([name]).select(docs.columns)
