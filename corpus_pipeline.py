@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import bpe_codec, chunk_dedup, pfair, simhash, site_quality
-from tidemark.llm.common import table
+from tidemark.llm.common import checkpoint_folder, remove, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,14 +48,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``; each result is written to the checkpoint folder and read again."""
-    import uuid
-
-    from tidemark.llm.common import checkpoint_folder
+    """Apply the stages to ``documents``; each result is written to the checkpoint folder and read again.
 
+    A result goes once the next one is written, so the folder holds two at most.
+    """
     folder = f"{checkpoint_folder(spark)}/corpus-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for number, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{number}")
         docs = spark.read.parquet(f"{folder}/{number}")
+        if number:
+            remove(spark, f"{folder}/{number - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)
