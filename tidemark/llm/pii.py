@@ -2,7 +2,8 @@
 
 The field is trained from a small labelled table (``labelled_examples``) by gradient ascent on the
 conditional likelihood, and decoded by Viterbi in numpy batches. Chunks without a digit or an at sign are
-outside by definition, so they part the chain exactly: only the stretches between them are decoded. What
+outside by definition, so they part the chain exactly: only the stretches between them are decoded, those of
+more than ``LONGEST`` pieces in parts. What
 the field finds is added where it does not overlap a span of the patterns and passes the kind's own check
 (digit counts, parts of an address); spans of the patterns always stay.
 
@@ -260,7 +261,7 @@ TRIGGER, SPACE = re.compile(r"[0-9@]"), re.compile(r"\s")
 
 
 def stretches(text: str) -> list[tuple[int, int]]:
-    """Stretches of chunks with a digit or at sign, one space apart, with up to 12 characters of context around."""
+    """Stretches of chunks with a digit or at sign, one space apart: starts and ends."""
     found: list[list[int]] = []
     hit = TRIGGER.search(text)
     done = 0
@@ -274,7 +275,7 @@ def stretches(text: str) -> list[tuple[int, int]]:
             found.append([start, end])
         done = end
         hit = TRIGGER.search(text, end)
-    return [(a, b) for a, b in found]
+    return [(a, b) for a, b in found]  # up to 12 characters around them are read as context
 
 
 def plausible(kind: str, text: str) -> bool:
