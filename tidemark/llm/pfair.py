@@ -19,8 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Documents of a block, slots of a cycle (at least twice the sources), hash ranges of a source as a power of two.
-BLOCK_ROWS, CYCLE, RANGE_BITS = 8, 1000, 12
+#: Documents of a block, slots of a cycle (at least twice the sources), hex digits that tell a source's hash ranges.
+BLOCK_ROWS, CYCLE, RANGE_DIGITS = 8, 1000, 3
 TEMPERATURE = 0.7
 ADDED = ("_block", "_release", "_deadline", "_slot", "_position", "_in_proportion")
 
@@ -72,35 +72,34 @@ def _placed(docs: DataFrame, weights: dict[str, float] | None = None, temperatur
     """Each row as the struct ``_row``, with its place in the schedule."""
     # the row travels as one struct, so its columns never meet the names used here
     picked = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"))
-    rows = picked.withColumn("_hash", F.xxhash64("_id", F.lit(seed))).withColumn("_range", F.shiftrightunsigned("_hash", 64 - RANGE_BITS))
-    counts = rows.groupBy("_source", "_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(F.col("_source").alias("_o_source"), F.col("_range").alias("_o_range"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    rows = picked.withColumn("_hash", F.md5(F.concat_ws(":", F.col("_id").cast("string"), F.lit(str(seed))).cast("binary"))).withColumn("_range", F.substring("_hash", 1, RANGE_DIGITS))
+    # one key without nulls for source and range, so that numbering and the join share an exchange of the rows
+    rows = rows.withColumn("_bucket", F.concat(F.coalesce(F.hex("_source"), F.lit("-")), F.lit(":"), "_range"))
+    counts = rows.groupBy("_bucket", "_source", "_range").agg(F.count(F.lit(1)).alias("_n"))
     sizes = counts.groupBy(F.col("_source").alias("source")).agg(F.sum("_n").alias("n"))
     quota = quotas(sizes, weights, temperature, cycle)
-    plan = cycle_schedule(quota).select(F.col("source").alias("_p_source"), F.col("quota").alias("_quota"), F.col("cycle").alias("_cycle"), F.col("k").alias("_k"), F.col("slot").alias("_cycle_slot"))
+    # one row a source: the slots of its blocks in a cycle, in order
+    slots = F.transform(F.sort_array(F.collect_list(F.struct("k", "slot"))), lambda x: x["slot"])
+    plan = cycle_schedule(quota).groupBy(F.col("source").alias("_p_source"), F.col("quota").alias("_quota"), F.col("cycle").alias("_cycle")).agg(slots.alias("_slots"))
     # the slot of each source's first block that isn't full ends the stretch in proportion
     full = F.floor(F.col("n") / block_rows)
-    ends = quota.select("source", F.col("cycle").alias("c"), F.floor(full / F.col("quota")).alias("turn"), (full % F.col("quota") + 1).cast("int").alias("k"))
-    ends = ends.join(plan, F.col("source").eqNullSafe(F.col("_p_source")) & (F.col("k") == F.col("_k")))
-    horizon = ends.groupBy("c").agg(F.min(F.col("turn") * F.col("c") + F.col("_cycle_slot")).alias("_horizon"))
-    plan = plan.join(horizon, F.col("_cycle") == F.col("c"))
-    # a source has one row in quota and at most one in offsets for each range; the plan has one row a slot of the cycle
-    by_range = Window.partitionBy("_source", "_range").orderBy("_hash", "_id")
-    numbered = rows.withColumn("_rn", F.row_number().over(by_range))
-    numbered = numbered.join(offsets, F.col("_source").eqNullSafe(F.col("_o_source")) & (F.col("_range") == F.col("_o_range")))
-    q = quota.select(F.col("source").alias("_q_source"), F.col("quota").alias("_q"))
-    number = F.col("_before") + F.col("_rn") - 1
-    blocked = numbered.join(F.broadcast(q), F.col("_source").eqNullSafe(F.col("_q_source"))).withColumn("_number", number).withColumn("_block", F.floor(F.col("_number") / block_rows))
-    blocked = blocked.withColumn("_turn", F.floor(F.col("_block") / F.col("_q"))).withColumn("_of_turn", (F.col("_block") % F.col("_q") + 1).cast("int"))
-    placed = blocked.join(F.broadcast(plan), F.col("_source").eqNullSafe(F.col("_p_source")) & (F.col("_of_turn") == F.col("_k")))
-    start = F.col("_turn") * F.col("_cycle")
-    slot = start + F.col("_cycle_slot")
-    return placed.select(
+    first = F.element_at("_slots", (full % F.col("_quota") + 1).cast("int")) + F.floor(full / F.col("_quota")) * F.col("_cycle")
+    ends = sizes.join(plan, F.col("source").eqNullSafe(F.col("_p_source"))).groupBy(F.col("_cycle").alias("c")).agg(F.min(first).alias("_horizon"))
+    plan = plan.join(ends, F.col("_cycle") == F.col("c"))
+    # all that a row needs to know stands with its bucket: the rows before it, and its source's part of the schedule
+    before = Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    offsets = offsets.join(plan, F.col("_source").eqNullSafe(F.col("_p_source"))).select("_bucket", "_before", "_quota", "_cycle", "_slots", "_horizon")
+    numbered = rows.select("_row", "_id", "_hash", "_bucket").withColumn("_rn", F.row_number().over(Window.partitionBy("_bucket").orderBy("_hash", "_id")))
+    joined = numbered.join(offsets, "_bucket").withColumn("_number", F.col("_before") + F.col("_rn") - 1).withColumn("_block", F.floor(F.col("_number") / block_rows))
+    k = (F.col("_block") % F.col("_quota") + 1).cast("int")
+    start = F.floor(F.col("_block") / F.col("_quota")) * F.col("_cycle")
+    slot = start + F.element_at("_slots", k)
+    return joined.select(
         "_row",
         F.col("_block").cast("bigint").alias("_block"),
-        (start + F.floor((F.col("_k") - 1) * F.col("_cycle") / F.col("_quota"))).cast("bigint").alias("_release"),
-        (start + F.ceil(F.col("_k") * F.col("_cycle") / F.col("_quota"))).cast("bigint").alias("_deadline"),
+        (start + F.floor((k - 1) * F.col("_cycle") / F.col("_quota"))).cast("bigint").alias("_release"),
+        (start + F.ceil(k * F.col("_cycle") / F.col("_quota"))).cast("bigint").alias("_deadline"),
         slot.cast("bigint").alias("_slot"),
         (slot * block_rows + F.col("_number") % block_rows).cast("bigint").alias("_position"),
         (slot < F.col("_horizon")).alias("_in_proportion"),
