@@ -206,3 +206,16 @@ def test_exact_percentiles_of_few_and_many_groups(spark, few, accuracy):
         for n, s in shares.items():
             assert got[k][n] == pytest.approx(np.quantile([v for v in vs if v is not None], s))
     assert percentiles.exact_percentiles(df.limit(0), "k", "v", shares).count() == 0
+
+
+def test_chunks_equal_one_window(spark):
+    df = synthetic.region_series(spark, 150, regions=("A", "B")).withColumn("id", F.monotonically_increasing_id())
+    make = lambda over: {"l": F.lag("rrp", 12).over(over), "m": windows.rolling("rrp", 12, over)}
+    plain = df.withColumns(make(windows.ordered("region_id", "settlement_date", "id"))).select("region_id", "settlement_date", "l", "m")
+    cut = windows.in_chunks(df, "region_id", "settlement_date", make, 12, "id", chunk_rows=20, bucket="hour").select("region_id", "settlement_date", "l", "m")
+    key = lambda r: (r["region_id"], r["settlement_date"])
+    a, b = sorted(plain.collect(), key=key), sorted(cut.collect(), key=key)
+    assert len(a) == len(b) == 300
+    assert all(x["l"] == y["l"] and (x["m"] is None) == (y["m"] is None) and (x["m"] is None or abs(x["m"] - y["m"]) < 1e-9) for x, y in zip(a, b))
+    with pytest.raises(ValueError):
+        windows.in_chunks(df, "region_id", "settlement_date", make, 12, "id", chunk_rows=5)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -81,6 +81,26 @@ def sliding(df: DataFrame, entity: str, ts: str, value: str, duration: str, slid
     return out.select(entity, F.col("w.start").cast("timestamp_ntz").alias("window_start"), "window_avg", "window_n")
 
 
+def in_chunks(df: DataFrame, entity: str, ts: str, make: Callable[[WindowSpec], dict[str, Column]], lookback: int, tie: str, chunk_rows: int = 500_000, bucket: str = "day") -> DataFrame:
+    """W5, W6 for few entities with long histories: columns of a window that looks back ``lookback`` rows at most.
+
+    Rows of an entity are numbered by counting buckets of time first, then cut into chunks of equal length. The last
+    rows of a chunk are copied to the next one, where they are seen but not given back. So a task holds a chunk, and
+    the result is that of one window over the entity. Rows without an entity or a time are left out.
+    """
+    if lookback > chunk_rows:
+        raise ValueError("a chunk has to be as long as the look back")
+    rows = df.where(F.col(entity).isNotNull() & F.col(ts).isNotNull()).withColumn("_bucket", F.date_trunc(bucket, F.col(ts)))
+    earlier = Window.partitionBy(entity).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy(entity, "_bucket").agg(F.count(F.lit(1)).alias("_n")).select(entity, "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(entity, "_bucket").orderBy(ts, tie))
+    numbered = rows.withColumn("_rn", inside).join(offsets, [entity, "_bucket"]).withColumn("_at", F.col("_before") + F.col("_rn") - 1).withColumn("_own", F.floor(F.col("_at") / chunk_rows))
+    tail = F.col("_at") % chunk_rows >= chunk_rows - lookback
+    dealt = numbered.withColumn("_chunk", F.explode(F.when(tail, F.array("_own", F.col("_own") + 1)).otherwise(F.array("_own"))))
+    made = dealt.withColumns(make(Window.partitionBy(entity, "_chunk").orderBy("_at")))
+    return made.where("_own = _chunk").drop("_bucket", "_before", "_rn", "_at", "_own", "_chunk")
+
+
 def temporal_split(df: DataFrame, entity: str, ts: str, share: float = 0.8, tie: str | None = None) -> DataFrame:
     """The first ``share`` of each entity's rows train, the rest test; both have a row where there are two."""
     over = ordered(entity, ts, *([tie] if tie else []))

@@ -30,11 +30,23 @@ def lag_features(spark, d):
     return market(spark, d).select("event_id", *[c.alias(n) for n, c in windows.lags(DEMAND, features.LOAD_LAGS, over, "demand").items()])
 
 
-@query(f"{{m}} SELECT event_id, {_roll('avg', 'rrp', 12)} AS mean_12, {_roll('stddev', 'rrp', 12)} AS std_12, {_roll('min', 'rrp', 12)} AS min_12, {_roll('max', 'rrp', 12)} AS max_12, {_roll('avg', 'air_temp_c', 12)} AS temp_12 FROM m", rounded=["mean_12", "std_12", "temp_12"])
+_ROLLING_SQL = f"{{m}} SELECT event_id, {_roll('avg', 'rrp', 12)} AS mean_12, {_roll('stddev', 'rrp', 12)} AS std_12, {_roll('min', 'rrp', 12)} AS min_12, {_roll('max', 'rrp', 12)} AS max_12, {_roll('avg', 'air_temp_c', 12)} AS temp_12 FROM m"
+_ROLLING = {"mean_12": ("avg", PRICE), "std_12": ("stddev", PRICE), "min_12": ("min", PRICE), "max_12": ("max", PRICE), "temp_12": ("avg", "air_temp_c")}
+
+
+def _rolled(over):
+    return {n: windows.rolling(c, 12, over, f) for n, (f, c) in _ROLLING.items()}
+
+
+@query(_ROLLING_SQL, rounded=["mean_12", "std_12", "temp_12"])
 def rolling_features(spark, d):
-    over = windows.ordered(REGION, TS, "event_id")
-    made = {"mean_12": ("avg", PRICE), "std_12": ("stddev", PRICE), "min_12": ("min", PRICE), "max_12": ("max", PRICE), "temp_12": ("avg", "air_temp_c")}
-    return market(spark, d).select("event_id", *[windows.rolling(c, 12, over, f).alias(n) for n, (f, c) in made.items()])
+    return market(spark, d).withColumns(_rolled(windows.ordered(REGION, TS, "event_id"))).select("event_id", *_ROLLING)
+
+
+@query(_ROLLING_SQL, rounded=["mean_12", "std_12", "temp_12"])
+def rolling_features_chunked(spark, d):
+    """W6 for few entities: chunks of an entity are partitions of their own."""
+    return windows.in_chunks(market(spark, d), REGION, TS, _rolled, 11, "event_id", chunk_rows=10_000).select("event_id", *_ROLLING)
 
 
 @query(f"""{{m,}} f AS (SELECT event_id, region_id, settlement_date, air_temp_c, last_value(air_temp_c IGNORE NULLS) OVER (PARTITION BY region_id ORDER BY settlement_date, event_id ROWS UNBOUNDED PRECEDING) AS ff FROM m)
