@@ -110,6 +110,9 @@ def minutes_between(later: ColumnOrName, earlier: ColumnOrName) -> Column:
     return F.round((F.unix_timestamp(col(later).cast("timestamp")) - F.unix_timestamp(col(earlier).cast("timestamp"))) / 60)
 
 
+# The limits and names in the next four functions are fixed values, as are those of SQL_FUNCTIONS.
+
+
 def demand_regime(demand: ColumnOrName, temperature: ColumnOrName) -> Column:
     d, t = col(demand), col(temperature)
     return F.when(d >= 9000, "extreme_peak").when(d >= 7500, "peak").when(t >= 35, "weather_driven_risk").when(d <= 4500, "off_peak").otherwise("normal")
