@@ -126,8 +126,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     chunked = checkpoint(chunk_texts(docs, id_col, text_col))
     rows = recipes(chunked)
-    counted = rows.groupBy("recipe", "doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("copies"))
-    groups = rows.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    # structs as keys: the join below then deals both sides anew by recipe, in exchanges that Spark may split
+    counted = rows.groupBy(F.struct("recipe", "doc_id", "text_sha256").alias("row")).agg(F.count(F.lit(1)).alias("copies")).select("row.*", "copies")
+    groups = rows.groupBy(F.struct("recipe").alias("key")).agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).select("key.recipe", "keep_id", "group_size")
     copy = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))).alias("copy")
     return (
         counted.join(groups, "recipe")
