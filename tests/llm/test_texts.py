@@ -124,6 +124,25 @@ def test_field_adds_and_base_stays(spark):
     assert got[2]["spans"] == "" and got[3]["spans"] == "" and got[3]["base_sha256"] == hashlib.sha256(b"").hexdigest()
 
 
+@pytest.mark.parametrize("space", ["\n", " "])
+@pytest.mark.parametrize("form", ["{a}-{b}-{c:04d}", "({a}) {b}-{c:04d}", "user{b}@host{a}"])
+def test_field_holds_every_item_of_a_long_list(form, space):
+    rnd = random.Random(5)
+    items = [form.format(a=rnd.randint(201, 989), b=rnd.randint(200, 999), c=rnd.randint(0, 9999)) for _ in range(2000)]
+    text = space.join(items)
+    added = pii.added_spans([text, "mail a1@host2"], [[], []], pii.train())
+    assert [text[a:b] for _, a, b in added[0]] == items
+    assert added[1] == [("email", 5, 13)]
+
+
+def test_decoding_in_blocks_equals_one_chain(monkeypatch):
+    batch = [pii.features(pii.PIECE.findall(t)) for t in ("415-555-2671\n" * 40, "a@b1 12", "x", "10.0.0.1 " * 9)]
+    whole = pii.viterbi(batch, *pii.train())
+    monkeypatch.setattr(pii, "STEPS", 7)
+    monkeypatch.setattr(pii, "CELLS", 20)
+    assert all((a == b).all() for a, b in zip(whole, pii.viterbi(batch, *pii.train()), strict=True))
+
+
 def test_pii_query(spark):
     for docs in (X.documents(spark), X.odd(spark), X.clashing(spark)):
         texts = {r["doc_id"]: r["text"] or "" for r in docs.select("doc_id", "text").collect()}

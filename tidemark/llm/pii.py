@@ -2,9 +2,8 @@
 
 The field is trained from a small labelled table (``labelled_examples``) by gradient ascent on the
 conditional likelihood, and decoded by Viterbi in numpy batches. Chunks without a digit or an at sign are
-outside by definition, so they part the chain exactly: only the stretches between them are decoded, those of
-more than ``LONGEST`` pieces in parts. What
-the field finds is added where it does not overlap a span of the patterns and passes the kind's own check
+outside by definition, so they part the chain exactly: only the stretches between them are decoded, each as one
+chain however long. What the field finds is added where it does not overlap a span of the patterns and passes the kind's own check
 (digit counts, parts of an address); spans of the patterns always stay.
 
 Null and empty texts have no spans (the digest is that of the empty string). Offsets count code points, the
@@ -68,7 +67,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 LABELS = ["O"] + [f"{p}-{k}" for k in KINDS for p in "BI"]
 PIECE = re.compile(r"[^\W\d_]+|[0-9]+|\s|.", re.DOTALL)
 WIDTH = 1 << 12
-LONGEST = 512
+#: Steps whose scores are held at once, and cells (sequences times steps) decoded together; a longer sequence is alone.
+STEPS, CELLS = 512, 1 << 17
 
 
 def labelled_examples() -> list[str]:
@@ -90,6 +90,9 @@ mobile {phone|+1 (456) 555-2186} works
 fax {phone|+49 30 901820}
 {phone|+1 (499) 555-6503} {card|4539 1488 0343 6467}
 {phone|(303) 555-2211} {email|q.r@example.com}
+{phone|415-555-0132} {phone|212-555-7788} {phone|303-555-0176}
+{phone|(499) 555-6503} {phone|(212) 555-0199} {phone|(303) 555-2211}
+{email|amy4@host2} {email|k55@intranet} {email|x901@node331} {email|bo@relay} today
 server {ip|10.0.0.1} down
 from {ip|192.168.17.254} to {ip|8.8.8.8}
 at {ip|42.144.35.254} again
@@ -228,25 +231,36 @@ def train(lines: tuple[str, ...] | None = None, steps: int = 150, ridge: float =
 
 
 def viterbi(batch: list[np.ndarray], emit: np.ndarray, step: np.ndarray) -> list[np.ndarray]:
-    """Best labels of each sequence of feature rows; sequences of like length are decoded together."""
+    """Best labels of each sequence of feature rows; sequences of like length are decoded together.
+
+    A sequence is one chain from its first piece to its last. A byte for each piece and label is kept until its end.
+    """
     best: list = [None] * len(batch)
     start = np.where([name[0] != "I" for name in LABELS], 0.0, -1e6)
+    same = np.arange(len(LABELS), dtype=np.int8)
     order = sorted(range(len(batch)), key=lambda i: len(batch[i]))
-    for low in range(0, len(order), 256):
-        group = order[low : low + 256]
+    low = 0
+    while low < len(order):
+        high = low + 1
+        while high < min(len(order), low + 256) and (high + 1 - low) * len(batch[order[high]]) <= CELLS:
+            high += 1
+        group, low = order[low:high], high
         length = len(batch[group[-1]])
-        score = np.zeros((len(group), length, len(LABELS)))
-        live = np.zeros((len(group), length), bool)
-        for r, i in enumerate(group):
-            score[r, : len(batch[i])] = emit[batch[i]].sum(axis=1)
-            live[r, : len(batch[i])] = True
-        now = score[:, 0] + start
-        came = np.zeros(score.shape, np.int8)
-        same = np.arange(len(LABELS), dtype=np.int8)
-        for t in range(1, length):
-            ways = now[:, :, None] + step
-            came[:, t] = np.where(live[:, t, None], ways.argmax(axis=1), same)
-            now = np.where(live[:, t, None], ways.max(axis=1) + score[:, t], now)
+        came = np.zeros((len(group), length, len(LABELS)), np.int8)
+        for first in range(0, length, STEPS):
+            block = min(STEPS, length - first)
+            score = np.zeros((len(group), block, len(LABELS)))
+            live = np.zeros((len(group), block), bool)
+            for r, i in enumerate(group):
+                part = batch[i][first : first + block]
+                score[r, : len(part)] = emit[part].sum(axis=1)
+                live[r, : len(part)] = True
+            if not first:
+                now = score[:, 0] + start
+            for t in range(0 if first else 1, block):
+                ways = now[:, :, None] + step
+                came[:, first + t] = np.where(live[:, t, None], ways.argmax(axis=1), same)
+                now = np.where(live[:, t, None], ways.max(axis=1) + score[:, t], now)
         last = now.argmax(axis=1)
         path = np.empty((len(group), length), np.int8)
         for t in range(length - 1, -1, -1):
@@ -298,11 +312,9 @@ def added_spans(texts: list[str], bases: list[list[tuple[str, int, int]]], model
         for a, b in stretches(text):
             low = max(text.rfind(" ", max(0, a - 13), max(0, a - 1)) + 1, a - 12, 0)
             pieces = [(m.start(), m.end(), m.group()) for m in PIECE.finditer(text, low, min(len(text), b + 12))]
-            for cut in range(0, len(pieces), LONGEST):
-                part = pieces[cut : cut + LONGEST]
-                places.append(i)
-                cells.append(part)
-                batch.append(features([p[2] for p in part]))
+            places.append(i)
+            cells.append(pieces)
+            batch.append(features([p[2] for p in pieces]))
     added: list[list[tuple[str, int, int]]] = [[] for _ in texts]
     for i, part, labels in zip(places, cells, viterbi(batch, *model) if batch else [], strict=True):
         t = 0
