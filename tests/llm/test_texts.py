@@ -182,6 +182,25 @@ def test_novelty():
     assert secrets.marginal_bytes(key, "", "") > secrets.marginal_bytes(name[:21], "", "")
 
 
+def test_a_secret_written_twice_is_reported_twice():
+    key = "Zx9Kq2LmP0vB7tRwYc4H8eUa3NsDf6Jg1ioT5XhQ"
+    for between in ("\n", "so on " * 30, "so on " * 61, "so on " * 64):  # the third and fourth are cut by the end of the dictionary
+        text = f"signing key for staging: {key} {between} signing key for production: {key}"
+        assert secrets.novel_spans(text, []) == [("novel", m.start(), m.end()) for m in re.finditer(key, text)]
+    assert secrets.novel_spans(f"signing key {key} {'so on ' * 12} use {key}", []) == [("novel", 12, 12 + len(key))]
+
+
+@pytest.mark.parametrize("alphabet", ["0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "0123456789abcdefABCDEF"])
+@pytest.mark.parametrize("length", [40, 96, 128, 512, 1024])
+def test_long_keys_of_small_alphabets(alphabet, length):
+    rnd = random.Random(length)
+    for _ in range(10):
+        key = "".join(rnd.choice(alphabet) for _ in range(length))
+        assert secrets.novel_spans(f"the signing key is {key} and so on", []) == [("novel", 19, 19 + length)]
+    name = "_".join(rnd.choice("configuration parameter implementation callback certificate connection environment".split()) for _ in range(length // 12)) + "_2"
+    assert secrets.novel_spans(f"the signing key is {name} and so on", []) == []
+
+
 def test_secret_query(spark):
     for docs in (X.documents(spark), X.odd(spark), X.clashing(spark)):
         texts = {r["doc_id"]: r["text"] or "" for r in docs.select("doc_id", "text").collect()}

@@ -3,7 +3,9 @@
 A candidate is a run of at least 20 characters of the alphabets in which keys are written, with letters and
 digits, that stands after a word such as key, token or password. It is compressed with a dictionary made of
 the text around it and a list of identifiers usual in code. What the dictionary makes short (names, paths,
-text repeated nearby) is no secret; what stays as long as random characters is reported as ``novel``.
+text repeated nearby) is no secret; what stays as long as random characters of its own alphabet is reported as
+``novel``. Copies of the candidate are left out of its dictionary, all that follow it and those before it that
+stand after such a word too: a secret written twice is reported twice. A copy before it in plain text counts.
 
 Null and empty texts have no spans. Offsets count code points, the end is exclusive. Repeated rows give
 repeated results; an empty table gives an empty one.
@@ -12,7 +14,9 @@ repeated results; an empty table gives an empty one.
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import string
 
 import zstandard
 from pyspark.sql import DataFrame
@@ -32,8 +36,11 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 SENSITIVE = re.compile(r"(?i)key|secret|token|passw|credential|auth|bearer|private|signature|salt|session")
 #: Characters before a candidate in which a sensitive word has to stand, and on either side that prime the dictionary.
 NEAR, AROUND = 48, 400
-#: Compressed bytes for each character from which a candidate counts as new. Random base64 takes 0.75 at least.
-NOVEL = 0.70
+#: Compressed bytes for each character from which a candidate counts as new. Random base64 takes 0.75 at least; a
+#: candidate of a smaller alphabet counts from the same share of what random characters of that alphabet take.
+NOVEL, RANDOM = 0.70, 0.75
+#: Letters and digits in which keys are written, fewest first.
+ALPHABETS = tuple(map(frozenset, ("0123456789ABCDEF", "0123456789abcdef", string.hexdigits, string.ascii_uppercase + "234567", string.ascii_lowercase + "234567", string.ascii_uppercase + string.digits, string.ascii_lowercase + string.digits, string.ascii_letters + string.digits)))
 
 IDENTIFIERS = b" ".join(
     b"access account address admin algorithm application array authorization await background base buffer button "
@@ -63,13 +70,48 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return spans + [("hex", *m.span()) for m in HEX.finditer(text)]
 
 
-def marginal_bytes(candidate: str, before: str, after: str) -> int:
-    """Bytes the candidate takes beyond an empty frame, the dictionary being its surroundings and the identifiers."""
+def compressor(before: str, after: str) -> zstandard.ZstdCompressor:
     primed = IDENTIFIERS + b" " + after.encode("utf-8", "replace") + b" " + before.encode("utf-8", "replace")
-    press = zstandard.ZstdCompressor(level=19, dict_data=zstandard.ZstdCompressionDict(primed, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False)
+    return zstandard.ZstdCompressor(level=19, dict_data=zstandard.ZstdCompressionDict(primed, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False)
+
+
+def marginal_bytes(candidate: str, before: str, after: str, press: zstandard.ZstdCompressor | None = None) -> int:
+    """Bytes the candidate takes beyond an empty frame, the dictionary being its surroundings and the identifiers."""
+    press = press or compressor(before, after)
     return len(press.compress(candidate.encode("utf-8"))) - len(press.compress(b""))
 
 
+def random_like(run: str) -> str:
+    """Random characters of the run's own alphabet, the same for each call; other signs stay where they stand."""
+    letters = {c for c in run if c.isalnum()}
+    alphabet = sorted(next(a for a in ALPHABETS if letters <= a))
+    draw = random.Random(len(run))
+    return "".join(draw.choice(alphabet) if c.isalnum() else c for c in run)
+
+
+def sensitive(text: str, at: int) -> bool:
+    return SENSITIVE.search(text, max(0, at - NEAR), at) is not None
+
+
+def without(text: str, run: str, low: int, high: int, first: int, last: int, plain: bool) -> str:
+    """``text[low:high]`` without the copies of ``run`` within ``first`` and ``last``; with those in plain text if ``plain``."""
+    parts, at = [], text.find(run, first, last)
+    while at >= 0:
+        end = at + len(run)
+        if not plain or sensitive(text, at):
+            parts.append(text[low:at])
+            low = end
+        at = text.find(run, end, last)
+    return "".join([*parts, text[low:high]])
+
+
+def surroundings(text: str, a: int, b: int) -> tuple[str, str]:
+    """The text before and after a run, without the copies of it that say nothing against it; see the module's notes."""
+    run, low, high = text[a:b], max(0, a - AROUND), b + AROUND
+    before = without(text, run, low, a, max(0, low - len(run) + 1), a, True)
+    return before, without(text, run, b, high, b, high + len(run) - 1, False)
+
+
 def novel_spans(text: str, taken: list[tuple[str, int, int]], threshold: float = NOVEL) -> list[tuple[str, int, int]]:
     found = []
     for m in CANDIDATE.finditer(text):
@@ -77,9 +119,12 @@ def novel_spans(text: str, taken: list[tuple[str, int, int]], threshold: float =
         run = m.group()
         if not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run) or len(set(run)) < 10:
             continue
-        if not SENSITIVE.search(text, max(0, a - NEAR), a) or any(a < y and b > x for _, x, y in taken):
+        if not sensitive(text, a) or any(a < y and b > x for _, x, y in taken):
             continue
-        if marginal_bytes(run, text[max(0, a - AROUND) : a], text[b : b + AROUND]) >= threshold * len(run):
+        before, after = surroundings(text, a, b)
+        press = compressor(before, after)
+        size = marginal_bytes(run, before, after, press)
+        if size >= threshold * len(run) or size >= threshold / RANDOM * marginal_bytes(random_like(run), before, after, press):
             found.append(("novel", a, b))
     return found
 
