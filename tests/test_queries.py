@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from tests.conftest import SMALL
+from tidemark.operators import features, models
 from tidemark.plans import registry
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
@@ -56,6 +57,29 @@ def test_model_queries_give_rows(spark):
     assert spikes and {r["predicted"] for r in spikes} <= {0, 1}
 
 
+def test_model_queries_take_the_operators_parameters(spark, monkeypatch):
+    fitted = {}
+
+    def kept(name, train):
+        def run(rows, inputs, *args, **options):
+            model, later = train(rows, inputs, *args, **options)
+            fitted[name] = (model.stages[-1], inputs)
+            return model, later
+
+        return run
+
+    for name in ("train_regressor", "train_classifier"):
+        monkeypatch.setattr(models, name, kept(name, getattr(models, name)))
+    scored = registry.queries()["train_score"](spark, SMALL.replace("0.001", "0.01"))
+    assert scored.count() > 0
+    registry.queries()["spike_classifier"](spark, SMALL)
+    forest, inputs = fitted["train_regressor"]
+    assert (forest.getNumTrees, forest.getOrDefault("maxDepth")) == (20, 5)
+    assert {f"demand_lag_{k}" for k in features.LOAD_LAGS} | {"demand_rolling_1d_mean"} <= set(inputs)
+    forest, _ = fitted["train_classifier"]
+    assert (forest.getNumTrees, forest.getOrDefault("maxDepth")) == (15, 4)
+
+
 def test_entry(spark):
     import __spark_entry__
 

@@ -172,14 +172,18 @@ def training_set(spark, d):
 
 
 # -- models -------------------------------------------------------------------------------------------------
-_INPUTS = ["demand_lag_1", "demand_lag_12", "demand_rolling_1h_mean", "hour_sin", "hour_cos", "rrp_lag_1"]
+_INPUTS = ["demand_rolling_1h_mean", "demand_rolling_1d_mean", "hour_sin", "hour_cos", "rrp_lag_1"]
 
 
 @query()
 def train_score(spark, d):
-    """Trained on the earlier part of each type, scored on the later."""
-    rows = features.load_features(market(spark, d), lag_steps=(1, 2, 3, 6, 12), day_rows=24, tie="event_id")
-    model, later = models.train_regressor(rows, _INPUTS, DEMAND, REGION, TS, trees=5, depth=4)
+    """Trained on the earlier part of each type, scored on the later. Lags and day are those of L1; where no
+    type has so many rows, as on the smallest tables, the longest lag that there is stands for them."""
+    m = market(spark, d)
+    longest = windows.history(m, REGION).agg(F.max("n")).first()[0] or 0
+    lags = [k for k in features.LOAD_LAGS if k < longest]
+    rows = features.load_features(m, lag_steps=lags, day_rows=min(features.DAY, max(lags, default=1)), tie="event_id")
+    model, later = models.train_regressor(rows, [f"demand_lag_{k}" for k in lags] + _INPUTS, DEMAND, REGION, TS)
     return models.score(later.drop("features", "prediction"), model, [TS, REGION], DEMAND, "demand", 1)
 
 
@@ -188,7 +192,7 @@ def spike_classifier(spark, d):
     """L8."""
     rows = features.training_set(market(spark, d), 60)
     names = ["demand_avg_1h", "rrp_avg_1h", "rrp_avg_6h", "rrp_std_6h", "rrp_max_24h"]
-    _, later = models.train_classifier(rows, names, "is_spike", REGION, TS, trees=4, depth=3)
+    _, later = models.train_classifier(rows, names, "is_spike", REGION, TS)
     return later.select("event_id", "is_spike", F.col("prediction").cast("int").alias("predicted"))
 
 
