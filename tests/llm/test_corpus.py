@@ -380,3 +380,16 @@ def test_stages_bear_odd_rows(spark, tmp_path):
             out.write.parquet(str(tmp_path / f"{n}-{k}"))
             docs = spark.read.parquet(str(tmp_path / f"{n}-{k}"))
             assert k == len(corpus_pipeline.STAGES) - 1 or docs.columns == columns
+
+
+def test_search_reaches_every_cluster_of_a_full_shard():
+    rng = np.random.default_rng(3)
+    centers = rng.normal(size=(200, 64))
+    centers /= np.linalg.norm(centers, axis=1, keepdims=True)
+    v = centers[rng.integers(0, 200, hnsw.SHARD_ROWS)] + rng.normal(size=(hnsw.SHARD_ROWS, 64)) / 16
+    v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+    queries = v[rng.choice(len(v), 256, replace=False)]
+    found = hnsw.search_graph(v, hnsw.build_graph(v), queries, 21)
+    true = np.argsort(-(queries @ v.T), axis=1)[:, :21]
+    recall = [len(set(a) & set(b)) / 21 for a, b in zip(found.tolist(), true.tolist(), strict=True)]
+    assert np.mean(recall) > 0.99 and min(recall) > 0.8

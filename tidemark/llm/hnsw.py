@@ -2,7 +2,8 @@
 
 A shard's graph is kept as flat arrays of neighbours, one array a level. It is built in bulk: on every level
 a node's nearest others are pruned to directions that differ, and the links are made to go both ways. Queries
-are searched in lockstep, a beam each, down the levels of every shard; the shards' results are merged.
+are searched in lockstep, a beam each, in every shard: the level above the lowest is scored in full, and the
+best of it begin on the lowest. Every part of the lowest level has a node above. The shards' results are merged.
 
 Equal vectors are one node with the smallest ids of its copies, as many as a result can show, so a vector that
 a third of all rows share costs no more than another. Vectors that are null, zero, or hold null or non-finite
@@ -28,6 +29,8 @@ from tidemark.llm.common import arrow_batches, checkpoint
 SHARD_ROWS, LEAST_SHARDS, BLOCK = 16384, 12, 1024
 #: Links of a node a level (as many again come back to it on the lowest), pool they are pruned from, beam width.
 LINKS, POOL, BEAM = 16, 64, 128
+#: Nodes from which a search of the lowest level begins.
+ENTRIES = 32
 
 
 def _nearest(vectors: np.ndarray, pool: int) -> np.ndarray:
@@ -85,48 +88,58 @@ def _links(vectors: np.ndarray, links: int, width: int) -> np.ndarray:
     return table
 
 
+def _parts(table: np.ndarray) -> np.ndarray:
+    """For each node the smallest node that it is linked with, over any number of links in either direction."""
+    a, rank = np.nonzero(table >= 0)
+    b = table[a, rank]
+    part = np.arange(len(table))
+    while True:
+        new = part.copy()
+        np.minimum.at(new, a, part[b])
+        np.minimum.at(new, b, part[a])
+        new = new[new]
+        if (new == part).all():
+            return part
+        part = new
+
+
 def build_graph(vectors: np.ndarray, links: int = LINKS, seed: int = 11) -> list[tuple[np.ndarray, np.ndarray]]:
     """Levels from the lowest up: places of the level's nodes, and their neighbours as places among all vectors."""
     n = len(vectors)
     height = np.random.default_rng(seed).geometric(1 - 1 / links, n) - 1
     levels = []
-    for level in range(int(height.max(initial=0)) + 1):
+    level = 0
+    while level <= height.max(initial=0):
         nodes = np.flatnonzero(height >= level).astype(np.int32)
         local = _links(vectors[nodes], links, 2 * links if level == 0 else links)
         levels.append((nodes, np.where(local >= 0, nodes[local], -1).astype(np.int32)))
+        if level == 0 and n:  # a part without links to others gets a node on the level above, from which it is found
+            part = _parts(local)
+            alone = np.setdiff1d(part, part[height > 0])
+            if len(alone) > 1 or (height > 0).any():
+                height[alone] = 1
+        level += 1
     return levels
 
 
 def search_graph(vectors: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]], queries: np.ndarray, k: int, beam: int = BEAM, stride: int = 4) -> np.ndarray:
     """Places of up to ``k`` nearest for each query, best first, -1 where there are fewer."""
     n, q = len(vectors), len(queries)
-    top = levels[-1][0]
-    now = top[np.argmax(queries @ vectors[top].T, axis=1)]
-    for nodes, table in levels[-2:0:-1]:
-        place = np.full(n, -1, np.int32)
-        place[nodes] = np.arange(len(nodes))
-        score = np.einsum("qd,qd->q", queries, vectors[now])
-        while True:
-            around = table[place[now]]
-            near = np.einsum("qmd,qd->qm", vectors[around], queries)
-            near[around < 0] = -np.inf
-            best = near.argmax(axis=1)
-            better = near[np.arange(q), best] > score
-            if not better.any():
-                break
-            now = np.where(better, around[np.arange(q), best], now)
-            score = np.where(better, near[np.arange(q), best], score)
-    table = levels[0][1]
+    # built in bulk, a cluster may have no link from outside: all nodes of the level above are scored, the best begin
+    top, table = levels[min(1, len(levels) - 1)][0], levels[0][1]
     beam = min(max(beam, k), n)
+    begin = min(ENTRIES, beam, len(top))
+    near = queries @ vectors[top].T
+    pick = np.argpartition(-near, begin - 1, axis=1)[:, :begin]
     ids = np.full((q, beam), -1, np.int32)
-    ids[:, 0] = now
+    ids[:, :begin] = top[pick]
     score = np.full((q, beam), -np.inf, np.float32)
-    score[:, 0] = np.einsum("qd,qd->q", queries, vectors[now])
+    score[:, :begin] = np.take_along_axis(near, pick, 1)
     open_ = np.zeros((q, beam), bool)
-    open_[:, 0] = True
+    open_[:, :begin] = True
     seen = np.zeros((q, n + 1), bool)  # the last column stands for -1
     seen[:, -1] = True
-    seen[np.arange(q), now] = True
+    seen[np.arange(q)[:, None], ids[:, :begin]] = True
     live = np.arange(q)
     while len(live):
         rank = np.where(open_[live], score[live], -np.inf)
