@@ -5,6 +5,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -149,38 +150,53 @@ def test_colliding_short_hashes_are_told_apart(spark):
 
 
 # -- mixing ---------------------------------------------------------------------------------------------------
-def plain_cycle(quotas, cycle):
-    """Earliest deadline first among the released, slot by slot."""
-    done, run = [0] * len(quotas), []
-    for t in range(cycle):
-        ready = [(math.ceil((done[i] + 1) * cycle / q), i) for i, q in enumerate(quotas) if done[i] < q and done[i] * cycle // q <= t]
-        _, i = min(ready)
-        done[i] += 1
-        run.append((i, done[i]))
+def plain_schedule(parts, blocks):
+    """Earliest deadline first among the released, slot by slot, by exact fractions: (source, k, slot)."""
+    w = [Fraction(p, sum(parts)) for p in parts]
+    done, run, t = [0] * len(parts), [], 0
+    while any(d < b for d, b in zip(done, blocks)):
+        ready = [(math.ceil((done[i] + 1) / w[i]), i) for i in range(len(w)) if done[i] < blocks[i] and math.floor(done[i] / w[i]) <= t]
+        if ready:
+            deadline, i = min(ready)
+            assert t < deadline
+            done[i] += 1
+            run.append((i, done[i], t))
+        t += 1
     return run
 
 
-def test_cycle_equals_the_plain_schedule_and_deviates_less_than_a_block(spark):
-    sizes = spark.createDataFrame([("a", 500), ("b", 90), ("c", 33), (None, 7), ("d", 1)], "source string, n bigint")
-    quota = pfair.quotas(sizes, None, 0.7, 100)
-    q = {r["source"]: r["quota"] for r in quota.collect()}
-    assert sum(q.values()) == 100 and min(q.values()) >= 1
-    names = sorted(q, key=lambda s: (s is not None, s or ""))
-    got = [(r["source"], r["k"]) for r in pfair.cycle_schedule(quota).orderBy("slot").collect()]
-    assert got == [(names[i], k) for i, k in plain_cycle([q[n] for n in names], 100)]
-    count = Counter()
-    for t, (s, _) in enumerate(got, 1):
-        count[s] += 1
-        assert all(abs(count[n] - q[n] * t / 100) < 1 for n in names)
+@pytest.mark.parametrize("sizes", [[("a", 500), ("b", 90), ("c", 33), (None, 7), ("d", 1)], [("a", 8)], [(f"s{i}", 1 + i * i) for i in range(40)]])
+def test_schedule_equals_the_plain_one(spark, sizes):
+    shares = pfair.weighed(spark.createDataFrame(sizes, "source string, n bigint"), block_rows=3)
+    own = sorted(shares.collect(), key=lambda r: r["i"])
+    assert [r["source"] for r in own] == sorted((s for s, _ in sizes), key=lambda s: (s is not None, s or ""))
+    assert all(r["part"] == round(r["n"] ** 0.7 / sum(n**0.7 for _, n in sizes) * pfair.PARTS) and r["blocks"] == -(-r["n"] // 3) for r in own)
+    got = sorted(((r["i"], r["k"], r["slot"]) for r in pfair.schedule(shares).collect()), key=lambda x: x[2])
+    assert got == plain_schedule([r["part"] for r in own], [r["blocks"] for r in own])
+
+
+def test_less_than_a_block_from_the_weights_as_given(spark):
+    weights = {"a": 0.66626, "b": 0.33334, "c": 0.0004}
+    sizes = spark.createDataFrame([("a", 20_000), ("b", 10_008), ("c", 12)], "source string, n bigint")
+    shares = pfair.weighed(sizes, weights, block_rows=1)
+    name = {r["i"]: r["source"] for r in shares.collect()}
+    jobs = pfair.schedule(shares).orderBy("slot").collect()
+    count, held = Counter(), jobs[0]["horizon"]
+    assert held > 29_000
+    for t, r in enumerate(jobs[:held], 1):
+        assert r["slot"] == t - 1
+        count[name[r["i"]]] += 1
+        assert all(abs(count[s] - w * t) < 1 for s, w in weights.items())
 
 
 def test_mix_keeps_every_row_and_its_proportions(spark):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 7 == 0, None).otherwise(F.concat(F.lit("s"), (F.col("id") % 4).cast("string"))).alias("source"))
     weights = {"hot": 0.5, "s0": 0.2, "s1": 0.1, "s2": 0.1, "s3": 0.05}
-    rows = pfair.mix(docs, weights, block_rows=4, cycle=200).orderBy("_position").collect()
+    rows = pfair.mix(docs, weights, block_rows=4).orderBy("_position").collect()
     assert len(rows) == 3000 and len({r["_position"] for r in rows}) == 3000
     assert all(r["_release"] <= r["_slot"] < r["_deadline"] for r in rows)
-    quota = {r["source"]: r["quota"] for r in pfair.quotas(docs.groupBy("source").agg(F.count(F.lit(1)).alias("n")), weights, 0.7, 200).collect()}
+    share = {r["source"]: Fraction(r["part"], r["whole"]) for r in pfair.weighed(docs.groupBy("source").agg(F.count(F.lit(1)).alias("n")), weights).collect()}
+    assert share["hot"] / share["s0"] == pytest.approx(2.5, abs=1e-6) and share[None] == share["s3"]
     blocks = defaultdict(set)
     for r in rows:
         if r["_in_proportion"]:
@@ -190,7 +206,23 @@ def test_mix_keeps_every_row_and_its_proportions(spark):
     for t in range(len(blocks)):
         (source,) = blocks[t]
         count[source] += 1
-        assert all(abs(count[s] - quota[s] * (t + 1) / 200) < 1 for s in quota)
+        assert all(abs(count[s] - share[s] * (t + 1)) < 1 for s in share)
+
+
+def test_large_tables_have_larger_blocks(spark):
+    docs = spark.range(1000).select(F.col("id").alias("doc_id"), (F.col("id") % 3).cast("string").alias("source"))
+    rows = pfair.mix(docs, slots=20, block_rows=8).collect()
+    assert len({r["_slot"] for r in rows}) <= 23 and len({r["_position"] for r in rows}) == 1000
+    assert max(Counter(r["_slot"] for r in rows).values()) == 50
+
+
+def test_order_of_the_mix_is_read_back(spark, tmp_path):
+    docs = X.documents(spark)
+    path = str(tmp_path / "mixed")
+    pfair.mixed_documents(docs).write.option("maxRecordsPerFile", 17).parquet(path)
+    want = [r["doc_id"] for r in pfair.mix(docs).orderBy("_position").collect()]
+    got = pfair.written_position(spark.read.parquet(path), "place").orderBy("place").collect()
+    assert [r["doc_id"] for r in got] == want and [r["place"] for r in got] == list(range(len(want)))
 
 
 def test_mix_of_odd_rows(spark):

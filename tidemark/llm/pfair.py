@@ -1,16 +1,20 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Documents of a source are put into blocks of equal size, in an order that a hash decides. Block k of a source
-of weight w may run from slot floor((k - 1) / w) on and has to run by slot ceil(k / w). In every slot the
-released block with the earliest deadline runs. As the weights add up to one, no deadline is missed, and in
-every prefix no source is a whole block away from its share. Weights are held as parts of a cycle, so the
-schedule repeats: one cycle is worked out, whatever the number of documents, and blocks take their slots in
-it. A source that has run out leaves its slots empty; the others go on in proportion to their weights.
-Nothing is dropped and nothing repeated.
-
-DataFrame functions only. A source may hold any share of the rows: rows are numbered within hash ranges of a
-source, after the ranges have been counted. A null source is a source of its own. Rows repeated with the same
-doc_id take a place each. An empty table gives an empty result.
+Documents of a source are put into blocks of equal size, in an order that a hash decides. Weights are whole
+parts of their sum, which is about 10**9, so a weight w is an exact fraction. Block k of a source may run from
+slot floor((k - 1) / w) on and has to run by slot ceil(k / w). In every slot the released block with the earliest
+deadline runs. As the weights add up to one, no deadline is missed, and in every prefix no source is a whole block
+away from its share. A source that has run out leaves its slots empty; the others keep their windows. Nothing is
+dropped and nothing repeated.
+
+The schedule is made over blocks, not over rows: a block has ``BLOCK_ROWS`` rows or as many more as bring all rows
+into ``SLOTS`` blocks, so there are SLOTS + sources of them at most at any size of the table. One row makes it, as
+each slot depends on the one before it; its work is that of slots times sources (see the README for times). The
+rows themselves are numbered in parallel, within hash ranges of a source, after the ranges have been counted, so
+a source may hold any share of them; they meet their block's slot in a broadcast of that bounded schedule.
+
+DataFrame functions only. A null source is a source of its own. Rows repeated with the same doc_id take a place
+each. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,56 +23,63 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Documents of a block, slots of a cycle (at least twice the sources), hex digits that tell a source's hash ranges.
-BLOCK_ROWS, CYCLE, RANGE_DIGITS = 8, 1000, 3
+#: Rows of a block at least, blocks of a schedule at most (beside one for each source), hex digits of a hash range.
+BLOCK_ROWS, SLOTS, RANGE_DIGITS = 8, 32_768, 3
 TEMPERATURE = 0.7
+#: Parts that the weights are rounded to.
+PARTS = 1_000_000_000
 ADDED = ("_block", "_release", "_deadline", "_slot", "_position", "_in_proportion")
 
-
-def quotas(sizes: DataFrame, weights: dict[str, float] | None, temperature: float, cycle: int) -> DataFrame:
-    """source, quota, cycle: slots of each source in a cycle, at least one, the largest remainders rounded up.
-
-    Without ``weights`` a source weighs its count to the power ``temperature``; sources that ``weights``
-    leaves out weigh as much as the least of those named.
+# One step: time goes on to the first release if nothing is released; the released job with the earliest deadline
+# (then the first source) runs, and the source's next job takes its place, if it has one. Steps are made in runs of
+# 256, so that the list of what ran is seldom copied.
+_JOB = "named_struct('deadline', ((x.k + 1) * whole + x.part - 1) div x.part, 'i', x.i, 'release', (x.k * whole) div x.part, 'k', x.k + 1, 'part', x.part, 'blocks', x.blocks)"
+_NONE = "array_repeat(named_struct('i', 0, 'k', 0L, 'slot', 0L), 0)"
+_STEP = f"""
+  transform(array(greatest(a.t, array_min(transform(a.next, x -> x.release)))), t ->
+    transform(array(array_min(filter(a.next, x -> x.release <= t))), p -> named_struct(
+      't', t + 1,
+      'next', filter(transform(a.next, x -> if(x.i = p.i, {_JOB}, x)), x -> x.k <= x.blocks),
+      'run', concat(a.run, array(named_struct('i', p.i, 'k', p.k, 'slot', t)))))[0])[0]"""
+_RUN = f"""
+  aggregate(sequence(1, cast(ceil(total / 256) as int)), named_struct('t', 0L, 'next', jobs, 'run', {_NONE}), (all, _) ->
+    transform(array(aggregate(sequence(1, 256), named_struct('t', all.t, 'next', all.next, 'run', {_NONE}),
+      (a, _) -> if(size(a.next) = 0, a, {_STEP}))), r -> named_struct('t', r.t, 'next', r.next, 'run', concat(all.run, r.run)))[0]).run"""
+
+
+def weighed(sizes: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, block_rows: int = BLOCK_ROWS, slots: int = SLOTS) -> DataFrame:
+    """source, i, n, part, whole, block_rows, blocks, full: each source's share, part / whole, and its blocks.
+
+    Without ``weights`` a source weighs its count to the power ``temperature``; sources that ``weights`` leaves
+    out weigh as much as the least of those named. No part is less than one.
     """
     if weights:
-        least = min(weights.values())
-        given = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])
-        weight: Column = F.coalesce(F.element_at(given, F.col("source")), F.lit(float(least)))
+        given = F.create_map(*[F.lit(x) for name, w in weights.items() for x in (name, float(w))])
+        weight: Column = F.coalesce(F.element_at(given, F.col("source")), F.lit(float(min(weights.values()))))
     else:
         weight = F.pow(F.col("n").cast("double"), F.lit(temperature))
-    everything = Window.partitionBy(F.lit(0))
-    shared = sizes.withColumn("w", weight).withColumn("cycle", F.greatest(F.lit(cycle), 2 * F.count(F.lit(1)).over(everything)).cast("int"))
-    # one slot each first, the rest by weight
-    exact = F.col("w") / F.sum("w").over(everything) * (F.col("cycle") - F.count(F.lit(1)).over(everything))
-    parted = shared.withColumn("exact", exact).withColumn("whole", F.floor("exact"))
-    by_rest = Window.partitionBy(F.lit(0)).orderBy(F.desc(F.col("exact") - F.col("whole")), F.col("source").asc_nulls_first())
-    left = F.col("cycle") - F.count(F.lit(1)).over(everything) - F.sum("whole").over(everything)
-    extra = (F.row_number().over(by_rest) <= left).cast("int")
-    return parted.select("source", "n", "cycle", (1 + F.col("whole") + extra).cast("int").alias("quota"))
-
-
-def cycle_schedule(quota: DataFrame) -> DataFrame:
-    """source, quota, cycle, k, slot (from 0): one cycle by earliest deadline among the released blocks."""
-    one = quota.groupBy("cycle").agg(F.sort_array(F.collect_list(F.struct("source", "quota"))).alias("q"))
-    # acc.done: blocks of each source so far; acc.run: what ran in each slot
-    best = """
-      array_min(filter(
-        transform(q, (x, i) -> if(acc.done[i] < x.quota and floor(acc.done[i] * cycle / x.quota) < t,
-                                  struct(ceil((acc.done[i] + 1) * cycle / x.quota) as deadline, i as i), null)),
-        c -> c is not null))"""
-    run = F.expr(f"""
-      aggregate(sequence(1, cycle),
-        struct(transform(q, x -> 0) as done, array_repeat(struct(0 as i, 0 as k), 0) as run),
-        (acc, t) -> transform(array({best}), b -> struct(
-            transform(acc.done, (d, i) -> if(i = b.i, d + 1, d)) as done,
-            concat(acc.run, array(struct(b.i as i, acc.done[b.i] + 1 as k))) as run))[0]
-      ).run""")
-    placed = one.select("cycle", "q", F.posexplode(run).alias("slot", "job"))
-    return placed.select(F.col("q")[F.col("job.i")]["source"].alias("source"), F.col("q")[F.col("job.i")]["quota"].alias("quota"), "cycle", F.col("job.k").alias("k"), "slot")
-
-
-def _placed(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, block_rows: int = BLOCK_ROWS, cycle: int = CYCLE, seed: int = 17, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    listed = sizes.groupBy().agg(F.sort_array(F.collect_list(F.struct("source", "n", weight.alias("w")))).alias("q"), F.sum("n").alias("rows"))
+    each = listed.where("rows > 0").select("rows", F.expr("aggregate(q, 0D, (s, x) -> s + x.w)").alias("sum_w"), F.posexplode("q").alias("i", "x"))
+    parts = each.select("rows", "x.source", "x.n", "i", F.greatest(F.lit(1), F.round(F.col("x.w") / F.col("sum_w") * PARTS)).cast("bigint").alias("part"))
+    whole = parts.groupBy("rows").agg(F.sum("part").alias("whole"))
+    rows = F.greatest(F.lit(block_rows), F.ceil(F.col("rows") / F.lit(slots))).cast("bigint")
+    shared = parts.join(whole, "rows").withColumn("block_rows", rows)
+    return shared.select("source", "i", "n", "part", "whole", "block_rows", F.ceil(F.col("n") / F.col("block_rows")).cast("bigint").alias("blocks"), F.floor(F.col("n") / F.col("block_rows")).cast("bigint").alias("full"))
+
+
+def schedule(shares: DataFrame) -> DataFrame:
+    """i, k, slot, horizon: where each block runs, and the slot up to which every source had a full block to give."""
+    one = shares.groupBy("whole").agg(
+        F.sort_array(F.collect_list(F.struct(
+            F.expr("(whole + part - 1) div part").alias("deadline"), "i", F.lit(0).cast("bigint").alias("release"), F.lit(1).cast("bigint").alias("k"), "part", "blocks"
+        ))).alias("jobs"),
+        F.sum("blocks").alias("total"),
+        F.min(F.expr("(full * whole) div part")).alias("horizon"),
+    )
+    return one.select("horizon", F.expr(f"explode({_RUN})").alias("job")).select("job.i", "job.k", "job.slot", "horizon")
+
+
+def _placed(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, block_rows: int = BLOCK_ROWS, slots: int = SLOTS, seed: int = 17, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """Each row as the struct ``_row``, with its place in the schedule."""
     # the row travels as one struct, so its columns never meet the names used here
     picked = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"))
@@ -77,45 +88,46 @@ def _placed(docs: DataFrame, weights: dict[str, float] | None = None, temperatur
     rows = rows.withColumn("_bucket", F.concat(F.coalesce(F.hex("_source"), F.lit("-")), F.lit(":"), "_range"))
     counts = rows.groupBy("_bucket", "_source", "_range").agg(F.count(F.lit(1)).alias("_n"))
     sizes = counts.groupBy(F.col("_source").alias("source")).agg(F.sum("_n").alias("n"))
-    quota = quotas(sizes, weights, temperature, cycle)
-    # one row a source: the slots of its blocks in a cycle, in order
-    slots = F.transform(F.sort_array(F.collect_list(F.struct("k", "slot"))), lambda x: x["slot"])
-    plan = cycle_schedule(quota).groupBy(F.col("source").alias("_p_source"), F.col("quota").alias("_quota"), F.col("cycle").alias("_cycle")).agg(slots.alias("_slots"))
-    # the slot of each source's first block that isn't full ends the stretch in proportion
-    full = F.floor(F.col("n") / block_rows)
-    first = F.element_at("_slots", (full % F.col("_quota") + 1).cast("int")) + F.floor(full / F.col("_quota")) * F.col("_cycle")
-    ends = sizes.join(plan, F.col("source").eqNullSafe(F.col("_p_source"))).groupBy(F.col("_cycle").alias("c")).agg(F.min(first).alias("_horizon"))
-    plan = plan.join(ends, F.col("_cycle") == F.col("c"))
-    # all that a row needs to know stands with its bucket: the rows before it, and its source's part of the schedule
+    shares = weighed(sizes, weights, temperature, block_rows, slots)
+    plan = schedule(shares).select(F.col("i").alias("_i"), (F.col("k") - 1).alias("_block"), F.col("slot").alias("_slot"), F.col("horizon").alias("_horizon"))
+    # what a row has to know stands with its bucket: the rows before it, and its source's share
     before = Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    offsets = offsets.join(plan, F.col("_source").eqNullSafe(F.col("_p_source"))).select("_bucket", "_before", "_quota", "_cycle", "_slots", "_horizon")
+    own = shares.select(F.col("source").alias("_s"), F.col("i").alias("_i"), F.col("part").alias("_part"), F.col("whole").alias("_whole"), F.col("block_rows").alias("_per"))
+    offsets = offsets.join(own, F.col("_source").eqNullSafe(F.col("_s"))).select("_bucket", "_before", "_i", "_part", "_whole", "_per")
     numbered = rows.select("_row", "_id", "_hash", "_bucket").withColumn("_rn", F.row_number().over(Window.partitionBy("_bucket").orderBy("_hash", "_id")))
-    joined = numbered.join(offsets, "_bucket").withColumn("_number", F.col("_before") + F.col("_rn") - 1).withColumn("_block", F.floor(F.col("_number") / block_rows))
-    k = (F.col("_block") % F.col("_quota") + 1).cast("int")
-    start = F.floor(F.col("_block") / F.col("_quota")) * F.col("_cycle")
-    slot = start + F.element_at("_slots", k)
-    return joined.select(
-        "_row",
-        F.col("_block").cast("bigint").alias("_block"),
-        (start + F.floor((k - 1) * F.col("_cycle") / F.col("_quota"))).cast("bigint").alias("_release"),
-        (start + F.ceil(k * F.col("_cycle") / F.col("_quota"))).cast("bigint").alias("_deadline"),
-        slot.cast("bigint").alias("_slot"),
-        (slot * block_rows + F.col("_number") % block_rows).cast("bigint").alias("_position"),
-        (slot < F.col("_horizon")).alias("_in_proportion"),
+    joined = numbered.join(offsets, "_bucket").withColumn("_number", F.col("_before") + F.col("_rn") - 1).withColumn("_block", F.expr("_number div _per"))
+    # SLOTS and a row for each source at most
+    met = joined.join(F.broadcast(plan), ["_i", "_block"])
+    return met.select(
+        "_row", "_block", F.expr("(_block * _whole) div _part").alias("_release"), F.expr("((_block + 1) * _whole + _part - 1) div _part").alias("_deadline"),
+        "_slot", F.expr("_slot * _per + _number % _per").alias("_position"), (F.col("_slot") < F.col("_horizon")).alias("_in_proportion"),
     )
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, **options) -> DataFrame:
     """The rows of ``docs`` with ``_block, _release, _deadline, _slot, _position, _in_proportion`` added.
 
-    ``_position`` orders the mix. ``_in_proportion`` holds up to the slot in which the first source runs out.
-    Columns of the same names in ``docs`` are replaced. Without ``weights`` by source, ``temperature`` decides;
-    further options: ``block_rows``, ``cycle``, ``seed``, ``id_col`` and ``source_col``.
+    ``_position`` orders the mix. ``_in_proportion`` holds up to the slot in which the first source would release a
+    block that it can't fill. Columns of the same names in ``docs`` are replaced. Without ``weights`` by source,
+    ``temperature`` decides; further options: ``block_rows``, ``slots``, ``seed``, ``id_col`` and ``source_col``.
     """
     return _placed(docs, weights, **options).select(*[F.col(f"_row.`{c}`") for c in docs.columns if c not in ADDED], *ADDED)
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents, all of them once and as they were, in the order of the mix."""
+    """The documents, all of them once and as they were, in the order of the mix; ``written_position`` reads it back."""
     return _placed(docs, **options).orderBy("_position").select("_row.*")
+
+
+def written_position(docs: DataFrame, name: str = "position") -> DataFrame:
+    """``docs``, read from files that hold a sorted result, with each row's place in it as ``name``, from 0 without gaps.
+
+    Spark gives the files of a sorted result numbers in its order, but reads them in any. The place is the row's in
+    its file, beyond those of the files before: one count for each file is broadcast.
+    """
+    at = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    counts = at.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(F.lit(0)).orderBy(F.element_at(F.split("_file", "/"), -1)).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_file", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    return at.join(F.broadcast(starts), "_file").select(*docs.columns, (F.col("_start") + F.col("_at")).alias(name))

@@ -66,25 +66,22 @@ def oracle_sql() -> dict[str, str]:
         "op8_mixing": """
             WITH RECURSIVE d AS (SELECT doc_id, source, md5(concat_ws(':', CAST(doc_id AS VARCHAR), '17')) AS h FROM documents),
             numbered AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY h, doc_id) - 1 AS num FROM d),
-            sizes AS (SELECT source, count(*) AS n FROM d GROUP BY source),
-            w AS (SELECT *, pow(n, 0.7) AS w, greatest(1000, 2 * count(*) OVER ()) AS cycle, count(*) OVER () AS c FROM sizes),
-            e AS (SELECT *, w / sum(w) OVER () * (cycle - c) AS exact FROM w),
-            f AS (SELECT *, floor(exact) AS whole FROM e),
-            quota AS (SELECT source, n, cycle, CAST(1 + whole + CASE WHEN row_number() OVER (ORDER BY exact - whole DESC, source NULLS FIRST) <= cycle - c - sum(whole) OVER () THEN 1 ELSE 0 END AS BIGINT) AS quota FROM f),
-            q AS (SELECT cycle, list(source ORDER BY source NULLS FIRST) AS s, list(quota ORDER BY source NULLS FIRST) AS q FROM quota GROUP BY cycle),
-            run(t, done, pick) AS (
-              SELECT CAST(0 AS BIGINT), list_transform(q, lambda x: CAST(0 AS BIGINT)), CAST(0 AS BIGINT) FROM q
+            sizes AS (SELECT source, count(*) AS n, pow(count(*), 0.7) AS w FROM d GROUP BY source),
+            parts AS (SELECT source, n, CAST(greatest(1, round(w / sum(w) OVER () * 1000000000)) AS BIGINT) AS part, greatest(8, CAST(ceil(sum(n) OVER () / 32768) AS BIGINT)) AS per FROM sizes),
+            src AS (SELECT *, CAST(sum(part) OVER () AS BIGINT) AS whole, row_number() OVER (ORDER BY source NULLS FIRST) AS i FROM parts),
+            q AS (SELECT list(part ORDER BY i) AS a, list(CAST(ceil(n / per) AS BIGINT) ORDER BY i) AS b, max(whole) AS whole, sum(CAST(ceil(n / per) AS BIGINT)) AS total, min((n // per) * whole // part) AS horizon FROM src),
+            run(step, t, done, pick) AS (
+              SELECT 0, CAST(0 AS BIGINT), list_transform(a, lambda x: CAST(0 AS BIGINT)), CAST(0 AS BIGINT) FROM q
               UNION ALL
-              SELECT t + 1, list_transform(done, lambda x, i: CASE WHEN i = b THEN x + 1 ELSE x END), b FROM (
-                SELECT r.t, r.done, list_min(list_filter(list_transform(range(1, len(q.q) + 1), lambda i:
-                  CASE WHEN r.done[i] < q.q[i] AND floor(r.done[i] * q.cycle / q.q[i]) <= r.t THEN CAST(ceil((r.done[i] + 1) * q.cycle / q.q[i]) AS BIGINT) * 1000000 + i END), lambda x: x IS NOT NULL)) % 1000000 AS b
-                FROM run r, q WHERE r.t < q.cycle)),
-            plan AS (SELECT q.s[pick] AS source, done[pick] AS k, t - 1 AS slot, q.q[pick] AS quota, cycle FROM run, q WHERE t > 0),
-            horizon AS (SELECT min(p.slot + (s.n // 8) // p.quota * p.cycle) AS horizon FROM sizes s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source AND p.k = (s.n // 8) % p.quota + 1),
-            placed AS (SELECT doc_id, n.source, num // 8 AS block, num % 8 AS place, k, slot, quota, cycle, (num // 8) // quota * cycle AS start
-              FROM numbered n JOIN plan p ON n.source IS NOT DISTINCT FROM p.source AND p.k = (num // 8) % p.quota + 1)
-            SELECT doc_id, source, CAST(block AS BIGINT) AS block, CAST(start + floor((k - 1) * cycle / quota) AS BIGINT) AS release_slot, CAST(start + ceil(k * cycle / quota) AS BIGINT) AS deadline_slot,
-              CAST(start + slot AS BIGINT) AS slot, CAST((start + slot) * 8 + place AS BIGINT) AS position, start + slot < horizon AS in_proportion
-            FROM placed, horizon
+              SELECT step + 1, u + 1, list_transform(done, lambda x, j: CASE WHEN j = p THEN x + 1 ELSE x END), p FROM (
+                SELECT step, u, done, list_min(list_filter(list_transform(range(1, len(a) + 1), lambda j:
+                  CASE WHEN done[j] < b[j] AND done[j] * whole // a[j] <= u THEN ((done[j] + 1) * whole + a[j] - 1) // a[j] * 1000000 + j END), lambda x: x IS NOT NULL)) % 1000000 AS p
+                FROM (SELECT step, done, a, b, whole, greatest(t, list_min(list_filter(list_transform(range(1, len(a) + 1), lambda j: CASE WHEN done[j] < b[j] THEN done[j] * whole // a[j] END), lambda x: x IS NOT NULL))) AS u
+                  FROM run, q WHERE step < total))),
+            plan AS (SELECT pick AS i, done[pick] - 1 AS block, t - 1 AS slot FROM run WHERE step > 0),
+            blocks AS (SELECT doc_id, n.source, num // per AS block, num % per AS place, i, part, whole, per FROM numbered n JOIN src s ON n.source IS NOT DISTINCT FROM s.source)
+            SELECT doc_id, source, CAST(block AS BIGINT) AS block, CAST(block * whole // part AS BIGINT) AS release_slot, CAST(((block + 1) * whole + part - 1) // part AS BIGINT) AS deadline_slot,
+              CAST(slot AS BIGINT) AS slot, CAST(slot * per + place AS BIGINT) AS position, slot < (SELECT horizon FROM q) AS in_proportion
+            FROM blocks JOIN plan USING (i, block)
         """,
     }
