@@ -4,6 +4,7 @@ import hashlib
 import json
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -25,18 +26,61 @@ def library():
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.sampled_from(ALPHABET), max_size=60).map("".join), st.sampled_from([4, 16, 8192]))
-def test_tree_codec_equals_the_library(library, text, leaf):
+@given(st.lists(st.sampled_from(ALPHABET), max_size=60).map("".join))
+def test_tree_codec_equals_the_library(library, text):
     tree = bpe_codec.codec(*bpe_codec.default_vocabulary())
-    ids = np.frombuffer(tree.encode(text, leaf), "<u4").tolist()
+    ids = np.frombuffer(tree.encode(text), "<u4").tolist()
     assert ids == library.encode_ordinary(text)
-    assert tree.decode(ids, 3) == text.encode()
+    assert tree.decode(ids) == text.encode()
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="abcdeht nir", min_size=1, max_size=40), st.integers(1, 39))
+def test_joins_are_associative(text, cut):
+    tree = bpe_codec.codec(*bpe_codec.default_vocabulary())
+    data, cut = text.encode(), min(cut, len(text))
+    whole = tree.merged(data)
+    assert tree.halves(data) == whole
+    assert cut == len(data) or tree.join(tree.halves(data[:cut]), tree.halves(data[cut:])) == whole
+
+
+def test_every_match_is_built_by_joins_from_its_bytes():
+    class Counted(bpe_codec.TreeCodec):
+        def join(self, left, right):
+            joined = super().join(left, right)
+            joins.append(b"".join(self.bytes_of[t] for t in joined))
+            return joined
+
+    path, pattern = bpe_codec.default_vocabulary()
+    ranks = bpe_codec.read_ranks(path)
+    for text in ("antidisestablishmentarianismo", "é" * 40, "x" * 9, "qzjxkv", "-=-=~~-" * 30):
+        joins = []
+        tree = Counted(ranks, pattern)
+        for match in tree.find(text):
+            before = len(joins)
+            tree.encode(match)
+            data = match.encode()
+            # the last join gives the match; there is one at least on each level (equal parts are remembered)
+            assert data in ranks or (joins[-1] == data and len(joins) - before >= (len(data) - 1).bit_length())
+
+
+def test_a_long_run_takes_time_in_proportion():
+    tree = bpe_codec.codec(*bpe_codec.default_vocabulary())
+    tree.encode("a" * 1000)
+
+    def seconds(n):
+        began = time.perf_counter()
+        tree.encode("a" * n + "b")
+        return time.perf_counter() - began
+
+    assert seconds(400_000) < 12 * max(seconds(100_000), 0.005)
 
 
-@pytest.mark.parametrize("text", ["ab" * 20_000, "a" * 30_001, " " * 9_000, "ab \n" * 9_000, "\n" * 500 + "x", "é" * 9_000])
+@pytest.mark.parametrize("text", ["ab" * 20_000, "a" * 30_001, " " * 9_000, "ab \n" * 9_000, "\n" * 500 + "x", "é" * 9_000, "abc" * 7_001 + "a" * 999, "=-" * 5_001])
 def test_tree_codec_on_long_runs(library, text):
     tree = bpe_codec.codec(*bpe_codec.default_vocabulary())
-    assert np.frombuffer(tree.encode(text), "<u4").tolist() == library.encode_ordinary(text)
+    ids = np.frombuffer(tree.encode(text), "<u4").tolist()
+    assert ids == library.encode_ordinary(text) and tree.decode(ids) == text.encode()
 
 
 def test_bpe_query(spark, library):

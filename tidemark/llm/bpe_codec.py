@@ -1,165 +1,149 @@
 """Byte-level BPE by monoid tree reduction.
 
-A text is encoded by halving it recursively. Neighbouring halves are joined by encoding a window around
-their boundary anew; the window grows until the tokens outside it provably stay as they are. Two proofs
-are used, one for each level:
-
-* Between a character that is not white space and one that is, every match of the pattern ends. What
-  stands on either side of such a cut is therefore encoded independently of the other side.
-* Inside one match, a sequence of tokens is the encoding of its bytes if every adjacent pair of tokens
-  is the encoding of the pair's own bytes. So a window is wide enough when its first and last token
-  form such pairs with their neighbours outside.
-
-Decoding concatenates the bytes of tokens up the same kind of tree.
-
-Null and empty texts give no tokens (both hashes are those of the empty string); repeated rows are
-encoded each for itself; an empty table gives an empty table.
+A text falls into matches of the pattern, which are encoded independently: between two of them no window is
+needed. A match is reduced from its single bytes. Its bytes are halved recursively, the left part being the largest
+power of two that leaves a right one, so that runs of a repeated character stay aligned; the parts' tokens are
+joined by encoding a window around their boundary anew, one token on either side at first, then twice as many on
+the side that needs it, until the tokens outside provably stay as they are: a sequence of tokens is the encoding of
+its bytes if every adjacent pair of tokens is the encoding of the pair's own bytes, so a window is wide enough when
+its first and last token form such pairs with their neighbours outside. No window has a largest size. A match that
+is a token as a whole is that token, as in the library. The matches' tokens are then concatenated up a tree to the
+text's. Results are remembered for short parts, pairs of tokens and matches, since words recur; a full memory is
+emptied.
+
+Decoding concatenates the bytes of tokens pair by pair up the same kind of tree.
+
+Null and empty texts give no tokens (both hashes are those of the empty string); repeated rows are encoded each for
+itself; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
+import sys
+from array import array
 from functools import lru_cache
-from itertools import pairwise
 
 import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
 from tidemark.llm.common import map_texts
-from tidemark.llm.pair_heap import merge_symbols
 
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-#: Texts up to so many characters, and matches up to so many bytes, are leaves of the tree.
-TEXT_LEAF = 8192
-MATCH_LEAF = 24
-#: Distinct matches remembered by a Python worker; a full memory is emptied.
-REMEMBERED = 250_000
-NONE = 1 << 30
-#: A match whose windows grow beyond so many tokens on a side (one letter many thousand times over) is one leaf.
-WIDEST = 32
-
+#: Entries of each memory of a Python worker, and the longest part and match that are remembered.
+REMEMBERED, PART_BYTES, MATCH_CHARS = 250_000, 8, 64
+#: Neighbours concatenated at once where no window is needed.
+FAN = 32
+LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 
-class _Unstable(Exception):
-    """A boundary whose window reached too far."""
+Tokens = tuple[int, ...]
 
 
 class _Remembered(dict):
-    """Match -> its ids as little-endian unsigned 32-bit integers."""
+    """Key -> what ``make`` gives for it."""
 
-    def __init__(self, codec: TreeCodec):
-        self.codec = codec
+    def __init__(self, make):
+        self.make = make
 
-    def __missing__(self, match: str) -> bytes:
-        found = np.asarray(self.codec.encode_match(match.encode("utf-8", "surrogatepass")), "<u4").tobytes()
+    def __missing__(self, key):
+        found = self.make(key)
         if len(self) >= REMEMBERED:
             self.clear()
-        if len(match) <= 64:
-            self[match] = found
+        self[key] = found
         return found
 
 
+class _Matches(_Remembered):
+    """Match -> its ids as little-endian unsigned 32-bit integers; long ones are not kept."""
+
+    def __missing__(self, match: str) -> bytes:
+        return super().__missing__(match) if len(match) <= MATCH_CHARS else self.make(match)
+
+
+def reduced(parts: list[bytes], fan: int = FAN) -> bytes:
+    """Neighbours concatenated, ``fan`` at a time, level by level."""
+    while len(parts) > 1:
+        parts = [b"".join(parts[i : i + fan]) for i in range(0, len(parts), fan)]
+    return parts[0] if parts else b""
+
+
 class TreeCodec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.find = regex.compile(pattern).findall
-        self.cut = regex.compile(r"(?<=\S)(?=\s)")
         self.bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
-        self.known = _Remembered(self)
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.matches = _Matches(lambda m: self.pack(self.encode_match(m.encode("utf-8", "surrogatepass"))))
+        self.windows = _Remembered(lambda tokens: self.merged(b"".join(map(self.bytes_of.__getitem__, tokens))))
+        self.parts = _Remembered(self.halves)
+
+    @staticmethod
+    def pack(ids: Tokens) -> bytes:
+        return array("I", ids).tobytes() if LITTLE else np.asarray(ids, "<u4").tobytes()
 
     # -- inside one match ---------------------------------------------------------------------
-    def merge(self, data: bytes) -> list[int]:
-        """Encode a leaf or a window: merge the adjacent pair of lowest rank until none is left."""
-        rank = self.ranks.get
-        if (whole := rank(data)) is not None:
-            return [whole]
-        parts = [data[i : i + 1] for i in range(len(data))]
-        if len(parts) > 96:
-            return [self.ranks[p] for p in merge_symbols(parts, lambda pair: rank(pair[0] + pair[1]))]
-        score = [rank(a + b, NONE) for a, b in pairwise(parts)]
-        while score and (least := min(score)) < NONE:
-            i = score.index(least)
-            parts[i] += parts.pop(i + 1)
-            score.pop(i)
-            if i < len(score):
-                score[i] = rank(parts[i] + parts[i + 1], NONE)
-            if i:
-                score[i - 1] = rank(parts[i - 1] + parts[i], NONE)
-        return [self.ranks[p] for p in parts]
-
-    def stable(self, left: int, right: int) -> bool:
-        """True if the two tokens side by side are the encoding of their bytes."""
-        key = (left, right)
-        if (known := self.pairs.get(key)) is None:
-            known = self.merge(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
-            if len(self.pairs) >= REMEMBERED:
-                self.pairs.clear()
-            self.pairs[key] = known
-        return known
-
-    def join_matches(self, left: list[int], right: list[int]) -> list[int]:
-        if not left or not right:
-            return left + right
-        if self.stable(left[-1], right[0]):
-            return left + right
+    def merged(self, data: bytes) -> Tokens:
+        """The bytes of a window encoded anew: the adjacent pair of lowest rank is merged until none is left."""
+        rank = self.ranks
+        n = len(data)
+        end = list(range(1, n + 1))  # where the symbol that begins here ends; 0 once it is merged away
+        start = list(range(-1, n))  # where the symbol that ends here begins
+        heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank.get(data[i : i + 2])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, i, k = heapq.heappop(heap)
+            j = end[i]
+            if not j or j >= k or end[j] != k:
+                continue  # one of the two has been merged since
+            end[i], end[j], start[k] = k, 0, i
+            if k < n and (r := rank.get(data[i : end[k]])) is not None:
+                heapq.heappush(heap, (r, i, end[k]))
+            if i and (r := rank.get(data[(h := start[i]) : k])) is not None:
+                heapq.heappush(heap, (r, h, k))
+        found, i = [], 0
+        while i < n:
+            found.append(rank[data[i : end[i]]])
+            i = end[i]
+        return tuple(found)
+
+    def join(self, left: Tokens, right: Tokens) -> Tokens:
+        """The tokens of two neighbouring parts as one sequence."""
+        windows = self.windows
+        window = windows[left[-1], right[0]]
         a = b = 1
         while True:
-            if max(a, b) > WIDEST:
-                raise _Unstable
-            window = self.merge(b"".join(self.bytes_of[t] for t in left[-a:] + right[:b]))
-            left_ok = a >= len(left) or self.stable(left[-a - 1], window[0])
-            right_ok = b >= len(right) or self.stable(window[-1], right[b])
-            if left_ok and right_ok:
+            grow_a = a < len(left) and windows[key := (left[-a - 1], window[0])] != key
+            grow_b = b < len(right) and windows[key := (window[-1], right[b])] != key
+            if not grow_a and not grow_b:
                 return left[:-a] + window + right[b:]
-            a = a if left_ok else min(2 * a, len(left))
-            b = b if right_ok else min(2 * b, len(right))
-
-    def halves(self, data: bytes) -> list[int]:
-        if len(data) <= MATCH_LEAF:
-            return self.merge(data) if data else []
-        half = len(data) // 2
-        return self.join_matches(self.halves(data[:half]), self.halves(data[half:]))
-
-    def encode_match(self, data: bytes) -> list[int]:
-        if (whole := self.ranks.get(data)) is not None:
-            return [whole]
-        try:
-            return self.halves(data)
-        except _Unstable:
-            return self.merge(data)
+            if grow_a:
+                a = min(2 * a, len(left))
+            if grow_b:
+                b = min(2 * b, len(right))
+            window = windows.make(left[-a:] + right[:b])
+
+    def halves(self, data: bytes) -> Tokens:
+        n = len(data)
+        if n == 1:
+            return (self.ranks[data],)
+        half = 1 << (n - 1).bit_length() - 1
+        tree = self.parts.__getitem__ if n <= 2 * PART_BYTES else self.halves
+        return self.join(tree(data[:half]), tree(data[half:]))
+
+    def encode_match(self, data: bytes) -> Tokens:
+        whole = self.ranks.get(data)
+        return self.halves(data) if whole is None else (whole,)
 
     # -- over whole texts; ids are kept as bytes, four to a token -----------------------------------
-    def leaf(self, text: str) -> bytes:
-        return b"".join(map(self.known.__getitem__, self.find(text)))
-
-    def encode(self, text: str, leaf: int = TEXT_LEAF) -> bytes:
-        if len(text) <= leaf:
-            return self.leaf(text)
-        half = len(text) // 2
-        left, right = self.encode(text[:half], leaf), self.encode(text[half:], leaf)
-        reach, start, end = 32, None, None
-        while start is None or end is None:
-            reach *= 2
-            if start is None:
-                low = max(0, half - reach)
-                cuts = [m.start() for m in self.cut.finditer(text, low, half)]
-                start = cuts[-1] if cuts else 0 if not low else None
-            if end is None:
-                high = min(len(text), half + reach)
-                m = self.cut.search(text, half + 1, high)
-                end = m.start() if m else len(text) if high == len(text) else None
-        drop_left, drop_right = len(self.leaf(text[start:half])), len(self.leaf(text[half:end]))
-        return left[: len(left) - drop_left] + self.leaf(text[start:end]) + right[drop_right:]
-
-    def decode(self, ids: list[int], leaf: int = 4096) -> bytes:
-        if len(ids) <= leaf:
-            return b"".join(map(self.bytes_of.__getitem__, ids))
-        half = len(ids) // 2
-        return self.decode(ids[:half], leaf) + self.decode(ids[half:], leaf)
+    def encode(self, text: str) -> bytes:
+        return reduced(list(map(self.matches.__getitem__, self.find(text))))
+
+    def decode(self, ids: list[int]) -> bytes:
+        return reduced(list(map(self.bytes_of.__getitem__, ids)))
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
