@@ -66,6 +66,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 # -- the random field -----------------------------------------------------------------------------------
 LABELS = ["O"] + [f"{p}-{k}" for k in KINDS for p in "BI"]
 PIECE = re.compile(r"[^\W\d_]+|[0-9]+|\s|.", re.DOTALL)
+LETTER, DIGIT = re.compile(r"[^\W\d_]").match, re.compile(r"[0-9]").match
 WIDTH = 1 << 12
 #: Steps whose scores are held at once, and cells (sequences times steps) decoded together; a longer sequence is alone.
 STEPS, CELLS = 512, 1 << 17
@@ -289,7 +290,21 @@ def stretches(text: str) -> list[tuple[int, int]]:
             found.append([start, end])
         done = end
         hit = TRIGGER.search(text, end)
-    return [(a, b) for a, b in found]  # up to 12 characters around them are read as context
+    return [(a, b) for a, b in found]
+
+
+def context(text: str, start: int, end: int) -> tuple[int, int]:
+    """The stretch with the two whole pieces on either side of it, which is as far as its features look."""
+    for _ in range(2):
+        if end < len(text):
+            end = PIECE.match(text, end).end()
+        if start:
+            start -= 1
+            for alike in (LETTER, DIGIT):
+                if alike(text[start]):
+                    while start and alike(text[start - 1]):
+                        start -= 1
+    return start, end
 
 
 def plausible(kind: str, text: str) -> bool:
@@ -305,17 +320,30 @@ def plausible(kind: str, text: str) -> bool:
     return 10 <= n <= 15 and re.fullmatch(r"[(+0-9][0-9().+\x20-]*[0-9]", text) is not None
 
 
+class Taken:
+    """Whether spans asked for in order of their starts, apart from each other, meet any of those given."""
+
+    def __init__(self, spans: list[tuple[str, int, int]]):
+        self.spans, self.at, self.reach = sorted((a, b) for _, a, b in spans), 0, 0
+
+    def meets(self, a: int, b: int) -> bool:
+        while self.at < len(self.spans) and self.spans[self.at][0] < b:
+            self.reach = max(self.reach, self.spans[self.at][1])
+            self.at += 1
+        return self.reach > a
+
+
 def added_spans(texts: list[str], bases: list[list[tuple[str, int, int]]], model: tuple[np.ndarray, np.ndarray]) -> list[list[tuple[str, int, int]]]:
     """What the field adds to each text, decoded over all stretches of the batch at once."""
     places, batch, cells = [], [], []
     for i, text in enumerate(texts):
         for a, b in stretches(text):
-            low = max(text.rfind(" ", max(0, a - 13), max(0, a - 1)) + 1, a - 12, 0)
-            pieces = [(m.start(), m.end(), m.group()) for m in PIECE.finditer(text, low, min(len(text), b + 12))]
+            pieces = [(m.start(), m.end(), m.group()) for m in PIECE.finditer(text, *context(text, a, b))]
             places.append(i)
             cells.append(pieces)
             batch.append(features([p[2] for p in pieces]))
     added: list[list[tuple[str, int, int]]] = [[] for _ in texts]
+    taken = [Taken(spans) for spans in bases]
     for i, part, labels in zip(places, cells, viterbi(batch, *model) if batch else [], strict=True):
         t = 0
         while t < len(part):
@@ -326,8 +354,9 @@ def added_spans(texts: list[str], bases: list[list[tuple[str, int, int]]], model
             while end < len(part) and LABELS[labels[end]] == f"I-{kind}":
                 end += 1
             a, b = part[t][0], part[end - 1][1]
-            taken = [*bases[i], *added[i]]
-            if plausible(kind, texts[i][a:b]) and all(b <= x or a >= y for _, x, y in taken):
+            # two stretches may share the pieces between them, but not a span
+            last = added[i][-1][2] if added[i] else 0
+            if a >= last and plausible(kind, texts[i][a:b]) and not taken[i].meets(a, b):
                 added[i].append((kind, a, b))
             t = end
     return added

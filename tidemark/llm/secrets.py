@@ -114,12 +114,17 @@ def surroundings(text: str, a: int, b: int) -> tuple[str, str]:
 
 def novel_spans(text: str, taken: list[tuple[str, int, int]], threshold: float = NOVEL) -> list[tuple[str, int, int]]:
     found = []
+    taken, at, reach = sorted((a, b) for _, a, b in taken), 0, 0
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
         run = m.group()
+        # candidates come in order: of the spans that begin before its end, does the furthest reach into it?
+        while at < len(taken) and taken[at][0] < b:
+            reach = max(reach, taken[at][1])
+            at += 1
         if not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run) or len(set(run)) < 10:
             continue
-        if not sensitive(text, a) or any(a < y and b > x for _, x, y in taken):
+        if reach > a or not sensitive(text, a):
             continue
         before, after = surroundings(text, a, b)
         press = compressor(before, after)
