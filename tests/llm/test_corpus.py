@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
@@ -308,6 +309,21 @@ def test_segments_equal_their_definition():
         assert got == sorted((a, b, round(s, 6)) for a, b, s in plain_segments(scores))
 
 
+def test_segments_take_time_in_proportion_to_hits():
+    rng = np.random.default_rng(5)
+
+    def seconds(n, gap):
+        hits = [(i * gap, 3.0 + w) for i, w in enumerate(rng.random(n).tolist())]
+        began = time.perf_counter()
+        found = toxic_segments.segments(hits, n * gap)
+        assert (len(found) == n) == (gap == 300)
+        return time.perf_counter() - began
+
+    for gap in (10, 300):
+        seconds(100, gap)
+        assert seconds(40_000, gap) < 10 * max(seconds(10_000, gap), 0.002)
+
+
 def toxic_corpus(spark, n=1200):
     rng = np.random.default_rng(1)
     clean, bad = [f"word{chr(97 + i)}{chr(97 + j)}" for i in range(20) for j in range(10)], ["vile", "rotten", "nasty", "awful"]
@@ -331,6 +347,76 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(bool(r["passages"]) == (r["doc_id"] % 5 == 0) for r in held)
 
 
+def plain_toxicity(rows, marks):
+    """Weights, tail, scores and passages by plain loops over (doc_id, text) rows and {doc_id: label}."""
+    learned = {}
+    for i, text in rows:
+        if i in marks and zlib.crc32(str(i).encode()) % 3 != 1:
+            learned[text] = max(learned.get(text, 0), marks[i])
+    n1, n0 = sum(learned.values()), len(learned) - sum(learned.values())
+    toxic, both = Counter(), Counter()
+    for text, y in learned.items():
+        words = set(re.findall(r"[^\W\d_]+", text.lower()))
+        for t in words | {w[:n] + "*" for w in words for n in (7, 5) if len(w) > n}:
+            both[t] += 1
+            toxic[t] += y
+    weights = {}
+    for t in both:
+        a, b = toxic[t], both[t] - toxic[t]
+        prior = 500.0 * both[t] / (n0 + n1) / 10
+        if a >= 8 and a < n1 + 50:
+            w = math.log((a + prior) / (n1 + 50 - a)) - math.log((b + prior) / (n0 + 50 - b))
+            if w >= 1 and w / math.sqrt(1 / (a + prior) + 1 / (b + prior)) >= 3:
+                weights[t] = w
+
+    def weight(w):
+        return next((weights[t] for t in [w] + [w[:n] + "*" for n in (7, 5) if len(w) > n] if t in weights), None)
+
+    def scanned(text):
+        found = [weight(w) for w in re.findall(r"[^\W\d_]+", text.lower())]
+        return found, plain_segments([-0.03 if w is None else w for w in found]) if any(found) else []
+
+    best = [(max((s for _, _, s in scanned(t)[1]), default=0.0), len(scanned(t)[0])) for t, y in learned.items() if y == 0]
+    tail = [s for s, _ in best if s > 0]
+    low = min(tail, default=0.0)
+    rate = 1 / max(sum(tail) / len(tail) - low, 0.5) if tail else 1.0
+    k = max(len(tail), 1) / max(sum(n for _, n in best), 1) * math.exp(min(rate * low, 50.0))
+
+    def evidence(text):
+        found, parts = scanned(text)
+        n, hits = len(found), sum(w is not None for w in found)
+        rare = [(-math.log10(max(1 - math.exp(-k * max(n, 1) * math.exp(-rate * s)), 1e-300)), a, b) for a, b, s in parts]
+        strong = [(a, b) for r, a, b in rare if r >= -math.log10(0.05)]
+        x = [1, math.sqrt(min(max((r for r, _, _ in rare), default=0), 30)), math.log1p(sum(r for r, _, _ in rare)), math.log1p(len(strong)), math.log1p(hits), math.log1p(n), math.log1p(100 * hits / max(n, 1)), float(hits >= 2)]
+        return x, strong
+
+    x = np.array([evidence(t)[0] for t in learned])
+    y = np.array([float(v) for v in learned.values()])
+    return weights, rate, k, x, y, evidence
+
+
+def test_toxicity_equals_brute_force(spark):
+    docs, labels = toxic_corpus(spark, 420)
+    rows, marks = [(r["doc_id"], r["text"]) for r in docs.collect()], {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    # clean texts with a toxic word each, for the tail; a text under both labels
+    rows += [(2000 + i, f"{t} vile") for i, (_, t) in enumerate(rows[1:60:5])] + [(3000, rows[0][1])]
+    marks |= {2000 + i: 0 for i in range(12)} | {3000: 0}
+    docs, labels = spark.createDataFrame(rows, "doc_id bigint, text string"), X.labels(spark, [(i, 1, y) for i, y in marks.items()])
+    model = toxic_segments.train(docs, labels)
+    weights, rate, k, x, y, evidence = plain_toxicity(rows, marks)
+    assert model.weights == pytest.approx(weights) and len(weights) >= 4
+    assert (model.rate, model.k) == pytest.approx((rate, k))
+    # the coefficients are those at which the penalised likelihood has no slope
+    w = np.array(model.coefficients)
+    penalty = np.array([1e-6] + [1.0] * 7)
+    assert np.abs(x.T @ (y - 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))) - penalty * w).max() < 1e-3
+    for r in toxic_segments.toxicity(docs, labels, model).collect():
+        e, strong = evidence(dict(rows)[r["doc_id"]])
+        score = 1 / (1 + math.exp(-max(min(float(np.dot(e, w)), 30), -30)))
+        assert r["score"] == pytest.approx(score, rel=1e-6) and r["predicted"] == int(r["score"] >= 0.7)
+        assert sorted(r["passages"].split(",")) == (sorted(f"{a}:{b}" for a, b in strong) or [""])
+
+
 def test_toxicity_learns_from_no_held_out_label(spark):
     docs, labels = toxic_corpus(spark, 300)
     flipped = labels.withColumn("toxic", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, 1 - F.col("toxic")).otherwise(F.col("toxic")))
@@ -348,37 +434,72 @@ def test_toxicity_of_odd_rows(spark):
 
 
 # -- quality --------------------------------------------------------------------------------------------------
-def test_quality_accuracy_and_posteriors(spark):
+def plain_quality(rows, model):
+    """(evidence, host posterior, path posterior, score) of rows (text, host, path), by plain sums."""
+    es = [float(site_quality.probabilities([t or ""], model)[0]) for t, _, _ in rows]
+    mean, n = sum(es) / len(es), len(es)
+    by_host, by_path = defaultdict(list), defaultdict(list)
+    for e, (_, h, p) in zip(es, rows):
+        by_host[h].append(e)
+        by_path[h, p].append(e)
+    avg = {k: sum(g) / len(g) for k, g in [*by_host.items(), *by_path.items()]}
+    inside = sum((e - avg[k]) ** 2 for k, g in by_path.items() for e in g) / (n - len(by_path)) if n > len(by_path) else 0.0
+
+    def shrink(groups, parent, sizes):
+        parents = {parent(k) for k in groups}
+        spread = sum(len(g) * (avg[k] - (mean if parent(k) is None else avg[parent(k)[0]])) ** 2 for k, g in groups.items())
+        lost = sum(len(g) ** 2 / sizes[parent(k)] for k, g in groups.items())
+        if len(groups) <= len(parents) or n <= lost:
+            return math.inf
+        between = (spread - (len(groups) - len(parents)) * inside) / (n - lost)
+        return inside / between if between > 0 else math.inf
+
+    def post(g, k, prior):
+        return prior if math.isinf(k) else (sum(g) + k * prior) / (len(g) + k)
+
+    ks = shrink(by_host, lambda h: None, {None: n})
+    host = {h: post(g, ks, mean) for h, g in by_host.items()}
+    kp = shrink(by_path, lambda k: (k[0],), {(h,): len(g) for h, g in by_host.items()})
+    path = {k: post(g, kp, host[k[0]]) for k, g in by_path.items()}
+
+    def logit(p):
+        p = min(max(p, 1e-6), 1 - 1e-6)
+        return math.log(p / (1 - p))
+
+    return [(e, host[h], path[h, p], 1 / (1 + math.exp(-(logit(e) + logit(path[h, p]) - logit(mean))))) for e, (_, h, p) in zip(es, rows)]
+
+
+def test_quality_accuracy_and_brute_force(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
     even = site_quality.train(docs, labels.where("doc_id % 2 = 0"))
-    out = site_quality.quality(docs, labels, model=even).persist()
-    assert out.count() == docs.count()
-    held = out.join(labels.where("doc_id % 2 = 1"), "doc_id").collect()
-    assert sum(r["keep"] == bool(r["quality"]) for r in held) > 0.93 * len(held)
-    good = [r for r in held if r["quality"]]
-    assert sum(r["keep"] for r in good) > 0.98 * len(good)
-    # the posteriors by hand
-    rows = out.collect()
-    mean = sum(r["evidence"] for r in rows) / len(rows)
-    by_host, by_path = defaultdict(list), defaultdict(list)
-    for r in rows:
-        by_host[r["host"]].append(r["evidence"])
-        by_path[r["host"], r["path"]].append(r["evidence"])
-
-    def strength(groups, prior):
-        n = sum(map(len, groups.values()))
-        between = sum(len(g) * (sum(g) / len(g) - prior[k]) ** 2 for k, g in groups.items()) / n
-        inside = sum(len(g) * (sum(g) / len(g)) * (1 - sum(g) / len(g)) for g in groups.values()) / n
-        return max(2.0, min(10_000.0, inside / max(between, 1e-6)))
-
-    ks = strength(by_host, defaultdict(lambda: mean))
-    host = {h: (sum(g) + ks * mean) / (len(g) + ks) for h, g in by_host.items()}
-    kp = strength(by_path, {k: host[k[0]] for k in by_path})
-    for r in rows:
-        g = by_path[r["host"], r["path"]]
-        assert r["host_posterior"] == pytest.approx(host[r["host"]], rel=1e-9)
-        assert r["path_posterior"] == pytest.approx((sum(g) + kp * host[r["host"]]) / (len(g) + kp), rel=1e-9)
+    # one source of bad texts only, and one of good ones, so that sites differ
+    truth = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    bad = F.col("doc_id").isin([i for i, q in truth.items() if q == 0][:60])
+    docs = docs.withColumn("source", F.when(bad, "rotten").otherwise(F.col("source")))
+    rows = {r["doc_id"]: r for r in docs.collect()}
+    out = {r["doc_id"]: r for r in site_quality.quality(docs, labels, model=even).collect()}
+    assert set(out) == set(rows)
+    want = dict(zip(rows, plain_quality([(r["text"], r["source"], r["lang"]) for r in rows.values()], even)))
+    for i, (e, h, p, s) in want.items():
+        r = out[i]
+        assert (r["evidence"], r["host_posterior"], r["path_posterior"], r["score"]) == pytest.approx((e, h, p, s), rel=1e-6)
+        assert r["keep"] == (r["score"] >= 0.35)
+    assert max(r["path_posterior"] for r in out.values() if r["host"] == "rotten") < 0.5 * min(r["path_posterior"] for r in out.values() if r["host"] != "rotten")
+    held = [(out[i]["keep"], q) for i, q in truth.items() if i % 2 and i in out]
+    assert sum(k == bool(q) for k, q in held) > 0.93 * len(held)
+    assert sum(k for k, q in held if q) > 0.98 * sum(q for _, q in held)
+    kept = site_quality.keep_good(docs, labels, model=even)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, r in out.items() if r["keep"])
+    assert "SortMergeJoin" not in kept._jdf.queryExecution().toString()
+
+
+def test_sites_that_do_not_differ_are_pooled(spark):
+    seen = spark.createDataFrame([(f"h{i % 5}", f"p{i % 2}", 0.2 + 0.1 * (i // 10 % 5)) for i in range(1000)], "host string, path string, evidence double")
+    posteriors, overall, n = site_quality.site_posteriors(seen)
+    rows = posteriors.collect()
+    assert n == len(rows) == 10
+    assert all(r["host_posterior"] == pytest.approx(overall) and r["path_posterior"] == pytest.approx(overall) for r in rows)
 
 
 def test_quality_of_odd_rows(spark):

@@ -2,8 +2,10 @@
 
 A classifier of the text gives each document evidence of quality. Hosts, and paths below them, have a mean
 quality of their own, estimated from that evidence and shrunk: a path towards its host, a host towards all
-documents, the more so the fewer documents it has. How strongly is estimated from the spread of the means by
-moments. A document's odds are those of its text times the ratio of its path's odds to those of all documents.
+documents, the more so the fewer documents it has. How strongly follows from the data alone: the variance between
+the sites' means beyond what the documents' own variance explains, by moments. Where there is none beyond it, every
+site takes its parent's mean. A document's odds are those of its text times the ratio of its path's odds to those
+of all documents, as by Bayes' rule the site's mean stands for the prior that the classifier took from all.
 
 The classifier is a logistic regression over counts of the text's characters and words, fitted to at most
 ``TRAIN_ROWS`` labelled rows on average; all else is summed over every document, by partial sums, so a host
@@ -19,17 +21,18 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpoint, keep_ids, map_texts
+from tidemark.llm.common import arrow_batches, checkpoint, fresh, map_texts
 from tidemark.llm.toxic_segments import _logistic
 
 TRAIN_ROWS = 20_000
 #: Documents whose probability of quality is below this are rejected.
 KEEP = 0.35
-#: Of the sites' odds, the power that goes into a document's: the text is seen in full, its site only in the mean.
-SITE_WEIGHT = 0.5
+#: Sites up to which their means are broadcast (some 100 bytes each).
+BROADCAST_SITES = 200_000
 LETTERS = bytes(range(0x41, 0x5B)) + bytes(range(0x61, 0x7B)) + bytes(range(0x80, 0x100))
 _SENTENCE = re.compile(rb"[.!?](?:\s|$)")
 
@@ -86,6 +89,15 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
+def probabilities(texts: list[str], model: Classifier | None) -> np.ndarray:
+    """The classifier's probability that each text is good."""
+    if model is None or not texts:
+        return np.full(len(texts), 0.5)
+    x = (np.array([describe(t) for t in texts]) - model.mean) / model.spread
+    z = np.hstack([np.ones((len(x), 1)), _wide(x)]) @ np.array(model.coefficients)
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
 def evidence(docs: DataFrame, model: Classifier | None, id_col: str = "doc_id", text_col: str = "text", host: Column | None = None, path: Column | None = None) -> DataFrame:
     """doc_id, host, path and ``evidence``, the classifier's probability that the text is good."""
     host = F.col("source") if host is None else host
@@ -93,50 +105,87 @@ def evidence(docs: DataFrame, model: Classifier | None, id_col: str = "doc_id",
     key = F.struct(F.col(id_col).cast("bigint").alias("doc_id"), host.cast("string").alias("host"), path.cast("string").alias("path"))
 
     def rows(keys: list, texts: list) -> list:
-        if model is None:
-            return [keys, [0.5] * len(texts)]
-        x = (np.array([describe(t) for t in texts]) - model.mean) / model.spread
-        z = np.hstack([np.ones((len(x), 1)), _wide(x)]) @ np.array(model.coefficients)
-        return [keys, 1 / (1 + np.exp(-np.clip(z, -30, 30)))]
+        return [keys, probabilities(texts, model)]
 
     keyed = docs.select(key.alias("_key"), F.col(text_col).alias("_text"))
     return map_texts(keyed, rows, "key struct<doc_id: bigint, host: string, path: string>, evidence double", "_key", "_text").select("key.*", "evidence")
 
 
-def _strength(sites: DataFrame, mean: Column) -> float:
-    """Documents that the prior of a site is worth, by moments over the sites' means: one number to the driver."""
-    n, m = F.col("n"), F.col("m")
-    between, inside = sites.agg(F.sum(n * F.pow(m - mean, 2)) / F.sum(n), F.sum(n * m * (1 - m)) / F.sum(n)).first()
-    return max(2.0, min(10_000.0, (inside or 0.0) / max(between or 0.0, 1e-6)))
-
+def _strength(sites: DataFrame, inside: float, prior: Column, groups: str | None = None) -> float:
+    """Documents that the prior of a site is worth: the variance inside sites over that between them, by moments.
 
-def site_posteriors(seen: DataFrame) -> tuple[DataFrame, float]:
-    """host, path, host_posterior, path_posterior: means of the evidence, shrunk down the hierarchy; and the mean of all."""
-    paths = checkpoint(seen.groupBy("host", "path").agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("evidence").alias("m")))
+    Infinite where the sites' means spread no more than ``inside``, the documents' variance, explains. ``prior`` is
+    the mean that each site is held against, of which ``groups`` tells the number. One row comes to the driver.
+    """
+    n, m = F.col("n"), F.col("m")
+    parents = F.lit(1) if groups is None else F.countDistinct(F.struct(groups))
+    # of each parent the sum of squared counts over the count, so that the parent's own mean is allowed for
+    total, spread, count, held = sites.agg(F.sum("n"), F.sum(n * F.pow(m - prior, 2)), F.count(F.lit(1)), parents).first()
+    if not count or count <= held:
+        return math.inf
+    if groups is None:
+        lost = sites.agg(F.sum(n * n) / F.sum("n")).first()[0]
+    else:
+        lost = sites.groupBy(groups).agg((F.sum(n * n) / F.sum("n")).alias("x")).agg(F.sum("x")).first()[0]
+    between = (spread - (count - held) * inside) / (total - lost) if total > lost else 0.0
+    return inside / between if between > 0 else math.inf
+
+
+def _shrunk(k: float, prior: Column) -> Column:
+    return prior if math.isinf(k) else (F.col("n") * F.col("m") + F.lit(k) * prior) / (F.col("n") + F.lit(k))
+
+
+def site_posteriors(seen: DataFrame) -> tuple[DataFrame, float, int]:
+    """host, path, host_posterior, path_posterior: means of the evidence, shrunk down the hierarchy; the mean of all; how many sites."""
+    e = F.col("evidence")
+    paths = checkpoint(seen.groupBy("host", "path").agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg(e).alias("m"), F.var_pop(e).alias("v")))
     weighted = F.sum(F.col("n") * F.col("m")) / F.sum("n")
-    overall = paths.agg(weighted).first()[0]
+    rows, overall, within, sites = paths.agg(F.sum("n"), weighted, F.sum(F.col("n") * F.col("v")), F.count(F.lit(1))).first()
     overall = 0.5 if overall is None else float(overall)
+    inside = within / (rows - sites) if rows and rows > sites else 0.0
     hosts = paths.groupBy("host").agg(weighted.alias("m"), F.sum("n").alias("n"))
-    ks = _strength(hosts, F.lit(overall))
-    shrunk = hosts.select(F.col("host").alias("h"), ((F.col("n") * F.col("m") + ks * overall) / (F.col("n") + ks)).alias("host_posterior"))
+    host_posterior = _shrunk(_strength(hosts, inside, F.lit(overall)), F.lit(overall))
+    shrunk = hosts.select(F.col("host").alias("h"), F.col("m").alias("host_mean"), host_posterior.alias("host_posterior"))
     below = paths.join(shrunk, F.col("host").eqNullSafe(F.col("h")))
-    kp = _strength(below, F.col("host_posterior"))
-    posterior = (F.col("n") * F.col("m") + kp * F.col("host_posterior")) / (F.col("n") + kp)
-    return below.select("host", "path", "host_posterior", posterior.alias("path_posterior")), overall
+    kp = _strength(below, inside, F.col("host_mean"), "host")
+    return below.select("host", "path", "host_posterior", _shrunk(kp, F.col("host_posterior")).alias("path_posterior")), overall, sites
+
+
+def _score(evidence: Column, path_posterior: Column, overall: float) -> Column:
+    return 1 / (1 + F.exp(-(_logit(evidence) + _logit(path_posterior) - _logit(F.lit(overall)))))
 
 
 def quality(docs: DataFrame, labels: DataFrame, keep: float = KEEP, model: Classifier | None = None, **columns) -> DataFrame:
     """doc_id, evidence, host_posterior, path_posterior, score, keep: one row for each document."""
     model = model or train(docs, labels)
     seen = checkpoint(evidence(docs, model, **columns))
-    posteriors, overall = site_posteriors(seen)
+    posteriors, overall, n = site_posteriors(seen)
     sites = posteriors.select(F.col("host").alias("h"), F.col("path").alias("p"), "host_posterior", "path_posterior")
+    sites = F.broadcast(sites) if n <= BROADCAST_SITES else sites
     joined = seen.join(sites, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")))
-    odds = _logit(F.col("evidence")) + SITE_WEIGHT * (_logit(F.col("path_posterior")) - _logit(F.lit(overall)))
-    score = 1 / (1 + F.exp(-odds))
+    score = _score(F.col("evidence"), F.col("path_posterior"), overall)
     return joined.select("doc_id", "host", "path", "evidence", "host_posterior", "path_posterior", score.alias("score"), (score >= keep).alias("keep"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the classifier keeps, with all their columns. An id stays if any of its rows does."""
-    return keep_ids(docs, quality(docs, labels).where("keep").select("doc_id"))
+def keep_good(docs: DataFrame, labels: DataFrame, keep: float = KEEP, model: Classifier | None = None, text_col: str = "text", host: Column | None = None, path: Column | None = None) -> DataFrame:
+    """The documents that the classifier keeps, with all their columns, each row by its own score.
+
+    Texts are not shuffled: the first pass over them sums up the sites, the second scores each row where it is read,
+    and the sites come to it (by broadcast up to ``BROADCAST_SITES`` of them, else as Spark decides).
+    """
+    model = model or train(docs, labels, text_col=text_col)
+    host, path = F.col("source") if host is None else host, F.col("lang") if path is None else path
+    # the row travels as one struct, so its columns never meet the names used here
+    rows = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), host.cast("string").alias("_host"), path.cast("string").alias("_path"))
+    posteriors, overall, n = site_posteriors(evidence(docs.withColumn(fresh(docs, "no_id"), F.lit(0)), model, fresh(docs, "no_id"), text_col, host, path))
+    sites = posteriors.select(F.col("host").alias("_h"), F.col("path").alias("_p"), "path_posterior")
+    sites = F.broadcast(sites) if n <= BROADCAST_SITES else sites
+
+    @F.pandas_udf("double")
+    def judged(texts: pd.Series) -> pd.Series:
+        return pd.Series(probabilities(texts.to_list(), model))
+
+    arrow_batches(docs.sparkSession)
+    scored = rows.withColumn("_evidence", judged("_text")).drop("_text")
+    joined = scored.join(sites, F.col("_host").eqNullSafe(F.col("_h")) & F.col("_path").eqNullSafe(F.col("_p")))
+    return joined.where(_score(F.col("_evidence"), F.col("path_posterior"), overall) >= keep).select("_row.*")

@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import checkpoint, map_texts
 
-#: Labelled rows learned from, tokens that may carry a weight, strength of the prior, least z-score of a weight.
-TRAIN_ROWS, VOCABULARY, PRIOR, LEAST_Z, LEAST_DOCS = 20_000, 5_000, 500.0, 3.0, 8
+#: Labelled rows learned from, strength of the prior, least z-score and toxic documents of a token that carries a weight.
+TRAIN_ROWS, PRIOR, LEAST_Z, LEAST_DOCS = 20_000, 500.0, 3.0, 8
 #: What a token without a weight costs; how rare a segment has to be; the threshold of ``predicted``.
 GAP, SIGNIFICANT, THRESHOLD = 0.03, 0.05, 0.7
 TOKEN = re.compile(r"[^\W\d_]+")
@@ -49,27 +49,34 @@ def segments(hits: list[tuple[int, float]], n: int, gap: float = GAP) -> list[tu
 
     Hits are the places and weights of tokens that carry one. Kept segments lie on a stack with the running
     total before and after them; a new one is joined to the last whose total before is lower, as long as that
-    makes it score more.
+    makes it score more. Each keeps a link to the last before it whose total before is lower, so none is passed
+    over twice; where there is none, the segments so far are final.
     """
-    stack: list[tuple[float, float, int, int]] = []  # total before, total after, start, end
+    done: list[tuple[int, int, float]] = []
+    stack: list[tuple[float, float, int, int, int]] = []  # total before, total after, start, end, the last one with a lower total before
     total, last = 0.0, 0
     for place, weight in hits:
         total -= gap * (place - last)
         last = place + 1
-        before, after, start = total, total + weight, place
-        total = after
+        before, start = total, place
+        total = after = total + weight
         if weight <= 0:
             continue
-        while stack:
-            j = len(stack) - 1
+        j = len(stack) - 1
+        while True:
             while j >= 0 and stack[j][0] >= before:
-                j -= 1
-            if j < 0 or stack[j][1] >= after:
+                j = stack[j][4]
+            if j < 0:  # no total before is lower, nor will one be: what is on the stack stays as it is
+                done += [(a, b, after_ - before_) for before_, after_, a, b, _ in stack]
+                stack.clear()
                 break
-            before, start = stack[j][0], stack[j][2]
+            if stack[j][1] >= after:
+                break
+            before, start, back = stack[j][0], stack[j][2], stack[j][4]
             del stack[j:]
-        stack.append((before, after, start, place + 1))
-    return [(a, b, after - before) for before, after, a, b in stack]
+            j = back
+        stack.append((before, after, start, place + 1, j))
+    return done + [(a, b, after - before) for before, after, a, b, _ in stack]
 
 
 class Weights(dict):
@@ -139,7 +146,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: st
     # the sample holds ``rows`` rows on average, so it may be broadcast at any size of the tables
     sample = known.where(F.pmod(F.xxhash64("_k"), F.lit(1_000_000)) < int(part * 1_000_000))
     texts = docs.select(F.col(id_col).alias("_k"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(F.broadcast(sample), "_k")
-    texts = checkpoint(texts.dropDuplicates(["_text"]))
+    # equal texts count once, as toxic if any of them is
+    texts = checkpoint(texts.groupBy("_text").agg(F.max("_y").alias("_y")))
     size = {y: n for y, n in texts.groupBy("_y").count().collect()}
     if not size.get(0) or not size.get(1):
         share = size.get(1, 0) / (size.get(0, 0) + size.get(1, 0)) if size else 0.5
@@ -154,7 +162,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: st
     odds = F.log((toxic + prior) / (n1 + PRIOR / 10 - toxic)) - F.log((both - toxic + prior) / (n0 + PRIOR / 10 - both + toxic))
     z = odds / F.sqrt(1 / (toxic + prior) + 1 / (both - toxic + prior))
     top = counts.where(both - toxic + prior > 0).where(toxic < n1 + PRIOR / 10).select("t", odds.alias("w"), z.alias("z")).where((F.col("z") >= LEAST_Z) & (F.col("w") >= 1.0))
-    weights = {r["t"]: float(r["w"]) for r in top.orderBy(F.desc("z"), "t").limit(VOCABULARY).collect()}
+    # every token that passes: they come from the bounded sample, with LEAST_DOCS of its documents each
+    weights = {r["t"]: float(r["w"]) for r in top.collect()}
 
     def scan(ids: list, texts_: list) -> list:
         memory = Weights(weights)
