@@ -26,13 +26,14 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order in which the sources are interleaved to their target weights."""
+    """All documents, in the order in which the sources are interleaved to their target weights: as written files
+    hold them, from first to last."""
     return pfair.mixed_documents(docs)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of ids and decoded bytes; see the codec for the ids themselves."""
-    return bpe_codec.encode_documents(docs)
+    """The training mix: each document's place in it, its token ids, and digests of ids and decoded bytes."""
+    return bpe_codec.encode_documents(pfair.written_position(docs), carry=["position"], keep_ids=True)
 
 
 STAGES = [
@@ -50,7 +51,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``; each result is written to the checkpoint folder and read again.
 
-    A result goes once the next one is written, so the folder holds two at most.
+    A result goes once the next one is written, so the folder holds two at most. The mix stays in it, as the
+    result reads it: ``position`` orders that result, whatever the order of its files.
     """
     folder = f"{checkpoint_folder(spark)}/corpus-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
