@@ -94,8 +94,8 @@ def test_bpe_query(spark, library):
             want.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()))
         assert got == sorted(want)
     assert bpe_codec.encode_documents(X.nothing(spark)).count() == 0
-    kept = bpe_codec.encode_documents(X.odd(spark), keep_ids=True).where("doc_id = 9").first()
-    assert kept["decoded"] == X.ODD[-1][1] and len(kept["ids"]) == kept["n_tokens"]
+    kept = bpe_codec.encode_documents(X.odd(spark), carry=["lang", "n_chars"], keep_ids=True, keep_text=True).where("doc_id = 9").first()
+    assert kept["decoded"] == X.ODD[-1][1] and len(kept["ids"]) == kept["n_tokens"] and (kept["lang"], kept["n_chars"]) == ("de", 30)
 
 
 @settings(max_examples=300, deadline=None)

@@ -24,15 +24,17 @@ import hashlib
 import heapq
 import sys
 from array import array
+from collections.abc import Sequence
 from functools import lru_cache
 
 import numpy as np
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidemark.llm.common import map_texts
 
-SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+SCHEMA = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 #: Entries of each memory of a Python worker, and the longest part and match that are remembered.
 REMEMBERED, PART_BYTES, MATCH_CHARS = 250_000, 8, 64
 #: Neighbours concatenated at once where no window is needed.
@@ -163,15 +165,16 @@ def default_vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-def encode_documents(docs: DataFrame, vocabulary: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, vocabulary: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = (), keep_ids: bool = False, keep_text: bool = False) -> DataFrame:
     """Encode every whole text, decode the ids again, and return the count and digests of both.
 
-    ``keep_ids`` adds the ids themselves as ``ids array<int>`` and the decoded text as ``decoded``.
+    ``carry`` names columns that come along. ``keep_ids`` adds the ids themselves as ``ids array<int>``, ``keep_text``
+    the decoded text as ``decoded``.
     """
     path, default_pattern = default_vocabulary()
     path, pattern = vocabulary or path, pattern or default_pattern
 
-    def rows(ids: list, texts: list) -> list:
+    def rows(keys: list, texts: list) -> list:
         tree = codec(path, pattern)
         counts, encoded, decoded, kept, back = [], [], [], [], []
         for text in texts:
@@ -183,7 +186,12 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None, pattern: st
             decoded.append(hashlib.sha256(whole).hexdigest())
             if keep_ids:
                 kept.append(numbers)
+            if keep_text:
                 back.append(whole.decode("utf-8", "replace"))
-        return [ids, counts, encoded, decoded] + ([kept, back] if keep_ids else [])
+        return [keys, counts, encoded, decoded] + [kept] * keep_ids + [back] * keep_text
 
-    return map_texts(docs, rows, SCHEMA + (", ids array<int>, decoded string" if keep_ids else ""), id_col, text_col)
+    key = F.struct(F.col(id_col).cast("bigint").alias("doc_id"), *carry)
+    keyed = docs.select(key.alias("_key"), F.col(text_col).alias("_text"))
+    schema = f"key {keyed.schema['_key'].dataType.simpleString()}, {SCHEMA}" + ", ids array<int>" * keep_ids + ", decoded string" * keep_text
+    out = map_texts(keyed, rows, schema, "_key", "_text")
+    return out.select("key.*", *out.columns[1:])

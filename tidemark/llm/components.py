@@ -1,6 +1,6 @@
 """Connected components of an edge table by alternating large and small stars.
 
-Every round is two grouped aggregations of the edges. A node with any number of neighbours is handled by
+Every round is two grouped aggregations of the edges, and rounds go on until nothing changes. A node with any number of neighbours is handled by
 sums and joins that Spark splits, never by collecting them. The edges of each round are written to the
 checkpoint folder, so a lost executor costs one round at most.
 """
@@ -17,11 +17,11 @@ def _both(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """node, root: every node of an edge (columns a and b) with the smallest node it can reach."""
     edges = checkpoint(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     before = None
-    for _ in range(most_rounds):
+    while True:
         # large star: neighbours above a node go to the smallest of its neighbours and itself
         both = _both(edges)
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -35,4 +35,3 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if tuple(now) == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before = tuple(now)
-    raise RuntimeError(f"components have not settled in {most_rounds} rounds")
