@@ -277,16 +277,71 @@ def test_vectors_that_take_no_part_and_copies(spark):
     assert hnsw.nearest(df.limit(0)).count() == 0
 
 
-def test_graph_recall_at_size():
-    rng = np.random.default_rng(0)
-    centres = rng.normal(size=(40, 32))
-    v = (centres[rng.integers(0, 40, 3000)] + 0.4 * rng.normal(size=(3000, 32))).astype(np.float32)
-    levels = hnsw.build_graph(v)
-    assert len(levels) > 1 and levels[0][1].shape == (3000, 2 * hnsw.LINKS)
-    q = v[:200]
-    found = hnsw.search_graph(v, levels, q, 20)
-    exact = np.argsort(-(q @ v.T), axis=1)[:, :20]
-    assert np.mean([len(set(a) & set(b)) / 20 for a, b in zip(found.tolist(), exact.tolist())]) > 0.9
+def clusters(n, d, groups, spread, seed=3):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(groups, d))
+    v = centres[rng.integers(0, groups, n)] + spread * rng.normal(size=(n, d))
+    return (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32), rng
+
+
+@pytest.mark.parametrize(("n", "groups", "spread"), [(3000, 40, 0.4), (hnsw.SHARD_ROWS, 200, 0.06), (hnsw.SHARD_ROWS, 1, 9.0), (1, 1, 1.0), (2, 1, 1.0), (300, 3, 0.0)])
+def test_graph_by_insertion(n, groups, spread):
+    v, rng = clusters(n, 32, groups, spread)
+    v = np.unique(v, axis=0)
+    n = len(v)
+    order, tables = hnsw.build_graph(v)
+    assert sorted(order.tolist()) == list(range(n)) and tables[0].shape == (n, 2 * hnsw.LINKS)
+    assert all((t < len(t)).all() and len(set(hnsw._parts(t).tolist())) == 1 for t in tables)
+    assert all(len(a) >= len(b) for a, b in zip(tables, tables[1:]))
+    q = v[rng.choice(n, min(n, 256), replace=False)]
+    found = hnsw.search_graph(v[order], tables, q, 21)
+    got = np.where(found >= 0, order[found], -1)
+    true = np.argsort(-(q @ v.T), axis=1)[:, :21]
+    recall = [len(set(a) & set(b)) / len(b) for a, b in zip(got.tolist(), true.tolist(), strict=True)]
+    assert np.mean(recall) > 0.95 and min(recall) > 0.6
+
+
+def test_insertion_takes_less_than_all_pairs():
+    v, _ = clusters(4000, 16, 30, 0.5)
+    seen = 0
+
+    before = hnsw._beam
+
+    def counted(vectors, table, queries, begin, beam, stride=4):
+        nonlocal seen
+        seen += len(queries)
+        return before(vectors, table, queries, begin, beam, stride)
+
+    hnsw._beam = counted
+    try:
+        hnsw.build_graph(v)
+    finally:
+        hnsw._beam = before
+    assert seen >= 4000 - hnsw.FIRST  # every node but the first batch is searched for
+
+
+def test_recall_of_fifty_thousand_vectors_that_see_few_shards(spark):
+    n = 51_200
+    v, _ = clusters(n, 24, 300, 0.5, seed=8)
+    df = spark.createDataFrame(list(zip(range(n), v.astype(float).tolist())), "vec_id bigint, embedding array<double>")
+    placed, seen = hnsw.shards_to_see, {}
+
+    def noted(*args):
+        seen.update(placed(*args))
+        return seen
+
+    hnsw.shards_to_see = noted
+    try:
+        got = hnsw.nearest(df, every=100).groupBy("query_id").agg(F.collect_list("vec_id").alias("found")).collect()
+    finally:
+        hnsw.shards_to_see = placed
+    assert len(got) == 512 and seen[24] < hnsw.LEAST_CELLS / 2  # some thousand vectors a shard, and most shards are left alone
+    hits = 0
+    for r in got:
+        s = v @ v[r["query_id"]]
+        s[r["query_id"]] = -np.inf
+        hits += len(set(np.argpartition(-s, 20)[:20].tolist()) & set(r["found"]))
+    assert hits >= 0.95 * 20 * len(got)
 
 
 # -- toxicity -------------------------------------------------------------------------------------------------
@@ -553,16 +608,3 @@ def test_stages_bear_odd_rows(spark, tmp_path):
             out.write.parquet(str(tmp_path / f"{n}-{k}"))
             docs = spark.read.parquet(str(tmp_path / f"{n}-{k}"))
             assert k == len(corpus_pipeline.STAGES) - 1 or docs.columns == columns
-
-
-def test_search_reaches_every_cluster_of_a_full_shard():
-    rng = np.random.default_rng(3)
-    centers = rng.normal(size=(200, 64))
-    centers /= np.linalg.norm(centers, axis=1, keepdims=True)
-    v = centers[rng.integers(0, 200, hnsw.SHARD_ROWS)] + rng.normal(size=(hnsw.SHARD_ROWS, 64)) / 16
-    v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
-    queries = v[rng.choice(len(v), 256, replace=False)]
-    found = hnsw.search_graph(v, hnsw.build_graph(v), queries, 21)
-    true = np.argsort(-(queries @ v.T), axis=1)[:, :21]
-    recall = [len(set(a) & set(b)) / 21 for a, b in zip(found.tolist(), true.tolist(), strict=True)]
-    assert np.mean(recall) > 0.99 and min(recall) > 0.8

@@ -1,9 +1,15 @@
 """Approximate nearest neighbours by hierarchical navigable small-world graphs, one for each shard.
 
-A shard's graph is kept as flat arrays of neighbours, one array a level. It is built in bulk: on every level
-a node's nearest others are pruned to directions that differ, and the links are made to go both ways. Queries
-are searched in lockstep, a beam each, in every shard: the level above the lowest is scored in full, and the
-best of it begin on the lowest. Every part of the lowest level has a node above. The shards' results are merged.
+Vectors are dealt to shards by the nearest of some centroids, fitted to a bounded sample; a shard's graph is kept as
+flat arrays of neighbours, one array a level, and is built by insertion: every node is searched for in the graph so
+far, level by level from the top, and linked to what is found, pruned to directions that differ; the links lead back
+too. Queries go to the shards nearest to them, are searched there in lockstep, a beam each, and the shards' results
+are merged. How many shards a query has to see depends on how the vectors lie, so it is measured: a sample of the
+queries is answered by brute force over all vectors, and as many shards are taken as hold ``COVER`` of the answers.
+
+Each vector is shuffled once to its shard, each query once for each shard it sees; each shard's graph is opened once
+for every ``BLOCK`` queries. A cell of more than ``SHARD_ROWS`` vectors is several shards, all of which its queries see.
+Vectors that lie about centroids need few shards at any number of them; vectors without any such order need most.
 
 Equal vectors are one node with the smallest ids of its copies, as many as a result can show, so a vector that
 a third of all rows share costs no more than another. Vectors that are null, zero, or hold null or non-finite
@@ -14,77 +20,155 @@ same length. An empty table gives an empty result.
 from __future__ import annotations
 
 import io
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tidemark.llm.common import arrow_batches, checkpoint
 
-#: Distinct vectors of a shard at most (on average), least number of shards, queries of a block.
-SHARD_ROWS, LEAST_SHARDS, BLOCK = 16384, 12, 1024
+#: Vectors of a shard at most (on average), least and most cells, queries that are searched together in a shard.
+SHARD_ROWS, LEAST_CELLS, MOST_CELLS, BLOCK = 8192, 12, 1024, 4096
+#: Vectors (on average) that the centroids are fitted to, rounds of fitting, queries that are answered by brute force,
+#: and the share of their answers that the shards a query sees have to hold.
+SAMPLE_ROWS, ROUNDS, PROBED, COVER = 16_384, 10, 256, 0.98
 #: Links of a node a level (as many again come back to it on the lowest), pool they are pruned from, beam width.
 LINKS, POOL, BEAM = 16, 64, 128
-#: Nodes from which a search of the lowest level begins.
-ENTRIES = 32
+#: Nodes from which a search of the lower levels begins, first nodes of a level, nodes inserted together.
+ENTRIES, FIRST, BATCH = 32, 256, 512
 
 
-def _nearest(vectors: np.ndarray, pool: int) -> np.ndarray:
-    """For each vector the places of its ``pool`` largest inner products, itself left out, best first."""
-    n = len(vectors)
-    out = np.empty((n, pool), np.int32)
-    for low in range(0, n, 512):
-        near = vectors[low : low + 512] @ vectors.T
-        rows = np.arange(len(near))
-        near[rows, low + rows] = -np.inf
-        best = np.argpartition(-near, pool - 1, axis=1)[:, :pool]
-        order = np.argsort(-np.take_along_axis(near, best, 1), axis=1)
-        out[low : low + 512] = np.take_along_axis(best, order, 1)
-    return out
+def _diverse(unit: np.ndarray, me: np.ndarray, pool: np.ndarray, links: int) -> np.ndarray:
+    """Of each row's candidates (best first, -1 where there is none) up to ``links``: those that are nearer to the
+    row's own vector than to any chosen before; what that leaves free goes to the best that were passed over."""
+    m, width = pool.shape
+    chosen = np.full((m, links), -1, np.int32)
+    count = np.zeros(m, np.int64)
+    taken = np.zeros((m, width), bool)
+    there = pool >= 0
+    close = np.einsum("mpd,md->mp", unit[pool], me)
+    nearest = np.full((m, width), -np.inf, np.float32)  # of each candidate to those chosen so far
+    every = np.arange(m)
+    for p in range(width):
+        take = there[:, p] & (count < links) & (nearest[:, p] < close[:, p])
+        at = every[take]
+        if not len(at):
+            continue
+        chosen[at, count[at]] = pool[at, p]
+        count[at] += 1
+        taken[at, p] = True
+        if p + 1 < width:
+            near = np.einsum("mpd,md->mp", unit[pool[at, p + 1 :]], unit[pool[at, p]])
+            nearest[at, p + 1 :] = np.maximum(nearest[at, p + 1 :], near)
+    left = there & ~taken
+    place = count[:, None] + np.cumsum(left, axis=1) - 1
+    rows, cols = np.nonzero(left & (place < links))
+    chosen[rows, place[rows, cols]] = pool[rows, cols]
+    return chosen
 
 
-def _links(vectors: np.ndarray, links: int, width: int) -> np.ndarray:
-    """Neighbour array (n, width), -1 where a node has fewer: pruned nearest ones, then links back."""
+def _beam(vectors: np.ndarray, table: np.ndarray, queries: np.ndarray, begin: np.ndarray, beam: int, stride: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """Best-first search over ``table`` of all queries in lockstep: places and products, best first, -1 where fewer.
+
+    ``begin`` holds each query's first places. In a step each query opens its ``stride`` best that are not open yet;
+    it ends when the whole beam has been opened.
+    """
+    n, q = len(table), len(queries)
+    beam = min(beam, n)
+    seen = np.zeros((q, n + 1), bool)  # the last column stands for -1
+    ids, score, open_ = np.full((q, beam), -1, np.int32), np.full((q, beam), -np.inf, np.float32), np.zeros((q, beam), bool)
+    live, around = np.arange(q), begin.astype(np.int32)
+    while True:
+        around = np.sort(around, axis=1)
+        around[:, 1:][around[:, 1:] == around[:, :-1]] = -1
+        around = np.where(seen[live[:, None], around], -1, around)
+        seen[live[:, None], around] = True
+        seen[:, -1] = False
+        near = np.einsum("qmd,qd->qm", vectors[around], queries[live])
+        near[around < 0] = -np.inf
+        all_ids = np.concatenate([ids[live], around], axis=1)
+        all_score = np.concatenate([score[live], near], axis=1)
+        all_open = np.concatenate([open_[live], around >= 0], axis=1)
+        best = np.argpartition(-all_score, beam - 1, axis=1)[:, :beam] if all_ids.shape[1] > beam else np.broadcast_to(np.arange(all_ids.shape[1]), all_ids.shape)[:, :beam]
+        ids[live], score[live], open_[live] = np.take_along_axis(all_ids, best, 1), np.take_along_axis(all_score, best, 1), np.take_along_axis(all_open, best, 1)
+        going = open_[live].any(axis=1)
+        live = live[going]
+        if not len(live):
+            break
+        rank = np.where(open_[live], score[live], -np.inf)
+        step = min(stride, beam)
+        pick = np.argpartition(-rank, step - 1, axis=1)[:, :step]
+        is_open = np.take_along_axis(open_[live], pick, 1)
+        open_[live[:, None], pick] = False
+        around = np.where(is_open[:, :, None], table[np.where(is_open, ids[live[:, None], pick], 0)], -1).reshape(len(live), -1)
+    order = np.argsort(-score, axis=1, kind="stable")
+    return np.take_along_axis(ids, order, 1), np.take_along_axis(score, order, 1)
+
+
+def _best(products: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` largest of each row, in no order."""
+    return np.argpartition(-products, k - 1, axis=1)[:, :k] if products.shape[1] > k else np.broadcast_to(np.arange(products.shape[1]), products.shape)
+
+
+def _link_back(unit: np.ndarray, table: np.ndarray, low: int, chosen: np.ndarray) -> None:
+    """Links from those chosen to the nodes low, low + 1, ... that chose them; a full row is pruned anew."""
+    width = table.shape[1]
+    rows, cols = np.nonzero(chosen >= 0)
+    to, new = chosen[rows, cols], (low + rows).astype(np.int32)
+    near = np.einsum("nd,nd->n", unit[to], unit[new])
+    order = np.lexsort((-near, to))
+    to, new = to[order], new[order]
+    first = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
+    rank = np.arange(len(to)) - np.repeat(first, np.diff(np.append(first, len(to))))
+    keep = rank < width  # the nearest of those that come at once
+    to, new, rank = to[keep], new[keep], rank[keep]
+    nodes = np.unique(to)
+    row = np.searchsorted(nodes, to)
+    both = np.full((len(nodes), 2 * width), -1, np.int32)
+    both[:, :width] = table[nodes]
+    both[row, width + rank] = new
+    for at in range(0, len(nodes), 1024):
+        part, own = both[at : at + 1024], nodes[at : at + 1024]
+        close = np.einsum("mpd,md->mp", unit[part], unit[own])
+        close[part < 0] = -np.inf
+        part = np.take_along_axis(part, np.argsort(-close, axis=1, kind="stable"), 1)
+        full = part[:, width] >= 0 if part.shape[1] > width else np.zeros(len(part), bool)
+        table[own[~full]] = part[~full, :width]
+        if full.any():
+            table[own[full]] = _diverse(unit, unit[own[full]], part[full], width)
+
+
+def _insert(vectors: np.ndarray, unit: np.ndarray, begin: np.ndarray, links: int, width: int) -> np.ndarray:
+    """One level's table of neighbours, its nodes inserted in order, in batches no larger than what stands already.
+
+    A node is searched for in the graph so far, from the places that the level above gives (``begin``) and from the
+    nearest of the first nodes; what is found, and its batch, are pruned to its links, which also lead back.
+    """
     n = len(vectors)
     table = np.full((n, width), -1, np.int32)
-    if n < 2:
-        return table
-    pool = min(POOL, n - 1)
-    near = _nearest(vectors, pool)
-    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-    links = min(links, pool)
-    for low in range(0, n, 1024):
-        mine = near[low : low + 1024]
-        m = len(mine)
-        chosen = np.full((m, links), -1, np.int32)
-        count = np.zeros(m, np.int64)
-        close = np.einsum("mpd,md->mp", unit[mine], unit[low : low + m])
-        for p in range(pool):
-            to_chosen = np.einsum("mld,md->ml", unit[chosen], unit[mine[:, p]])
-            to_chosen[chosen < 0] = -np.inf
-            take = (count < links) & (to_chosen.max(axis=1) < close[:, p])
-            chosen[take, count[take]] = mine[take, p]
-            count += take
-        # what pruning left free goes to the nearest that were passed over
-        for p in range(pool):
-            free = count < links
-            if not free.any():
-                break
-            take = free & ~(chosen == mine[:, [p]]).any(axis=1)
-            chosen[take, count[take]] = mine[take, p]
-            count += take
-        table[low : low + m, :links] = chosen
-    used = np.full(n, links)
-    if width > links:
-        for rank in range(links):
-            for a, b in enumerate(table[:, rank].tolist()):
-                if used[b] < width and a not in table[b]:
-                    table[b, used[b]] = a
-                    used[b] += 1
+    low, first = 0, min(n, FIRST)
+    while low < n:
+        high = min(n, low + min(max(low, first), BATCH))
+        mine = vectors[low:high]
+        inside = mine @ mine.T
+        inside[np.arange(high - low), np.arange(high - low)] = -np.inf
+        near = _best(inside, min(POOL, high - low))
+        pool, score = (near + low).astype(np.int32), np.take_along_axis(inside, near, 1)
+        if low:
+            start = _best(mine @ vectors[:first].T, 8).astype(np.int32)
+            given = begin[low:high]
+            ids, found = _beam(vectors[:low], table[:low], mine, np.concatenate([start, np.where(given < low, given, -1)], axis=1), POOL)
+            pool, score = np.concatenate([pool, ids], axis=1), np.concatenate([score, found], axis=1)
+        order = np.argsort(-score, axis=1, kind="stable")[:, :POOL]
+        pool, score = np.take_along_axis(pool, order, 1), np.take_along_axis(score, order, 1)
+        chosen = _diverse(unit, unit[low:high], np.where(score == -np.inf, -1, pool), links)
+        table[low:high, :links] = chosen
+        _link_back(unit, table, low, chosen)
+        low = high
     return table
 
 
@@ -103,72 +187,53 @@ def _parts(table: np.ndarray) -> np.ndarray:
         part = new
 
 
-def build_graph(vectors: np.ndarray, links: int = LINKS, seed: int = 11) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Levels from the lowest up: places of the level's nodes, and their neighbours as places among all vectors."""
+def _join_parts(vectors: np.ndarray, table: np.ndarray) -> None:
+    """Link parts of the graph that nothing leads between, each by its first node to the nearest first nodes outside."""
+    while len(firsts := np.unique(part := _parts(table))) > 1:
+        some = np.union1d(firsts, np.arange(min(len(table), FIRST)))
+        for a in firsts[1:].tolist():
+            others = some[part[some] != a]
+            b = int(others[np.argmax(vectors[others] @ vectors[a])])
+            for x, y in ((a, b), (b, a)):
+                free = np.flatnonzero(table[x] < 0)
+                table[x, free[0] if len(free) else -1] = y
+
+
+def build_graph(vectors: np.ndarray, links: int = LINKS, seed: int = 11) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The order in which vectors are to be kept, and the levels' tables of neighbours from the lowest up.
+
+    Each vector draws a height; they are kept tallest first, so a level's nodes are the first of them. Levels are
+    built from the top: on each, every node is inserted by a search that begins where the level above has led it.
+    """
     n = len(vectors)
     height = np.random.default_rng(seed).geometric(1 - 1 / links, n) - 1
-    levels = []
-    level = 0
-    while level <= height.max(initial=0):
-        nodes = np.flatnonzero(height >= level).astype(np.int32)
-        local = _links(vectors[nodes], links, 2 * links if level == 0 else links)
-        levels.append((nodes, np.where(local >= 0, nodes[local], -1).astype(np.int32)))
-        if level == 0 and n:  # a part without links to others gets a node on the level above, from which it is found
-            part = _parts(local)
-            alone = np.setdiff1d(part, part[height > 0])
-            if len(alone) > 1 or (height > 0).any():
-                height[alone] = 1
-        level += 1
-    return levels
-
-
-def search_graph(vectors: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]], queries: np.ndarray, k: int, beam: int = BEAM, stride: int = 4) -> np.ndarray:
+    order = np.argsort(-height, kind="stable")
+    vectors = vectors[order]
+    norm = np.linalg.norm(vectors, axis=1, keepdims=True)
+    unit = vectors / np.where(norm > 0, norm, 1)
+    sizes = [int((height >= level).sum()) for level in range(int(height.max(initial=0)) + 1)]
+    tables: list[np.ndarray] = []
+    for level, size in reversed(list(enumerate(sizes))):
+        begin = np.concatenate([_descend(vectors, tables, vectors[at : at + BATCH], 8)[0] for at in range(0, size, BATCH)]) if tables else np.empty((size, 0), np.int32)
+        table = _insert(vectors[:size], unit[:size], begin, links, links * (2 if level == 0 else 1))
+        _join_parts(vectors[:size], table)
+        tables.insert(0, table)
+    return order, tables
+
+
+def _descend(vectors: np.ndarray, tables: list[np.ndarray], queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    """Search from the top level down, each level beginning where the one above ended; places and products."""
+    top = min(len(tables[-1]), FIRST)
+    found = _best(queries @ vectors[:top].T, ENTRIES).astype(np.int32)
+    for level in range(len(tables) - 1, -1, -1):
+        found, score = _beam(vectors[: len(tables[level])], tables[level], queries, found, beam if level == 0 else ENTRIES)
+    return found, score
+
+
+def search_graph(vectors: np.ndarray, tables: list[np.ndarray], queries: np.ndarray, k: int, beam: int = BEAM) -> np.ndarray:
     """Places of up to ``k`` nearest for each query, best first, -1 where there are fewer."""
-    n, q = len(vectors), len(queries)
-    # built in bulk, a cluster may have no link from outside: all nodes of the level above are scored, the best begin
-    top, table = levels[min(1, len(levels) - 1)][0], levels[0][1]
-    beam = min(max(beam, k), n)
-    begin = min(ENTRIES, beam, len(top))
-    near = queries @ vectors[top].T
-    pick = np.argpartition(-near, begin - 1, axis=1)[:, :begin]
-    ids = np.full((q, beam), -1, np.int32)
-    ids[:, :begin] = top[pick]
-    score = np.full((q, beam), -np.inf, np.float32)
-    score[:, :begin] = np.take_along_axis(near, pick, 1)
-    open_ = np.zeros((q, beam), bool)
-    open_[:, :begin] = True
-    seen = np.zeros((q, n + 1), bool)  # the last column stands for -1
-    seen[:, -1] = True
-    seen[np.arange(q)[:, None], ids[:, :begin]] = True
-    live = np.arange(q)
-    while len(live):
-        rank = np.where(open_[live], score[live], -np.inf)
-        step = min(stride, beam)
-        pick = np.argpartition(-rank, step - 1, axis=1)[:, :step]
-        is_open = np.take_along_axis(open_[live], pick, 1)
-        going = is_open.any(axis=1)
-        live, pick, is_open = live[going], pick[going], is_open[going]
-        if not len(live):
-            break
-        open_[live[:, None], pick] = False
-        around = table[np.where(is_open, ids[live[:, None], pick], 0)]
-        around = np.where(is_open[:, :, None], around, -1).reshape(len(live), -1)
-        around = np.sort(around, axis=1)
-        around[:, 1:][around[:, 1:] == around[:, :-1]] = -1
-        around = np.where(seen[live[:, None], around], -1, around)
-        seen[live[:, None], around] = True
-        near = np.einsum("qmd,qd->qm", vectors[around], queries[live])
-        near[around < 0] = -np.inf
-        all_ids = np.concatenate([ids[live], around], axis=1)
-        all_score = np.concatenate([score[live], near.astype(np.float32)], axis=1)
-        all_open = np.concatenate([open_[live], around >= 0], axis=1)
-        best = np.argpartition(-all_score, beam - 1, axis=1)[:, :beam]
-        ids[live] = np.take_along_axis(all_ids, best, 1)
-        score[live] = np.take_along_axis(all_score, best, 1)
-        open_[live] = np.take_along_axis(all_open, best, 1)
-    order = np.argsort(-score, axis=1, kind="stable")[:, :k]
-    out = np.take_along_axis(ids, order, 1)
-    return np.where(np.take_along_axis(score, order, 1) == -np.inf, -1, out)
+    found, score = _descend(vectors, tables, queries, max(beam, k))
+    return np.where(score == -np.inf, -1, found)[:, :k]
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -186,50 +251,158 @@ def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
     return first.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
 
 
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    """Directions in single precision; a vector too long or short for that is brought to size first."""
+    vectors = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    return (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).astype(np.float32)
+
+
+def centroids(sample: np.ndarray, cells: int, seed: int = 5) -> np.ndarray:
+    """Mean directions of ``cells`` groups of the sample."""
+    unit = np.unique(_unit(sample), axis=0)
+    c = unit[np.random.default_rng(seed).permutation(len(unit))[:cells]]
+    for _ in range(ROUNDS):
+        own = np.concatenate([np.argmax(unit[at : at + 4096] @ c.T, axis=1) for at in range(0, len(unit), 4096)])
+        sums = np.zeros_like(c)
+        np.add.at(sums, own, unit)
+        size = np.linalg.norm(sums, axis=1, keepdims=True)
+        c = np.where(size > 0, sums / np.where(size > 0, size, 1), c)
+    return c
+
+
+def _by_length(vectors: pd.Series, answer: Callable[[int, np.ndarray], list]) -> pd.Series:
+    """``answer(length, directions)`` for vectors of one length at a time, put back in their order."""
+    out = pd.Series([None] * len(vectors), dtype=object)
+    lengths = vectors.map(len)
+    for d in lengths.unique():
+        at = np.flatnonzero(lengths == d)
+        for i, x in zip(at, answer(int(d), _unit(np.stack(vectors.iloc[at].to_list())))):
+            out.iat[i] = x
+    return out
+
+
+def cell_of(router: dict[int, np.ndarray], v: str = "v") -> Column:
+    """The cell of each vector: its nearest centroid, of those for its length."""
+
+    @F.pandas_udf("int")
+    def cell(vectors: pd.Series) -> pd.Series:
+        return _by_length(vectors, lambda d, u: np.argmax(u @ router[d].T, axis=1).tolist() if d in router else [0] * len(u)).astype("int32")
+
+    return cell(v)
+
+
+def ranked(router: dict[int, np.ndarray], d: int, unit: np.ndarray) -> np.ndarray:
+    """Cells from the nearest to the furthest."""
+    return np.argsort(-(unit @ router[d].T), axis=1, kind="stable") if d in router else np.zeros((len(unit), 1), np.int64)
+
+
+def cells_of(router: dict[int, np.ndarray], probes: dict[int, int], v: str = "v") -> Column:
+    """The cells that each query sees."""
+
+    @F.pandas_udf("array<int>")
+    def cells(vectors: pd.Series) -> pd.Series:
+        return _by_length(vectors, lambda d, u: ranked(router, d, u)[:, : probes.get(d)].tolist())
+
+    return cells(v)
+
+
+def fit_router(rows: DataFrame, cells: int | None = None, sample_rows: int = SAMPLE_ROWS) -> dict[int, np.ndarray]:
+    """Centroids for each length of vectors, from ``sample_rows`` vectors on average."""
+    counts = {d: n for d, n in rows.groupBy(F.size("v")).count().collect()}
+    part = min(1.0, sample_rows / max(sum(counts.values()), 1))
+    picked = rows.where(F.pmod(F.xxhash64("v", F.lit(5)), F.lit(1_000_000)) < int(part * 1_000_000)).select("v").distinct()
+    by_length: dict[int, list] = {}
+    for (v,) in picked.collect():
+        by_length.setdefault(len(v), []).append(v)
+    return {d: centroids(np.array(vs, np.float64), cells or min(MOST_CELLS, max(LEAST_CELLS, -(-counts[d] // SHARD_ROWS)))) for d, vs in by_length.items()}
+
+
+def shards_to_see(placed: DataFrame, query_vectors: DataFrame, router: dict[int, np.ndarray], k: int, cover: float = COVER) -> dict[int, int]:
+    """For each length, how many cells hold ``cover`` of the answers of ``PROBED`` queries, found by brute force."""
+    some = query_vectors.orderBy(F.xxhash64("asked_id"), "asked_id").limit(PROBED).collect()
+    by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for d in {len(r["v"]) for r in some}:
+        mine = [r for r in some if len(r["v"]) == d]
+        by_length[d] = np.array([r["asked_id"] for r in mine]), np.array([r["v"] for r in mine], np.float64)
+
+    def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The k best of each query within a task."""
+        held = pd.DataFrame({"asked_id": np.empty(0, np.int64), "cell": np.empty(0, np.int32), "score": np.empty(0)})
+        for frame in frames:
+            lengths = frame["v"].map(len)
+            for d, (ids, q) in by_length.items():
+                mine = frame[lengths == d]
+                if len(mine):
+                    product = q @ np.stack(mine["v"].to_list()).T
+                    # the query itself, where no other row shares its vector
+                    first, alone = mine["first_id"].to_numpy(), mine["copies"].to_numpy() == 1
+                    product[(ids[:, None] == first[None, :]) & alone[None, :]] = -np.inf
+                    at = _best(product, k)
+                    score = np.take_along_axis(product, at, 1)
+                    new = pd.DataFrame({"asked_id": np.repeat(ids, at.shape[1]), "cell": mine["cell"].to_numpy()[at].ravel(), "score": score.ravel()})
+                    both = pd.concat([held, new[new["score"] > -np.inf]]).sort_values(["asked_id", "score"], ascending=[True, False])
+                    held = both.groupby("asked_id", sort=False).head(k)
+        yield held
+
+    each = placed.select("v", "cell", F.element_at("ids", 1).alias("first_id"), F.size("ids").alias("copies")).mapInPandas(best, "asked_id bigint, cell int, score double")
+    order = Window.partitionBy("asked_id").orderBy(F.desc("score"), "cell")
+    answers = each.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= k).select("asked_id", "cell").collect()
+    found: dict[int, list[int]] = {}
+    for r in answers:
+        found.setdefault(r["asked_id"], []).append(r["cell"])
+    probes = {}
+    for d, (ids, q) in by_length.items():
+        order_of = np.argsort(ranked(router, d, _unit(q)), axis=1)
+        ranks = np.array([order_of[i, c] for i, a in enumerate(ids.tolist()) for c in found.get(a, [])])
+        if len(ranks):
+            probes[d] = int(np.sort(ranks)[min(len(ranks), math.ceil(len(ranks) * cover)) - 1]) + 1
+    return probes
+
+
 def _pack(**arrays: np.ndarray) -> bytes:
     out = io.BytesIO()
     np.savez(out, **arrays)
     return out.getvalue()
 
 
-def shard_graphs(distinct: DataFrame, shards: int, links: int = LINKS) -> DataFrame:
-    """One row a shard and vector length: dim, shard, graph (flat arrays, packed)."""
+def shard_graphs(dealt: DataFrame, links: int = LINKS) -> DataFrame:
+    """One row a shard (dim, cell, sub): its graph, flat arrays packed."""
 
     def build(frame: pd.DataFrame) -> pd.DataFrame:
         vectors = np.stack(frame["v"].to_list()).astype(np.float64)
-        levels = build_graph(vectors.astype(np.float32), links)
-        lengths = np.array([len(x) for x in frame["ids"]], np.int64)
-        arrays = {f"nodes{i}": nodes for i, (nodes, _) in enumerate(levels)} | {f"links{i}": table for i, (_, table) in enumerate(levels)}
-        packed = _pack(vectors=vectors, ids=np.concatenate(frame["ids"].to_list()), ends=lengths.cumsum(), **arrays)
-        return pd.DataFrame({"dim": [vectors.shape[1]], "shard": [frame["shard"].iloc[0]], "graph": [packed]})
+        order, tables = build_graph(vectors.astype(np.float32), links)
+        ids = [frame["ids"].iat[i] for i in order.tolist()]
+        packed = _pack(vectors=vectors[order], ids=np.concatenate(ids), ends=np.array([len(x) for x in ids], np.int64).cumsum(), **{f"level{i}": t for i, t in enumerate(tables)})
+        return pd.DataFrame({"dim": [vectors.shape[1]], "cell": [frame["cell"].iat[0]], "sub": [frame["sub"].iat[0]], "graph": [packed]})
 
-    dealt = distinct.select(F.size("v").alias("dim"), F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int").alias("shard"), "v", "ids")
-    return dealt.groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, graph binary")
+    return dealt.groupBy("dim", "cell", "sub").applyInPandas(build, "dim int, cell int, sub int, graph binary")
 
 
-def nearest(vectors: DataFrame, k: int = 20, every: int = 20, shards: int | None = None, beam: int = BEAM, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 20, every: int = 20, cells: int | None = None, beam: int = BEAM, cover: float = COVER, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest by inner product of every row whose id is divisible by ``every``."""
     arrow_batches(vectors.sparkSession)
     rows = usable(vectors, id_col, vector_col)
-    distinct = checkpoint(distinct_vectors(rows, k))
+    router = fit_router(rows, cells)
+    placed = checkpoint(distinct_vectors(rows, k).select("v", "ids", F.size("v").alias("dim"), cell_of(router).alias("cell")))
     asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
     query_vectors = checkpoint(asked.groupBy("v").agg(F.min("vec_id").alias("asked_id")))
-    shards = shards or max(LEAST_SHARDS, -(-distinct.count() // SHARD_ROWS))
-    blocks = max(1, -(-query_vectors.count() // BLOCK))
-    graphs = checkpoint(shard_graphs(distinct, shards))
-    graphs = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    dealt = query_vectors.select(
-        "asked_id", "v", F.size("v").alias("dim"),
-        F.pmod(F.xxhash64("asked_id"), F.lit(blocks)).cast("int").alias("block"),
-        F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"),
+    probes = shards_to_see(placed, query_vectors, router, k, cover)
+    # MOST_CELLS rows at most for each length of vectors
+    splits = F.broadcast(placed.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / SHARD_ROWS).cast("int").alias("subs")))
+    sub = F.pmod(F.xxhash64("v"), F.col("subs")).cast("int").alias("sub")
+    graphs = checkpoint(shard_graphs(placed.join(splits, ["dim", "cell"]).select("dim", "cell", sub, "v", "ids")))
+    routed = query_vectors.select("asked_id", "v", F.size("v").alias("dim"), F.explode(cells_of(router, probes)).alias("cell"))
+    blocks = F.broadcast(routed.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")))
+    dealt = routed.join(splits, ["dim", "cell"]).join(blocks, ["dim", "cell"]).select(
+        "asked_id", "v", "dim", "cell", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"), F.pmod(F.xxhash64("asked_id"), F.col("blocks")).cast("int").alias("block")
     )
-    schema = T.StructType([T.StructField("asked_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())])
+    opened = graphs.join(blocks, ["dim", "cell"]).select("dim", "cell", "sub", "graph", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"asked_id": [], "vec_id": [], "score": []})
-        with np.load(io.BytesIO(left["graph"].iloc[0])) as packed:
-            levels = [(packed[f"nodes{i}"], packed[f"links{i}"]) for i in range(sum(name.startswith("nodes") for name in packed.files))]
+        with np.load(io.BytesIO(left["graph"].iat[0])) as packed:
+            tables = [packed[f"level{i}"] for i in range(sum(name.startswith("level") for name in packed.files))]
             exact, ids, ends = packed["vectors"], packed["ids"], packed["ends"]
         starts = np.concatenate([[0], ends[:-1]])
         coarse = exact.astype(np.float32)
@@ -237,7 +410,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, shards: int | None
         for low in range(0, len(right), 256):
             part = right.iloc[low : low + 256]
             q = np.stack(part["v"].to_list()).astype(np.float64)
-            found = search_graph(coarse, levels, q.astype(np.float32), k + 1, beam)
+            found = search_graph(coarse, tables, q.astype(np.float32), k + 1, beam)
             score = np.einsum("qkd,qd->qk", exact[found], q)
             for query, places, scores in zip(part["asked_id"].tolist(), found, score, strict=True):
                 ok = places >= 0
@@ -249,9 +422,9 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, shards: int | None
                 out.append((np.full(len(best), query), members[best], scores[best]))
         return pd.DataFrame({"asked_id": np.concatenate([x[0] for x in out]), "vec_id": np.concatenate([x[1] for x in out]), "score": np.concatenate([x[2] for x in out])})
 
-    key = ["dim", "shard", "block"]
-    found = graphs.groupBy(*key).cogroup(dealt.groupBy(*key)).applyInPandas(search, schema)
-    # a list for each distinct query vector holds shards * (k + 1) entries at most before it is cut
+    key = ["dim", "cell", "sub", "block"]
+    found = opened.groupBy(*key).cogroup(dealt.groupBy(*key)).applyInPandas(search, "asked_id bigint, vec_id bigint, score double")
+    # a list for each distinct query vector holds (k + 1) entries for each shard it saw, before it is cut
     merged = found.groupBy("asked_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id", "score"))).alias("found"))
     merged = merged.select("asked_id", F.slice("found", 1, k + 1).alias("found")).join(query_vectors, "asked_id").select("v", "found")
     answers = asked.join(merged, "v").select(F.col("vec_id").alias("query_id"), "found")
