@@ -1,6 +1,10 @@
+import re
+import statistics
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
@@ -9,10 +13,10 @@ from tidemark.plans.medallion import market
 from tidemark.sources import synthetic
 
 BRONZE = [
-    ("2024-01-01 00:05:00", "NSW1", "7500.5", "8000.0", "-200.5", "1"), ("2024-01-01 00:05:00", "VIC1", "5200.3", "5500.0", "150.2", "1"),
-    ("2024-01-01 00:05:00", "QLD1", "6100.8", "6800.0", "-50.5", "1"), (None, "SA1", "1800.0", "2000.0", "100.0", "1"),
-    ("2024-01-01 00:10:00", "NSW1", "7600.3", "8100.0", "-180.2", "2"), ("2024-01-01 00:10:00", "VIC1", "5300.1", "5600.0", "140.5", "2"),
-    ("2024-01-01 00:05:00", "INVALID", "-100", "0", "0", "1"),
+    ("2025-06-01 10:05:00", "NSW1", "8111.25", "9000.0", "-310.0", "1"), ("2025-06-01 10:05:00", "VIC1", "4987.5", "5150.0", "75.25", "1"),
+    ("2025-06-01 10:05:00", "QLD1", "6420.0", "7000.0", "-12.5", "1"), (None, "SA1", "1650.0", "1900.0", "44.0", "1"),
+    ("2025-06-01 10:10:00", "NSW1", "8222.75", "9100.0", "-290.0", "2"), ("2025-06-01 10:10:00", "VIC1", "5012.5", "5200.0", "80.0", "2"),
+    ("2025-06-01 10:05:00", "NOWHERE", "-7", "0", "0", "1"),
 ]
 BRONZE_SCHEMA = ", ".join(f"{n} string" for n in clean.REGION_SUM)
 
@@ -27,9 +31,9 @@ def test_golden_chain(spark, bronze):
     assert silver.count() == 5
     hourly = {r["region_id"]: r for r in market.build("gold_hourly", {"bronze_demand": bronze}).collect()}
     assert {k: v["interval_count"] for k, v in hourly.items()} == {"NSW1": 2, "VIC1": 2, "QLD1": 1}
-    assert hourly["NSW1"]["avg_demand"] == pytest.approx(7550.4) and hourly["NSW1"]["max_demand"] == 7600.3 and hourly["NSW1"]["min_demand"] == 7500.5
+    assert hourly["NSW1"]["avg_demand"] == pytest.approx(8167.0) and hourly["NSW1"]["max_demand"] == 8222.75 and hourly["NSW1"]["min_demand"] == 8111.25
     first = silver.where("region_id = 'NSW1'").orderBy("settlement_date").first()
-    assert first["demand_generation_ratio"] == pytest.approx(7500.5 / 8000)
+    assert first["demand_generation_ratio"] == pytest.approx(8111.25 / 9000)
     assert market.build("gold_hourly", {"bronze_demand": bronze.limit(0)}).count() == 0
     market.publish(spark, {"bronze_demand": bronze})
     assert spark.table("gold_daily").count() == 3
@@ -114,14 +118,17 @@ def test_as_of_boundary(spark):
 @given(st.lists(st.tuples(st.sampled_from("ab"), st.one_of(st.none(), st.integers(-5, 5))), min_size=1, max_size=30))
 def test_windows_against_plain_python(spark, series):
     rows = [(k, i, None if v is None else float(v)) for i, (k, v) in enumerate(series)]
-    df = spark.createDataFrame(rows, "k string, ts int, v double")
-    over = windows.ordered("k", "ts")
-    got = {r["ts"]: r for r in df.select("ts", F.lag("v", 2).over(over).alias("l"), windows.rolling("v", 3, over).alias("m"), windows.forward_fill("v", over).alias("f"), windows.fill_both_ways("v", over).alias("fb")).collect()}
+    df = spark.createDataFrame([(k, i * 40_000, v) for k, i, v in rows], "k string, ts int, v double").withColumn("id", F.col("ts"))
+    made = windows.in_chunks(df, "k", "ts", lambda over: {"l": F.lag("v", 2).over(over), "m": windows.rolling("v", 3, over)}, 3, chunk_rows=4)
+    filled = windows.fill(made.withColumn("w", F.col("v")), "k", "ts", {"v": "f", "w": "fb"}, both_ways=["w"])
+    got = {r["ts"]: r for r in filled.collect()}
+    assert len(got) == len(rows)
     for key in "ab":
         own = [(t, v) for k, t, v in rows if k == key]
         for i, (t, _) in enumerate(own):
             last = [v for _, v in own[max(0, i - 2) : i + 1]]
             known, later = [v for _, v in own[: i + 1] if v is not None], [v for _, v in own[i:] if v is not None]
+            t *= 40_000  # two or three rows a bucket of time
             assert got[t]["l"] == (own[i - 2][1] if i >= 2 else None)
             assert got[t]["m"] == (pytest.approx(sum(last) / 3) if len(last) == 3 and None not in last else None)
             assert got[t]["f"] == (known[-1] if known else None)
@@ -211,11 +218,45 @@ def test_exact_percentiles_of_few_and_many_groups(spark, few, accuracy):
 def test_chunks_equal_one_window(spark):
     df = synthetic.region_series(spark, 150, regions=("A", "B")).withColumn("id", F.monotonically_increasing_id())
     make = lambda over: {"l": F.lag("rrp", 12).over(over), "m": windows.rolling("rrp", 12, over)}
-    plain = df.withColumns(make(windows.ordered("region_id", "settlement_date", "id"))).select("region_id", "settlement_date", "l", "m")
+    plain = df.withColumns(make(Window.partitionBy("region_id").orderBy("settlement_date", "id"))).select("region_id", "settlement_date", "l", "m")
     cut = windows.in_chunks(df, "region_id", "settlement_date", make, 12, "id", chunk_rows=20, bucket="hour").select("region_id", "settlement_date", "l", "m")
     key = lambda r: (r["region_id"], r["settlement_date"])
     a, b = sorted(plain.collect(), key=key), sorted(cut.collect(), key=key)
     assert len(a) == len(b) == 300
     assert all(x["l"] == y["l"] and (x["m"] is None) == (y["m"] is None) and (x["m"] is None or abs(x["m"] - y["m"]) < 1e-9) for x, y in zip(a, b))
-    with pytest.raises(ValueError):
-        windows.in_chunks(df, "region_id", "settlement_date", make, 12, "id", chunk_rows=5)
+    assert windows.in_chunks(df, "region_id", "settlement_date", make, 12, "id", chunk_rows=5).count() == 300  # a chunk is as long as the look back
+
+
+def test_rows_without_entity_or_time_stay(spark):
+    df = spark.createDataFrame([("a", 1, 5.0), ("a", 2, 6.0), (None, 1, 7.0), (None, 2, 8.0), ("a", None, 9.0)], "k string, ts int, v double")
+    made = windows.in_chunks(df, "k", "ts", lambda over: {"l": F.lag("v", 1).over(over)}, 2)
+    assert sorted((str(r["k"]), str(r["ts"]), r["l"]) for r in made.collect()) == [("None", "1", None), ("None", "2", 7.0), ("a", "1", 9.0), ("a", "2", 5.0), ("a", "None", None)]
+    assert windows.temporal_split(df, "k", "ts").count() == 5 and windows.fill(df, "k", "ts", {"v": "v"}).count() == 5
+    stamped = df.withColumn("ts", F.timestamp_seconds("ts"))
+    out = windows.trailing(stamped, "k", "ts", {"n": ("count", "v", "00:00:10"), "m": ("avg", "v", "00:00:10")})
+    assert sorted((str(r["k"]), r["v"], r["n"], r["m"]) for r in out.collect()) == [("None", 7.0, 0, None), ("None", 8.0, 0, None), ("a", 5.0, 0, None), ("a", 6.0, 1, 5.0), ("a", 9.0, 0, None)]
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(st.sampled_from("ab"), st.integers(0, 400), st.one_of(st.none(), st.integers(-9, 9))), min_size=1, max_size=40), st.booleans(), st.sampled_from([None, 10, 30]))
+def test_trailing_against_plain_python(spark, series, current, bucket):
+    rows = [(i, k, t, None if v is None else v + 0.1) for i, (k, t, v) in enumerate(series)]
+    df = spark.createDataFrame(rows, "id int, k string, s int, v double").withColumn("ts", F.timestamp_seconds("s"))
+    measures = {f"{f}_{d[6:]}_{d[3:5]}": (f, "v", d) for f in ("count", "sum", "avg", "stddev_pop", "min", "max") for d in ("00:00:30", "00:01:30")}
+    got = {r["id"]: r for r in windows.trailing(df, "k", "ts", measures, current, bucket).collect()}
+    assert len(got) == len(rows)
+    for i, k, t, _ in rows:
+        for name, (f, _, d) in measures.items():
+            own = [v for _, j, u, v in rows if j == k and v is not None and t - windows.seconds(d) <= u and (u <= t if current else u < t)]
+            want = len(own) if f == "count" else None if not own else {"sum": sum(own), "avg": statistics.fmean(own), "stddev_pop": statistics.pstdev(own), "min": min(own), "max": max(own)}[f]
+            assert got[i][name] == (want if want is None else pytest.approx(want, abs=1e-9))
+
+
+def test_no_stage_has_as_few_tasks_as_entities(spark):
+    df = synthetic.region_series(spark, 300, regions=("A",)).withColumn("air_temp_c", F.lit(1.0))
+    for out in (features.load_features(df), features.price_features(df), features.minimal_features(df, "rrp"), features.training_set(df), windows.temporal_split(df, "region_id", "settlement_date"), joins.as_of(df, df, "region_id", "settlement_date", ["rrp"])):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        windowed = re.findall(r"Window \[.*?\], \[(.*?)\]", plan)
+        # a window over the entity alone is over days or buckets: below it stands the aggregate that makes them
+        for keys in windowed:
+            assert "," in keys or re.search(r"_e#|_lk#", keys), keys

@@ -5,8 +5,9 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 ColumnOrName = Column | str
 
@@ -149,6 +150,17 @@ def register_sql_functions(spark: SparkSession) -> None:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {signature} RETURNS {result} RETURN {body}")
 
 
+#: Steps of a bucket of a time that is a number.
+NUMBERS = 100_000
+
+
+def time_bucket(df: DataFrame, ts: str, bucket: str = "day") -> Column:
+    """The day (hour, ...) of a time; times that are numbers are cut into ranges of ``NUMBERS``."""
+    if isinstance(df.schema[ts].dataType, NumericType):
+        return F.floor(F.col(ts) / NUMBERS)
+    return F.date_trunc(bucket, F.col(ts))
+
+
 def register_python_scalar(spark: SparkSession, name: str, function, result: str) -> None:
     """A Python scalar function for SQL. Arrow moves its batches; an expression is faster where one exists."""
     spark.udf.register(name, F.udf(function, result, useArrow=True))

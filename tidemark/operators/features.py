@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions import columns as C
 from tidemark.operators import windows as W
@@ -23,8 +24,9 @@ def time_features(ts: str, month: bool = True) -> dict[str, Column]:
     return out | C.cyclical("hour", names["hour"], 24) | C.cyclical("dow", names["day_of_week"], 7)
 
 
-def _weather(df: DataFrame, names: Sequence[str], over) -> dict[str, Column]:
-    return {n: W.forward_fill(n, over) for n in names if n in df.columns}
+def _filled(df: DataFrame, entity: str, ts: str, names: Sequence[str], tie: str | None) -> DataFrame:
+    have = {n: n for n in names if n in df.columns}
+    return W.fill(df, entity, ts, have, tie) if have else df
 
 
 def load_features(df: DataFrame, entity: str = "region_id", ts: str = "settlement_date", lag_steps: Sequence[int] = LOAD_LAGS, day_rows: int = DAY, drop: bool = True, tie: str | None = None) -> DataFrame:
@@ -32,66 +34,70 @@ def load_features(df: DataFrame, entity: str = "region_id", ts: str = "settlemen
 
     With ``drop`` incomplete rows go, as a model can't use them.
     """
-    over = W.ordered(entity, ts, *([tie] if tie else []))
-    added = time_features(ts) | _weather(df, WEATHER, over) | W.lags("total_demand_mw", lag_steps, over, "demand")
-    added |= {
-        "demand_rolling_1h_mean": W.rolling("total_demand_mw", HOUR, over),
-        "demand_rolling_1h_std": W.rolling("total_demand_mw", HOUR, over, "stddev"),
-        "demand_rolling_1d_mean": W.rolling("total_demand_mw", day_rows, over),
-        "rrp_lag_1": F.lag("rrp", 1).over(over),
-        "rrp_rolling_1h_mean": W.rolling("rrp", HOUR, over),
-    }
+
+    def make(over):
+        return W.lags("total_demand_mw", lag_steps, over, "demand") | {
+            "demand_rolling_1h_mean": W.rolling("total_demand_mw", HOUR, over),
+            "demand_rolling_1h_std": W.rolling("total_demand_mw", HOUR, over, "stddev"),
+            "demand_rolling_1d_mean": W.rolling("total_demand_mw", day_rows, over),
+            "rrp_lag_1": F.lag("rrp", 1).over(over),
+            "rrp_rolling_1h_mean": W.rolling("rrp", HOUR, over),
+        }
+
+    out = W.in_chunks(df, entity, ts, make, max(*lag_steps, day_rows, HOUR), tie)
+    out = _filled(out, entity, ts, WEATHER, tie).withColumns(time_features(ts))
     if "demand_forecast_mw" in df.columns:
-        added["published_forecast_error"] = F.col("demand_forecast_mw") - F.col("total_demand_mw")
-    out = df.withColumns(added)
+        out = out.withColumn("published_forecast_error", F.col("demand_forecast_mw") - F.col("total_demand_mw"))
     return out.dropna() if drop else out
 
 
 def price_features(df: DataFrame, entity: str = "region_id", ts: str = "settlement_date", drop: bool = True, tie: str | None = None) -> DataFrame:
     """L2: supply margin and its history, demand, generation, interchange, price momentum."""
-    over = W.ordered(entity, ts, *([tie] if tie else []))
-    gap = F.col("available_generation_mw") - F.col("total_demand_mw")
-    added = {"supply_margin_mw": gap} | W.lags("total_demand_mw", (1, 12), over, "demand")
-    added |= {
-        "demand_rolling_1h_mean": W.rolling("total_demand_mw", HOUR, over),
-        "gen_lag_1": F.lag("available_generation_mw", 1).over(over),
-        "margin_lag_1": F.lag(gap, 1).over(over),
-        "margin_rolling_1h_mean": W.rolling(gap, HOUR, over),
-        "margin_rolling_1h_min": W.rolling(gap, HOUR, over, "min"),
-        "interchange_lag_1": F.lag("net_interchange_mw", 1).over(over),
-        "interchange_rolling_1h": W.rolling("net_interchange_mw", HOUR, over),
-    }
-    added |= W.lags("rrp", PRICE_LAGS, over, "rrp")
-    added |= {"rrp_rolling_1h_mean": W.rolling("rrp", HOUR, over), "rrp_rolling_1h_std": W.rolling("rrp", HOUR, over, "stddev"), "rrp_rolling_1h_max": W.rolling("rrp", HOUR, over, "max")}
+
+    def make(over):
+        added = W.lags("total_demand_mw", (1, 12), over, "demand") | {
+            "demand_rolling_1h_mean": W.rolling("total_demand_mw", HOUR, over),
+            "gen_lag_1": F.lag("available_generation_mw", 1).over(over),
+            "margin_lag_1": F.lag("supply_margin_mw", 1).over(over),
+            "margin_rolling_1h_mean": W.rolling("supply_margin_mw", HOUR, over),
+            "margin_rolling_1h_min": W.rolling("supply_margin_mw", HOUR, over, "min"),
+            "interchange_lag_1": F.lag("net_interchange_mw", 1).over(over),
+            "interchange_rolling_1h": W.rolling("net_interchange_mw", HOUR, over),
+        }
+        added |= W.lags("rrp", PRICE_LAGS, over, "rrp")
+        return added | {"rrp_rolling_1h_mean": W.rolling("rrp", HOUR, over), "rrp_rolling_1h_std": W.rolling("rrp", HOUR, over, "stddev"), "rrp_rolling_1h_max": W.rolling("rrp", HOUR, over, "max")}
+
+    rows = df.withColumn("supply_margin_mw", F.col("available_generation_mw") - F.col("total_demand_mw"))
     if "demand_forecast_mw" in df.columns:
-        added["demand_forecast_error"] = F.col("demand_forecast_mw") - F.col("total_demand_mw")
-    added |= _weather(df, ("air_temp_c", "wind_speed_kmh"), over) | time_features(ts, month=False)
-    out = df.withColumns(added)
+        rows = rows.withColumn("demand_forecast_error", F.col("demand_forecast_mw") - F.col("total_demand_mw"))
+    out = W.in_chunks(rows, entity, ts, make, max(*PRICE_LAGS, HOUR), tie)
+    out = _filled(out, entity, ts, ("air_temp_c", "wind_speed_kmh"), tie).withColumns(time_features(ts, month=False))
     return out.dropna() if drop else out
 
 
 def minimal_features(df: DataFrame, target: str, entity: str = "region_id", ts: str = "settlement_date", tie: str | None = None) -> DataFrame:
     """L3: calendar, one lag, one rolling mean, gaps filled both ways."""
-    over = W.ordered(entity, ts, *([tie] if tie else []))
-    first = df.withColumns(C.calendar(ts) | {f"{target}_lag_1": F.lag(target, 1).over(over), f"{target}_rolling_12": F.avg(target).over(over.rowsBetween(-11, 0))})
-    return first.withColumns({f"{target}_lag_1": W.fill_both_ways(f"{target}_lag_1", over)})
+    lag = f"{target}_lag_1"
+    first = W.in_chunks(df, entity, ts, lambda over: {lag: F.lag(target, 1).over(over), f"{target}_rolling_12": F.avg(target).over(over.rowsBetween(-11, 0))}, 12, tie)
+    return W.fill(first, entity, ts, {lag: lag}, tie, [lag]).withColumns(C.calendar(ts))
 
 
 def simple_features(df: DataFrame, target: str, entity: str = "region_id", ts: str = "settlement_date", steps: Sequence[int] = (1, 2, 3, 6, 12, 24, 48), tie: str | None = None) -> DataFrame:
     """L4: lags, rolling mean over 12 rows, month around the circle."""
-    over = W.ordered(entity, ts, *([tie] if tie else []))
-    return df.withColumns(W.lags(target, steps, over, target) | {f"{target}_rolling_mean_12": W.rolling(target, 12, over)} | C.cyclical("month", F.month(ts), 12))
+    made = W.in_chunks(df, entity, ts, lambda over: W.lags(target, steps, over, target) | {f"{target}_rolling_mean_12": W.rolling(target, 12, over)}, max(*steps, 12), tie)
+    return made.withColumns(C.cyclical("month", F.month(ts), 12))
 
 
 def adaptive_features(df: DataFrame, entity: str = "region_id", ts: str = "settlement_date", tie: str | None = None) -> DataFrame:
     """L1 + W12: only the lags and rolling means that every entity's history allows."""
-    steps = W.affordable(df, entity, LOAD_LAGS)
-    over = W.ordered(entity, ts, *([tie] if tie else []))
-    added = W.lags("total_demand_mw", steps, over, "demand")
-    for n, name in ((HOUR, "1h"), (DAY, "1d")):
-        if W.affordable(df, entity, (n,)):
-            added[f"demand_rolling_{name}_mean"] = W.rolling("total_demand_mw", n, over)
-    return df.withColumns(time_features(ts) | added)
+    allowed = W.affordable(df, entity, sorted({*LOAD_LAGS, HOUR, DAY}))
+    means = {name: n for n, name in ((HOUR, "1h"), (DAY, "1d")) if n in allowed}
+
+    def make(over):
+        return W.lags("total_demand_mw", [k for k in LOAD_LAGS if k in allowed], over, "demand") | {f"demand_rolling_{name}_mean": W.rolling("total_demand_mw", n, over) for name, n in means.items()}
+
+    made = W.in_chunks(df, entity, ts, make, max(allowed, default=1), tie) if allowed else df
+    return made.withColumns(time_features(ts))
 
 
 #: The declared features (function, column, duration).
@@ -113,10 +119,29 @@ TRAINING_FEATURES: Mapping[str, tuple[str, str, str]] = {
 }
 
 
-def training_set(df: DataFrame, threshold: float = 300, entity: str = "region_id", ts: str = "settlement_date", bucketed: bool = False) -> DataFrame:
-    """Labels and features as of just before each row. ``bucketed``: for few entities with long histories."""
-    frames = W.trailing_bucketed if bucketed else W.trailing
-    return frames(df.withColumn("is_spike", F.when(F.col("rrp") > threshold, 1).otherwise(0)), entity, ts, dict(TRAINING_FEATURES))
+def labelled(df: DataFrame, threshold: float = 300) -> DataFrame:
+    return df.withColumn("is_spike", F.when(F.col("rrp") > threshold, 1).otherwise(0))
+
+
+def training_set(df: DataFrame, threshold: float = 300, entity: str = "region_id", ts: str = "settlement_date") -> DataFrame:
+    """Labels and features as of just before each row."""
+    return W.trailing(labelled(df, threshold), entity, ts, TRAINING_FEATURES)
+
+
+def scoring_set(new: DataFrame, history: DataFrame, entity: str = "region_id", ts: str = "settlement_date", measures: Mapping[str, tuple[str, str, str]] = TRAINING_FEATURES) -> DataFrame:
+    """New rows with the declared features as of just before each, from the history and the new rows before it.
+
+    Only as much of the history is read as the longest frame reaches back from the first new row.
+    """
+    reach = max(W.seconds(d) for _, _, d in measures.values())
+    first = new.agg(F.min(ts)).first()[0]
+    columns = list(dict.fromkeys([entity, ts, *[c for _, c, _ in measures.values()]]))
+    if first is None:
+        past = history.limit(0)
+    else:
+        past = history.where((F.col(ts) >= F.lit(first) - F.make_dt_interval(secs=F.lit(reach))) & (F.col(ts) < F.lit(first)))
+    rows = past.select(*columns, F.lit(None).cast(T.StructType(new.schema.fields)).alias("_new")).unionByName(new.select(*columns, F.struct("*").alias("_new")))
+    return W.trailing(rows, entity, ts, measures).where(F.col("_new").isNotNull()).select("_new.*", *measures)
 
 
 def save_features(df: DataFrame, table: str, mode: str = "overwrite") -> None:

@@ -76,18 +76,28 @@ def above_group_percentile(df: DataFrame, key: str, value: str, share: float = 0
     return df.join(exact_percentiles(df, key, value, {name: share}), key).where(F.col(value) > F.col(name))
 
 
-def as_of(left: DataFrame, right: DataFrame, key: str, ts: str, values: Sequence[str], include_current: bool = False) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, key: str, ts: str, values: Sequence[str], include_current: bool = False, bucket: str = "day") -> DataFrame:
     """Each left row with the last right row of its key before its time (or up to it).
 
-    Both sides are put into one sorted sequence for each key; the last right row seen so far is carried along.
-    Right rows at the same time come before the left row only if ``include_current``. One shuffle, no range join.
+    Both sides are put into one sorted sequence for each key and bucket of time; the last right row seen so far is
+    carried along, and from bucket to bucket: a window over a key holds one row a bucket. One shuffle of the rows, no
+    range join. Right rows at the same time come before the left row only if ``include_current``. Left rows without
+    a key or time find nothing.
     """
     carried = F.struct(F.col(ts).alias("ts"), *values)
-    rows = left.select(key, F.col(ts).alias("_ts"), F.lit(1).alias("_side"), F.struct("*").alias("_left"), F.lit(None).cast(right.select(carried.alias("c")).schema["c"].dataType).alias("_right"))
-    facts = right.where(F.col(ts).isNotNull()).select(key, F.col(ts).alias("_ts"), F.lit(0 if include_current else 2).alias("_side"), F.lit(None).cast(rows.schema["_left"].dataType).alias("_left"), carried.alias("_right"))
-    w = Window.partitionBy(key).orderBy("_ts", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    seen = rows.unionByName(facts).withColumn("_last", F.last("_right", ignorenulls=True).over(w)).where(F.col("_left").isNotNull())
-    return seen.select("_left.*", F.col("_last.ts").alias("as_of_time"), *[F.col(f"_last.{v}").alias(f"as_of_{v}") for v in values])
+    kind = right.select(carried.alias("c")).schema["c"].dataType
+    rows = left.select(F.col(key).alias("_k"), F.col(ts).alias("_ts"), F.lit(1).alias("_side"), F.struct("*").alias("_left"), F.lit(None).cast(kind).alias("_right"))
+    facts = right.where(F.col(ts).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.col(ts).alias("_ts"), F.lit(0 if include_current else 2).alias("_side"), F.lit(None).cast(rows.schema["_left"].dataType).alias("_left"), carried.alias("_right"))
+    both = rows.unionByName(facts)
+    both = both.withColumn("_b", C.time_bucket(both, "_ts", bucket))
+    last = both.groupBy(F.col("_k").alias("_lk"), F.col("_b").alias("_lb")).agg(F.max_by("_right", F.when(F.col("_right").isNotNull(), F.col("_ts"))).alias("_last"))
+    earlier = Window.partitionBy("_lk").orderBy("_lb").rowsBetween(Window.unboundedPreceding, -1)
+    before = last.select("_lk", "_lb", F.last("_last", ignorenulls=True).over(earlier).alias("_before"))
+    inside = Window.partitionBy("_k", "_b").orderBy("_ts", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    met = both.join(before, F.col("_k").eqNullSafe(F.col("_lk")) & F.col("_b").eqNullSafe(F.col("_lb")))
+    seen = met.withColumn("_found", F.coalesce(F.last("_right", ignorenulls=True).over(inside), "_before")).where(F.col("_left").isNotNull())
+    found = F.when(F.col("_k").isNotNull() & F.col("_ts").isNotNull(), F.col("_found"))
+    return seen.select("_left", found.alias("_found")).select("_left.*", F.col("_found.ts").alias("as_of_time"), *[F.col(f"_found.{v}").alias(f"as_of_{v}") for v in values])
 
 
 def with_errors(predictions: DataFrame, actuals: DataFrame, keys: Sequence[str], predicted: str, actual: str) -> DataFrame:

@@ -1,20 +1,26 @@
-"""Window features (W1-W12): lags, rolling and range frames, fills, temporal splits."""
+"""Window features (W1-W12): lags, rolling and range frames, fills, temporal splits.
+
+Entities may be few and their histories long, so no window here is over an entity alone. Row frames run over chunks of
+an entity's rows, numbered by counting days first; time frames are put together from whole buckets of time and the parts
+of two; fills carry one value from day to day. What is windowed over an entity is a row for each day or bucket only.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+import math
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from tidemark.functions import columns as C
 
-def ordered(entity: str | Sequence[str], ts: str, *tie: str) -> WindowSpec:
-    keys = [entity] if isinstance(entity, str) else list(entity)
-    return Window.partitionBy(*keys).orderBy(ts, *tie)
+#: Rows of an entity that one task sees at once.
+CHUNK_ROWS = 20_000
 
 
-def lags(value: str, steps: Iterable[int], over: WindowSpec, name: str) -> dict[str, Column]:
+def lags(value: Column | str, steps: Iterable[int], over: WindowSpec, name: str) -> dict[str, Column]:
     """W5."""
     return {f"{name}_lag_{k}": F.lag(value, k).over(over) for k in steps}
 
@@ -26,44 +32,175 @@ def rolling(value: Column | str, n: int, over: WindowSpec, function: str = "avg"
     return F.when(F.count(v).over(frame) == n, getattr(F, function)(v).over(frame))
 
 
-def forward_fill(value: str, over: WindowSpec) -> Column:
-    """W7."""
-    return F.last(value, ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, 0))
+def _same(left: Sequence[str], right: Sequence[str]) -> Column:
+    both = [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(left, right, strict=True)]
+    return both[0] & both[1] if len(both) == 2 else both[0]
 
 
-def fill_both_ways(value: str, over: WindowSpec) -> Column:
-    """Forward, then backward for what comes before the first value."""
-    return F.coalesce(forward_fill(value, over), F.first(value, ignorenulls=True).over(over.rowsBetween(0, Window.unboundedFollowing)))
+def numbered(df: DataFrame, entity: str, ts: str, tie: str | None = None, bucket: str = "day") -> DataFrame:
+    """Rows with ``_at``, their place among their entity's rows by time from 0, and ``_total``, how many it has.
 
+    Rows of a bucket of time are numbered there; what lies before it comes from the counts of buckets.
+    """
+    rows = df.withColumn("_bucket", C.time_bucket(df, ts, bucket))
+    whole = Window.partitionBy("_e").orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    earlier = Window.partitionBy("_e").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(F.col(entity).alias("_e"), F.col("_bucket").alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+    offsets = counts.select("_e", "_b", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"), F.sum("_n").over(whole).alias("_total"))
+    inside = F.row_number().over(Window.partitionBy(entity, "_bucket").orderBy(ts, *([tie] if tie else [])))
+    placed = rows.withColumn("_rn", inside).join(offsets, _same([entity, "_bucket"], ["_e", "_b"]))
+    return placed.withColumn("_at", F.col("_before") + F.col("_rn") - 1).drop("_bucket", "_rn", "_e", "_b", "_before")
 
-def trailing(df: DataFrame, entity: str, ts: str, measures: dict[str, tuple[str, str, str]], include_current: bool = False) -> DataFrame:
-    """Measures over the time before each row, ``{name: (function, column, 'hours:minutes:seconds')}``.
 
-    A row sees what lies in [t - duration, t): nothing of its own time, unless ``include_current``. Frames of one
-    duration share a window.
+def in_chunks(df: DataFrame, entity: str, ts: str, make: Callable[[WindowSpec], Mapping[str, Column]], lookback: int, tie: str | None = None, chunk_rows: int = CHUNK_ROWS, bucket: str = "day") -> DataFrame:
+    """Columns of a window that looks back ``lookback`` rows at most.
+
+    Rows of an entity are cut into chunks of equal length. The last rows of a chunk are copied to the next one, where
+    they are seen but not given back. So a task holds a chunk, and the result is that of one window over the entity.
     """
-    end = "CURRENT ROW" if include_current else "INTERVAL '0 00:00:00.000001' DAY TO SECOND PRECEDING"
-    frames = [f"{f}({c}) OVER (PARTITION BY {entity} ORDER BY {ts} RANGE BETWEEN INTERVAL '{_day_time(d)}' DAY TO SECOND PRECEDING AND {end}) AS {n}" for n, (f, c, d) in measures.items()]
-    return df.selectExpr("*", *frames)
+    chunk_rows = max(chunk_rows, lookback)
+    placed = numbered(df, entity, ts, tie, bucket).drop("_total").withColumn("_own", F.floor(F.col("_at") / chunk_rows))
+    tail = F.col("_at") % chunk_rows >= chunk_rows - lookback
+    dealt = placed.withColumn("_chunk", F.explode(F.when(tail, F.array("_own", F.col("_own") + 1)).otherwise(F.array("_own"))))
+    made = dealt.withColumns(dict(make(Window.partitionBy(entity, "_chunk").orderBy("_at"))))
+    return made.where("_own = _chunk").drop("_at", "_own", "_chunk")
 
 
-def _day_time(duration: str) -> str:
-    hours, minutes, seconds = (int(x) for x in duration.split(":"))
-    return f"{hours // 24} {hours % 24:02d}:{minutes:02d}:{seconds:02d}"
+def fill(df: DataFrame, entity: str, ts: str, names: Mapping[str, str], tie: str | None = None, both_ways: Sequence[str] = (), bucket: str = "day") -> DataFrame:
+    """``names`` maps a column to its filled form: the last value so far; for those in ``both_ways``, what comes
+    before the first value takes that.
 
+    The last (and first) value of each day of an entity is carried to the days after (and before); within a day the
+    rows' own values come first.
+    """
+    rows = df.withColumn("_bucket", C.time_bucket(df, ts, bucket))
+    order = [F.col(ts), *([F.col(tie)] if tie else [])]
+    found = []
+    for i, c in enumerate(names):
+        known, at = F.col(c).isNotNull(), F.struct(*order)
+        found.append(F.max_by(F.col(c), F.when(known, at)).alias(f"_last{i}"))
+        if c in both_ways:
+            found.append(F.min_by(F.col(c), F.when(known, at)).alias(f"_first{i}"))
+    days = rows.groupBy(F.col(entity).alias("_e"), F.col("_bucket").alias("_b")).agg(*found)
+    over = Window.partitionBy("_e").orderBy("_b")
+    carried = [F.last(f"_last{i}", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_before{i}") for i in range(len(names))]
+    carried += [F.first(f"_first{i}", ignorenulls=True).over(over.rowsBetween(1, Window.unboundedFollowing)).alias(f"_after{i}") for i, c in enumerate(names) if c in both_ways]
+    joined = rows.join(days.select("_e", "_b", *carried), _same([entity, "_bucket"], ["_e", "_b"]))
+    inside = Window.partitionBy(entity, "_bucket").orderBy(*order)
+    out = {}
+    for i, (c, name) in enumerate(names.items()):
+        ways = [F.last(c, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)), F.col(f"_before{i}")]
+        if c in both_ways:
+            ways += [F.first(c, ignorenulls=True).over(inside.rowsBetween(0, Window.unboundedFollowing)), F.col(f"_after{i}")]
+        out[name] = F.coalesce(*ways)
+    return joined.withColumns(out).drop("_bucket", "_e", "_b", *[f"_before{i}" for i in range(len(names))], *[f"_after{i}" for i in range(len(names))])
+
+
+def seconds(duration: str) -> int:
+    """Of 'hours:minutes:seconds'."""
+    h, m, s = map(int, duration.split(":"))
+    return 3600 * h + 60 * m + s
+
+
+#: What each function of a time frame needs to know of a part of it.
+_NEEDS = {"count": ("n",), "sum": ("n", "mean"), "avg": ("n", "mean"), "stddev_pop": ("n", "mean", "m2"), "min": ("mn",), "max": ("mx",)}
+
+
+def _part(value: str, need: Sequence[str], over: WindowSpec | None = None) -> list[Column]:
+    """Count, mean, sum of squares about it, least and most of a part."""
+    made = {"n": F.count(value), "mean": F.avg(value), "v": F.var_pop(value), "mn": F.min(value), "mx": F.max(value)}
+    if over is not None:
+        made = {k: c.over(over) for k, c in made.items()}
+    made["m2"] = made["v"] * made["n"]
+    return [made[k].alias(k) for k in need]
+
+
+def _summed(parts: Column, need: Sequence[str]) -> Column:
+    """A list of parts as one part."""
+    n = F.aggregate(parts, F.lit(0).cast("bigint"), lambda s, p: s + p["n"]) if "n" in need else F.lit(0)
+
+    def made(mean: Column) -> Column:
+        squares = F.aggregate(parts, F.lit(0.0), lambda s, p: s + F.coalesce(p["m2"] + p["n"] * F.pow(p["mean"] - mean, 2), F.lit(0.0))) if "m2" in need else None
+        each = {"n": n, "mean": mean, "m2": squares, "mn": F.array_min(F.transform(parts, lambda p: p["mn"])) if "mn" in need else None, "mx": F.array_max(F.transform(parts, lambda p: p["mx"])) if "mx" in need else None}
+        return F.struct(*[each[x].alias(x) for x in need])
+
+    if "mean" not in need:
+        return made(F.lit(None))
+    mean = F.aggregate(parts, F.lit(0.0), lambda s, p: s + F.coalesce(p["n"] * p["mean"], F.lit(0.0))) / F.nullif(n, F.lit(0))
+    return F.transform(F.array(mean), made)[0]
+
+
+def _together(parts: list[Column], function: str) -> Column:
+    """A measure of parts that lie apart; sums of squares are put together about the common mean."""
+    if function in ("min", "max"):
+        values = [p["mn" if function == "min" else "mx"] for p in parts]
+        return F.least(*values) if function == "min" else F.greatest(*values)
+    counts = [F.coalesce(p["n"], F.lit(0)) for p in parts]
+    n = sum(counts[1:], counts[0])
+    if function == "count":
+        return n
+    sums = [F.coalesce(p["mean"], F.lit(0.0)) * c for p, c in zip(parts, counts)]
+    total = sum(sums[1:], sums[0])
+    if function == "sum":
+        return F.when(n > 0, total)
+    if function == "avg":
+        return F.when(n > 0, total / n)
+    mean = total / n
+    squares = [F.coalesce(p["m2"] + c * F.pow(p["mean"] - mean, 2), F.lit(0.0)) for p, c in zip(parts, counts)]
+    return F.when(n > 0, F.sqrt(sum(squares[1:], squares[0]) / n))
+
+
+def trailing(df: DataFrame, entity: str, ts: str, measures: Mapping[str, tuple[str, str, str]], include_current: bool = False, bucket_seconds: int | None = None) -> DataFrame:
+    """Measures over the time before each row, ``{name: (function, column, 'hours:minutes:seconds')}``.
 
-def trailing_bucketed(df: DataFrame, entity: str, ts: str, measures: dict[str, tuple[str, str, str]], include_current: bool = False) -> DataFrame:
-    """The same for few entities with long histories: each day of an entity is a partition of its own.
+    A row sees what lies in [t - duration, t): nothing of its own time, unless ``include_current``. Functions are
+    count, sum, avg, stddev_pop, min and max. Rows without an entity or time have nulls (a count of none).
 
-    A row is copied to the following days that its longest frame reaches into, and dropped there once the
-    frames are computed, so parallelism follows the days and not the entities.
+    Time is cut into buckets that divide every duration, so a frame is the end of one bucket, whole buckets, and the
+    beginning of another. Beginnings and ends are running figures within a bucket, found at the row's time and at the
+    time a duration before it; whole buckets are summed over one row each. The work is that of the rows, however long
+    the frames are, and a task holds a bucket of an entity.
     """
-    seconds = max(sum(int(x) * f for x, f in zip(d.split(":"), (3600, 60, 1), strict=True)) for _, _, d in measures.values())
-    reach = -(-seconds // 86400)
-    day = F.to_date(ts)
-    padded = df.withColumn("_own", day).withColumn("_day", F.explode(F.transform(F.sequence(F.lit(0), F.lit(reach)), lambda i: F.date_add(day, i))))
-    keyed = padded.withColumn("_entity_day", F.struct(F.col(entity), F.col("_day")))
-    return trailing(keyed, "_entity_day", ts, measures, include_current).where("_own = _day").drop("_own", "_day", "_entity_day")
+    lengths = sorted({seconds(d) for _, _, d in measures.values()})
+    width = bucket_seconds or math.gcd(*lengths)
+    if any(d % width for d in lengths):
+        raise ValueError("a bucket has to divide every duration")
+    columns = list(dict.fromkeys(c for _, c, _ in measures.values()))
+    need = {c: list(dict.fromkeys(x for f, col, _ in measures.values() if col == c for x in _NEEDS[f])) for c in columns}
+    micros, span = 1_000_000, width * 1_000_000
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    rows = df.where(F.col(entity).isNotNull() & F.col(ts).isNotNull()).select(F.col(entity).alias("_e"), at.alias("_t"), *[F.col(c).alias(f"_v{i}") for i, c in enumerate(columns)])
+    values = [f"_v{i}" for i in range(len(columns))]
+    times = rows.select("_e", "_t").distinct()
+    # one row a bucket, and for each duration the whole buckets before it
+    whole = rows.groupBy("_e", F.floor(F.col("_t") / span).alias("_b")).agg(*[F.struct(*_part(v, need[c])).alias(v) for v, c in zip(values, columns)])
+
+    reach = {i: [d for d in lengths if d > width and any(col == c and seconds(x) == d for _, col, x in measures.values())] for i, c in enumerate(columns)}
+    lists = [(i, d, f"_m{i}_{d}") for i in reach for d in reach[i]]
+    back = {d: Window.partitionBy("_e").orderBy("_b").rangeBetween(-(d // width - 1), -1) for d in lengths if d > width}
+    middle = whole.select(F.col("_e").alias("_me"), F.col("_b").alias("_mb"), *[F.collect_list(values[i]).over(back[d]).alias(m) for i, d, m in lists])
+    middle = middle.select("_me", "_mb", *[_summed(F.col(m), need[columns[i]]).alias(m) for i, d, m in lists])
+    # rows, and each time with the times that its frames begin at, meet in their buckets
+    asked = times.select("_e", F.col("_t").alias("_origin"), F.explode(F.array(*[F.lit(d).cast("bigint") for d in (0, *lengths)])).alias("_d"))
+    asked = asked.select("_e", (F.col("_origin") - F.col("_d") * micros).alias("_t"), "_origin", "_d")
+    met = rows.unionByName(asked, allowMissingColumns=True).withColumn("_b", F.floor(F.col("_t") / span))
+    since = Window.partitionBy("_e", "_b").orderBy("_t").rangeBetween(Window.unboundedPreceding, 0 if include_current else -1)
+    until = Window.partitionBy("_e", "_b").orderBy(F.desc("_t")).rangeBetween(Window.unboundedPreceding, 0)
+    running = met.select("_e", "_b", "_t", "_origin", "_d", *[F.struct(*_part(v, need[c], since)).alias(f"_s{i}") for i, (v, c) in enumerate(zip(values, columns))], *[F.struct(*_part(v, need[c], until)).alias(f"_u{i}") for i, (v, c) in enumerate(zip(values, columns))])
+    found = running.where(F.col("_origin").isNotNull()).join(middle, _same(["_e", "_b"], ["_me", "_mb"]), "left")
+    own, asked_of = F.col("_d") == 0, sorted({(columns.index(c), seconds(d)) for _, c, d in measures.values()})
+    gathered = found.groupBy("_e", "_origin").agg(
+        *[F.max_by(f"_s{i}", F.when(own, 1)).alias(f"_s{i}") for i in range(len(columns))],
+        *[F.max_by(m, F.when(own, 1)).alias(m) for _, _, m in lists],
+        *[F.max_by(f"_u{i}", F.when(F.col("_d") == d, 1)).alias(f"_u{i}_{d}") for i, d in asked_of],
+    )
+    figures = []
+    for name, (f, c, d) in measures.items():
+        i, d = columns.index(c), seconds(d)
+        figures.append(_together([F.col(x) for x in (f"_u{i}_{d}", *([f"_m{i}_{d}"] if d > width else []), f"_s{i}")], f).alias(name))
+    results = gathered.select(F.col("_e").alias("_re"), F.col("_origin").alias("_rt"), *figures)
+    out = df.withColumn("_t", at).join(results, (F.col(entity) == F.col("_re")) & (F.col("_t") == F.col("_rt")), "left").drop("_t", "_re", "_rt")
+    return out.withColumns({n: F.coalesce(n, F.lit(0)) for n, (f, _, _) in measures.items() if f == "count"})
 
 
 def tumbling(df: DataFrame, entity: str, ts: str, value: str, duration: str = "1 hour") -> DataFrame:
@@ -81,32 +218,10 @@ def sliding(df: DataFrame, entity: str, ts: str, value: str, duration: str, slid
     return out.select(entity, F.col("w.start").cast("timestamp_ntz").alias("window_start"), "window_avg", "window_n")
 
 
-def in_chunks(df: DataFrame, entity: str, ts: str, make: Callable[[WindowSpec], dict[str, Column]], lookback: int, tie: str, chunk_rows: int = 500_000, bucket: str = "day") -> DataFrame:
-    """W5, W6 for few entities with long histories: columns of a window that looks back ``lookback`` rows at most.
-
-    Rows of an entity are numbered by counting buckets of time first, then cut into chunks of equal length. The last
-    rows of a chunk are copied to the next one, where they are seen but not given back. So a task holds a chunk, and
-    the result is that of one window over the entity. Rows without an entity or a time are left out.
-    """
-    if lookback > chunk_rows:
-        raise ValueError("a chunk has to be as long as the look back")
-    rows = df.where(F.col(entity).isNotNull() & F.col(ts).isNotNull()).withColumn("_bucket", F.date_trunc(bucket, F.col(ts)))
-    earlier = Window.partitionBy(entity).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = rows.groupBy(entity, "_bucket").agg(F.count(F.lit(1)).alias("_n")).select(entity, "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy(entity, "_bucket").orderBy(ts, tie))
-    numbered = rows.withColumn("_rn", inside).join(offsets, [entity, "_bucket"]).withColumn("_at", F.col("_before") + F.col("_rn") - 1).withColumn("_own", F.floor(F.col("_at") / chunk_rows))
-    tail = F.col("_at") % chunk_rows >= chunk_rows - lookback
-    dealt = numbered.withColumn("_chunk", F.explode(F.when(tail, F.array("_own", F.col("_own") + 1)).otherwise(F.array("_own"))))
-    made = dealt.withColumns(make(Window.partitionBy(entity, "_chunk").orderBy("_at")))
-    return made.where("_own = _chunk").drop("_bucket", "_before", "_rn", "_at", "_own", "_chunk")
-
-
 def temporal_split(df: DataFrame, entity: str, ts: str, share: float = 0.8, tie: str | None = None) -> DataFrame:
     """The first ``share`` of each entity's rows train, the rest test; both have a row where there are two."""
-    over = ordered(entity, ts, *([tie] if tie else []))
-    n = F.count(F.lit(1)).over(Window.partitionBy(entity))
-    cut = F.greatest(F.lit(1), F.least(n - 1, F.floor(n * F.lit(share))))
-    return df.withColumn("is_train", F.row_number().over(over) <= cut)
+    cut = F.greatest(F.lit(1), F.least(F.col("_total") - 1, F.floor(F.col("_total") * F.lit(share))))
+    return numbered(df, entity, ts, tie).withColumn("is_train", F.col("_at") < cut).drop("_at", "_total")
 
 
 def history(df: DataFrame, entity: str) -> DataFrame:

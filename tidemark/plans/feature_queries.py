@@ -26,8 +26,8 @@ def _lag(c, k):
 
 @query("{m} SELECT event_id, " + ", ".join(f"{_lag('total_demand_mw', k)} AS demand_lag_{k}" for k in (1, 2, 3, 6, 12, 48, 288)) + " FROM m")
 def lag_features(spark, d):
-    over = windows.ordered(REGION, TS, "event_id")
-    return market(spark, d).select("event_id", *[c.alias(n) for n, c in windows.lags(DEMAND, features.LOAD_LAGS, over, "demand").items()])
+    make = lambda over: windows.lags(DEMAND, features.LOAD_LAGS, over, "demand")
+    return windows.in_chunks(market(spark, d), REGION, TS, make, max(features.LOAD_LAGS), "event_id").select("event_id", *[f"demand_lag_{k}" for k in features.LOAD_LAGS])
 
 
 _ROLLING_SQL = f"{{m}} SELECT event_id, {_roll('avg', 'rrp', 12)} AS mean_12, {_roll('stddev', 'rrp', 12)} AS std_12, {_roll('min', 'rrp', 12)} AS min_12, {_roll('max', 'rrp', 12)} AS max_12, {_roll('avg', 'air_temp_c', 12)} AS temp_12 FROM m"
@@ -40,20 +40,21 @@ def _rolled(over):
 
 @query(_ROLLING_SQL, rounded=["mean_12", "std_12", "temp_12"])
 def rolling_features(spark, d):
-    return market(spark, d).withColumns(_rolled(windows.ordered(REGION, TS, "event_id"))).select("event_id", *_ROLLING)
+    return windows.in_chunks(market(spark, d), REGION, TS, _rolled, 11, "event_id").select("event_id", *_ROLLING)
 
 
 @query(_ROLLING_SQL, rounded=["mean_12", "std_12", "temp_12"])
 def rolling_features_chunked(spark, d):
-    """W6 for few entities: chunks of an entity are partitions of their own."""
-    return windows.in_chunks(market(spark, d), REGION, TS, _rolled, 11, "event_id", chunk_rows=10_000).select("event_id", *_ROLLING)
+    """W6 in short chunks, numbered by hours."""
+    return windows.in_chunks(market(spark, d), REGION, TS, _rolled, 11, "event_id", chunk_rows=500, bucket="hour").select("event_id", *_ROLLING)
 
 
 @query(f"""{{m,}} f AS (SELECT event_id, region_id, settlement_date, air_temp_c, last_value(air_temp_c IGNORE NULLS) OVER (PARTITION BY region_id ORDER BY settlement_date, event_id ROWS UNBOUNDED PRECEDING) AS ff FROM m)
   SELECT event_id, ff AS filled, coalesce(ff, first_value(air_temp_c IGNORE NULLS) OVER (PARTITION BY region_id ORDER BY settlement_date, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS filled_both FROM f""")
 def ffill(spark, d):
-    over = windows.ordered(REGION, TS, "event_id")
-    return market(spark, d).select("event_id", windows.forward_fill("air_temp_c", over).alias("filled"), windows.fill_both_ways("air_temp_c", over).alias("filled_both"))
+    """W7."""
+    rows = market(spark, d).select("event_id", REGION, TS, "air_temp_c", F.col("air_temp_c").alias("air"))
+    return windows.fill(rows, REGION, TS, {"air_temp_c": "filled", "air": "filled_both"}, "event_id", ["air"]).select("event_id", "filled", "filled_both")
 
 
 def _range(f, c, interval):
@@ -72,8 +73,8 @@ def range_features(spark, d):
 
 @query(_RANGE_SQL, rounded=["avg_1h", "std_24h"])
 def range_features_bucketed(spark, d):
-    """W8 for few entities: days of an entity are partitions of their own."""
-    return windows.trailing_bucketed(market(spark, d), REGION, TS, _RANGES).select("event_id", *_RANGES)
+    """W8 put together from buckets of ten minutes."""
+    return windows.trailing(market(spark, d), REGION, TS, _RANGES, bucket_seconds=600).select("event_id", *_RANGES)
 
 
 @query(f"{{m,}} h AS (SELECT {HOUR} AS window_start, region_id, avg(rrp) AS window_avg, count(rrp) AS window_n FROM m GROUP BY 1, 2) SELECT event_id, h.* FROM m JOIN h ON m.region_id = h.region_id AND {HOUR} = h.window_start", rounded=["window_avg"])

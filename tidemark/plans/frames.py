@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.storage import scratch  # noqa: F401  (queries take it from here)
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -56,13 +57,3 @@ def query(sql: str | None = None, rounded: Sequence[str] = (), ints: Sequence[st
         return f
 
     return keep
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder for files of a query, under the shared checkpoint folder."""
-    import uuid
-
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
-    return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
