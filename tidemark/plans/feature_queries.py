@@ -90,21 +90,21 @@ def sliding_agg(spark, d):
     return windows.sliding(market(spark, d), REGION, TS, PRICE, "1 hour", "30 minutes")
 
 
-@query(f"""{{m,}} l AS (SELECT event_id, region_id, settlement_date FROM m WHERE event_id % 4 = 1), f AS (SELECT region_id, settlement_date, rrp FROM m WHERE event_id % 3 = 0)
+@query(f"""{{m,}} l AS (SELECT event_id, region_id, settlement_date FROM m), f AS (SELECT region_id, settlement_date + INTERVAL 1 HOUR AS settlement_date, rrp FROM m)
   SELECT l.event_id, f.settlement_date AS as_of_time, f.rrp AS as_of_rrp FROM l ASOF LEFT JOIN f ON l.region_id = f.region_id AND l.settlement_date > f.settlement_date""")
 def asof_other_table(spark, d):
-    """Strictly before."""
+    """Strictly before. The facts come an hour late."""
     m = market(spark, d)
-    labels, facts = m.where("event_id % 4 = 1").select("event_id", REGION, TS), m.where("event_id % 3 = 0").select(REGION, TS, PRICE)
+    labels, facts = m.select("event_id", REGION, TS), m.select(REGION, (F.col(TS) + F.expr("INTERVAL 1 HOUR")).alias(TS), PRICE)
     return joins.as_of(labels, facts, REGION, TS, [PRICE]).select("event_id", "as_of_time", "as_of_rrp")
 
 
-@query("""{m,} l AS (SELECT event_id, region_id, settlement_date FROM m), f AS (SELECT region_id, settlement_date, rrp FROM m WHERE event_id % 3 = 0)
+@query("""{m,} l AS (SELECT event_id, region_id, settlement_date FROM m), f AS (SELECT region_id, settlement_date + INTERVAL 1 DAY AS settlement_date, rrp FROM m)
   SELECT l.event_id, f.settlement_date AS as_of_time, f.rrp AS as_of_rrp FROM l ASOF LEFT JOIN f ON l.region_id = f.region_id AND l.settlement_date >= f.settlement_date""")
 def pit_join(spark, d):
-    """Up to and including the row's own time."""
+    """Up to and including the row's own time. The facts come a day late."""
     m = market(spark, d)
-    return joins.as_of(m.select("event_id", REGION, TS), m.where("event_id % 3 = 0").select(REGION, TS, PRICE), REGION, TS, [PRICE], include_current=True).select("event_id", "as_of_time", "as_of_rrp")
+    return joins.as_of(m.select("event_id", REGION, TS), m.select(REGION, (F.col(TS) + F.expr("INTERVAL 1 DAY")).alias(TS), PRICE), REGION, TS, [PRICE], include_current=True).select("event_id", "as_of_time", "as_of_rrp")
 
 
 @query("""{m,} n AS (SELECT event_id, row_number() OVER (PARTITION BY region_id ORDER BY settlement_date, event_id) AS rn, count(*) OVER (PARTITION BY region_id) AS n FROM m)
@@ -114,18 +114,16 @@ def temporal_split(spark, d):
     return windows.temporal_split(market(spark, d), REGION, TS, tie="event_id").select("event_id", "is_train")
 
 
-_DAY_ROWS = 96
-_LOAD = [f"demand_lag_{k}" for k in (1, 12, 48)] + ["demand_rolling_1h_mean", "demand_rolling_1h_std", "demand_rolling_1d_mean", "rrp_rolling_1h_mean", "hour_sin", "dow_cos", "published_forecast_error", "air_temp_c"]
+_LOAD = [f"demand_lag_{k}" for k in features.LOAD_LAGS] + ["demand_rolling_1h_mean", "demand_rolling_1h_std", "demand_rolling_1d_mean", "rrp_rolling_1h_mean", "hour_sin", "dow_cos", "published_forecast_error", "air_temp_c"]
 
 
-@query(f"""{{m,}} x AS (SELECT event_id, {', '.join(f"{_lag('total_demand_mw', k)} AS demand_lag_{k}" for k in (1, 12, 48))}, {_roll('avg', 'total_demand_mw', 12)} AS demand_rolling_1h_mean, {_roll('stddev', 'total_demand_mw', 12)} AS demand_rolling_1h_std,
-  {_roll('avg', 'total_demand_mw', _DAY_ROWS)} AS demand_rolling_1d_mean, {_roll('avg', 'rrp', 12)} AS rrp_rolling_1h_mean, sin(hour(settlement_date) * 2 * pi() / 24) AS hour_sin, cos((isodow(settlement_date) - 1) * 2 * pi() / 7) AS dow_cos,
+@query(f"""{{m,}} x AS (SELECT event_id, {', '.join(f"{_lag('total_demand_mw', k)} AS demand_lag_{k}" for k in features.LOAD_LAGS)}, {_roll('avg', 'total_demand_mw', 12)} AS demand_rolling_1h_mean, {_roll('stddev', 'total_demand_mw', 12)} AS demand_rolling_1h_std,
+  {_roll('avg', 'total_demand_mw', features.DAY)} AS demand_rolling_1d_mean, {_roll('avg', 'rrp', 12)} AS rrp_rolling_1h_mean, sin(hour(settlement_date) * 2 * pi() / 24) AS hour_sin, cos((isodow(settlement_date) - 1) * 2 * pi() / 7) AS dow_cos,
   demand_forecast_mw - total_demand_mw AS published_forecast_error, last_value(air_temp_c IGNORE NULLS) OVER (PARTITION BY region_id ORDER BY settlement_date, event_id ROWS UNBOUNDED PRECEDING) AS air_temp_c FROM m)
-  SELECT * FROM x WHERE demand_lag_48 IS NOT NULL AND demand_rolling_1d_mean IS NOT NULL AND air_temp_c IS NOT NULL""", rounded=[c for c in _LOAD if "roll" in c or "sin" in c or "cos" in c])
+  SELECT * FROM x WHERE demand_lag_288 IS NOT NULL AND demand_rolling_1d_mean IS NOT NULL AND air_temp_c IS NOT NULL""", rounded=[c for c in _LOAD if "roll" in c or "sin" in c or "cos" in c])
 def load_features(spark, d):
-    """L1, with shorter lags, as the events are fewer than market intervals."""
-    out = features.load_features(market(spark, d), lag_steps=(1, 2, 3, 6, 12, 48), day_rows=_DAY_ROWS, tie="event_id")
-    return out.select("event_id", *_LOAD)
+    """L1."""
+    return features.load_features(market(spark, d), tie="event_id").select("event_id", *_LOAD)
 
 
 _PRICE = ["supply_margin_mw", "demand_lag_12", "demand_rolling_1h_mean", "gen_lag_1", "margin_lag_1", "margin_rolling_1h_mean", "margin_rolling_1h_min", "interchange_lag_1", "interchange_rolling_1h", "rrp_lag_6", "rrp_rolling_1h_mean", "rrp_rolling_1h_std", "rrp_rolling_1h_max", "demand_forecast_error"]
@@ -216,11 +214,11 @@ def _ntz(df, *names):
     return df.withColumns({n: F.col(n).cast("timestamp_ntz") for n in names})
 
 
-@query("{m} SELECT settlement_date, region_id, total_demand_mw, rrp FROM m WHERE event_id % 3 <> 0")
+@query("{m} SELECT a.settlement_date, a.region_id, a.total_demand_mw, b.rrp FROM m a JOIN m b ON a.settlement_date = b.settlement_date AND a.region_id = b.region_id")
 def stream_join(spark, d):
     """X1, J2."""
     m = _replay(spark, d)
-    joined = streams.watermarked_join(m.select(TS, REGION, DEMAND), m.where("event_id % 3 <> 0").select(TS, REGION, PRICE), [TS, REGION], TS)
+    joined = streams.watermarked_join(m.select(TS, REGION, DEMAND), m.select(TS, REGION, PRICE), [TS, REGION], TS)
     return _ntz(_played(spark, joined.select(TS, REGION, DEMAND, PRICE), "stream-join"), TS)
 
 
@@ -236,10 +234,10 @@ def stream_hourly(spark, d):
     return _ntz(_played(spark, streams.hourly_stream(_replay(spark, d), TS, REGION, PRICE), "stream-hourly"), "hour")
 
 
-@query("{m,} w AS (SELECT region_id, arg_max(rrp, settlement_date) AS last_rrp FROM m WHERE event_id % 4 = 0 AND region_id <> 'view' GROUP BY 1) SELECT event_id, m.region_id, total_demand_mw, last_rrp FROM m LEFT JOIN w USING (region_id)")
+@query("{m,} w AS (SELECT region_id, arg_max(rrp, settlement_date) AS last_rrp FROM m GROUP BY 1) SELECT event_id, m.region_id, total_demand_mw, last_rrp FROM m LEFT JOIN w USING (region_id)")
 def stream_static_join(spark, d):
     """J3."""
-    static = joins.latest_by(market(spark, d).where("event_id % 4 = 0 AND region_id <> 'view'"), [REGION], TS, [F.col(PRICE).alias("last_rrp")], "event_id").drop(TS)
+    static = joins.latest_by(market(spark, d), [REGION], TS, [F.col(PRICE).alias("last_rrp")], "event_id").drop(TS)
     return _played(spark, streams.with_static(_replay(spark, d).select("event_id", REGION, DEMAND), static, REGION), "stream-static")
 
 

@@ -256,9 +256,10 @@ def box_stats(spark, d):
     return rollups.box_stats(market(spark, d), REGION, PRICE)
 
 
-@query("SELECT coalesce(n_name, 'Unknown') AS n_name, sum(coalesce(s_acctbal, 0)) AS capacity, count(*) AS n FROM supplier LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 5 <> 0) ON s_nationkey = n_nationkey GROUP BY 1", rounded=["capacity"])
+@query("SELECT coalesce(n_name, 'Unknown') AS n_name, sum(coalesce(s_acctbal, 0)) AS capacity, count(*) AS n FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey + 5 GROUP BY 1", rounded=["capacity"])
 def capacity_by_dim(spark, d):
-    nation = table(spark, d, "nation").where("n_nationkey % 5 <> 0")
+    """G26. The keys of the nations are shifted, so some suppliers have none."""
+    nation = table(spark, d, "nation").withColumn("n_nationkey", F.col("n_nationkey") + 5)
     s = table(spark, d, "supplier").withColumnRenamed("s_nationkey", "n_nationkey")
     return rollups.capacity(joins.with_static(s, nation, "n_nationkey"), "n_name", "s_acctbal")
 
@@ -295,21 +296,22 @@ def table_profile(spark, d):
 
 
 # -- joins --------------------------------------------------------------------------------------------------
-@query("""{m} SELECT settlement_date, region_id, rrp, total_demand_mw, CAST(settlement_date AS DATE) AS date, hour(settlement_date) BETWEEN 17 AND 20 AS is_peak
-  FROM m WHERE region_id IN ('click', 'view', 'error') AND event_id % 3 <> 0""")
+@query("""{m} SELECT a.settlement_date, a.region_id, a.rrp, b.total_demand_mw, CAST(a.settlement_date AS DATE) AS date, hour(a.settlement_date) BETWEEN 17 AND 20 AS is_peak
+  FROM m a JOIN m b ON a.settlement_date = b.settlement_date AND a.region_id = b.region_id WHERE a.region_id IN ('click', 'view', 'error')""")
 def curated_join(spark, d):
     """Price and demand from two tables, kept where both have the interval."""
     m = market(spark, d)
-    prices, demand = m.where("event_id % 3 <> 0").select(TS, REGION, PRICE), m.select(TS, REGION, DEMAND)
+    prices, demand = m.select(TS, REGION, PRICE), m.select(TS, REGION, DEMAND)
     joined = joins.curated(prices, demand, [TS, REGION], ("click", "view", "error"), REGION, [PRICE, DEMAND])
     return joined.withColumns({"date": F.to_date(TS), "is_peak": C.peak_flag(TS)})
 
 
 def _weather(spark, d):
-    return market(spark, d).where("event_id % 4 = 0").select("event_id", TS, REGION, "air_temp_c", (F.col(PRICE) / 10).alias("wind_speed_kmh"))
+    """All events as observations 90 minutes later, so that some hours have none."""
+    return market(spark, d).select("event_id", (F.col(TS) + F.expr("INTERVAL 90 MINUTES")).alias(TS), REGION, "air_temp_c", (F.col(PRICE) / 10).alias("wind_speed_kmh"))
 
 
-_WEATHER_SQL = "w AS (SELECT event_id, settlement_date, region_id, air_temp_c, rrp / 10 AS wind_speed_kmh FROM m WHERE event_id % 4 = 0)"
+_WEATHER_SQL = "w AS (SELECT event_id, settlement_date + INTERVAL 90 MINUTES AS settlement_date, region_id, air_temp_c, rrp / 10 AS wind_speed_kmh FROM m)"
 
 
 @query(f"""{{m,}} {_WEATHER_SQL}, h AS (SELECT {HOUR} AS hour, region_id, avg(total_demand_mw) AS avg_demand, count(*) AS n FROM m GROUP BY 1, 2),
@@ -358,11 +360,11 @@ def forecast_accuracy(spark, d):
     return rollups.forecast_accuracy(_scored(spark, d), TS, REGION)
 
 
-@query("SELECT l_orderkey, l_linenumber, l_suppkey, s_name, n_name FROM lineitem LEFT JOIN (SELECT s_suppkey, s_name, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 7 <> 0) ON l_suppkey = s_suppkey", ints=["l_linenumber"])
+@query("SELECT l_orderkey, l_linenumber, l_suppkey, s_name, n_name FROM lineitem LEFT JOIN (SELECT s_suppkey, s_name, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey) ON l_suppkey = s_suppkey + 1", ints=["l_linenumber"])
 def dim_enrich(spark, d):
-    """J7."""
-    s = table(spark, d, "supplier").where("s_suppkey % 7 <> 0").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    dim = s.select(F.col("s_suppkey").alias("l_suppkey"), "s_name", "n_name")
+    """J7. The keys of the suppliers are shifted, so some lines have none."""
+    s = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    dim = s.select((F.col("s_suppkey") + 1).alias("l_suppkey"), "s_name", "n_name")
     return joins.with_static(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey"), dim, "l_suppkey")
 
 
@@ -372,14 +374,13 @@ def latest_per_region(spark, d):
     return joins.latest_by(market(spark, d), [REGION], TS, [PRICE, DEMAND], "event_id")
 
 
-@query("""{m,} a AS (SELECT settlement_date, region_id, total_demand_mw + 25 AS p FROM m WHERE event_id % 3 <> 0), b AS (SELECT settlement_date, region_id, total_demand_mw + 40 AS p FROM m WHERE event_id % 5 <> 0)
-  SELECT settlement_date, region_id, coalesce(a.p, b.p) AS prediction, CASE WHEN a.p IS NOT NULL THEN 'MODEL' ELSE 'FALLBACK' END AS source FROM a FULL JOIN b USING (settlement_date, region_id)""")
+@query(f"""{{m,}} a AS (SELECT {HOUR} AS hour, region_id, max(total_demand_mw) + 25 AS p FROM m GROUP BY 1, 2), b AS (SELECT hour + INTERVAL 3 HOURS AS hour, region_id, p + 15 AS p FROM a)
+  SELECT hour, region_id, coalesce(a.p, b.p) AS prediction, CASE WHEN a.p IS NOT NULL THEN 'MODEL' ELSE 'FALLBACK' END AS source FROM a FULL JOIN b USING (hour, region_id)""")
 def best_available_forecast(spark, d):
-    """L12."""
-    m = market(spark, d)
-    model = m.where("event_id % 3 <> 0").select(TS, REGION, (F.col(DEMAND) + 25).alias("prediction"))
-    published = m.where("event_id % 5 <> 0").select(TS, REGION, (F.col(DEMAND) + 40).alias("prediction"))
-    return joins.best_available(model, published, [TS, REGION], "prediction")
+    """The model's hours, and published ones of three hours before."""
+    model = rollups.rollup_by(market(spark, d), {"hour": rollups.period(TS), REGION: F.col(REGION)}, {"prediction": F.max(DEMAND) + 25})
+    published = model.select((F.col("hour") + F.expr("INTERVAL 3 HOURS")).alias("hour"), REGION, (F.col("prediction") + 15).alias("prediction"))
+    return joins.best_available(model, published, ["hour", REGION], "prediction")
 
 
 @query("""{m,} p AS (SELECT region_id, total_demand_mw + 10 * (user_id % 9 - 4) AS predicted, total_demand_mw AS actual FROM m)
@@ -553,12 +554,12 @@ def local_time(spark, d):
     return table(spark, d, "events").select("event_id", C.local_time(F.col("ts").cast("timestamp")).cast("timestamp_ntz").alias("local_ts"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 6 = 5 THEN NULL WHEN event_id % 6 = 2 THEN date_trunc('minute', ts) ELSE date_trunc('second', ts) END AS parsed FROM events WHERE event_id % 6 <> 4")
+@query("SELECT event_id, CASE WHEN event_id % 6 = 5 THEN NULL WHEN event_id % 6 = 2 THEN date_trunc('minute', ts) ELSE date_trunc('second', ts) END AS parsed FROM events")
 def parsed_times(spark, d):
-    """Times in four formats, quoted, and junk."""
+    """Times in four formats, quoted, and junk; each data line has a header line before it, which goes."""
     i, ts = F.col("event_id") % 6, F.col("ts")
     text = F.when(i == 0, F.date_format(ts, "yyyy/MM/dd HH:mm:ss")).when(i == 1, F.concat(F.lit('"'), F.date_format(ts, "yyyy-MM-dd HH:mm:ss"), F.lit('"'))).when(i == 2, F.date_format(ts, "yyyy/MM/dd HH:mm")).when(i == 3, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")).when(i == 4, F.date_format(ts, "yyyy/MM/dd HH:mm:ss")).otherwise("no time")
-    rows = table(spark, d, "events").select("event_id", text.alias("text"), F.when(i == 4, "I").otherwise("D").alias("ROW_TYPE"))
+    rows = table(spark, d, "events").select("event_id", text.alias("text"), F.explode(F.array(F.lit("I"), F.lit("D"))).alias("ROW_TYPE"))
     return clean.only_rows(rows).select("event_id", C.parse_time("text").cast("timestamp_ntz").alias("parsed"))
 
 
@@ -608,9 +609,9 @@ def map_lookup(spark, d):
 
 
 # -- scans --------------------------------------------------------------------------------------------------
-@query("SELECT date_trunc('second', ts) AS settlement_date, event_type AS region_id, value AS rrp FROM events WHERE event_id % 2 = 0")
+@query("SELECT date_trunc('second', ts) AS settlement_date, event_type AS region_id, value AS rrp FROM events")
 def report_scan(spark, d):
-    """A1: each day's events of a type as a report inside a ZIP inside a ZIP, read back."""
+    """A1: each hour's events as a report of two record types inside a ZIP inside a ZIP, read back."""
     import pandas as pd
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -618,9 +619,9 @@ def report_scan(spark, d):
         import zipfile
 
         lines = ["C,REPORT", "I,DISPATCH,REGIONSUM,4,SETTLEMENTDATE,REGIONID", "I,DISPATCH,PRICE,4,REGIONID,UNUSED,SETTLEMENTDATE,RRP"]
-        for ts, region, value, i in zip(pdf["ts"], pdf["event_type"], pdf["value"], pdf["event_id"], strict=True):
-            kind = "PRICE" if i % 2 == 0 else "REGIONSUM"
-            lines.append(f'D,DISPATCH,{kind},4,{region},x,"{ts:%Y/%m/%d %H:%M:%S}",{value!r}' if kind == "PRICE" else f'D,DISPATCH,{kind},4,"{ts:%Y/%m/%d %H:%M:%S}",{region}')
+        for ts, region, value in zip(pdf["ts"], pdf["event_type"], pdf["value"], strict=True):
+            lines.append(f'D,DISPATCH,PRICE,4,{region},x,"{ts:%Y/%m/%d %H:%M:%S}",{value!r}')
+            lines.append(f'D,DISPATCH,REGIONSUM,4,"{ts:%Y/%m/%d %H:%M:%S}",{region}')
         inner, outer = io.BytesIO(), io.BytesIO()
         with zipfile.ZipFile(inner, "w") as z:
             z.writestr("part.CSV", "\n".join([*lines, "C,END OF REPORT"]))
@@ -628,20 +629,20 @@ def report_scan(spark, d):
             z.writestr("part.zip", inner.getvalue())
         return pd.DataFrame({"path": [f"PUBLIC_{pdf['slot'].iloc[0]}.zip"], "content": [outer.getvalue()]})
 
-    slot = F.concat_ws("_", F.date_format("ts", "yyyyMMdd"), F.col("event_type"))
-    files = table(spark, d, "events").select("event_id", "ts", "event_type", "value", slot.alias("slot")).groupBy("slot").applyInPandas(pack, "path string, content binary")
+    slot = F.date_format("ts", "yyyyMMddHH'00'")
+    files = table(spark, d, "events").select("ts", "event_type", "value", slot.alias("slot")).groupBy("slot").applyInPandas(pack, "path string, content binary")
     return reports.scan(files, "DISPATCHPRICE").select(F.col("SETTLEMENTDATE").cast("timestamp_ntz").alias(TS), F.col("REGIONID").alias(REGION), F.col("RRP").alias(PRICE))
 
 
-@query("SELECT 'U' || s_suppkey AS duid, s_name AS station_name, n_name AS state, CASE s_suppkey % 9 " + _FUEL_CASE + " ELSE 'unknown' END AS fuel_category, s_acctbal AS capacity_mw FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 4 <> 3")
+@query("SELECT 'U' || s_suppkey AS duid, s_name AS station_name, n_name AS state, CASE s_suppkey % 9 " + _FUEL_CASE + " ELSE 'unknown' END AS fuel_category, s_acctbal AS capacity_mw FROM supplier JOIN nation ON s_nationkey = n_nationkey")
 def registry_flatten(spark, d):
-    """Each supplier as a station of one unit, some without a code."""
+    """Each supplier as a station of a unit, and of one without a code, which goes."""
     from tidemark.sources.json_sources import flatten_registry
 
     tech = F.element_at(F.array(*map(F.lit, [*_FUELS, None])), (F.col("s_suppkey") % 9 + 1).cast("int"))
-    unit = F.struct(F.when(F.col("s_suppkey") % 4 != 3, F.concat(F.lit("U"), "s_suppkey")).alias("code"), tech.alias("fueltech_id"), F.col("s_acctbal").alias("capacity_registered"), F.lit("on").alias("status_id"))
+    unit = lambda code: F.struct(code.cast("string").alias("code"), tech.alias("fueltech_id"), F.col("s_acctbal").alias("capacity_registered"), F.lit("on").alias("status_id"))
     s = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    text = s.select(F.to_json(F.array(F.struct(F.col("s_suppkey").cast("string").alias("code"), F.col("s_name").alias("name"), F.struct(F.col("n_name").alias("state")).alias("location"), F.array(unit).alias("facilities")))).alias("value"))
+    text = s.select(F.to_json(F.array(F.struct(F.col("s_suppkey").cast("string").alias("code"), F.col("s_name").alias("name"), F.struct(F.col("n_name").alias("state")).alias("location"), F.array(unit(F.concat(F.lit("U"), "s_suppkey")), unit(F.lit(None))).alias("facilities")))).alias("value"))
     return flatten_registry(text).select(F.col("DUID").alias("duid"), "station_name", "state", "fuel_category", "capacity_mw")
 
 
