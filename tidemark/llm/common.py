@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.storage import checkpoint, checkpoint_folder, remove  # noqa: F401  (the operators take them from here)
+
 #: Rows and bytes of one Arrow batch handed to Python. Long texts reach the byte limit first.
 BATCH_ROWS = 2000
 BATCH_BYTES = 8 << 20
@@ -39,30 +40,6 @@ def arrow_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``. Where that is unset, local mode takes a folder of its own, as its
-    tasks share the machine; on a cluster it is an error, since no folder of one machine will do."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
-    return sc.getCheckpointDir()
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder in whatever store it lies."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write the rows to the checkpoint folder."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def map_texts(
     docs: DataFrame,
     rows: Callable[[list, list], list],

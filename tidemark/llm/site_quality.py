@@ -21,7 +21,7 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -181,9 +181,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, keep: float = KEEP, model: Cla
     sites = posteriors.select(F.col("host").alias("_h"), F.col("path").alias("_p"), "path_posterior")
     sites = F.broadcast(sites) if n <= BROADCAST_SITES else sites
 
-    @F.pandas_udf("double")
-    def judged(texts: pd.Series) -> pd.Series:
-        return pd.Series(probabilities(texts.to_list(), model))
+    @F.arrow_udf("double")
+    def judged(texts: pa.Array) -> pa.Array:
+        return pa.array(probabilities(texts.to_pylist(), model), pa.float64())
 
     arrow_batches(docs.sparkSession)
     scored = rows.withColumn("_evidence", judged("_text")).drop("_text")
