@@ -78,6 +78,27 @@ def test_fault_tolerant_load_runs_once(spark, bronze):
     assert spark.table("ft_good").count() == 4 and spark.table("ft_done").count() == 2 and spark.table("ft_bad").count() == 0
 
 
+def test_fault_tolerant_load_may_break(spark, bronze, monkeypatch):
+    work = spark.createDataFrame([("a", "NSW1"), ("b", "VIC1"), ("c", "NOWHERE")], "partition_id string, region string")
+    asked = []
+
+    def read(todo):
+        asked.append(sorted(r["partition_id"] for r in todo.collect()))
+        return bronze.join(todo, bronze.REGIONID == todo.region).drop("region")
+
+    def load():
+        quality.fault_tolerant_load(work, read, quality.demand_reasons(), ["REGIONID", "TOTALDEMAND"], "fb_good", "fb_bad", "fb_done")
+
+    with monkeypatch.context() as broken:
+        broken.setattr(quality, "mark_done", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            load()
+    load()
+    load()
+    assert asked == [["a", "b", "c"], ["a", "b", "c"], []]
+    assert spark.table("fb_good").count() == 4 and spark.table("fb_bad").count() == 1 and spark.table("fb_done").count() == 3
+
+
 def test_table_writes(spark):
     a = spark.createDataFrame([(1,)], "x int")
     sinks.write_table(a, "w_table", "overwrite")

@@ -1,5 +1,6 @@
 import io
 import json
+import os
 import zipfile
 
 import pytest
@@ -72,6 +73,21 @@ def test_extract_skips_dates_that_are_done(spark, folder, tmp_path_factory):
         assert spark.read.option("header", True).csv(target).count() == 2
 
 
+def test_extract_reads_no_file_of_a_date_that_is_done(spark, tmp_path):
+    day = "I,DISPATCH,PRICE,4,SETTLEMENTDATE,REGIONID,RRP\nD,DISPATCH,PRICE,4,2024/01/0{} 00:05:00,NSW1,{}\n"
+    target = str(tmp_path / "out")
+    for i in (1, 2):
+        (tmp_path / f"PUBLIC_X_2024010{i}_1.zip").write_bytes(zipped("a.csv", day.format(i, i)))
+    reports.extract(spark, str(tmp_path), "DISPATCHPRICE", target)
+    (tmp_path / "PUBLIC_X_20240101_1.zip").write_bytes(b"no longer a ZIP")
+    (tmp_path / "PUBLIC_X_20240103_1.zip").write_bytes(zipped("a.csv", day.format(3, 3)))
+    # what a broken run has left of the third day
+    spark.createDataFrame([("2024-01-03 00:05:00", "-1", "20240103")], "SETTLEMENTDATE string, RRP string, d string").drop("d").coalesce(1).write.option("header", True).csv(f"{target}/report_date=2024-01-03")
+    reports.extract(spark, str(tmp_path), "DISPATCHPRICE", target)
+    rows = spark.read.option("header", True).csv(target).collect()
+    assert sorted((str(r["report_date"]), float(r["RRP"])) for r in rows) == [("2024-01-01", 1.0), ("2024-01-02", 2.0), ("2024-01-03", 3.0)]
+
+
 def test_inventory_and_work_list(spark, folder):
     row = reports.inventory(spark, folder, "*.zip").first()
     assert row["n_files"] == 3 and str(row["first_date"]) == "2024-01-01" and str(row["last_date"]) == "2024-01-02"
@@ -91,7 +107,7 @@ def test_custom_stream_offsets(tmp_path):
     for i in range(1, 6):
         (tmp_path / f"PUBLIC_X_2024010112{i:02d}_{i}.zip").write_bytes(zipped("a.csv", REGIONSUM))
     first = "PUBLIC_X_202401011201_1.zip"
-    reader = custom.ReportStreamReader({"path": str(tmp_path), "start_file": first, "max_files": "2"})
+    reader = custom.ReportStreamReader({"path": str(tmp_path), "start_file": first, "max_files": "2", "state_path": str(tmp_path / "state")})
     start = reader.initialOffset()
     seen = []
     for _ in range(2):
@@ -103,14 +119,48 @@ def test_custom_stream_offsets(tmp_path):
     assert reader.latestOffset() == start
     empty = tmp_path / "empty"
     empty.mkdir()
-    reader = custom.ReportStreamReader({"path": str(empty)})
+    reader = custom.ReportStreamReader({"path": str(empty), "state_path": str(tmp_path / "other")})
     assert reader.initialOffset() == {"last_file": ""} and reader.latestOffset() == {"last_file": ""}
 
 
+def test_custom_stream_after_a_restart(tmp_path):
+    names = [f"PUBLIC_X_2024010112{i:02d}_{i}.zip" for i in range(30)]
+    for n in names:
+        (tmp_path / n).write_bytes(b"")
+    options = {"path": str(tmp_path), "start_file": "", "max_files": "3", "state_path": str(tmp_path / "state")}
+    reader = custom.ReportStreamReader(options)
+    start = reader.initialOffset()
+    end = reader.latestOffset()
+    assert [len(reader.partitions(start, end))] == [3]
+    # the reader is lost before Spark logs its next offset, so the note is a batch ahead of the checkpoint
+    ahead = reader.latestOffset()
+    batches = []
+    for _ in range(3):
+        reader = custom.ReportStreamReader(options)
+        for _ in range(2):
+            new = reader.latestOffset()
+            assert new["last_file"] >= end["last_file"]
+            if new != end:
+                batches.append([os.path.basename(p.paths[0]) for p in reader.partitions(end, new)])
+            end = new
+    assert ahead["last_file"] == names[5] and all(len(b) <= 3 for b in batches) and [n for b in batches for n in b] == names[3:15]
+    for n in names[5:]:
+        (tmp_path / n).unlink()
+    reader = custom.ReportStreamReader(options)
+    assert reader.latestOffset() == end and reader.latestOffset() == end
+    (tmp_path / "PUBLIC_X_202401011300_99.zip").write_bytes(b"")
+    assert reader.latestOffset() == {"last_file": "PUBLIC_X_202401011300_99.zip"}
+    with pytest.raises(RuntimeError):  # the note is lost: the stream fails rather than go back
+        lost = custom.ReportStreamReader(options | {"state_path": str(tmp_path / "lost")})
+        lost.partitions(end, lost.latestOffset())
+    with pytest.raises(ValueError):
+        custom.ReportStreamReader({"path": str(tmp_path)})
+
+
 def test_custom_stream_runs(spark, folder, tmp_path_factory):
     custom.register(spark)
     state = str(tmp_path_factory.mktemp("state"))
-    df = spark.readStream.format("market_reports").option("path", folder).option("table", "DISPATCHPRICE").option("start_file", "").load()
+    df = spark.readStream.format("market_reports").option("path", folder).option("table", "DISPATCHPRICE").option("start_file", "").option("state_path", f"{state}-reader").load()
     q = df.writeStream.format("memory").queryName("custom_stream").option("checkpointLocation", state).trigger(once=True).start()
     q.awaitTermination()
     assert spark.table("custom_stream").count() == 2
@@ -151,6 +201,10 @@ def test_sinks_write_files_and_totals(spark, tmp_path):
     assert sinks.alerts(zero, "ts", "region", "price", "demand", -100, 1e9).count() == 3
     df.write.format("market_metrics").option("path", str(tmp_path / "m")).mode("append").save()
     lines = [x for p in (tmp_path / "m").glob("part-*") for x in p.read_text().splitlines()]
+    one = [("2024-01-01 00:00:00.000001", "A", 1.0), (None, "A", 2.0)]
+    one = spark.createDataFrame(one, "ts string, region string, demand double").withColumn("ts", F.col("ts").cast("timestamp"))
+    one.write.format("market_metrics").option("path", str(tmp_path / "n")).mode("append").save()
+    assert [x for p in (tmp_path / "n").glob("part-*") for x in p.read_text().splitlines()] == ["market_demand,region=A value=1.0 1704067200000001000"] == [r["line"] for r in sinks.metric_lines(one, "ts", "region", "demand").collect()]
     assert sorted(lines)[0] == "market_demand,region=A value=8000.0 1704067200000000000"
     assert sorted(r["line"] for r in sinks.metric_lines(df, "ts", "region", "demand").collect()) == sorted(lines)
 

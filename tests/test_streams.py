@@ -66,7 +66,7 @@ def test_bronze_rules_and_tables(spark, tmp_path):
     streams.append_table(streams.bronze(observed, rules), "bronze_stream", str(tmp_path / "s1"), None).awaitTermination()
     assert spark.table("bronze_stream").count() == 2
     for state in ("s2", "s3"):  # the second run has lost its checkpoint, and adds nothing
-        streams.poll_into_tables(read(spark, folder), {"polled_a": ["ts", "region", "value"], "polled_b": ["ts", "region"]}, str(tmp_path / state), ["ts", "region"]).awaitTermination()
+        streams.poll_into_tables(read(spark, folder), {"polled_a": ["ts", "region", "value"], "polled_b": ["ts", "region"]}, str(tmp_path / state), ["ts", "region"], "ts").awaitTermination()
     assert spark.table("polled_a").count() == 2 and spark.table("polled_b").count() == 2
 
 

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.storage import checkpoint
 from tidemark.sources.schemas import REGIONS
 
 _REGION = f"region_id IN ({', '.join(repr(r) for r in REGIONS)})"
@@ -108,16 +109,33 @@ def completed(spark: SparkSession, table: str, schema: str) -> DataFrame:
     return spark.table(table) if spark.catalog.tableExists(table) else spark.createDataFrame([], schema)
 
 
+def replace_units(df: DataFrame, table: str, unit: str = "partition_id") -> None:
+    """Write rows to a table partitioned by their unit; units that it has already are overwritten, others stay."""
+    spark = df.sparkSession
+    if spark.catalog.tableExists(table):
+        mode = "spark.sql.sources.partitionOverwriteMode"  # tables take it from the session alone
+        before = spark.conf.get(mode)
+        spark.conf.set(mode, "dynamic")
+        try:
+            df.select(*spark.table(table).columns).write.mode("overwrite").insertInto(table)
+        finally:
+            spark.conf.set(mode, before)
+    else:
+        df.write.partitionBy(unit).saveAsTable(table)
+
+
 def fault_tolerant_load(work: DataFrame, read: Callable[[DataFrame], DataFrame], reasons: Mapping[str, str], original: Sequence[str], target: str, letters: str, done: str) -> None:
-    """Q7: skip what is done, read the rest, split off dead letters, write both, then mark the units done.
+    """Q7: skip what is done, read the rest once, split off dead letters, write both, then mark the units done.
 
-    A run that breaks between the writes and the mark repeats the units; rows carry their unit for that case.
+    What ``read`` gives has the units' ``partition_id``. A run that breaks before the mark repeats its units: their
+    rows replace those that it left, so nothing is there twice.
     """
     spark = work.sparkSession
-    todo = pending(work, completed(spark, done, "partition_id string"))
-    good, bad = dead_letters(read(todo), reasons, original)
-    good.write.mode("append").saveAsTable(target)
-    bad.write.mode("append").saveAsTable(letters)
+    todo = checkpoint(pending(work, completed(spark, done, "partition_id string")))
+    rows = checkpoint(read(todo))
+    good, bad = dead_letters(rows, reasons, original)
+    replace_units(good, target)
+    replace_units(bad, letters)
     mark_done(todo, done)
 
 

@@ -7,6 +7,7 @@ import os
 import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -26,9 +27,12 @@ def alerts(df: DataFrame, ts: str, region: str, price: str, demand: str, price_t
 
 
 def metric_lines(df: DataFrame, ts: str, region: str, demand: str, prefix: str = "market") -> DataFrame:
-    """One column ``line``: name, tag, value, nanoseconds."""
+    """One column ``line``: name, tag, value, nanoseconds. Rows without a time give no line."""
     nanos = F.unix_micros(F.col(ts).cast("timestamp")) * 1000
-    return df.select(F.concat(F.lit(f"{prefix}_demand,region="), F.coalesce(region, F.lit("unknown")), F.lit(" value="), F.coalesce(F.col(demand), F.lit(0.0)).cast("string"), F.lit(" "), nanos.cast("string")).alias("line"))
+    return df.where(F.col(ts).isNotNull()).select(F.concat(F.lit(f"{prefix}_demand,region="), F.coalesce(region, F.lit("unknown")), F.lit(" value="), F.coalesce(F.col(demand), F.lit(0.0)).cast("string"), F.lit(" "), nanos.cast("string")).alias("line"))
+
+
+EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
 
 @dataclass
@@ -86,7 +90,10 @@ class _AlertWriter(_JsonLineWriter):
 class _MetricWriter(_JsonLineWriter):
     def lines(self, row: Row) -> Iterator[tuple[str, str]]:
         r = row.asDict()
-        nanos = int(r["ts"].timestamp() * 1_000_000) * 1000
+        if r.get("ts") is None:
+            return  # a line without a time would get the time of its arrival
+        moment = r["ts"] if r["ts"].tzinfo else r["ts"].astimezone()
+        nanos = (moment - EPOCH) // timedelta(microseconds=1) * 1000
         yield r.get("region"), f"{self.options.get('prefix', 'market')}_demand,region={r.get('region') or 'unknown'} value={float(r.get('demand') or 0)} {nanos}"
 
 

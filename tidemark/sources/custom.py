@@ -6,6 +6,7 @@ itself reads the store, ``tidemark.sources.reports`` is the wider way: its filte
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -70,7 +71,7 @@ def _date(name: str) -> str | None:
 
 class _Options:
     def __init__(self, options: dict):
-        self.folder = options["path"]
+        self.folder = options["path"].removeprefix("file:")
         self.table = options.get("table", "DISPATCHREGIONSUM")
         self.regions = tuple(r for r in options.get("regions", "").split(",") if r)
         self.start = options.get("start_date", "").replace("-", "") or None
@@ -117,41 +118,60 @@ class ReportReader(DataSourceReader):
 
 
 class ReportStreamReader(DataSourceStreamReader):
-    """Files after the last one read, by name, at most ``max_files`` a batch.
-
-    The offset is a file name, kept by the checkpoint alone. It starts at ``start_file``, or at the name that
-    ``catch_up_hours`` before now would have. An empty folder leaves it where it is.
+    """Files after the last one read, by name, at most ``max_files`` a batch, after a restart too.
+
+    An offset is a file name. It starts at ``start_file``, or at the name that ``catch_up_hours`` before now would
+    have. Spark asks a fresh reader for its newest offset before it tells where the checkpoint stands, so the reader
+    notes each offset in the folder ``state_path`` before it gives it out, and a fresh one gives the noted offset
+    first: it is never behind the checkpoint's and at most one batch ahead of it. Files that are gone move nothing
+    back. The driver alone uses that folder; it belongs to one query, like its checkpoint, and a stream that has lost
+    it fails rather than read files twice.
     """
 
     def __init__(self, options: dict):
         self.o = _Options(options)
-        self.reached: str | None = None
+        if not options.get("state_path"):
+            raise ValueError("a stream of reports needs the option state_path, a folder of its own")
+        self.note = os.path.join(options["state_path"].removeprefix("file:"), "last_file.json")
+        self.start, self.reached = None, None
+        if os.path.exists(self.note):
+            with open(self.note, encoding="utf-8") as noted:
+                known = json.load(noted)
+            self.start, self.reached = known["start"], known["last_file"]
+        self.fresh = self.reached is not None
+
+    def _reach(self, name: str) -> dict:
+        self.reached = name
+        os.makedirs(os.path.dirname(self.note), exist_ok=True)
+        with open(f"{self.note}.new", "w", encoding="utf-8") as out:
+            json.dump({"start": self.start, "last_file": name}, out)
+        os.replace(f"{self.note}.new", self.note)
+        return {"last_file": name}
 
     def initialOffset(self) -> dict:
-        if self.o.start_file is not None:
-            self.reached = self.o.start_file
-            return {"last_file": self.reached}
-        since = datetime.now(timezone(timedelta(hours=10))) - timedelta(hours=self.o.catch_up_hours)
-        names = [n for n in _listed(self.o.folder) if (m := _STAMP.search(n)) and m[1] + (m[2] or "0000") < since.strftime("%Y%m%d%H%M")]
-        self.reached = names[-1] if names else ""
-        return {"last_file": self.reached}
+        if self.start is None:
+            if self.o.start_file is not None:
+                self.start = self.o.start_file
+            else:
+                since = datetime.now(timezone(timedelta(hours=10))) - timedelta(hours=self.o.catch_up_hours)
+                names = [n for n in _listed(self.o.folder) if (m := _STAMP.search(n)) and m[1] + (m[2] or "0000") < since.strftime("%Y%m%d%H%M")]
+                self.start = names[-1] if names else ""
+            self.reached = self.start
+        return {"last_file": self.start}
 
     def latestOffset(self) -> dict:
-        """At most ``max_files`` beyond the offset reached, and never before it.
-
-        After a restart only the checkpoint knows that offset; the first batch then goes up to the newest file,
-        so that no offset can move backwards.
-        """
-        names = _listed(self.o.folder)
-        if self.reached is None:
-            return {"last_file": names[-1] if names else ""}
-        ahead = [n for n in names if n > self.reached][: self.o.most]
-        self.reached = ahead[-1] if ahead else self.reached
-        return {"last_file": self.reached}
+        """At most ``max_files`` beyond the offset reached; first after a restart, the offset noted last."""
+        self.initialOffset()
+        if self.fresh:
+            self.fresh = False
+            return {"last_file": self.reached}
+        ahead = [n for n in _listed(self.o.folder) if n > self.reached][: self.o.most]
+        return self._reach(ahead[-1]) if ahead else {"last_file": self.reached}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        if end["last_file"] < start["last_file"]:
+            raise RuntimeError(f"the checkpoint stands at {start['last_file']}, beyond the note of the last file: {self.note}")
         names = [n for n in _listed(self.o.folder) if start["last_file"] < n <= end["last_file"]]
-        self.reached = max(end["last_file"], self.reached or "")
         return [_Files((os.path.join(self.o.folder, n),)) for n in names] or [_Files(())]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
@@ -159,7 +179,7 @@ class ReportStreamReader(DataSourceStreamReader):
             yield from _rows(path, self.o.table, self.o.regions)
 
     def commit(self, end: dict) -> None:
-        self.reached = max(end["last_file"], self.reached or "")
+        pass
 
 
 class ReportsByDate(DataSource):

@@ -2,7 +2,8 @@
 
 An ``I`` line names the columns of the ``D`` lines of its record type that follow in the member. Files are read
 with Spark's binary reader, so any store that Spark reads will do, and taken apart on the executors; the values
-come out as text, bound by name, and Spark casts them. Columns and filters not asked for are dropped there.
+come out as text, bound by name, and Spark casts them. Regions that are not asked for are dropped there; dates that
+are not asked for are never read.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
-from tidemark.operators.clean import only_regions
 from tidemark.operators.quality import partition_id
+from tidemark.operators.storage import exists
 from tidemark.sources import schemas
 
 #: Rows handed to Spark at once.
@@ -79,8 +80,12 @@ def newest_files(files: DataFrame, n: int) -> DataFrame:
     return files.join(F.broadcast(last), "path", "left_semi")
 
 
-def scan(files: DataFrame, table: str, plain: bool = False) -> DataFrame:
-    """A1, A2: the rows of a table in these files, typed; ``_file`` and ``_member`` say where they are from."""
+def scan(files: DataFrame, table: str, plain: bool = False, regions: Sequence[str] = ()) -> DataFrame:
+    """A1, A2: the rows of a table in these files, typed; ``_file`` and ``_member`` say where they are from.
+
+    Rows of regions other than those named don't leave the parser, where the table has a region.
+    """
+    wanted, region = frozenset(regions), schemas.region_column(table)
     schema = schemas.schema(table)
     names = schema.fieldNames()
     kind = None if plain else schemas.record_type(table)
@@ -97,6 +102,8 @@ def scan(files: DataFrame, table: str, plain: bool = False) -> DataFrame:
                 inside = members(content) if path.lower().endswith(".zip") else [(path.rsplit("/", 1)[-1], content)]
                 for member, data in inside:
                     for r in records(data, kind):
+                        if wanted and region and (r.get(region) or "").strip().strip('"') not in wanted:
+                            continue
                         rows.append((path, member, *[r.get(n) for n in names]))
                         if len(rows) >= BATCH:
                             yield pack(rows)
@@ -112,8 +119,7 @@ def scan(files: DataFrame, table: str, plain: bool = False) -> DataFrame:
 
 def read_reports(spark: SparkSession, path: str, table: str, start: str | None = None, end: str | None = None, regions: Sequence[str] = (), plain: bool = False, pattern: str = "*.zip") -> DataFrame:
     """A table's rows in a range of dates, of some regions. A range without files is empty, not an error."""
-    rows = scan(report_files(spark, path, start, end, pattern), table, plain)
-    return only_regions(rows, regions)
+    return scan(report_files(spark, path, start, end, pattern), table, plain, regions)
 
 
 def work_list(spark: SparkSession, tables: Sequence[str], regions: Sequence[str], start: str, end: str) -> DataFrame:
@@ -124,13 +130,26 @@ def work_list(spark: SparkSession, tables: Sequence[str], regions: Sequence[str]
 
 
 def extract(spark: SparkSession, path: str, table: str, target: str, kind: str = "csv") -> None:
-    """A10: a table's rows as files by date; dates that the target has are skipped."""
-    rows = read_reports(spark, path, table).withColumn("report_date", F.to_date(schemas.event_time(table)))
-    folder = spark._jvm.org.apache.hadoop.fs.Path(target)
-    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        done = spark.read.format(kind).option("header", True).load(target).select(F.col("report_date").cast("date")).distinct()
-        rows = rows.join(done, "report_date", "left_anti")
-    rows.drop("_file", "_member").write.mode("append").option("header", True).partitionBy("report_date").format(kind).save(target)
+    """A10: a table's rows as files by the date of their report; dates that are done are skipped before a file is read.
+
+    A date is done once it stands in ``<target>/_done``, which is written after its rows. What a broken run left of a
+    date is overwritten by the next. Rows of files without a date in their name go by their own time, under ``undated``.
+    """
+    files, done = report_files(spark, path), f"{target}/_done"
+    day = file_date(F.element_at(F.split("path", "/"), -1))
+    todo = files.select(day.alias("report_date"))
+    if exists(spark, done):
+        todo = todo.join(spark.read.schema("report_date date").parquet(done), "report_date", "left_anti")
+    todo = [r[0] for r in todo.where("report_date IS NOT NULL").distinct().collect()]  # a date for each day of reports
+    wanted = files.where(day.isin(todo) | day.isNull()) if todo else files.where(day.isNull())
+    rows = scan(wanted, table)
+    named = file_date(F.element_at(F.split("_file", "/"), -1)).cast("string")
+    own = F.concat(F.lit("undated-"), F.to_date(schemas.event_time(table)).cast("string"))
+    rows = rows.withColumn("report_date", F.coalesce(named, own)).drop("_file", "_member")
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("header", True)
+    writer.partitionBy("report_date").format(kind).save(target)
+    if todo:
+        spark.createDataFrame([(x,) for x in todo], "report_date date").coalesce(1).write.mode("append").parquet(done)
 
 
 def inventory(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:

@@ -1,7 +1,7 @@
 """Report tables: record types and typed columns.
 
-A column is written ``NAME:T``; T is a timestamp, S a string, D a double. All are nullable. Columns bind to a
-file by the names in its header row: extra columns are ignored, missing ones are null.
+All columns are nullable. They bind to a file by the names in its header row: extra columns are ignored, missing ones
+are null.
 """
 
 from __future__ import annotations
@@ -11,23 +11,238 @@ from pyspark.sql import types as T
 #: Market regions (fixed values).
 REGIONS = ("NSW1", "QLD1", "SA1", "VIC1", "TAS1")
 
+TIMESTAMP, STRING, DOUBLE = T.TimestampType(), T.StringType(), T.DoubleType()
+
 # Table names, record types and columns of the published report format.
-_TABLES = {
-    "DISPATCHREGIONSUM": ("DISPATCH,REGIONSUM", "SETTLEMENTDATE:T RUNNO:S REGIONID:S DISPATCHINTERVAL:S INTERVENTION:S TOTALDEMAND:D AVAILABLEGENERATION:D AVAILABLELOAD:D DEMANDFORECAST:D DISPATCHABLEGENERATION:D DISPATCHABLELOAD:D NETINTERCHANGE:D"),
-    "DISPATCHPRICE": ("DISPATCH,PRICE", "SETTLEMENTDATE:T RUNNO:S REGIONID:S DISPATCHINTERVAL:S INTERVENTION:S RRP:D EEP:D ROP:D APCFLAG:S MARKETSUSPENDEDFLAG:S"),
-    "TRADINGPRICE": ("TRADING,PRICE", "SETTLEMENTDATE:T RUNNO:S REGIONID:S PERIODID:S RRP:D EEP:D INVALIDFLAG:S"),
-    "DISPATCH_UNIT_SCADA": ("DISPATCH,UNIT_SCADA", "SETTLEMENTDATE:T DUID:S SCADAVALUE:D LASTCHANGED:T"),
-    "ROOFTOP_PV_ACTUAL": ("ROOFTOP,ACTUAL", "INTERVAL_DATETIME:T REGIONID:S POWER:D QI:D TYPE:S LASTCHANGED:T"),
-    "P5MIN_REGIONSOLUTION": ("P5MIN,REGIONSOLUTION", "RUN_DATETIME:T INTERVENTION:S INTERVAL_DATETIME:T REGIONID:S RRP:D ROP:D EXCESSGENERATION:D TOTALDEMAND:D AVAILABLEGENERATION:D AVAILABLELOAD:D DEMANDFORECAST:D DISPATCHABLEGENERATION:D DISPATCHABLELOAD:D NETINTERCHANGE:D LASTCHANGED:T"),
-    "DISPATCH_REGION": ("DREGION,", "SETTLEMENTDATE:T RUNNO:S REGIONID:S INTERVENTION:S RRP:D EEP:D ROP:D APCFLAG:S MARKETSUSPENDEDFLAG:S TOTALDEMAND:D DEMANDFORECAST:D DISPATCHABLEGENERATION:D DISPATCHABLELOAD:D NETINTERCHANGE:D AVAILABLEGENERATION:D AVAILABLELOAD:D CLEAREDSUPPLY:D RAISE6SECRRP:D RAISE60SECRRP:D RAISE5MINRRP:D LOWER6SECRRP:D LOWER60SECRRP:D LOWER5MINRRP:D"),
-    "DISPATCH_INTERCONNECTOR": ("DINT,", "SETTLEMENTDATE:T RUNNO:S INTERCONNECTORID:S INTERVENTION:S METEREDMWFLOW:D MWFLOW:D MWLOSSES:D MARGINALVALUE:D VIOLATIONDEGREE:D IMPORTLIMIT:D EXPORTLIMIT:D MARGINALLOSS:D EXPORTGENCONID:S IMPORTGENCONID:S"),
-    "DISPATCH_INTERCONNECTOR_TRADING": ("TINT,", "SETTLEMENTDATE:T RUNNO:S INTERCONNECTORID:S METEREDMWFLOW:D MWFLOW:D MWLOSSES:D"),
-    "P5MIN_INTERCONNECTORSOLN": ("P5MIN,INTERCONNECTORSOLN", "RUN_DATETIME:T INTERVENTION:S INTERCONNECTORID:S INTERVAL_DATETIME:T METEREDMWFLOW:D MWFLOW:D MWLOSSES:D MARGINALVALUE:D EXPORTLIMIT:D IMPORTLIMIT:D LASTCHANGED:T"),
-    "BIDPEROFFER_D": ("BID,BIDPEROFFER_D", "SETTLEMENTDATE:T DUID:S BIDTYPE:S BIDSETTLEMENTDATE:T OFFERDATE:T PERIODID:S VERSIONNO:S MAXAVAIL:D FIXEDLOAD:D ROCUP:D ROCDOWN:D ENABLEMENTMIN:D ENABLEMENTMAX:D LOWBREAKPOINT:D HIGHBREAKPOINT:D BANDAVAIL1:D BANDAVAIL2:D BANDAVAIL3:D BANDAVAIL4:D BANDAVAIL5:D BANDAVAIL6:D BANDAVAIL7:D BANDAVAIL8:D BANDAVAIL9:D BANDAVAIL10:D LASTCHANGED:T PASAAVAILABILITY:D INTERVAL_DATETIME:T DIRECTION:S ENERGYLIMIT:D RECALL_PERIOD:S"),
-    "BIDDAYOFFER_D": ("BID,BIDDAYOFFER_D", "SETTLEMENTDATE:T DUID:S BIDTYPE:S BIDSETTLEMENTDATE:T OFFERDATE:T VERSIONNO:S PARTICIPANTID:S DAILYENERGYCONSTRAINT:D REBIDEXPLANATION:S PRICEBAND1:D PRICEBAND2:D PRICEBAND3:D PRICEBAND4:D PRICEBAND5:D PRICEBAND6:D PRICEBAND7:D PRICEBAND8:D PRICEBAND9:D PRICEBAND10:D MINIMUMLOAD:D T1:D T2:D T3:D T4:D NORMALSTATUS:S LASTCHANGED:T ENTRYTYPE:S DIRECTION:S"),
-}
-
-_TYPES = {"T": T.TimestampType(), "S": T.StringType(), "D": T.DoubleType()}
+_TABLES: dict[str, tuple[tuple[str, str], dict[str, T.DataType]]] = {
+    "DISPATCHREGIONSUM": (
+        ("DISPATCH", "REGIONSUM"),
+        {
+            "SETTLEMENTDATE": TIMESTAMP,
+            "RUNNO": STRING,
+            "REGIONID": STRING,
+            "DISPATCHINTERVAL": STRING,
+            "INTERVENTION": STRING,
+            "TOTALDEMAND": DOUBLE,
+            "AVAILABLEGENERATION": DOUBLE,
+            "AVAILABLELOAD": DOUBLE,
+            "DEMANDFORECAST": DOUBLE,
+            "DISPATCHABLEGENERATION": DOUBLE,
+            "DISPATCHABLELOAD": DOUBLE,
+            "NETINTERCHANGE": DOUBLE,
+        },
+    ),
+    "DISPATCHPRICE": (
+        ("DISPATCH", "PRICE"),
+        {
+            "SETTLEMENTDATE": TIMESTAMP,
+            "RUNNO": STRING,
+            "REGIONID": STRING,
+            "DISPATCHINTERVAL": STRING,
+            "INTERVENTION": STRING,
+            "RRP": DOUBLE,
+            "EEP": DOUBLE,
+            "ROP": DOUBLE,
+            "APCFLAG": STRING,
+            "MARKETSUSPENDEDFLAG": STRING,
+        },
+    ),
+    "TRADINGPRICE": (
+        ("TRADING", "PRICE"),
+        {
+            "SETTLEMENTDATE": TIMESTAMP,
+            "RUNNO": STRING,
+            "REGIONID": STRING,
+            "PERIODID": STRING,
+            "RRP": DOUBLE,
+            "EEP": DOUBLE,
+            "INVALIDFLAG": STRING,
+        },
+    ),
+    "DISPATCH_UNIT_SCADA": (
+        ("DISPATCH", "UNIT_SCADA"),
+        {
+            "SETTLEMENTDATE": TIMESTAMP,
+            "DUID": STRING,
+            "SCADAVALUE": DOUBLE,
+            "LASTCHANGED": TIMESTAMP,
+        },
+    ),
+    "ROOFTOP_PV_ACTUAL": (
+        ("ROOFTOP", "ACTUAL"),
+        {
+            "INTERVAL_DATETIME": TIMESTAMP,
+            "REGIONID": STRING,
+            "POWER": DOUBLE,
+            "QI": DOUBLE,
+            "TYPE": STRING,
+            "LASTCHANGED": TIMESTAMP,
+        },
+    ),
+    "P5MIN_REGIONSOLUTION": (
+        ("P5MIN", "REGIONSOLUTION"),
+        {
+            "RUN_DATETIME": TIMESTAMP,
+            "INTERVENTION": STRING,
+            "INTERVAL_DATETIME": TIMESTAMP,
+            "REGIONID": STRING,
+            "RRP": DOUBLE,
+            "ROP": DOUBLE,
+            "EXCESSGENERATION": DOUBLE,
+            "TOTALDEMAND": DOUBLE,
+            "AVAILABLEGENERATION": DOUBLE,
+            "AVAILABLELOAD": DOUBLE,
+            "DEMANDFORECAST": DOUBLE,
+            "DISPATCHABLEGENERATION": DOUBLE,
+            "DISPATCHABLELOAD": DOUBLE,
+            "NETINTERCHANGE": DOUBLE,
+            "LASTCHANGED": TIMESTAMP,
+        },
+    ),
+    "DISPATCH_REGION": (
+        ("DREGION", ""),
+        {
+            "SETTLEMENTDATE": TIMESTAMP,
+            "RUNNO": STRING,
+            "REGIONID": STRING,
+            "INTERVENTION": STRING,
+            "RRP": DOUBLE,
+            "EEP": DOUBLE,
+            "ROP": DOUBLE,
+            "APCFLAG": STRING,
+            "MARKETSUSPENDEDFLAG": STRING,
+            "TOTALDEMAND": DOUBLE,
+            "DEMANDFORECAST": DOUBLE,
+            "DISPATCHABLEGENERATION": DOUBLE,
+            "DISPATCHABLELOAD": DOUBLE,
+            "NETINTERCHANGE": DOUBLE,
+            "AVAILABLEGENERATION": DOUBLE,
+            "AVAILABLELOAD": DOUBLE,
+            "CLEAREDSUPPLY": DOUBLE,
+            "RAISE6SECRRP": DOUBLE,
+            "RAISE60SECRRP": DOUBLE,
+            "RAISE5MINRRP": DOUBLE,
+            "LOWER6SECRRP": DOUBLE,
+            "LOWER60SECRRP": DOUBLE,
+            "LOWER5MINRRP": DOUBLE,
+        },
+    ),
+    "DISPATCH_INTERCONNECTOR": (
+        ("DINT", ""),
+        {
+            "SETTLEMENTDATE": TIMESTAMP,
+            "RUNNO": STRING,
+            "INTERCONNECTORID": STRING,
+            "INTERVENTION": STRING,
+            "METEREDMWFLOW": DOUBLE,
+            "MWFLOW": DOUBLE,
+            "MWLOSSES": DOUBLE,
+            "MARGINALVALUE": DOUBLE,
+            "VIOLATIONDEGREE": DOUBLE,
+            "IMPORTLIMIT": DOUBLE,
+            "EXPORTLIMIT": DOUBLE,
+            "MARGINALLOSS": DOUBLE,
+            "EXPORTGENCONID": STRING,
+            "IMPORTGENCONID": STRING,
+        },
+    ),
+    "DISPATCH_INTERCONNECTOR_TRADING": (
+        ("TINT", ""),
+        {
+            "SETTLEMENTDATE": TIMESTAMP,
+            "RUNNO": STRING,
+            "INTERCONNECTORID": STRING,
+            "METEREDMWFLOW": DOUBLE,
+            "MWFLOW": DOUBLE,
+            "MWLOSSES": DOUBLE,
+        },
+    ),
+    "P5MIN_INTERCONNECTORSOLN": (
+        ("P5MIN", "INTERCONNECTORSOLN"),
+        {
+            "RUN_DATETIME": TIMESTAMP,
+            "INTERVENTION": STRING,
+            "INTERCONNECTORID": STRING,
+            "INTERVAL_DATETIME": TIMESTAMP,
+            "METEREDMWFLOW": DOUBLE,
+            "MWFLOW": DOUBLE,
+            "MWLOSSES": DOUBLE,
+            "MARGINALVALUE": DOUBLE,
+            "EXPORTLIMIT": DOUBLE,
+            "IMPORTLIMIT": DOUBLE,
+            "LASTCHANGED": TIMESTAMP,
+        },
+    ),
+    "BIDPEROFFER_D": (
+        ("BID", "BIDPEROFFER_D"),
+        {
+            "SETTLEMENTDATE": TIMESTAMP,
+            "DUID": STRING,
+            "BIDTYPE": STRING,
+            "BIDSETTLEMENTDATE": TIMESTAMP,
+            "OFFERDATE": TIMESTAMP,
+            "PERIODID": STRING,
+            "VERSIONNO": STRING,
+            "MAXAVAIL": DOUBLE,
+            "FIXEDLOAD": DOUBLE,
+            "ROCUP": DOUBLE,
+            "ROCDOWN": DOUBLE,
+            "ENABLEMENTMIN": DOUBLE,
+            "ENABLEMENTMAX": DOUBLE,
+            "LOWBREAKPOINT": DOUBLE,
+            "HIGHBREAKPOINT": DOUBLE,
+            "BANDAVAIL1": DOUBLE,
+            "BANDAVAIL2": DOUBLE,
+            "BANDAVAIL3": DOUBLE,
+            "BANDAVAIL4": DOUBLE,
+            "BANDAVAIL5": DOUBLE,
+            "BANDAVAIL6": DOUBLE,
+            "BANDAVAIL7": DOUBLE,
+            "BANDAVAIL8": DOUBLE,
+            "BANDAVAIL9": DOUBLE,
+            "BANDAVAIL10": DOUBLE,
+            "LASTCHANGED": TIMESTAMP,
+            "PASAAVAILABILITY": DOUBLE,
+            "INTERVAL_DATETIME": TIMESTAMP,
+            "DIRECTION": STRING,
+            "ENERGYLIMIT": DOUBLE,
+            "RECALL_PERIOD": STRING,
+        },
+    ),
+    "BIDDAYOFFER_D": (
+        ("BID", "BIDDAYOFFER_D"),
+        {
+            "SETTLEMENTDATE": TIMESTAMP,
+            "DUID": STRING,
+            "BIDTYPE": STRING,
+            "BIDSETTLEMENTDATE": TIMESTAMP,
+            "OFFERDATE": TIMESTAMP,
+            "VERSIONNO": STRING,
+            "PARTICIPANTID": STRING,
+            "DAILYENERGYCONSTRAINT": DOUBLE,
+            "REBIDEXPLANATION": STRING,
+            "PRICEBAND1": DOUBLE,
+            "PRICEBAND2": DOUBLE,
+            "PRICEBAND3": DOUBLE,
+            "PRICEBAND4": DOUBLE,
+            "PRICEBAND5": DOUBLE,
+            "PRICEBAND6": DOUBLE,
+            "PRICEBAND7": DOUBLE,
+            "PRICEBAND8": DOUBLE,
+            "PRICEBAND9": DOUBLE,
+            "PRICEBAND10": DOUBLE,
+            "MINIMUMLOAD": DOUBLE,
+            "T1": DOUBLE,
+            "T2": DOUBLE,
+            "T3": DOUBLE,
+            "T4": DOUBLE,
+            "NORMALSTATUS": STRING,
+            "LASTCHANGED": TIMESTAMP,
+            "ENTRYTYPE": STRING,
+            "DIRECTION": STRING,
+        },
+    ),
+}
 
 
 def tables() -> list[str]:
@@ -38,14 +253,12 @@ def record_type(table: str) -> tuple[str, str]:
     """The two fields that mark a table's rows. An unknown table is an error."""
     if table not in _TABLES:
         raise ValueError(f"unknown report table: {table}")
-    first, second = _TABLES[table][0].split(",")
-    return first, second
+    return _TABLES[table][0]
 
 
 def schema(table: str) -> T.StructType:
     record_type(table)
-    fields = [c.split(":") for c in _TABLES[table][1].split()]
-    return T.StructType([T.StructField(name, _TYPES[kind], True) for name, kind in fields])
+    return T.StructType([T.StructField(name, kind, True) for name, kind in _TABLES[table][1].items()])
 
 
 def event_time(table: str) -> str:

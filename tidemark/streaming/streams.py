@@ -90,19 +90,24 @@ def append_files(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return df.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).format("parquet").start(path)
 
 
-def poll_into_tables(df: DataFrame, targets: Mapping[str, Sequence[str]], checkpoint: str, key: Sequence[str], interval: str | None = None) -> StreamingQuery:
+def poll_into_tables(df: DataFrame, targets: Mapping[str, Sequence[str]], checkpoint: str, key: Sequence[str], ts: str, interval: str | None = None) -> StreamingQuery:
     """Each batch goes to several tables, of some of the columns each, without rows that a table has already.
 
-    A batch that is run again after a failure adds nothing twice.
+    A batch that is run again after a failure adds nothing twice. ``ts``, which is part of ``key``, bounds what is
+    looked up: of a table only the rows in the batch's range of time are read.
     """
+    if ts not in key:
+        raise ValueError("the time has to be part of the key")
 
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         batch = batch.persist()
+        low, high = batch.agg(F.min(ts), F.max(ts)).first()
         for table, names in targets.items():
             rows = batch.select(*names).dropDuplicates(list(key))
             if spark.catalog.tableExists(table):
-                rows = rows.join(spark.table(table).select(*key), list(key), "left_anti")
+                near = spark.table(table).where(F.col(ts).between(low, high)) if low is not None else spark.table(table).limit(0)
+                rows = rows.join(near.select(*key), list(key), "left_anti")
             rows.write.mode("append").saveAsTable(table)
         batch.unpersist()
 
