@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import windows as W
 from tidemark.operators.rollups import error_metrics
+from tidemark.operators.storage import checkpoint
 
 
 def regressor(features: Sequence[str], label: str, kind: str = "boosted", trees: int = 20, depth: int = 5, seed: int = 7) -> Pipeline:
@@ -26,7 +27,7 @@ def regressor(features: Sequence[str], label: str, kind: str = "boosted", trees:
 
 def train_regressor(df: DataFrame, features: Sequence[str], label: str, entity: str, ts: str, share: float = 0.8, **options) -> tuple[PipelineModel, DataFrame]:
     """Fit on the earlier part of each entity, predict the later part; (model, predictions of the later part)."""
-    split = W.temporal_split(df, entity, ts, share)
+    split = checkpoint(W.temporal_split(df, entity, ts, share))  # features are worked out once, not for each tree
     model = regressor(features, label, **options).fit(split.where("is_train"))
     return model, model.transform(split.where("NOT is_train"))
 
@@ -43,6 +44,7 @@ def train_classifier(df: DataFrame, features: Sequence[str], label: str, entity:
         split = keyed.join(F.broadcast(limit), label).withColumn("is_train", F.col("_draw") <= F.col("_limit")).drop("_draw", "_limit")
     else:
         split = W.temporal_split(df, entity, ts, share)
+    split = checkpoint(split)
     train = split.where("is_train")
     counts = {r[0]: r[1] for r in train.groupBy(label).count().collect()}
     total = sum(counts.values())

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import feature_queries, market_queries  # noqa: F401  (they register themselves)
+from tidemark.plans import feature_queries, market_queries, source_queries  # noqa: F401  (they register themselves)
 from tidemark.plans.frames import QUERIES, SQL
 
 
