@@ -9,8 +9,8 @@ dropped and nothing repeated.
 
 The schedule is made over blocks, not over rows: a block has ``BLOCK_ROWS`` rows or as many more as bring all rows
 into ``SLOTS`` blocks, so there are SLOTS + sources of them at most at any size of the table. One row makes it, as
-each slot depends on the one before it; its work is that of slots times sources (see the README for times). The
-rows themselves are numbered in parallel, within hash ranges of a source, after the ranges have been counted, so
+each slot depends on the one before it; its work grows with the slots, and with the sources once in an epoch (see the
+README for times). The rows themselves are numbered in parallel, within hash ranges of a source, after the ranges have been counted, so
 a source may hold any share of them; they meet their block's slot in a broadcast of that bounded schedule.
 
 DataFrame functions only. A null source is a source of its own. Rows repeated with the same doc_id take a place
@@ -30,21 +30,34 @@ TEMPERATURE = 0.7
 PARTS = 1_000_000_000
 ADDED = ("_block", "_release", "_deadline", "_slot", "_position", "_in_proportion")
 
-# One step: time goes on to the first release if nothing is released; the released job with the earliest deadline
-# (then the first source) runs, and the source's next job takes its place, if it has one. Steps are made in runs of
-# 256, so that the list of what ran is seldom copied.
+#: Slots of an epoch.
+EPOCH = 128
+
+# The schedule is made epoch by epoch. An epoch begins at the first slot for which a job is released. As it runs no
+# more than EPOCH jobs, of those released by then only the EPOCH with the earliest deadlines can have their turn; with
+# those that are released within it they are all that its steps have to look at. In a step the released job with the
+# earliest deadline (then the first source) runs, and the source's next job takes its place, if it has one.
 _JOB = "named_struct('deadline', ((x.k + 1) * whole + x.part - 1) div x.part, 'i', x.i, 'release', (x.k * whole) div x.part, 'k', x.k + 1, 'part', x.part, 'blocks', x.blocks)"
 _NONE = "array_repeat(named_struct('i', 0, 'k', 0L, 'slot', 0L), 0)"
 _STEP = f"""
-  transform(array(greatest(a.t, array_min(transform(a.next, x -> x.release)))), t ->
+  transform(array(greatest(a.t, coalesce(array_min(transform(a.next, x -> x.release)), t0 + {EPOCH}))), t -> if(t >= t0 + {EPOCH}, a,
     transform(array(array_min(filter(a.next, x -> x.release <= t))), p -> named_struct(
       't', t + 1,
       'next', filter(transform(a.next, x -> if(x.i = p.i, {_JOB}, x)), x -> x.k <= x.blocks),
-      'run', concat(a.run, array(named_struct('i', p.i, 'k', p.k, 'slot', t)))))[0])[0]"""
+      'run', concat(a.run, array(named_struct('i', p.i, 'k', p.k, 'slot', t)))))[0]))[0]"""
+_EPOCH = f"""
+  transform(array(greatest(e.t, array_min(transform(e.next, x -> x.release)))), t0 ->
+    transform(array(sort_array(filter(e.next, x -> x.release <= t0))), ready ->
+      transform(array(aggregate(sequence(1, {EPOCH}),
+        named_struct('t', t0, 'next', concat(slice(ready, 1, {EPOCH}), filter(e.next, x -> x.release > t0 and x.release < t0 + {EPOCH})), 'run', {_NONE}),
+        (a, _) -> {_STEP})), r ->
+      named_struct('t', r.t, 'next', concat(r.next, slice(ready, {EPOCH + 1}, size(ready)), filter(e.next, x -> x.release >= t0 + {EPOCH})), 'run', concat(e.run, r.run)))[0])[0])[0]"""
+# There are no more epochs than blocks, and mostly far fewer: they are counted in two loops, so that few turns are idle.
+_TURNS = "sequence(1, cast(ceil(sqrt(total)) as int))"
 _RUN = f"""
-  aggregate(sequence(1, cast(ceil(total / 256) as int)), named_struct('t', 0L, 'next', jobs, 'run', {_NONE}), (all, _) ->
-    transform(array(aggregate(sequence(1, 256), named_struct('t', all.t, 'next', all.next, 'run', {_NONE}),
-      (a, _) -> if(size(a.next) = 0, a, {_STEP}))), r -> named_struct('t', r.t, 'next', r.next, 'run', concat(all.run, r.run)))[0]).run"""
+  aggregate({_TURNS}, named_struct('t', 0L, 'next', jobs, 'run', {_NONE}), (o, _) -> if(size(o.next) = 0, o,
+    transform(array(aggregate({_TURNS}, named_struct('t', o.t, 'next', o.next, 'run', {_NONE}), (e, _) -> if(size(e.next) = 0, e, {_EPOCH}))), b ->
+      named_struct('t', b.t, 'next', b.next, 'run', concat(o.run, b.run)))[0])).run"""
 
 
 def weighed(sizes: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, block_rows: int = BLOCK_ROWS, slots: int = SLOTS) -> DataFrame:
@@ -58,8 +71,8 @@ def weighed(sizes: DataFrame, weights: dict[str, float] | None = None, temperatu
         weight: Column = F.coalesce(F.element_at(given, F.col("source")), F.lit(float(min(weights.values()))))
     else:
         weight = F.pow(F.col("n").cast("double"), F.lit(temperature))
-    listed = sizes.groupBy().agg(F.sort_array(F.collect_list(F.struct("source", "n", weight.alias("w")))).alias("q"), F.sum("n").alias("rows"))
-    each = listed.where("rows > 0").select("rows", F.expr("aggregate(q, 0D, (s, x) -> s + x.w)").alias("sum_w"), F.posexplode("q").alias("i", "x"))
+    listed = sizes.groupBy().agg(F.sort_array(F.collect_list(F.struct("source", "n", weight.alias("w")))).alias("q"), F.sum("n").alias("rows"), F.sum(weight).alias("sum_w"))
+    each = listed.where("rows > 0").select("rows", "sum_w", F.posexplode("q").alias("i", "x"))
     parts = each.select("rows", "x.source", "x.n", "i", F.greatest(F.lit(1), F.round(F.col("x.w") / F.col("sum_w") * PARTS)).cast("bigint").alias("part"))
     whole = parts.groupBy("rows").agg(F.sum("part").alias("whole"))
     rows = F.greatest(F.lit(block_rows), F.ceil(F.col("rows") / F.lit(slots))).cast("bigint")
