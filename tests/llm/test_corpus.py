@@ -126,6 +126,10 @@ def test_exact_duplicates_equal_brute_force(spark):
         assert left.columns == docs.columns
         assert left.count() == len({t or "" for _, t in rows}) == left.select(F.coalesce("text", F.lit(""))).distinct().count()
     assert chunk_dedup.exact_duplicates(X.nothing(spark)).count() == 0
+    hot = spark.createDataFrame([(7, "the same row", "x")] * 500 + [(8, "the same row", "y"), (9, "another", "z")], "doc_id bigint, text string, source string").repartition(8)
+    assert sorted((r["doc_id"], r["source"]) for r in chunk_dedup.drop_duplicates(hot).collect()) == [(8, "y"), (9, "z")]
+    hot = hot.where("doc_id <> 8")
+    assert sorted((r["doc_id"], r["source"]) for r in chunk_dedup.drop_duplicates(hot).collect()) == [(7, "x"), (9, "z")]
     assert chunk_dedup.drop_duplicates(X.nothing(spark)).count() == 0
 
 

@@ -26,6 +26,8 @@ from tidemark.llm.common import arrow_batches, checkpoint, fresh
 
 #: Smallest and largest chunk in bytes; a cut falls on one position in 2**CUT_BITS of those that may be cut.
 SMALLEST, LARGEST, CUT_BITS = 256, 16384, 10
+#: Keys of repeated rows up to which they are broadcast (some 90 bytes each).
+BROADCAST_KEYS = 100_000
 _MIX = np.array([xxhash.xxh32_intdigest(bytes([b]), 7) for b in range(256)], np.uint32)
 
 
@@ -119,7 +121,8 @@ def recipes(chunked: DataFrame) -> DataFrame:
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each document: doc_id, keep_id, group_size, kept, text_sha256, n_chunks.
+    """One row for each document: doc_id, keep_id, group_size, kept, text_sha256, n_chunks, and copies, the
+    rows that share both id and text.
 
     Of equal texts the row with the largest doc_id stays. A group may hold any share of the rows: it is
     summed before it is shuffled, and joined back on a key that Spark may split.
@@ -132,19 +135,29 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     copy = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))).alias("copy")
     return (
         counted.join(groups, "recipe")
-        .select("doc_id", "keep_id", "group_size", "text_sha256", F.size("recipe").cast("bigint").alias("n_chunks"), copy)
-        .select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "text_sha256", "n_chunks")
+        .select("doc_id", "keep_id", "group_size", "text_sha256", F.size("recipe").cast("bigint").alias("n_chunks"), "copies", copy)
+        .select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "text_sha256", "n_chunks", "copies")
     )
 
 
 def drop_duplicates(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns."""
-    # one key of id and digest, so that the join and the distinct share a single exchange of the texts
+    """The documents that stay, with all their columns.
+
+    A text is shuffled once, to meet the keys that stay. Rows repeated with the same id and text, of which one stays,
+    are told apart beforehand: where there are any, theirs are brought to one in each partition before the shuffle
+    that leaves one in all, so a row that a third of all rows repeat gathers nowhere.
+    """
     name = fresh(docs, "stay_key")
 
     def key(digest):
         return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), digest).alias(name)
 
-    stay = exact_duplicates(docs).where("kept").select(key(F.col("text_sha256"))).distinct()
+    stay = checkpoint(exact_duplicates(docs).where("kept").groupBy(key(F.col("text_sha256"))).agg(F.max("copies").alias("copies")))
+    again = stay.where("copies > 1").select(name)
     keyed = docs.select("*", key(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)))
-    return keyed.join(stay, name, "left_semi").dropDuplicates([name]).select(docs.columns)
+    kept = keyed.join(stay.where("copies = 1").select(name), name, "left_semi")
+    n = again.count()
+    if n:
+        repeated = keyed.join(F.broadcast(again) if n <= BROADCAST_KEYS else again, name, "left_semi")
+        kept = kept.unionByName(repeated.dropDuplicates([name]))
+    return kept.select(docs.columns)

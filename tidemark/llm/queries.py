@@ -35,7 +35,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunk_dedup.exact_duplicates(table(spark, sf_dir, "documents")).drop("n_chunks")
+    return chunk_dedup.exact_duplicates(table(spark, sf_dir, "documents")).drop("n_chunks", "copies")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
