@@ -141,6 +141,8 @@ def written_position(docs: DataFrame, name: str = "position") -> DataFrame:
     """
     at = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
     counts = at.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy(F.lit(0)).orderBy(F.element_at(F.split("_file", "/"), -1)).rowsBetween(Window.unboundedPreceding, -1)
+    file = F.element_at(F.split("_file", "/"), -1)
+    number = F.regexp_extract(file, r"^part-([0-9]+)", 1).try_cast("bigint")  # beyond 99,999 names no longer sort as numbers do
+    earlier = Window.partitionBy(F.lit(0)).orderBy(number, file).rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("_file", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
     return at.join(F.broadcast(starts), "_file").select(*docs.columns, (F.col("_start") + F.col("_at")).alias(name))
