@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
@@ -490,11 +492,17 @@ def line_protocol(spark, d):
 
 
 def _layouts(spark, d):
-    """Both layouts of the events, written once for a query."""
+    """Both layouts of the events, written once for a session."""
+    folder = _written_layouts(spark.sparkContext.applicationId, spark, d)
+    return spark.read.parquet(f"{folder}/partitioned"), spark.read.parquet(f"{folder}/clustered")
+
+
+@functools.lru_cache(maxsize=8)
+def _written_layouts(application, spark, d):
     folder, m = scratch(spark, "layout"), market(spark, d).select(TS, REGION, PRICE, DEMAND)
     sinks.write_partitioned(m, f"{folder}/partitioned", TS)
     sinks.write_clustered(m, f"{folder}/clustered", [TS, REGION])
-    return spark.read.parquet(f"{folder}/partitioned"), spark.read.parquet(f"{folder}/clustered")
+    return folder
 
 
 @query("{m} SELECT region_id, count(*) AS n, avg(rrp) AS avg_value, max(rrp) AS max_value FROM m WHERE settlement_date >= DATE '2024-01-15' AND settlement_date < DATE '2024-01-16' GROUP BY 1", rounded=["avg_value"])
