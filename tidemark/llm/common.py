@@ -12,7 +12,7 @@ from tidemark.operators.storage import checkpoint, checkpoint_folder, remove  #
 
 #: Rows and bytes of one Arrow batch handed to Python. Long texts reach the byte limit first.
 BATCH_ROWS = 2000
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

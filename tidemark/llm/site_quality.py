@@ -175,10 +175,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, keep: float = KEEP, model: Cla
     """
     model = model or train(docs, labels, text_col=text_col)
     host, path = F.col("source") if host is None else host, F.col("lang") if path is None else path
-    # the row travels as one struct, so its columns never meet the names used here
-    rows = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), host.cast("string").alias("_host"), path.cast("string").alias("_path"))
-    posteriors, overall, n = site_posteriors(evidence(docs.withColumn(fresh(docs, "no_id"), F.lit(0)), model, fresh(docs, "no_id"), text_col, host, path))
-    sites = posteriors.select(F.col("host").alias("_h"), F.col("path").alias("_p"), "path_posterior")
+    no_id, at_host, at_path, judgement, site_host, site_path, posterior = (fresh(docs, n) for n in ("no_id", "at_host", "at_path", "judgement", "site_host", "site_path", "site_posterior"))
+    posteriors, overall, n = site_posteriors(evidence(docs.withColumn(no_id, F.lit(0)), model, no_id, text_col, host, path))
+    sites = posteriors.select(F.col("host").alias(site_host), F.col("path").alias(site_path), F.col("path_posterior").alias(posterior))
     sites = F.broadcast(sites) if n <= BROADCAST_SITES else sites
 
     @F.arrow_udf("double")
@@ -186,6 +185,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, keep: float = KEEP, model: Cla
         return pa.array(probabilities(texts.to_pylist(), model), pa.float64())
 
     arrow_batches(docs.sparkSession)
-    scored = rows.withColumn("_evidence", judged("_text")).drop("_text")
-    joined = scored.join(sites, F.col("_host").eqNullSafe(F.col("_h")) & F.col("_path").eqNullSafe(F.col("_p")))
-    return joined.where(_score(F.col("_evidence"), F.col("path_posterior"), overall) >= keep).select("_row.*")
+    scored = docs.withColumns({judgement: judged(F.coalesce(F.col(text_col), F.lit(""))), at_host: host.cast("string"), at_path: path.cast("string")})
+    joined = scored.join(sites, F.col(at_host).eqNullSafe(F.col(site_host)) & F.col(at_path).eqNullSafe(F.col(site_path)))
+    return joined.where(_score(F.col(judgement), F.col(posterior), overall) >= keep).select(*[F.col(f"`{c}`") for c in docs.columns])
