@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import columns as C
 from tidemark.operators import clean, features, layout, models, quality, rollups, sinks
 from tidemark.plans import medallion
-from tidemark.plans.feature_queries import _ntz, _played, _range, _replay
+from tidemark.plans.feature_queries import OVER, _ntz, _played, _range, _replay
 from tidemark.plans.frames import market, query, scratch, table
 from tidemark.plans.market_queries import DEMAND, HOUR, PRICE, REGION, TS, _layouts, weather_documents
 from tidemark.sources import custom, json_sources, reports, tables
@@ -358,3 +358,15 @@ def spike_rows(spark, d):
     from tidemark.plans.feature_queries import spike_classifier
 
     return spike_classifier(spark, d).select("event_id", "is_spike", F.col("predicted").isin(0, 1).alias("judged"))
+
+
+@query(f"""{{m,}} x AS (SELECT settlement_date, region_id, total_demand_mw, lag(total_demand_mw, 288) OVER {OVER} AS far, CASE WHEN count(total_demand_mw) OVER (PARTITION BY region_id ORDER BY settlement_date, event_id ROWS BETWEEN 287 PRECEDING AND CURRENT ROW) = 288 THEN 1 END AS day,
+    last_value(air_temp_c IGNORE NULLS) OVER (PARTITION BY region_id ORDER BY settlement_date, event_id ROWS UNBOUNDED PRECEDING) AS air FROM m),
+  n AS (SELECT *, row_number() OVER (PARTITION BY region_id ORDER BY settlement_date) AS rn, count(*) OVER (PARTITION BY region_id) AS n FROM x WHERE far IS NOT NULL AND day IS NOT NULL AND air IS NOT NULL)
+  SELECT settlement_date, region_id, total_demand_mw AS actual_demand, true AS scored FROM n WHERE rn > greatest(1, least(n - 1, floor(n * CAST(0.8 AS DOUBLE))))""")
+def scored_rows(spark, d):
+    """Trained on the earlier part of each region, every later row is scored and keeps what happened."""
+    names = [f"demand_lag_{k}" for k in features.LOAD_LAGS] + ["demand_rolling_1h_mean", "demand_rolling_1d_mean", "hour_sin", "hour_cos", "rrp_lag_1"]
+    model, later = models.train_regressor(features.load_features(market(spark, d), tie="event_id"), names, DEMAND, REGION, TS)
+    out = models.score(later.drop("features", "prediction"), model, [TS, REGION], DEMAND, "demand", 1)
+    return out.select(TS, REGION, "actual_demand", F.col("predicted_demand").isNotNull().alias("scored"))
