@@ -281,6 +281,18 @@ def test_vectors_that_take_no_part_and_copies(spark):
     assert hnsw.nearest(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", [1e-100, 1e150])
+def test_vectors_beyond_single_precision(spark, size):
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(200, 6)) * size
+    df = spark.createDataFrame(list(zip(range(200), v.tolist())), "vec_id bigint, embedding array<double>")
+    got = defaultdict(list)
+    for r in hnsw.nearest(df, k=5).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    want = plain_nearest(list(range(200)), (v / size).tolist(), 5, 20)
+    assert sum(len({i for i, _ in want[q]} & set(got[q])) for q in want) >= 0.9 * 5 * len(want)
+
+
 def clusters(n, d, groups, spread, seed=3):
     rng = np.random.default_rng(seed)
     centres = rng.normal(size=(groups, d))

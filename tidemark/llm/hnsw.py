@@ -257,6 +257,12 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).astype(np.float32)
 
 
+def _single(vectors: np.ndarray, axis: int | None = None) -> np.ndarray:
+    """In single precision, scaled together (or each by itself along ``axis``) so that the largest component is one:
+    the order of products stays as it is."""
+    return (vectors / np.abs(vectors).max(axis=axis, keepdims=True)).astype(np.float32)
+
+
 def centroids(sample: np.ndarray, cells: int, seed: int = 5) -> np.ndarray:
     """Mean directions of ``cells`` groups of the sample."""
     unit = np.unique(_unit(sample), axis=0)
@@ -370,7 +376,7 @@ def shard_graphs(dealt: DataFrame, links: int = LINKS) -> DataFrame:
 
     def build(frame: pd.DataFrame) -> pd.DataFrame:
         vectors = np.stack(frame["v"].to_list()).astype(np.float64)
-        order, tables = build_graph(vectors.astype(np.float32), links)
+        order, tables = build_graph(_single(vectors), links)
         ids = [frame["ids"].iat[i] for i in order.tolist()]
         packed = _pack(vectors=vectors[order], ids=np.concatenate(ids), ends=np.array([len(x) for x in ids], np.int64).cumsum(), **{f"level{i}": t for i, t in enumerate(tables)})
         return pd.DataFrame({"dim": [vectors.shape[1]], "cell": [frame["cell"].iat[0]], "sub": [frame["sub"].iat[0]], "graph": [packed]})
@@ -405,12 +411,12 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, cells: int | None
             tables = [packed[f"level{i}"] for i in range(sum(name.startswith("level") for name in packed.files))]
             exact, ids, ends = packed["vectors"], packed["ids"], packed["ends"]
         starts = np.concatenate([[0], ends[:-1]])
-        coarse = exact.astype(np.float32)
+        coarse = _single(exact)
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for low in range(0, len(right), 256):
             part = right.iloc[low : low + 256]
             q = np.stack(part["v"].to_list()).astype(np.float64)
-            found = search_graph(coarse, tables, q.astype(np.float32), k + 1, beam)
+            found = search_graph(coarse, tables, _single(q, axis=1), k + 1, beam)
             score = np.einsum("qkd,qd->qk", exact[found], q)
             for query, places, scores in zip(part["asked_id"].tolist(), found, score, strict=True):
                 ok = places >= 0
