@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe_codec, chunk_dedup, hnsw, pair_heap, pfair, pii, secrets, simhash, site_quality, toxic_segments
+from tidemark.llm import bpe_codec, chunk_dedup, hnsw, pair_heap, pfair, pii, recompression, secrets, simhash, site_quality, toxic_segments
 from tidemark.llm.common import table
 
 
@@ -51,8 +51,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic_segments.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.digests(recompression.periodic_runs(table(spark, sf_dir, "documents"), recompression.planted_period))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_quality, op3_bpe, op4_token_counts, op5_secrets, op6_simhash, op7_exact_dedup, op8_mixing, op9_nearest, op10_toxicity)}
+    return {f.__name__: f for f in (op1_pii, op2_quality, op3_bpe, op4_token_counts, op5_secrets, op6_simhash, op7_exact_dedup, op8_mixing, op9_nearest, op10_toxicity, op11_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
