@@ -1,16 +1,20 @@
 """Periodic runs, language model scores and spelling variants against brute force."""
 
+import functools
 import hashlib
+import math
 import random
 import re
 import zlib
+from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm import fixtures as X
-from tidemark.llm import queries, recompression
+from tidemark.llm import katz, pivotal_grams, queries, recompression
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -125,3 +129,213 @@ def test_op11_query(spark):
     got = queries.op11_runs(spark, X.SMALL)
     assert got.columns[:8] == OP11 and got.count() == X.documents(spark).count()
     assert got.where("n_runs > 0 and start is not null and exponent_milli >= 3000").count() > 10
+
+
+# -- spelling variants --------------------------------------------------------------------------------------
+def plain_vocabulary(docs):
+    total = Counter()
+    for doc_id, text in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            word = re.sub("[A-Z]", lambda m: m.group().lower(), run)
+            h = zlib.crc32(f"{doc_id}:{word}".encode())
+            if doc_id is not None and h % 97 == 0:
+                at = h % len(word)
+                word = word[:at] + word[at + 1 :]
+            total[word] += 1
+    return {w: n for w, n in total.items() if len(w) >= 5 and n >= 3}
+
+
+def plain_variants(words):
+    """Words are near if one is the other without a letter, or both are equal without the letter at one place."""
+    without = defaultdict(set)
+    for w in words:
+        for i in range(len(w)):
+            without[w[:i] + "*" + w[i + 1 :]].add(w)
+            if w[:i] + w[i + 1 :] in words:
+                without[w, i] = {w, w[:i] + w[i + 1 :]}
+    near = defaultdict(set)
+    for group in without.values():
+        for w in group:
+            near[w] |= group - {w}
+    form = {}
+    for w in words:
+        best = min(near[w], key=lambda x: (-words[x], x), default=None)
+        form[w] = best if best is not None and words[best] >= 2 * words[w] else None
+    rows = []
+    for w, n in words.items():
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        rows.append((w, form[w], root, n, len(near[w]), words[form[w]] if form[w] else None))
+    return sorted(rows)
+
+
+def test_variants_equal_brute_force(spark):
+    rnd = random.Random(3)
+    words = {}
+    for _ in range(4000):
+        w = "".join(rnd.choice("abcé") for _ in range(rnd.randrange(5, 9)))
+        words[w] = rnd.randrange(3, 200)
+    words |= {"xxxxx": 3, "xxxxxx": 6, "xxxxxxx": 12, "xxxxxxxx": 24, "xxxxxxxxx": 48, "ababa": 4, "babab": 9, "x" * 3000: 5, "x" * 3001: 11}
+    got = pivotal_grams.variants(spark.createDataFrame(list(words.items()), "word string, n bigint"))
+    rows = sorted((r["word"], r["form"], r["root"], r["n"], r["n_near"], r["form_n"]) for r in got.collect())
+    assert rows == plain_variants(words) and sum(r[4] for r in rows) > 3000
+
+
+@pytest.mark.parametrize("docs", [X.documents, X.odd, X.clashing, X.nothing])
+def test_variants_of_documents(spark, docs):
+    docs = docs(spark)
+    got = pivotal_grams.variants(pivotal_grams.vocabulary(docs, pivotal_grams.deleted_letter))
+    want = plain_variants(plain_vocabulary([(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]))
+    assert sorted(tuple(r) for r in got.select("word", "form", "root", "n", "n_near", "form_n").collect()) == want
+
+
+def test_op13_query(spark):
+    got = queries.op13_variants(spark, X.SMALL)
+    assert got.columns == ["word", "form", "root", "n", "n_near", "form_n"] and got.where("root <> word").count() > 0
+
+
+def test_pivots_are_the_cheapest_that_do_not_overlap():
+    rnd = random.Random(4)
+    for _ in range(500):
+        ranks = [rnd.randrange(6) for _ in range(rnd.randrange(4, 12))]
+        places, rank, place = pivotal_grams.prefix_of(ranks)
+        assert sorted((ranks[p], p) for p in places[:3]) == sorted((r, p) for p, r in enumerate(ranks))[:3]
+        chosen = pivotal_grams.pivots_of(places[:3], ranks.__getitem__)
+        pairs = [(ranks[a] + ranks[b], a, b) for a in places[:3] for b in places[:3] if b - a >= 2]
+        assert chosen[1] - chosen[0] >= 2 and sum(ranks[p] for p in chosen) == min(pairs)[0]
+
+
+def test_words_are_whole_across_pieces(monkeypatch):
+    text = "Wörter und noch Mehr, ohne Rest " * 20
+    want = pivotal_grams.words_of(7, text)
+    for size in (1, 5, 33):
+        monkeypatch.setattr(pivotal_grams, "PIECE", size)
+        assert pivotal_grams.words_of(7, text) == want
+
+
+# -- language model -----------------------------------------------------------------------------------------
+class PlainKatz:
+    """The definition, with dictionaries of n-grams (tuples) and a recursion for each token."""
+
+    def __init__(self, texts, order):
+        self.order, self.counts = order, [Counter() for _ in range(order)]
+        self.after = [defaultdict(set) for _ in range(order)]
+        for tokens in texts:
+            x = ["<s>", *tokens, "</s>"]
+            for i in range(1, len(x)):
+                for k in range(min(order, i + 1)):
+                    if k == 0 or i - k >= 0:
+                        self.counts[k][tuple(x[i - k : i + 1])] += 1
+                        self.after[k][tuple(x[i - k : i])].add(x[i])
+        self.d = []
+        for c in self.counts:
+            n = Counter(c.values())
+            self.d.append({})
+            for r in range(1, 6):
+                d = -1.0
+                if n[1] and n[r] and 6 * n[6] / n[1] < 1:
+                    a = 6 * n[6] / n[1]
+                    d = ((r + 1) * n[r + 1] / n[r] / r - a) / (1 - a)
+                self.d[-1][r] = d if 0 < d < 1 else (r - 0.5) / r
+        self.total, self.kinds = sum(self.counts[0].values()), len(self.counts[0])
+
+    def whole(self, context):
+        k = len(context)
+        seen = [self.counts[k][(*context, w)] for w in self.after[k][context]]
+        return sum(seen) + (not any(c <= 5 for c in seen))
+
+    def p(self, word, context=()):
+        k = len(context)
+        whole = self.whole(context)
+        c = self.counts[k][(*context, word)]
+        if c:
+            return self.d[k].get(c, 1.0) * c / whole
+        seen = self.after[k].get(context) or ()
+        left = 1 - sum(self.p(w, context) for w in seen)
+        if not k:
+            return left
+        if not seen:
+            return self.p(word, context[1:])
+        return left / (1 - sum(self.p(w, context[1:]) for w in seen)) * self.p(word, context[1:])
+
+    def score(self, tokens):
+        x = ["<s>", *tokens, "</s>"]
+        return sum(math.log10(self.p(x[i], tuple(x[max(0, i - self.order + 1) : i]))) for i in range(1, len(x)))
+
+    def base(self, tokens):
+        return sum(math.log10((self.counts[0][w,] + 0.5) / (self.total + 0.5 * (self.kinds + 1))) for w in [*tokens, "</s>"])
+
+
+def tokens_of(text):
+    return [re.sub("[A-Z]", lambda m: m.group().lower(), w) for w in WORD.findall(text or "")]
+
+
+def fifth(doc_id):
+    return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 5 == 1
+
+
+HELD_OUT = "crc32(cast(cast(doc_id AS string) AS binary)) % 5 = 1"
+
+
+def hold(got, docs, order):
+    rows = [(r["doc_id"], tokens_of(r["text"])) for r in docs.select("doc_id", "text").collect()]
+    model = PlainKatz([t for i, t in rows if i is not None and not fifth(i)], order)
+    memory = functools.lru_cache(maxsize=None)(model.p)
+    model.p = memory
+    model.whole = functools.lru_cache(maxsize=None)(model.whole)
+    known = lambda t: sum(model.counts[0][w,] > 0 for w in [*t, "</s>"])
+    want = sorted(((str(i), fifth(i), len(t) + 1, known(t), model.total, model.base(t), model.score(t)) for i, t in rows), key=str)
+    have = sorted(((str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in got.collect()), key=str)
+    assert [r[:5] for r in have] == [r[:5] for r in want]
+    for a, b in zip(have, want, strict=True):
+        assert a[5:] == pytest.approx(b[5:], rel=1e-9, abs=1e-9)
+    return model
+
+
+def made_docs(spark, n=250, seed=6):
+    rnd = random.Random(seed)
+    kinds = [f"W{k}" for k in range(60)] + ["ÄB", "the", "The"]
+    weights = [1 / (k + 1) for k in range(len(kinds))]
+    return spark.createDataFrame([(i, " ".join(rnd.choices(kinds, weights, k=rnd.randrange(40)))) for i in range(n)], "doc_id bigint, text string")
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_scores_equal_the_definition(spark, order):
+    docs = made_docs(spark)
+    model = hold(katz.score(docs, F.expr(HELD_OUT), order), docs, order)
+    every = [w for (w,) in model.counts[0]] + ["never seen"]
+    for k in range(order):
+        for context in list(model.after[k])[:40]:
+            assert sum(model.p(w, context) for w in every) == pytest.approx(1, abs=1e-9)
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_scores_do_not_depend_on_blocks_pieces_and_buckets(spark, order):
+    docs = made_docs(spark, 120).repartition(3)
+    hold(katz.score(docs, F.expr(HELD_OUT), order, katz.Sizes(block_tokens=150, bucket_keys=200, hot=40, piece=30)), docs, order)
+
+
+@pytest.mark.parametrize("docs", [X.odd, X.clashing, X.nothing])
+def test_scores_of_odd_documents(spark, docs):
+    docs = short(docs(spark))
+    hold(katz.score(docs, F.expr(HELD_OUT)), docs, 2)
+
+
+def test_scores_with_nothing_to_learn_from(spark):
+    rows = katz.score(made_docs(spark, 20), F.lit(True)).collect()
+    assert {(r["score"], r["base_score"], r["n_known"], r["train_tokens"]) for r in rows} == {(0.0, 0.0, 0, 0)}
+
+
+def test_scores_of_a_very_long_text(spark):
+    docs = X.odd(spark).where("doc_id in (3, 5)").cache()
+    rows = {r["doc_id"]: r for r in katz.score(docs, F.lit(False)).collect()}
+    assert rows[3]["n_tokens"] == 200_001 and rows[3]["score"] > rows[3]["base_score"]
+
+
+def test_op12_query_beats_its_base(spark):
+    docs = X.documents(spark).where("doc_id < 60")
+    hold(katz.score(docs, F.expr(HELD_OUT)), docs, 2)
+    got = queries.op12_katz(spark, X.SMALL)
+    held = got.where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
+    assert got.columns == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"] and held["s"] > held["b"]

@@ -8,11 +8,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.storage import checkpoint, checkpoint_folder, remove  # noqa: F401  (the operators take them from here)
+from tidemark.operators.storage import checkpoint, checkpoint_folder, remove, scratch  # noqa: F401  (the operators take them from here)
 
 #: Rows and bytes of one Arrow batch handed to Python. Long texts reach the byte limit first.
 BATCH_ROWS = 2000
 BATCH_BYTES = 2 << 20
+#: Characters of a long text that are split into words at once.
+PIECE = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +42,17 @@ def arrow_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def word_pieces(text: str, piece: int = PIECE) -> Iterator[list[bytes]]:
+    """The words of a text, those of some ``piece`` characters at a time: white are the six characters at which bytes are split."""
+    at = 0
+    while at < len(text):
+        end = at + piece
+        while end < len(text) and text[end] not in " \t\n\v\f\r":
+            end += 1
+        yield text[at:end].encode().split()
+        at = end
+
+
 def map_texts(
     docs: DataFrame,
     rows: Callable[[list, list], list],

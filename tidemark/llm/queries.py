@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import bpe_codec, chunk_dedup, hnsw, pair_heap, pfair, pii, recompression, secrets, simhash, site_quality, toxic_segments
+from tidemark.llm import bpe_codec, chunk_dedup, hnsw, katz, pair_heap, pfair, pii, pivotal_grams, recompression, secrets, simhash, site_quality, toxic_segments
 from tidemark.llm.common import table
 
 
@@ -55,8 +56,16 @@ def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompression.digests(recompression.periodic_runs(table(spark, sf_dir, "documents"), recompression.planted_period))
 
 
+def op12_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1)
+
+
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivotal_grams.variants(pivotal_grams.vocabulary(table(spark, sf_dir, "documents"), pivotal_grams.deleted_letter))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_quality, op3_bpe, op4_token_counts, op5_secrets, op6_simhash, op7_exact_dedup, op8_mixing, op9_nearest, op10_toxicity, op11_runs)}
+    return {f.__name__: f for f in (op1_pii, op2_quality, op3_bpe, op4_token_counts, op5_secrets, op6_simhash, op7_exact_dedup, op8_mixing, op9_nearest, op10_toxicity, op11_runs, op12_katz, op13_variants)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -28,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_batches
+from tidemark.llm.common import arrow_batches, word_pieces
 
 #: A run's least length in words and in periods.
 LEAST_LENGTH, LEAST_POWER = 24, 3
-#: Candidate pairs looked at together, characters split into words at once, words of texts that share a grammar.
-PAIRS_AT_ONCE, PIECE, GRAMMAR_WORDS = 1 << 20, 1 << 20, 1 << 19
+#: Candidate pairs looked at together, words of texts that share a grammar.
+PAIRS_AT_ONCE, GRAMMAR_WORDS = 1 << 20, 1 << 19
 SCHEMA = "doc_id bigint, n_words bigint, runs array<struct<start: bigint, length: bigint, period: bigint>>, collapsed string"
 
 
@@ -204,17 +204,6 @@ def runs_of(texts: list[np.ndarray]) -> list[np.ndarray]:
 
 
 # -- texts --------------------------------------------------------------------------------------------------
-def _pieces(text: str) -> Iterator[list[bytes]]:
-    """The words of a text, a piece of it at a time; bytes are split at just the six white characters."""
-    at = 0
-    while at < len(text):
-        end = at + PIECE
-        while end < len(text) and text[end] not in " \t\n\v\f\r":
-            end += 1
-        yield text[at:end].encode().split()
-        at = end
-
-
 class Words:
     """Words and their numbers, shared by the texts of one grammar."""
 
@@ -224,7 +213,7 @@ class Words:
 
     def of(self, text: str) -> np.ndarray:
         parts = []
-        for words in _pieces(text):
+        for words in word_pieces(text):
             for word in dict.fromkeys(words):
                 if word not in self.numbers:
                     self.numbers[word] = len(self.listed)
