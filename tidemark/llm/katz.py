@@ -38,7 +38,7 @@ from tidemark.llm.common import PIECE, arrow_batches, remove, scratch, word_piec
 #: Words of an n-gram in the registered query; counts up to which Good-Turing discounts.
 ORDER, DISCOUNTED = 2, 5
 #: Tokens of a block, n-grams asked of a bucket, occurrences of a context that one bucket holds.
-BLOCK_TOKENS, BUCKET_KEYS, HOT = 1 << 21, 1 << 19, 1 << 17
+BLOCK_TOKENS, BUCKET_KEYS, HOT = 1 << 20, 1 << 20, 1 << 18
 #: Tokens that are no words, as words have no white space; the first two numbers of every block's words.
 BEGIN, END = b"\t", b"\n"
 #: Bits of a row's number: a task's blocks and a block's texts. The rest is the task's.
@@ -281,7 +281,7 @@ class Replay:
             own = a["by_pair"][cut]
             each = np.bincount(np.searchsorted(contexts, places[cut]), minlength=len(contexts))
             lows, low = np.unique(a["low"][own], return_inverse=True)
-            yield int(b), pack(np.diff(a["contexts"][contexts], prepend=0), each.astype(np.int32), a["pair_word"][own], a["weight"][own].astype(np.int32), lows, low.astype(np.int32))
+            yield int(b), pack(np.diff(a["contexts"][contexts], prepend=0), each.astype(np.int32), a["pair_word"][own], a["weight"][own].astype(np.int32), np.diff(lows.view(np.int64), prepend=0), low.astype(np.int32))
 
     def _ngrams(self, order: Order, of_count: np.ndarray, more: np.ndarray, lower: np.ndarray, counts: np.ndarray, numbers: np.ndarray) -> None:
         a = self.asks(order.buckets)
@@ -290,8 +290,10 @@ class Replay:
         total = table @ np.arange(1, DISCOUNTED + 1) + np.bincount(spread, more, n)
         whole, left = left_over(table, total, order.discounts)
         backoff = np.where(total > 0, left / (1 - np.bincount(spread, lower, n)), 1.0)
-        count, number = np.zeros(len(counts), np.int64), np.zeros(len(counts), np.int64)
-        count[a["by_pair"]], number[a["by_pair"]] = counts, numbers
+        count, number = np.zeros(len(counts), np.int64), np.full(len(counts), -1)
+        count[a["by_pair"]] = counts
+        if len(numbers):
+            number[a["by_pair"]] = numbers
         at, of = a["at"], a["of"]
         found = np.zeros(len(at), np.int64)
         found[a["known"]] = count[a["pair"]]
@@ -317,18 +319,21 @@ def _sums(totals: np.ndarray) -> list[int]:
     return [*(int(np.count_nonzero(totals == r)) for r in range(1, DISCOUNTED + 2)), int(np.count_nonzero(totals)), int(totals.sum())]
 
 
-def _count_words(bodies: list[bytes], bucket: int, buckets: int) -> tuple[list[bytes], list[int]]:
+def _count_words(bodies: list[bytes], bucket: int, buckets: int, last: bool) -> tuple[list[bytes], list[int]]:
     asked = [unpack(x) for x in bodies]
     lists = [pa.array([END if w == b"" else w for w in words.tobytes().split(b" ")], pa.binary()) for words, _ in asked]
     coded = pa.chunked_array(lists).combine_chunks().dictionary_encode()
     of = coded.indices.to_numpy()
     totals = np.bincount(of, np.concatenate([w for _, w in asked]), len(coded.dictionary)).astype(np.int64)
-    numbers = np.where(totals > 0, 1 + bucket + buckets * np.arange(len(totals)), -1)
+    rank = np.empty(len(totals), np.int64)
+    rank[np.argsort(-totals, kind="stable")] = np.arange(len(totals))  # frequent words get small numbers, which pack better
+    numbers = np.where(totals > 0, 1 + bucket + buckets * rank, -1)
     cuts = np.cumsum([len(x) for x in lists])[:-1]
     return [pack(t.astype(np.int64), n) for t, n in zip(np.split(totals[of], cuts), np.split(numbers[of], cuts), strict=True)], _sums(totals)
 
 
-def _count_ngrams(bodies: list[bytes], bucket: int, buckets: int) -> tuple[list[bytes], list[int]]:
+def _count_ngrams(bodies: list[bytes], bucket: int, buckets: int, last: bool) -> tuple[list[bytes], list[int]]:
+    """The last order's n-grams are no contexts, so they get no numbers."""
     asked = [unpack(x) for x in bodies]
     contexts = [np.cumsum(x[0]) for x in asked]
     kinds, of = np.unique(np.concatenate(contexts), return_inverse=True)
@@ -337,7 +342,7 @@ def _count_ngrams(bodies: list[bytes], bucket: int, buckets: int) -> tuple[list[
     pairs, pair = np.unique(context * max(len(words), 1) + word, return_inverse=True)
     totals = np.bincount(pair, np.concatenate([x[3] for x in asked]), len(pairs)).astype(np.int64)
     low = np.zeros(len(pairs))
-    low[pair] = np.concatenate([x[4][x[5]] for x in asked])
+    low[pair] = np.concatenate([np.cumsum(x[4]).view(np.float64)[x[5]] for x in asked])
     owner, n = pairs // max(len(words), 1), len(kinds)
     of_count = np.stack([np.bincount(owner[totals == r], minlength=n) for r in range(1, DISCOUNTED + 1)], 1).astype(np.int32)
     often = totals > DISCOUNTED
@@ -348,18 +353,18 @@ def _count_ngrams(bodies: list[bytes], bucket: int, buckets: int) -> tuple[list[
     for x in asked:
         own, mine = of[c : c + len(x[0])], pair[p : p + len(x[2])]
         c, p = c + len(x[0]), p + len(x[2])
-        answers.append(pack(of_count[own].reshape(-1), more[own], lower[own], totals[mine].astype(np.int32), numbers[mine]))
+        answers.append(pack(of_count[own].reshape(-1), more[own], lower[own], totals[mine].astype(np.int32), numbers[mine[:0] if last else mine]))
     return answers, _sums(totals)
 
 
 # -- jobs ---------------------------------------------------------------------------------------------------
-def _asked(asks: DataFrame, level: int, buckets: int) -> DataFrame:
+def _asked(asks: DataFrame, level: int, buckets: int, last: bool) -> DataFrame:
     """The answers to messages: one for each, and one row of a bucket's sums."""
     count = _count_words if level == 1 else _count_ngrams
 
     def run(group: pa.Table) -> pa.Table:
         bucket = group["bucket"][0].as_py()
-        answers, sums = count(group["body"].to_pylist(), bucket, buckets)
+        answers, sums = count(group["body"].to_pylist(), bucket, buckets, last)
         rows = [(b, level, bucket, body, None) for b, body in zip(group["block"].to_pylist(), answers, strict=True)]
         return _table([*rows, (-1, level, bucket, None, sums)], _messages())
 
@@ -392,7 +397,7 @@ def score(docs: DataFrame, held_out: Column, order: int = ORDER, sizes: Sizes |
     answers = spark.createDataFrame([], MESSAGES)
     for level in range(1, order + 1):
         buckets = max(1, -(-(kinds if level == 1 else tokens) // sizes.bucket_keys))
-        _asked(_asks(blocks, answers, level, buckets, list(orders), begins, sizes), level, buckets).write.parquet(f"{folder}/answers-{level}")
+        _asked(_asks(blocks, answers, level, buckets, list(orders), begins, sizes), level, buckets, level == order).write.parquet(f"{folder}/answers-{level}")
         found = spark.read.schema(MESSAGES).parquet(*[f"{folder}/answers-{k}" for k in range(1, level + 1)])
         sums = found.where((F.col("block") == -1) & (F.col("level") == level)).agg(*[F.coalesce(F.sum(F.col("sums")[i]), F.lit(0)) for i in range(DISCOUNTED + 3)]).first()
         orders.append(Order(buckets, tuple(sums[: DISCOUNTED + 1]), sums[-2], sums[-1]))
