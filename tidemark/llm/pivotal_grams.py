@@ -5,9 +5,11 @@ many words have them (then by their letters and their places), begin with its ra
 prefix. Dynamic programming chooses two of the prefix that don't overlap and that are rarest together: its
 pivots. An edit of one code point breaks one pivot at most. So of two near words, the one whose prefix ends earlier in
 that order has a pivot that stands in the other's prefix, one place off at most (of bigrams equal to the last one of
-a prefix, the next place belongs to it too). On one side of that pivot the words agree to the end, as there is one edit. Pivots, with
-that side and the other word's length, are therefore looked up in an index of prefixes by equality, and
-candidates are verified by their distance. Nothing is cut off: a frequent key is split like any skewed join.
+a prefix, the next place belongs to it too). The edit lies after the first pivot, which then stands at the same place in
+both words, or before the second one, which is moved by the difference of lengths. On the pivot's other side
+the words agree to the end, and on the edit's side in one of its halves. So pivots are looked up in an index of prefixes by
+equality of the place, the other word's length and the letters that have to agree, and candidates are verified by
+their distance. Nothing is cut off: a frequent key is split like any skewed join.
 
 A word's form is its near word of largest count (ties: the smallest in code-point order) if that is at least
 ``RATIO`` times its own. As counts double from form to form, chains are short; roots are found by pointer jumping.
@@ -147,16 +149,25 @@ def _pivoted(words: DataFrame) -> DataFrame:
     return words.select("word", "n").mapInArrow(run, "word string, n bigint, prefix array<int>, pivots array<int>, last bigint")
 
 
-def _sides(longer: str) -> str:
-    """SQL of a word's two sides at the bigram at p, each with a length: up to the bigram's end, and from the bigram on."""
-    return f"array(concat('<', length(word) + {longer}, ' ', substring(word, 1, p + 2)), concat('>', length(word) + {longer}, ' ', substring(word, p + 1)))"
+def _after(d: str) -> str:
+    """SQL of the keys of a word whose edit lies after the bigram at p; the other word is d longer. What follows the bigram is
+    cut in the middle of the longer word's: the edit lies in one half, so the beginning and the other half agree."""
+    half = f"shiftright(length(word) + {d} - p - 2, 1)"
+    return f"array(concat('a', length(word) + {d}, ' ', left(word, p + 2 + {half})), concat('b', length(word) + {d}, ' ', left(word, p + 2), ' ', right(word, length(word) + {d} - p - 2 - {half})))"
+
+
+def _before(d: str) -> str:
+    """As ``_after``, for an edit before the bigram: the end of the word agrees, and a half of what precedes the bigram."""
+    half = f"shiftright(p + {d}, 1)"
+    return f"array(concat('c', length(word) + {d}, ' ', right(word, length(word) + {d} - {half})), concat('d', length(word) + {d}, ' ', left(word, {half}), ' ', right(word, length(word) - p)))"
 
 
 def near_words(words: DataFrame) -> DataFrame:
     """a, b, n_a, n_b: all pairs of near words, each once, a before b. Words have four code points at least."""
     pivoted = checkpoint(_pivoted(words))
-    index = pivoted.select(F.explode(F.expr(f"flatten(transform(prefix, p -> {_sides('0')}))")).alias("key"), F.col("word").alias("b"), F.col("n").alias("n_b"), F.col("last").alias("last_b"))
-    looked_up = f"flatten(flatten(transform(pivots, p -> transform(array(-1, 0, 1), d -> {_sides('d')}))))"
+    index = pivoted.select(F.explode(F.expr(f"flatten(transform(prefix, p -> concat({_after('0')}, {_before('0')})))")).alias("key"), F.col("word").alias("b"), F.col("n").alias("n_b"), F.col("last").alias("last_b"))
+    # an edit lies after the first pivot or before the second one
+    looked_up = f"flatten(transform(array(-1, 0, 1), d -> concat(transform(slice(pivots, 1, 1), p -> {_after('d')})[0], transform(slice(pivots, 2, 1), p -> {_before('d')})[0])))"
     probes = pivoted.select(F.explode(F.expr(looked_up)).alias("key"), F.col("word").alias("a"), F.col("n").alias("n_a"), F.col("last").alias("last_a"))
     met = probes.join(index, "key").where("a <> b and last_a <= last_b and abs(length(a) - length(b)) <= 1 and levenshtein(a, b, 1) = 1")
     ordered = met.selectExpr("least(a, b) AS a", "greatest(a, b) AS b", "if(a < b, n_a, n_b) AS n_a", "if(a < b, n_b, n_a) AS n_b")
