@@ -99,6 +99,41 @@ def test_fault_tolerant_load_may_break(spark, bronze, monkeypatch):
     assert spark.table("fb_good").count() == 4 and spark.table("fb_bad").count() == 1 and spark.table("fb_done").count() == 3
 
 
+@pytest.mark.parametrize("step", ["first write", "second write", "mark", "view", None])
+def test_corrected_rows_replace_those_of_a_load_that_broke(spark, monkeypatch, step):
+    """Broken at any step, then corrected: each row is in one of the two tables, and row 2 no longer among the letters."""
+    name = f"fc_{(step or 'none').replace(' ', '_')}"
+    into = ({"NEGATIVE": "v < 0"}, ["id", "v"], f"{name}_good", f"{name}_bad", f"{name}_done")
+    work = spark.createDataFrame([("a",), ("b",)], "partition_id string")
+    made = lambda *rows: lambda todo: spark.createDataFrame(rows, "id int, v int, partition_id string").join(todo, "partition_id", "left_semi")
+    old = made((1, 5, "a"), (2, -5, "a"), (3, -1, "b"))
+    with monkeypatch.context() as broken:
+        if step in ("first write", "second write"):
+            write, left = quality.append_attempt, [int(step == "second write")]
+
+            def fails(*args):
+                if not left[0]:
+                    raise ZeroDivisionError
+                left[0] -= 1
+                write(*args)
+
+            broken.setattr(quality, "append_attempt", fails)
+        elif step:
+            broken.setattr(quality, "mark_done" if step == "mark" else "show_committed", lambda *_: 1 / 0)
+        if step:
+            with pytest.raises(ZeroDivisionError):
+                quality.fault_tolerant_load(work, old, *into)
+        else:
+            quality.fault_tolerant_load(work, old, *into)
+    rows = lambda: [sorted((r["id"], r["v"]) for r in spark.table(f"{name}_{t}").select("id", "v").collect()) for t in ("good", "bad")]
+    new = made((1, 5, "a"), (2, 6, "a"), (3, 7, "b"))
+    quality.fault_tolerant_load(work, new, *into)
+    marked = step in ("view", None)  # then both units are done, and stay as they are
+    assert rows() == ([[(1, 5)], [(2, -5), (3, -1)]] if marked else [[(1, 5), (2, 6), (3, 7)], []])
+    quality.fault_tolerant_load(work.where("partition_id = 'b'"), made((3, 8, "b")), *into, again=True)
+    assert rows() == ([[(1, 5), (3, 8)], [(2, -5)]] if marked else [[(1, 5), (2, 6), (3, 8)], []])
+
+
 def test_table_writes(spark):
     a = spark.createDataFrame([(1,)], "x int")
     sinks.write_table(a, "w_table", "overwrite")

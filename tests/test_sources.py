@@ -157,6 +157,42 @@ def test_custom_stream_after_a_restart(tmp_path):
         custom.ReportStreamReader({"path": str(tmp_path)})
 
 
+def test_custom_stream_restarts_from_its_checkpoint_alone(spark, tmp_path):
+    custom.register(spark)
+    day = "I,DISPATCH,PRICE,4,SETTLEMENTDATE,REGIONID,RRP\nD,DISPATCH,PRICE,4,2024/01/01 00:{:02d}:00,NSW1,{}\n"
+    reports_, state, out = tmp_path / "in", str(tmp_path / "state"), str(tmp_path / "out")
+    reports_.mkdir()
+    for low in (0, 5, 9):
+        for i in range(low, low + 5):
+            (reports_ / f"PUBLIC_X_2024010100{i:02d}_1.zip").write_bytes(zipped("a.csv", day.format(i, i)))
+        if low == 9:
+            (reports_ / "PUBLIC_X_202401010001_1.zip").unlink()  # read long ago
+        df = spark.readStream.format("market_reports").options(path=str(reports_), table="DISPATCHPRICE", start_file="", max_files="2", checkpoint=state).load()
+        q = df.writeStream.format("parquet").option("checkpointLocation", state).start(out)
+        q.processAllAvailable()
+        q.stop()
+    assert sorted(r["RRP"] for r in spark.read.parquet(out).collect()) == [float(i) for i in range(14)]
+    offsets = [json.loads((tmp_path / "state" / "offsets" / n).read_text().splitlines()[2])["last_file"] for n in sorted((x for x in os.listdir(f"{state}/offsets") if x.isdigit()), key=int)]
+    names = sorted({*os.listdir(reports_), "PUBLIC_X_202401010001_1.zip"})
+    ends = [names.index(o) for o in offsets]
+    assert all(b - a <= 2 for a, b in zip([-1, *ends], ends))  # noqa: B905
+
+
+def test_fresh_reader_goes_on_from_the_checkpoint(tmp_path):
+    names = [f"PUBLIC_X_2024010112{i:02d}_{i}.zip" for i in range(9)]
+    for n in names:
+        (tmp_path / n).write_bytes(b"")
+    (tmp_path / "state" / "offsets").mkdir(parents=True)
+    options = {"path": str(tmp_path), "start_file": "", "max_files": "3", "checkpoint": f"file:{tmp_path}/state"}
+    assert custom.ReportStreamReader(options).latestOffset() == {"last_file": names[2]}
+    for number, last in ((9, names[1]), (10, names[4])):
+        (tmp_path / "state" / "offsets" / str(number)).write_text(f'v1\n{{"batchWatermarkMs":0}}\n-\n{{"last_file": "{last}"}}')
+    reader = custom.ReportStreamReader(options | {"source": "1"})
+    end = reader.latestOffset()
+    assert end == {"last_file": names[7]} and len(reader.partitions({"last_file": names[4]}, end)) == 3
+    assert custom.ReportStreamReader(options).latestOffset() == {"last_file": names[2]}  # a source without an offset yet
+
+
 def test_custom_stream_runs(spark, folder, tmp_path_factory):
     custom.register(spark)
     state = str(tmp_path_factory.mktemp("state"))

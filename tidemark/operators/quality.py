@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
@@ -109,34 +111,46 @@ def completed(spark: SparkSession, table: str, schema: str) -> DataFrame:
     return spark.table(table) if spark.catalog.tableExists(table) else spark.createDataFrame([], schema)
 
 
-def replace_units(df: DataFrame, table: str, unit: str = "partition_id") -> None:
-    """Write rows to a table partitioned by their unit; units that it has already are overwritten, others stay."""
-    spark = df.sparkSession
+def append_attempt(df: DataFrame, table: str, generation: str, unit: str = "partition_id") -> None:
+    """Append rows to a table partitioned by their unit, under the generation of the attempt that made them."""
+    rows, spark = df.withColumn("generation", F.lit(generation)), df.sparkSession
     if spark.catalog.tableExists(table):
-        mode = "spark.sql.sources.partitionOverwriteMode"  # tables take it from the session alone
-        before = spark.conf.get(mode)
-        spark.conf.set(mode, "dynamic")
-        try:
-            df.select(*spark.table(table).columns).write.mode("overwrite").insertInto(table)
-        finally:
-            spark.conf.set(mode, before)
+        rows.select(*spark.table(table).columns).write.insertInto(table)
     else:
-        df.write.partitionBy(unit).saveAsTable(table)
+        rows.write.partitionBy(unit).saveAsTable(table)
 
 
-def fault_tolerant_load(work: DataFrame, read: Callable[[DataFrame], DataFrame], reasons: Mapping[str, str], original: Sequence[str], target: str, letters: str, done: str) -> None:
+def show_committed(spark: SparkSession, name: str, attempts: str, done: str, unit: str = "partition_id") -> None:
+    """A view of the rows of each unit's newest generation that was marked done; other attempts don't show."""
+    columns = ", ".join(f"a.`{c}`" for c in spark.table(attempts).columns if c != "generation")
+    spark.sql(f"""CREATE OR REPLACE VIEW {name} AS SELECT {columns} FROM {attempts} a LEFT SEMI JOIN
+      (SELECT {unit}, max(generation) AS generation FROM {done} GROUP BY {unit}) d ON a.{unit} = d.{unit} AND a.generation = d.generation""")
+
+
+def attempt_load(work: DataFrame, read: Callable[[DataFrame], DataFrame], reasons: Mapping[str, str], original: Sequence[str], target: str, letters: str, done: str, again: bool = False) -> DataFrame:
+    """Q7, all but the mark: what isn't done is read once, split and written as a new generation. The units, with it."""
+    spark = work.sparkSession
+    generation = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    todo = checkpoint(work if again else pending(work, completed(spark, done, "partition_id string")))
+    good, bad = dead_letters(checkpoint(read(todo)), reasons, original)
+    append_attempt(good, f"{target}_attempts", generation)
+    append_attempt(bad, f"{letters}_attempts", generation)
+    return todo.withColumn("generation", F.lit(generation))
+
+
+def fault_tolerant_load(work: DataFrame, read: Callable[[DataFrame], DataFrame], reasons: Mapping[str, str], original: Sequence[str], target: str, letters: str, done: str, again: bool = False) -> None:
     """Q7: skip what is done, read the rest once, split off dead letters, write both, then mark the units done.
 
-    What ``read`` gives has the units' ``partition_id``. A run that breaks before the mark repeats its units: their
-    rows replace those that it left, so nothing is there twice.
+    What ``read`` gives has the units' ``partition_id``. Each attempt writes under a generation of its own, and ``done``
+    says which generation of a unit holds: ``target`` and ``letters`` are views of those rows. So whatever a run
+    left that broke anywhere before the mark never shows, whether or not the rows changed until it is repeated; a
+    unit whose rows all went the other way since shows them there only. ``again`` loads units that are done too: their
+    new generation takes the place of the old one as a whole once it is marked. The mark is written by one task.
     """
     spark = work.sparkSession
-    todo = checkpoint(pending(work, completed(spark, done, "partition_id string")))
-    rows = checkpoint(read(todo))
-    good, bad = dead_letters(rows, reasons, original)
-    replace_units(good, target)
-    replace_units(bad, letters)
-    mark_done(todo, done)
+    mark_done(attempt_load(work, read, reasons, original, target, letters, done, again).coalesce(1), done)
+    for name in (target, letters):
+        show_committed(spark, name, f"{name}_attempts", done)
 
 
 def profile_table(df: DataFrame, ts: str, key: str, value: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
@@ -45,3 +46,20 @@ def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder in whatever store it lies."""
     at, store = _at(spark, path)
     store.delete(at, True)
+
+
+def commit(spark: SparkSession, folder: str, name: str, record: dict) -> None:
+    """Write a small record under a name, whole or not at all. Readers see what it vouches for from then on."""
+    at, store = _at(spark, f"{folder}/{name}.json")
+    new, _ = _at(spark, f"{folder}/.{name}-{uuid.uuid4().hex}")
+    out = store.create(new)
+    out.write(bytearray(json.dumps(record).encode()))
+    out.close()
+    if not store.rename(new, at):
+        store.delete(new, False)
+        raise RuntimeError(f"can't write {at}")
+
+
+def committed(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """The records of a folder; none if nothing was ever written there."""
+    return spark.read.schema(schema).json(folder) if exists(spark, folder) else spark.createDataFrame([], schema)

@@ -19,7 +19,7 @@ from tidemark.plans.feature_queries import OVER, _ntz, _played, _range, _replay
 from tidemark.plans.frames import market, query, scratch, table
 from tidemark.plans.market_queries import DEMAND, HOUR, PRICE, REGION, TS, _layouts, weather_documents
 from tidemark.sources import custom, json_sources, reports, tables
-from tidemark.streaming import streams
+from tidemark.streaming import ledgers, streams
 
 SECOND = "date_trunc('second', ts)"
 
@@ -122,13 +122,14 @@ def custom_stream(spark, d):
     """The Python data source as a stream, some files a batch, until it has caught up."""
     custom.register(spark)
     folder = scratch(spark, "custom-stream")
-    options = {"path": report_folder(spark, d), "table": "DISPATCHPRICE", "start_file": "", "max_files": "200", "state_path": f"{folder}/reader"}
-    df = spark.readStream.format("market_reports").options(**options).load()
-    q = df.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").start(f"{folder}/out")
-    try:
-        q.processAllAvailable()
-    finally:
-        q.stop()
+    options = {"path": report_folder(spark, d), "table": "DISPATCHPRICE", "start_file": "", "max_files": "200", "checkpoint": f"{folder}/state"}
+    for _ in range(2):  # the second reader knows where it stands from the checkpoint, and finds nothing new
+        df = spark.readStream.format("market_reports").options(**options).load()
+        q = df.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").start(f"{folder}/out")
+        try:
+            q.processAllAvailable()
+        finally:
+            q.stop()
     return _prices(spark.read.schema(df.schema).parquet(f"{folder}/out"))
 
 
@@ -200,6 +201,26 @@ def loaded_units(spark, d):
     return both.select("unit", F.coalesce("g", F.lit(0)).alias("good"), F.coalesce("b", F.lit(0)).alias("letters"))
 
 
+@query("""{m,} u AS (SELECT event_id, strftime(settlement_date, '%Y-%m-%d') AS unit, total_demand_mw AS d, day(settlement_date) % 3 AS third FROM m)
+  SELECT event_id, unit, CASE WHEN third = 0 THEN d >= 9000 WHEN third = 1 THEN d >= 5200 ELSE true END AS good FROM u""")
+def corrected_units(spark, d):
+    """Q7: a load that breaks before its mark, then the load of corrected rows, then one of units that are done: of every third
+    day all rows but a few turn bad, of others some, and of the last third, none."""
+    m = market(spark, d).withColumn("partition_id", F.date_format(TS, "yyyy-MM-dd"))
+    work, name, third = m.select("partition_id").distinct(), f"corrected_{uuid.uuid4().hex[:12]}", F.dayofmonth(TS) % 3
+    into = ({"LOW_DEMAND": f"{DEMAND} < 5200"}, ["event_id", DEMAND], f"{name}_good", f"{name}_bad", f"{name}_done")
+
+    def read(rows):
+        return lambda todo: rows.select("event_id", DEMAND, "partition_id").join(todo, "partition_id", "left_semi")
+
+    quality.attempt_load(work, read(m.withColumn(DEMAND, F.lit(0.0))), *into)  # all rows are bad, and the mark is never made
+    quality.fault_tolerant_load(work, read(m.withColumn(DEMAND, F.when(third == 0, 9000.0).otherwise(F.col(DEMAND)))), *into)
+    turned = m.where(third != 1).withColumn(DEMAND, F.when(third == 2, 9000.0).when(F.col(DEMAND) < 9000, 0.0).otherwise(F.col(DEMAND)))
+    quality.fault_tolerant_load(turned.select("partition_id").distinct(), read(turned), *into, again=True)
+    rows = lambda which, good: spark.table(f"{name}_{which}").select("event_id", F.col("partition_id").cast("string").alias("unit"), F.lit(good).alias("good"))
+    return rows("good", True).union(rows("bad", False))
+
+
 @query("SELECT event_id, value, CAST(NULL AS VARCHAR) AS kind FROM events UNION ALL SELECT event_id, value, event_type FROM events")
 def table_append(spark, d):
     """S3: appended to a table that lacks a column."""
@@ -248,6 +269,44 @@ def polled_tables(spark, d):
     return _ntz(spark.table(f"{name}_price").select(TS, REGION, PRICE), TS)
 
 
+@query("{m} SELECT settlement_date, region_id, rrp, total_demand_mw FROM m")
+def ledger_tables(spark, d):
+    """A stream into two targets; the first batch breaks between them and is run again, the others are run twice."""
+    folder, state = f"{scratch(spark, 'ledger')}/out", f"{scratch(spark, 'ledger')}/state"
+    rows = _replay(spark, d).select("event_id", TS, REGION, PRICE, DEMAND)
+    targets = {"price": ["event_id", TS, REGION, PRICE], "demand": ["event_id", DEMAND]}
+
+    def write(batch, number):
+        name = ledgers.batch_name(batch, number)
+        if number == 0:  # what a run leaves that breaks after its first target
+            batch.select(*targets["price"]).write.parquet(f"{folder}/price/batch={name}")
+        for _ in range(2):
+            ledgers.write_batch(batch, name, folder, targets)
+
+    rows.writeStream.foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    read = lambda name: ledgers.read_target(spark, folder, name, ", ".join(f"{c} {t}" for c, t in rows.select(*targets[name]).dtypes))
+    return read("price").join(read("demand"), "event_id").select(TS, REGION, PRICE, DEMAND)
+
+
+@query(f"{{m}} SELECT {HOUR} AS hour, region_id, avg(rrp) AS avg_value, stddev_samp(rrp) AS std_value, min(rrp) AS min_value, max(rrp) AS max_value, count(*) AS n FROM m GROUP BY 1, 2", rounded=["avg_value", "std_value"])
+def stream_view(spark, d):
+    """Hourly figures that follow a stream. The month's second half comes first, so the first half is late, and hours on
+    the border get rows from both; every batch is brought in twice, and changes the view once."""
+    m, folder = market(spark, d), scratch(spark, "view")
+    view = ledgers.HourlyView(f"{folder}/view", TS, (REGION,), PRICE)
+
+    def write(batch, number):
+        for _ in range(2):
+            view.apply(batch, ledgers.batch_name(batch, number))
+
+    half = F.col(TS) >= F.lit("2024-01-16 00:30:00").cast("timestamp_ntz")
+    for name, part in (("a", half), ("b", ~half)):
+        m.where(part).write.parquet(f"{folder}/{name}")
+        rows = streams.file_stream(spark, f"{folder}/[ab]", m.schema)
+        rows.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return _ntz(view.rows(spark), "hour")
+
+
 # -- functions, features, models, layouts, assembly ------------------------------------------------------------
 @query("SELECT event_id, '{\"hour\": ' || hour(ts) || '}' AS said FROM events")
 def python_scalar(spark, d):

@@ -6,6 +6,7 @@ itself reads the store, ``tidemark.sources.reports`` is the wider way: its filte
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import re
@@ -111,9 +112,8 @@ class ReportReader(DataSourceReader):
     def _batches(self, path: str) -> Iterator[pa.RecordBatch]:
         schema = schemas.schema(self.o.table)
         kinds = [pa.timestamp("us", "UTC") if isinstance(f.dataType, TimestampType) else pa.float64() if isinstance(f.dataType, DoubleType) else pa.string() for f in schema]
-        rows = list(_rows(path, self.o.table, self.o.regions))
-        for low in range(0, len(rows), 10_000):
-            part = rows[low : low + 10_000]
+        rows = _rows(path, self.o.table, self.o.regions)
+        while part := list(itertools.islice(rows, 10_000)):
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], k) for i, k in enumerate(kinds)], schema.fieldNames())
 
 
@@ -121,31 +121,44 @@ class ReportStreamReader(DataSourceStreamReader):
     """Files after the last one read, by name, at most ``max_files`` a batch, after a restart too.
 
     An offset is a file name. It starts at ``start_file``, or at the name that ``catch_up_hours`` before now would
-    have. Spark asks a fresh reader for its newest offset before it tells where the checkpoint stands, so the reader
-    notes each offset in the folder ``state_path`` before it gives it out, and a fresh one gives the noted offset
-    first: it is never behind the checkpoint's and at most one batch ahead of it. Files that are gone move nothing
-    back. The driver alone uses that folder; it belongs to one query, like its checkpoint, and a stream that has lost
-    it fails rather than read files twice.
+    have. Spark asks a fresh reader for its newest offset before it tells where the stream stands, so the reader looks that
+    up: with the option ``checkpoint``, the query's own checkpoint folder, in the offsets that Spark logs there, so the
+    checkpoint alone brings a stream back, on any machine that sees the folder. Without it, in a note that it keeps in the
+    folder ``state_path``, and a stream that has lost the note fails rather than read files twice. Files that are gone
+    move nothing back. ``source`` is this stream's place among the sources of its query, from 0.
     """
 
     def __init__(self, options: dict):
         self.o = _Options(options)
-        if not options.get("state_path"):
-            raise ValueError("a stream of reports needs the option state_path, a folder of its own")
-        self.note = os.path.join(options["state_path"].removeprefix("file:"), "last_file.json")
-        self.start, self.reached = None, None
-        if os.path.exists(self.note):
+        self.checkpoint, self.source = options.get("checkpoint", "").removeprefix("file:"), int(options.get("source", "0"))
+        if not self.checkpoint and not options.get("state_path"):
+            raise ValueError("a stream of reports needs the option checkpoint, its query's checkpoint folder, or state_path, a folder of its own")
+        self.note = None if self.checkpoint else os.path.join(options["state_path"].removeprefix("file:"), "last_file.json")
+        self.start, self.reached, self.fresh = None, None, False
+        if self.note and os.path.exists(self.note):
             with open(self.note, encoding="utf-8") as noted:
                 known = json.load(noted)
             self.start, self.reached = known["start"], known["last_file"]
-        self.fresh = self.reached is not None
+            self.fresh = True  # Spark may not have logged the noted offset yet, so it is given out again
+
+    def _logged(self) -> str | None:
+        """The newest offset of this stream in the checkpoint: of the numbered files below ``offsets`` the last one has a
+        version, a line about the batch, and a line for each source."""
+        folder = os.path.join(self.checkpoint, "offsets")
+        numbers = [int(n) for n in os.listdir(folder) if n.isdigit()] if os.path.isdir(folder) else []
+        if not numbers:
+            return None
+        with open(os.path.join(folder, str(max(numbers))), encoding="utf-8") as file:
+            line = file.read().splitlines()[2 + self.source]
+        return None if line == "-" else json.loads(line)["last_file"]
 
     def _reach(self, name: str) -> dict:
         self.reached = name
-        os.makedirs(os.path.dirname(self.note), exist_ok=True)
-        with open(f"{self.note}.new", "w", encoding="utf-8") as out:
-            json.dump({"start": self.start, "last_file": name}, out)
-        os.replace(f"{self.note}.new", self.note)
+        if self.note:
+            os.makedirs(os.path.dirname(self.note), exist_ok=True)
+            with open(f"{self.note}.new", "w", encoding="utf-8") as out:
+                json.dump({"start": self.start, "last_file": name}, out)
+            os.replace(f"{self.note}.new", self.note)
         return {"last_file": name}
 
     def initialOffset(self) -> dict:
@@ -160,7 +173,9 @@ class ReportStreamReader(DataSourceStreamReader):
         return {"last_file": self.start}
 
     def latestOffset(self) -> dict:
-        """At most ``max_files`` beyond the offset reached; first after a restart, the offset noted last."""
+        """At most ``max_files`` beyond the offset reached; first after a restart from a note, the offset noted last."""
+        if self.checkpoint and self.reached is None:
+            self.start = self.reached = self._logged()
         self.initialOffset()
         if self.fresh:
             self.fresh = False
@@ -170,7 +185,7 @@ class ReportStreamReader(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         if end["last_file"] < start["last_file"]:
-            raise RuntimeError(f"the checkpoint stands at {start['last_file']}, beyond the note of the last file: {self.note}")
+            raise RuntimeError(f"the stream stands at {start['last_file']}, beyond what {self.note or self.checkpoint} says")
         names = [n for n in _listed(self.o.folder) if start["last_file"] < n <= end["last_file"]]
         return [_Files((os.path.join(self.o.folder, n),)) for n in names] or [_Files(())]
 
