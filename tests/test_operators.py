@@ -256,21 +256,35 @@ def test_latest_breaks_ties(spark):
     assert rollups.distinct_counts(df, "ts", approximate=True).first()[0] == 2
 
 
-@pytest.mark.parametrize(("few", "accuracy"), [(100, 20), (100, 10_000), (1, 20)])
-def test_exact_percentiles_of_few_and_many_groups(spark, few, accuracy):
+@pytest.mark.parametrize("accuracy", [20, 100, 10_000])
+def test_exact_percentiles_of_few_groups(spark, accuracy):
     import numpy as np
 
     rng = np.random.default_rng(4)
     groups = {"a": rng.normal(size=1500).tolist(), "b": [1.0] * 700 + [2.0, None], "c": [3.0], None: rng.integers(0, 5, 300).astype(float).tolist()}
     df = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs], "k string, v double")
     shares = {"p0": 0.0, "p5": 0.05, "p50": 0.5, "p95": 0.95, "p100": 1.0}
-    got = {r["k"]: r for r in percentiles.exact_percentiles(df, "k", "v", shares, few, accuracy).collect()}
+    got = {r["k"]: r for r in percentiles.exact_percentiles(df, "k", "v", shares, accuracy).collect()}
     for k, vs in groups.items():
         for n, s in shares.items():
             assert got[k][n] == pytest.approx(np.quantile([v for v in vs if v is not None], s))
     assert percentiles.exact_percentiles(df.limit(0), "k", "v", shares).count() == 0
 
 
+def test_exact_percentiles_of_many_groups_one_of_them_hot(spark):
+    import numpy as np
+
+    n, groups = 60_000, 5000
+    df = spark.range(n).selectExpr("if(id % 3 = 0, 7, pmod(xxhash64(id), 5000)) AS k", "cast(pmod(xxhash64(id, 1), 1000003) AS double) / 7 AS v")
+    held = {}
+    for r in df.collect():
+        held.setdefault(r["k"], []).append(r["v"])
+    got = {r["k"]: r for r in percentiles.exact_percentiles(df, "k", "v", {"p5": 0.05, "p95": 0.95}, 200).collect()}
+    assert len(held[7]) > n / 3 and len(held) > 0.99 * groups and set(got) == set(held)
+    for k, vs in held.items():
+        assert (got[k]["p5"], got[k]["p95"]) == pytest.approx(tuple(np.quantile(vs, [0.05, 0.95])))
+
+
 def test_chunks_equal_one_window(spark):
     df = synthetic.region_series(spark, 150, regions=("A", "B")).withColumn("id", F.monotonically_increasing_id())
     make = lambda over: {"l": F.lag("rrp", 12).over(over), "m": windows.rolling("rrp", 12, over)}

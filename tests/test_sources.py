@@ -79,7 +79,10 @@ def test_extract_reads_no_file_of_a_date_that_is_done(spark, tmp_path):
     for i in (1, 2):
         (tmp_path / f"PUBLIC_X_2024010{i}_1.zip").write_bytes(zipped("a.csv", day.format(i, i)))
     reports.extract(spark, str(tmp_path), "DISPATCHPRICE", target)
-    (tmp_path / "PUBLIC_X_20240101_1.zip").write_bytes(b"no longer a ZIP")
+    done = tmp_path / "PUBLIC_X_20240101_1.zip"
+    size, times = done.stat().st_size, (done.stat().st_atime_ns, done.stat().st_mtime_ns)
+    done.write_bytes(b"no longer a ZIP".ljust(size))
+    os.utime(done, ns=times)  # a file of the same size and time counts as the same
     (tmp_path / "PUBLIC_X_20240103_1.zip").write_bytes(zipped("a.csv", day.format(3, 3)))
     # what a broken run has left of the third day
     spark.createDataFrame([("2024-01-03 00:05:00", "-1", "20240103")], "SETTLEMENTDATE string, RRP string, d string").drop("d").coalesce(1).write.option("header", True).csv(f"{target}/report_date=2024-01-03")
@@ -88,6 +91,33 @@ def test_extract_reads_no_file_of_a_date_that_is_done(spark, tmp_path):
     assert sorted((str(r["report_date"]), float(r["RRP"])) for r in rows) == [("2024-01-01", 1.0), ("2024-01-02", 2.0), ("2024-01-03", 3.0)]
 
 
+def test_extract_finds_late_and_changed_files(spark, tmp_path):
+    line = "I,DISPATCH,PRICE,4,SETTLEMENTDATE,REGIONID,RRP\nD,DISPATCH,PRICE,4,2024/01/0{} 00:05:00,NSW1,{}\n"
+    target = str(tmp_path / "out")
+
+    def put(name, text):
+        (tmp_path / name).write_bytes(zipped("a.csv", text))
+
+    def extracted():
+        reports.extract(spark, str(tmp_path), "DISPATCHPRICE", target)
+        rows = spark.read.option("header", True).csv(target).collect()
+        return sorted((str(r["report_date"])[:7], float(r["RRP"])) for r in rows)
+
+    put("PUBLIC_X_20240101_1.zip", line.format(1, 1))
+    put("PUBLIC_X_20240102_1.zip", line.format(2, 2))
+    put("PUBLIC_X_odd.zip", line.format(1, 10))
+    assert extracted() == [("2024-01", 1.0), ("2024-01", 2.0), ("undated", 10.0)]
+    first = {p: p.stat().st_mtime_ns for p in (tmp_path / "out" / "report_date=2024-01-02").iterdir()}
+    put("PUBLIC_X_20240101_2.zip", line.format(1, 3))  # late, for a date that is done
+    put("PUBLIC_X_other.zip", line.format(1, 11))  # its rows have the date of another file without one
+    assert extracted() == [("2024-01", 1.0), ("2024-01", 2.0), ("2024-01", 3.0), ("undated", 10.0), ("undated", 11.0)]
+    assert first == {p: p.stat().st_mtime_ns for p in (tmp_path / "out" / "report_date=2024-01-02").iterdir()}
+    put("PUBLIC_X_20240101_1.zip", "C,NOTHING IN IT ANY MORE\n")
+    put("PUBLIC_X_20240102_1.zip", "C,NOTHING EITHER\n")
+    assert extracted() == [("2024-01", 3.0), ("undated", 10.0), ("undated", 11.0)]
+    assert extracted() == [("2024-01", 3.0), ("undated", 10.0), ("undated", 11.0)]
+
+
 def test_inventory_and_work_list(spark, folder):
     row = reports.inventory(spark, folder, "*.zip").first()
     assert row["n_files"] == 3 and str(row["first_date"]) == "2024-01-01" and str(row["last_date"]) == "2024-01-02"

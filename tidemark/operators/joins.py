@@ -10,16 +10,7 @@ from pyspark.sql.window import Window
 
 from tidemark.functions import columns as C
 from tidemark.operators.percentiles import exact_percentiles
-
-#: Largest size in bytes that Catalyst may estimate for a side before it is no longer broadcast by hint.
-BROADCAST_BYTES = 32 << 20
-
-
-def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """A broadcast hint, only where the optimizer's size estimate is under the limit; else the planner decides."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return F.broadcast(df) if size <= limit else df
-
+from tidemark.operators.storage import small
 
 def curated(prices: DataFrame, demand: DataFrame, keys: Sequence[str], regions: Sequence[str], region: str, required: Sequence[str]) -> DataFrame:
     """Inner join on the keys, filters on either side first so that they reach the scans."""

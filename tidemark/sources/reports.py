@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
 from tidemark.operators.quality import partition_id
-from tidemark.operators.storage import exists
+from tidemark.operators.storage import checkpoint, exists, remove
 from tidemark.sources import schemas
 
 #: Rows handed to Spark at once.
@@ -129,27 +129,38 @@ def work_list(spark: SparkSession, tables: Sequence[str], regions: Sequence[str]
     return units.select(partition_id("table", "region", "day").alias("partition_id"), "table", "region", "day")
 
 
-def extract(spark: SparkSession, path: str, table: str, target: str, kind: str = "csv") -> None:
-    """A10: a table's rows as files by the date of their report; dates that are done are skipped before a file is read.
+def _unit(path: Column) -> Column:
+    """What a file is extracted with: the date in its name, or the file itself where its name has none."""
+    name = F.element_at(F.split(path, "/"), -1)
+    return F.coalesce(file_date(name).cast("string"), F.concat(F.lit("undated-"), F.substring(F.md5(name.cast("binary")), 1, 12)))
 
-    A date is done once it stands in ``<target>/_done``, which is written after its rows. What a broken run left of a
-    date is overwritten by the next. Rows of files without a date in their name go by their own time, under ``undated``.
+
+def extract(spark: SparkSession, path: str, table: str, target: str, kind: str = "csv", pattern: str = "*.zip") -> None:
+    """A10: a table's rows as files by the date of their report; what is done is skipped before a file is read.
+
+    A manifest, ``<target>/_manifest``, has the name, size and time of every file that was extracted. Dates with a file that
+    isn't in it as it is now, be it late or written anew, are extracted again, all their files together; a file
+    without a date in its name is a unit of its own, under ``undated``. The manifest is written after the rows, from a listing made
+    before them, so what a broken run left is overwritten by the next. Rows of a file that is gone stay until its date changes.
     """
-    files, done = report_files(spark, path), f"{target}/_done"
-    day = file_date(F.element_at(F.split("path", "/"), -1))
-    todo = files.select(day.alias("report_date"))
-    if exists(spark, done):
-        todo = todo.join(spark.read.schema("report_date date").parquet(done), "report_date", "left_anti")
-    todo = [r[0] for r in todo.where("report_date IS NOT NULL").distinct().collect()]  # a date for each day of reports
-    wanted = files.where(day.isin(todo) | day.isNull()) if todo else files.where(day.isNull())
-    rows = scan(wanted, table)
-    named = file_date(F.element_at(F.split("_file", "/"), -1)).cast("string")
-    own = F.concat(F.lit("undated-"), F.to_date(schemas.event_time(table)).cast("string"))
-    rows = rows.withColumn("report_date", F.coalesce(named, own)).drop("_file", "_member")
+    found, manifest = ["path", "length", "modificationTime"], f"{target}/_manifest"
+    files = report_files(spark, path, pattern=pattern)
+    listed = checkpoint(files.select(*found, _unit(F.col("path")).alias("unit")))
+    schema = "path string, length bigint, modificationTime timestamp, unit string"
+    known = spark.read.schema(schema).parquet(manifest) if exists(spark, manifest) else spark.createDataFrame([], schema)
+    new = listed.join(known.select(*found), found, "left_anti").select("unit").distinct()
+    todo = new.join(known.select("unit", F.lit(True).alias("before")).distinct(), "unit", "left").collect()  # days of reports, and files without one
+    if not todo:
+        return
+    units = [r["unit"] for r in todo]
+    for r in todo:
+        if r["before"]:  # what it had is out of date, and it may have no rows now
+            remove(spark, f"{target}/report_date={r['unit']}")
+    rows = scan(files.where(_unit(F.col("path")).isin(units)), table)
+    rows = rows.withColumn("report_date", _unit(F.col("_file"))).drop("_file", "_member")
     writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("header", True)
     writer.partitionBy("report_date").format(kind).save(target)
-    if todo:
-        spark.createDataFrame([(x,) for x in todo], "report_date date").coalesce(1).write.mode("append").parquet(done)
+    listed.where(F.col("unit").isin(units)).join(known.select(*found), found, "left_anti").coalesce(1).write.mode("append").parquet(manifest)
 
 
 def inventory(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
