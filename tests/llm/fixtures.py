@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import DataFrame, SparkSession
 
 SMALL = "/root/testdata/sf0.001"
@@ -36,3 +38,19 @@ def labels(spark: SparkSession, rows=()) -> DataFrame:
 
 def documents(spark: SparkSession) -> DataFrame:
     return spark.read.parquet(f"{SMALL}/documents.parquet")
+
+
+def lines_run(f):
+    """What ``f`` returns, and how many lines of Python ran for it: work that no clock and no other load changes."""
+    count = 0
+
+    def trace(frame, event, arg):
+        nonlocal count
+        count += event == "line"
+        return trace
+
+    sys.settrace(trace)
+    try:
+        return f(), count
+    finally:
+        sys.settrace(None)

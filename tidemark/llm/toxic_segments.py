@@ -5,11 +5,14 @@ their use in both. A token too rare for that takes those of its longest known be
 compounds and inflections share one. A linear scan over the tokens of a text finds every maximal segment of positive score,
 where each token without a weight costs a little. Scores of segments in clean documents have an exponential
 tail, so the best of a text follows an extreme-value law in its length; a segment is significant if it is
-rarer under that law than ``SIGNIFICANT``. A text's evidence is calibrated to a probability on the labelled rows.
+rarer under that law than ``SIGNIFICANT``. The law is fitted by its mean excess over the least score; where all scores are
+equal, by that score. A text's evidence, which is made of its segments and nothing else, is calibrated to a
+probability on the labelled rows.
 
 Only rows whose crc32(doc_id as text) mod 3 is not 1 are learned from, a bounded sample of at most
 ``TRAIN_ROWS`` of them on average. Text alone makes a score; labels, languages, sources and ids don't.
-Null and empty texts have no segments and get the score of that evidence. Rows with a null doc_id are not
+Null and empty texts have no segments and get the score of that evidence; texts of any length are scanned whole. Of
+columns only those named are read, so others may have any name. Rows with a null doc_id are not
 held out and not learned from. Repeated rows get equal scores; an empty table gives an empty one. Without
 labels of both kinds there is nothing to learn: every score is then the share of toxic labels, or 0.5.
 """
@@ -107,14 +110,12 @@ def rarity(score: float, n: int, rate: float, k: float) -> float:
     return -math.log10(max(-math.expm1(-expected), 1e-300))
 
 
-def evidence(hits: list[tuple[int, float]], n: int, rate: float, k: float) -> list[float]:
-    """What is calibrated: rarity of the best segment, sum of all, their number, significant ones, length, density."""
-    found = segments(hits, n)
-    each = sorted((rarity(s, n, rate, k) for _, _, s in found), reverse=True)
-    best = each[0] if each else 0.0
-    strong = sum(r >= -math.log10(SIGNIFICANT) for r in each)
-    weighty = sum(w > 0 for _, w in hits)
-    return [1.0, math.sqrt(min(best, 30.0)), math.log1p(sum(each)), math.log1p(strong), math.log1p(weighty), math.log1p(n), math.log1p(100.0 * weighty / max(n, 1)), float(weighty >= 2)]
+def evidence(found: list[tuple[int, int, float]], n: int, rate: float, k: float) -> list[float]:
+    """What is calibrated, from the segments alone: rarity of the best, and of the significant ones the sum of their
+    rarities and of their lengths."""
+    each = [(rarity(s, n, rate, k), b - a) for a, b, s in found]
+    strong = [(r, size) for r, size in each if r >= -math.log10(SIGNIFICANT)]
+    return [1.0, math.sqrt(min(max((r for r, _ in each), default=0.0), 30.0)), math.log1p(sum(r for r, _ in strong)), math.log1p(sum(size for _, size in strong))]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -152,7 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: st
     if not size.get(0) or not size.get(1):
         share = size.get(1, 0) / (size.get(0, 0) + size.get(1, 0)) if size else 0.5
         share = min(max(share, 1e-6), 1 - 1e-6)
-        return Model({}, 1.0, 1.0, (math.log(share / (1 - share)),) + (0.0,) * 7)
+        return Model({}, 1.0, 1.0, (math.log(share / (1 - share)),) + (0.0,) * 3)
     words = F.array_distinct(F.expr(r"regexp_extract_all(lower(_text), '\\p{L}+', 0)"))
     token = F.explode(F.array_distinct(F.concat(words, *[_beginnings(words, n) for n in STEMS]))).alias("t")
     counts = texts.select("_y", token).groupBy("t").agg(F.sum("_y").alias("toxic"), F.count(F.lit(1)).alias("both")).where(F.col("toxic") >= LEAST_DOCS)
@@ -175,17 +176,19 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: st
     clean = [(max((s for _, _, s in segments(h, n)), default=0.0), n) for h, n, y in rows_ if y == 0]
     tail = [s for s, _ in clean if s > 0]
     low = min(tail, default=0.0)
-    rate = 1.0 / max(np.mean(tail) - low, 0.5) if tail else 1.0
+    spread = float(np.mean(tail)) - low if tail else 1.0
+    rate = 1.0 / spread if spread > 1e-9 else 1.0 / low
     k = max(len(tail), 1) / max(sum(n for _, n in clean), 1) * math.exp(min(rate * low, 50.0))
-    x = np.array([evidence(h, n, rate, k) for h, n, _ in rows_])
+    x = np.array([evidence(segments(h, n), n, rate, k) for h, n, _ in rows_])
     y = np.array([float(r[2]) for r in rows_])
     return Model(weights, float(rate), float(k), tuple(_logistic(x, y).tolist()))
 
 
 def score_text(text: str, model: Model, weights: Weights | None = None) -> tuple[float, list[tuple[int, int, float]]]:
     hits, n = hits_of(text, Weights(model.weights) if weights is None else weights)
-    z = float(np.dot(evidence(hits, n, model.rate, model.k), model.coefficients))
-    strong = [s for s in segments(hits, n) if rarity(s[2], n, model.rate, model.k) >= -math.log10(SIGNIFICANT)]
+    found = segments(hits, n)
+    z = float(np.dot(evidence(found, n, model.rate, model.k), model.coefficients))
+    strong = [s for s in found if rarity(s[2], n, model.rate, model.k) >= -math.log10(SIGNIFICANT)]
     return 1 / (1 + math.exp(-max(min(z, 30.0), -30.0))), strong
 
 
