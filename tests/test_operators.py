@@ -271,6 +271,23 @@ def test_exact_percentiles_of_few_groups(spark, accuracy):
     assert percentiles.exact_percentiles(df.limit(0), "k", "v", shares).count() == 0
 
 
+def test_features_move_rows_twice_and_fill_across_an_hour_put_back(spark):
+    df = synthetic.region_series(spark, 600, regions=("A", "B")).withColumn("id", F.monotonically_increasing_id())
+    names = {"total_demand_mw", "rrp"} & set(df.columns)
+    assert names == {"total_demand_mw", "rrp"}
+    out = features.load_features(df.withColumn("air_temp_c", F.col("rrp")), tie="id")
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange ") <= 5 and plan.count("Window ") <= 3  # three of the exchanges have a row for each hour only
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        rows = spark.range(6).selectExpr("'a' AS k", "timestamp_seconds(1729986000 + 1800 * id) AS ts", "id", "if(id % 3 = 0, id, null) AS v")  # 2024-10-27, around 03:00
+        got = windows.fill(rows, "k", "ts", {"v": "f"}, "id").orderBy("id").collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert [r["f"] for r in got] == [0, 0, 0, 3, 3, 3]
+
+
 def test_exact_percentiles_of_many_groups_one_of_them_hot(spark):
     import numpy as np
 

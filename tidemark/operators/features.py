@@ -24,9 +24,8 @@ def time_features(ts: str, month: bool = True) -> dict[str, Column]:
     return out | C.cyclical("hour", names["hour"], 24) | C.cyclical("dow", names["day_of_week"], 7)
 
 
-def _filled(df: DataFrame, entity: str, ts: str, names: Sequence[str], tie: str | None) -> DataFrame:
-    have = {n: n for n in names if n in df.columns}
-    return W.fill(df, entity, ts, have, tie) if have else df
+def _fills(df: DataFrame, names: Sequence[str]) -> dict[str, str]:
+    return {n: n for n in names if n in df.columns}
 
 
 def load_features(df: DataFrame, entity: str = "region_id", ts: str = "settlement_date", lag_steps: Sequence[int] = LOAD_LAGS, day_rows: int = DAY, drop: bool = True, tie: str | None = None) -> DataFrame:
@@ -44,8 +43,7 @@ def load_features(df: DataFrame, entity: str = "region_id", ts: str = "settlemen
             "rrp_rolling_1h_mean": W.rolling("rrp", HOUR, over),
         }
 
-    out = W.in_chunks(df, entity, ts, make, max(*lag_steps, day_rows, HOUR), tie)
-    out = _filled(out, entity, ts, WEATHER, tie).withColumns(time_features(ts))
+    out = W.in_chunks(df, entity, ts, make, max(*lag_steps, day_rows, HOUR), tie, fills=_fills(df, WEATHER)).withColumns(time_features(ts))
     if "demand_forecast_mw" in df.columns:
         out = out.withColumn("published_forecast_error", F.col("demand_forecast_mw") - F.col("total_demand_mw"))
     return out.dropna() if drop else out
@@ -70,8 +68,7 @@ def price_features(df: DataFrame, entity: str = "region_id", ts: str = "settleme
     rows = df.withColumn("supply_margin_mw", F.col("available_generation_mw") - F.col("total_demand_mw"))
     if "demand_forecast_mw" in df.columns:
         rows = rows.withColumn("demand_forecast_error", F.col("demand_forecast_mw") - F.col("total_demand_mw"))
-    out = W.in_chunks(rows, entity, ts, make, max(*PRICE_LAGS, HOUR), tie)
-    out = _filled(out, entity, ts, ("air_temp_c", "wind_speed_kmh"), tie).withColumns(time_features(ts, month=False))
+    out = W.in_chunks(rows, entity, ts, make, max(*PRICE_LAGS, HOUR), tie, fills=_fills(rows, ("air_temp_c", "wind_speed_kmh"))).withColumns(time_features(ts, month=False))
     return out.dropna() if drop else out
 
 

@@ -1,8 +1,8 @@
 """Window features (W1-W12): lags, rolling and range frames, fills, temporal splits.
 
 Entities may be few and their histories long, so no window here is over an entity alone. Row frames run over chunks of
-an entity's rows, numbered by counting days first; time frames are put together from whole buckets of time and the parts
-of two; fills carry one value from day to day. What is windowed over an entity is a row for each day or bucket only.
+an entity's rows, numbered by counting hours first; time frames are put together from whole buckets of time and the parts
+of two; fills carry one value from hour to hour. What is windowed over an entity is a row for each hour or bucket only.
 """
 
 from __future__ import annotations
@@ -12,12 +12,13 @@ from collections.abc import Callable, Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window, WindowSpec
 
 from tidemark.functions import columns as C
 
-#: Rows of an entity that one task sees at once.
-CHUNK_ROWS = 20_000
+#: Rows of an entity that one task sees at once; the time whose rows are numbered together.
+CHUNK_ROWS, BUCKET = 20_000, "hour"
 
 
 def lags(value: Column | str, steps: Iterable[int], over: WindowSpec, name: str) -> dict[str, Column]:
@@ -37,63 +38,61 @@ def _same(left: Sequence[str], right: Sequence[str]) -> Column:
     return both[0] & both[1] if len(both) == 2 else both[0]
 
 
-def numbered(df: DataFrame, entity: str, ts: str, tie: str | None = None, bucket: str = "day") -> DataFrame:
+def numbered(df: DataFrame, entity: str, ts: str, tie: str | None = None, bucket: str = BUCKET, fills: Mapping[str, str] | None = None, both_ways: Sequence[str] = ()) -> DataFrame:
     """Rows with ``_at``, their place among their entity's rows by time from 0, and ``_total``, how many it has.
 
-    Rows of a bucket of time are numbered there; what lies before it comes from the counts of buckets.
+    Rows of a bucket of time are numbered there; what lies before it comes from the counts of buckets. ``fills`` maps columns to
+    their filled forms (see ``fill``), which are worked out in the same buckets. One key without nulls stands for
+    entity and bucket, so the rows are dealt once for both and for what they get from other buckets.
     """
-    rows = df.withColumn("_bucket", C.time_bucket(df, ts, bucket))
-    whole = Window.partitionBy("_e").orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    earlier = Window.partitionBy("_e").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy(F.col(entity).alias("_e"), F.col("_bucket").alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select("_e", "_b", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"), F.sum("_n").over(whole).alias("_total"))
-    inside = F.row_number().over(Window.partitionBy(entity, "_bucket").orderBy(ts, *([tie] if tie else [])))
-    placed = rows.withColumn("_rn", inside).join(offsets, _same([entity, "_bucket"], ["_e", "_b"]))
-    return placed.withColumn("_at", F.col("_before") + F.col("_rn") - 1).drop("_bucket", "_rn", "_e", "_b", "_before")
+    names = dict(fills or {})
+    when = C.time_bucket(df, ts, bucket)
+    if isinstance(df.schema[ts].dataType, T.TimestampType):
+        when = F.unix_micros(when)  # as text, an hour may stand for two where clocks are put back
+    parts = [F.hex(F.encode(F.col(entity).cast("string"), "UTF-8")), when.cast("string")]
+    rows = df.withColumn("_key", F.concat_ws(":", *[F.coalesce(p, F.lit("-")) for p in parts]))
+    order = [F.col(ts), *([F.col(tie)] if tie else [])]
+    known = {c: F.when(F.col(c).isNotNull(), F.struct(*order)) for c in names}
+    found = [F.count(F.lit(1)).alias("_n"), *[F.max_by(F.col(c), known[c]).alias(f"_last{i}") for i, c in enumerate(names)], *[F.min_by(F.col(c), known[c]).alias(f"_first{i}") for i, c in enumerate(names) if c in both_ways]]
+    counts = rows.groupBy("_key", F.col(entity).alias("_e"), C.time_bucket(df, ts, bucket).alias("_b")).agg(*found)
+    over = Window.partitionBy("_e").orderBy("_b")
+    whole, earlier, later = over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), over.rowsBetween(Window.unboundedPreceding, -1), over.rowsBetween(1, Window.unboundedFollowing)
+    others = [F.last(f"_last{i}", ignorenulls=True).over(earlier).alias(f"_last{i}") for i in range(len(names))] + [F.first(f"_first{i}", ignorenulls=True).over(later).alias(f"_first{i}") for i, c in enumerate(names) if c in both_ways]
+    offsets = counts.select("_key", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"), F.sum("_n").over(whole).alias("_total"), *others)
+    inside = Window.partitionBy("_key").orderBy(*order)
+    made = {"_rn": F.row_number().over(inside)}
+    for i, c in enumerate(names):
+        made[f"_l{i}"] = F.last(c, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+        if c in both_ways:
+            made[f"_f{i}"] = F.first(c, ignorenulls=True).over(inside.rowsBetween(0, Window.unboundedFollowing))
+    placed = rows.withColumns(made).join(offsets, "_key").withColumn("_at", F.col("_before") + F.col("_rn") - 1)
+    filled = {name: F.coalesce(*[F.col(f"{x}{i}") for x in ("_l", "_last", *(("_f", "_first") if c in both_ways else ()))]) for i, (c, name) in enumerate(names.items())}
+    return placed.withColumns(filled).drop("_key", "_rn", "_before", *[f"{x}{i}" for i in range(len(names)) for x in ("_l", "_last", "_f", "_first")])
 
 
-def in_chunks(df: DataFrame, entity: str, ts: str, make: Callable[[WindowSpec], Mapping[str, Column]], lookback: int, tie: str | None = None, chunk_rows: int = CHUNK_ROWS, bucket: str = "day") -> DataFrame:
-    """Columns of a window that looks back ``lookback`` rows at most.
+def in_chunks(df: DataFrame, entity: str, ts: str, make: Callable[[WindowSpec], Mapping[str, Column]], lookback: int, tie: str | None = None, chunk_rows: int = CHUNK_ROWS, bucket: str = BUCKET, fills: Mapping[str, str] | None = None) -> DataFrame:
+    """Columns of a window that looks back ``lookback`` rows at most; with ``fills``, W7 in the same dealing of the rows.
 
     Rows of an entity are cut into chunks of equal length. The last rows of a chunk are copied to the next one, where
     they are seen but not given back. So a task holds a chunk, and the result is that of one window over the entity.
+    What ``make`` says of a column that is filled, it says of the filled one.
     """
     chunk_rows = max(chunk_rows, lookback)
-    placed = numbered(df, entity, ts, tie, bucket).drop("_total").withColumn("_own", F.floor(F.col("_at") / chunk_rows))
+    placed = numbered(df, entity, ts, tie, bucket, fills).drop("_total").withColumn("_own", F.floor(F.col("_at") / chunk_rows))
     tail = F.col("_at") % chunk_rows >= chunk_rows - lookback
     dealt = placed.withColumn("_chunk", F.explode(F.when(tail, F.array("_own", F.col("_own") + 1)).otherwise(F.array("_own"))))
     made = dealt.withColumns(dict(make(Window.partitionBy(entity, "_chunk").orderBy("_at"))))
     return made.where("_own = _chunk").drop("_at", "_own", "_chunk")
 
 
-def fill(df: DataFrame, entity: str, ts: str, names: Mapping[str, str], tie: str | None = None, both_ways: Sequence[str] = (), bucket: str = "day") -> DataFrame:
+def fill(df: DataFrame, entity: str, ts: str, names: Mapping[str, str], tie: str | None = None, both_ways: Sequence[str] = (), bucket: str = BUCKET) -> DataFrame:
     """``names`` maps a column to its filled form: the last value so far; for those in ``both_ways``, what comes
     before the first value takes that.
 
-    The last (and first) value of each day of an entity is carried to the days after (and before); within a day the
-    rows' own values come first.
+    The last (and first) value of each bucket of time of an entity is carried to the buckets after (and before);
+    within a bucket the rows' own values come first.
     """
-    rows = df.withColumn("_bucket", C.time_bucket(df, ts, bucket))
-    order = [F.col(ts), *([F.col(tie)] if tie else [])]
-    found = []
-    for i, c in enumerate(names):
-        known, at = F.col(c).isNotNull(), F.struct(*order)
-        found.append(F.max_by(F.col(c), F.when(known, at)).alias(f"_last{i}"))
-        if c in both_ways:
-            found.append(F.min_by(F.col(c), F.when(known, at)).alias(f"_first{i}"))
-    days = rows.groupBy(F.col(entity).alias("_e"), F.col("_bucket").alias("_b")).agg(*found)
-    over = Window.partitionBy("_e").orderBy("_b")
-    carried = [F.last(f"_last{i}", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_before{i}") for i in range(len(names))]
-    carried += [F.first(f"_first{i}", ignorenulls=True).over(over.rowsBetween(1, Window.unboundedFollowing)).alias(f"_after{i}") for i, c in enumerate(names) if c in both_ways]
-    joined = rows.join(days.select("_e", "_b", *carried), _same([entity, "_bucket"], ["_e", "_b"]))
-    inside = Window.partitionBy(entity, "_bucket").orderBy(*order)
-    out = {}
-    for i, (c, name) in enumerate(names.items()):
-        ways = [F.last(c, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)), F.col(f"_before{i}")]
-        if c in both_ways:
-            ways += [F.first(c, ignorenulls=True).over(inside.rowsBetween(0, Window.unboundedFollowing)), F.col(f"_after{i}")]
-        out[name] = F.coalesce(*ways)
-    return joined.withColumns(out).drop("_bucket", "_e", "_b", *[f"_before{i}" for i in range(len(names))], *[f"_after{i}" for i in range(len(names))])
+    return numbered(df, entity, ts, tie, bucket, names, both_ways).drop("_at", "_total")
 
 
 def seconds(duration: str) -> int:
