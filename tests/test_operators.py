@@ -347,3 +347,28 @@ def test_no_stage_has_as_few_tasks_as_entities(spark):
         # a window over the entity alone is over days or buckets: below it stands the aggregate that makes them
         for keys in windowed:
             assert "," in keys or re.search(r"_e#|_lk#", keys), keys
+
+
+def test_stratified_split_is_the_same_on_any_partitions(spark):
+    df = spark.range(1000).selectExpr("id", "if(id % 7 = 0, 1, if(id % 50 = 1, null, 0)) AS y")
+    splits = [{r["id"]: r["is_train"] for r in models.stratified_split(df.repartition(n), "y", ["id"], 0.75).collect()} for n in (1, 5)]
+    assert splits[0] == splits[1] and len(splits[0]) == 1000
+    counts = {r["y"]: (r["n"], r["t"]) for r in models.stratified_split(df, "y", ["id"], 0.75).groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("is_train").cast("int")).alias("t")).collect()}
+    assert all(t == int(n * 0.75 + 0.5) for n, t in counts.values()) and set(counts) == {0, 1, None}
+    other = {r["id"]: r["is_train"] for r in models.stratified_split(df, "y", ["id"], 0.75, seed=8).collect()}
+    assert other != splits[0]
+    same = spark.range(40).selectExpr("1 AS id", "0 AS y")  # one key for all rows
+    assert models.stratified_split(same, "y", ["id"], 0.5).where("is_train").count() == 20
+    assert models.stratified_split(df.limit(0), "y", ["id"]).count() == 0
+
+
+def test_search_trains_before_and_tests_after_each_origin(spark):
+    df = spark.range(400).selectExpr("id", "timestamp_seconds(1704067200 + 300 * id) AS ts", "id % 4 AS k", "cast(id % 4 * 10 AS double) AS y", "cast(id % 4 * 10 + 1 AS double) AS off", "cast(id % 4 AS double) AS x")
+    candidates = {"off": models.Candidate(column="off"), "mean": models.Candidate(keys=["k"]), "trees": models.Candidate(features=["x"], options={"trees": 3, "depth": 2})}
+    rows = {(r["model"], r["fold"]): r for r in models.search(df, candidates, "y", "ts", 4).collect()}
+    assert len(rows) == 12 and all(r["n"] == 80 for r in rows.values())
+    assert all(rows["off", i]["mae"] == 1 and rows["mean", i]["mae"] == 0 and rows["trees", i]["mae"] < 0.5 for i in range(1, 5))
+    new = models.Candidate(keys=["id"]).predict(df.where("id < 4"), df.where("id >= 4"), "y")  # keys never seen: the mean of all
+    assert {r["prediction"] for r in new.collect()} == {15.0}
+    assert models.search(df.limit(0), candidates, "y", "ts").count() == 0
+    assert models.search(df.limit(1), candidates, "y", "ts").count() == 0

@@ -275,6 +275,40 @@ def test_sinks_write_files_and_totals(spark, tmp_path):
     assert sorted(r["line"] for r in sinks.metric_lines(df, "ts", "region", "demand").collect()) == sorted(lines)
 
 
+def test_sink_counts_what_its_manifests_have(spark, tmp_path):
+    custom.register(spark)
+    path = str(tmp_path / "alerts")
+    rows = [("2024-01-01 00:00:00", r, 500.0, 1.0) for r in "ABCDEF"]
+    df = spark.createDataFrame(rows, "ts string, region string, price double, demand double").repartition(3)
+    read_ = lambda: sorted(json.loads(r["value"])["region"] for r in sinks.read_lines(spark, path).collect())
+    write = lambda df, mode="append": df.write.format("market_alerts").option("path", f"file:{path}").mode(mode).save()
+    write(df)
+    (tmp_path / "alerts" / "part-left").write_text('{"region": "Z"}\n')  # of a task that failed
+    assert read_() == list("ABCDEF")
+    bad = df.withColumn("price", F.when(F.col("region") == "D", F.raise_error(F.lit("broken")).cast("double")).otherwise(F.col("price")))
+    with pytest.raises(Exception, match="broken"):
+        write(bad)
+    assert read_() == list("ABCDEF")
+    write(df.where("region < 'C'"))
+    assert read_() == list("AABBCDEF")
+    write(df.where("region = 'F'"), "overwrite")
+    assert read_() == ["F"]
+
+
+def test_stream_sink_commits_a_batch_once(tmp_path):
+    from pyspark.sql import Row
+
+    writer = sinks._MetricStream({"path": str(tmp_path)})
+    row = Row(ts=sinks.EPOCH, region="A", demand=1.0)
+    for batch in (0, 0, 1):
+        writer.commit([writer.write(iter([row, row])), None], batch)
+    manifests = [json.loads(p.read_text()) for p in sorted((tmp_path / "_manifest").glob("*.json"))]
+    assert [m["rows"] for m in manifests] == [2, 2]
+    assert {f for m in manifests for f in m["files"]} == {p.name for p in tmp_path.glob("part-*")}
+    writer.abort([writer.write(iter([row]))], 2)
+    assert len(list(tmp_path.glob("part-*"))) == 2
+
+
 def test_csv_binds_by_name(spark, tmp_path):
     (tmp_path / "a.csv").write_text("rrp,region_id\n5.5,NSW1\njunk,VIC1\n")
     df = tables.read_csv(spark, str(tmp_path / "a.csv"), "region_id string, rrp double, missing int")

@@ -46,7 +46,7 @@ def latest_by(df: DataFrame, keys: Sequence[str], ts: str, values: Sequence[str]
 
 
 def forecast_vs_actual(forecasts: DataFrame, actuals: DataFrame, run: str, interval: str, region: str, pairs: Mapping[str, tuple[str, str, str, int]], intervention: str | None = "INTERVENTION") -> DataFrame:
-    """W1 + J5: the latest run of each interval against what happened.
+    """W1 + J5: the latest run of each interval against what happened. Runs are summed up before they are shuffled.
 
     ``actuals`` has the columns ``interval`` and ``region`` under the same names. ``pairs`` maps the name of an
     error to (forecast column, actual column, suffix, digits); the columns come out as ``forecast_<suffix>`` and
@@ -54,8 +54,8 @@ def forecast_vs_actual(forecasts: DataFrame, actuals: DataFrame, run: str, inter
     """
     if intervention:
         forecasts = forecasts.where(F.col(intervention) == "0")
-    newest = latest(forecasts, [interval, region], [F.col(run).desc()])
-    f = newest.select(interval, region, run, *[F.col(p).alias(f"forecast_{s}") for p, _, s, _ in pairs.values()])
+    kept = F.struct(run, *[F.col(p).alias(f"forecast_{s}") for p, _, s, _ in pairs.values()])
+    f = forecasts.groupBy(interval, region).agg(F.max_by(kept, F.struct(run)).alias("_newest")).select(interval, region, "_newest.*")
     a = actuals.select(interval, region, *[F.col(q).alias(f"actual_{s}") for _, q, s, _ in pairs.values()])
     joined = f.join(a, [interval, region])
     errors = [F.round(F.col(f"forecast_{s}") - F.col(f"actual_{s}"), digits).alias(name) for name, (_, _, s, digits) in pairs.items()]

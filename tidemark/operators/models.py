@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
@@ -11,10 +15,11 @@ from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.operators import windows as W
 from tidemark.operators.rollups import error_metrics
-from tidemark.operators.storage import checkpoint
+from tidemark.operators.storage import checkpoint, small, written
 
 
 def regressor(features: Sequence[str], label: str, kind: str = "boosted", trees: int = 20, depth: int = 5, seed: int = 7) -> Pipeline:
@@ -36,12 +41,36 @@ def regression_scores(predictions: DataFrame, label: str) -> dict[str, float]:
     return {m: RegressionEvaluator(labelCol=label, metricName=m).evaluate(predictions) for m in ("mae", "rmse", "r2")}
 
 
-def train_classifier(df: DataFrame, features: Sequence[str], label: str, entity: str, ts: str, share: float = 0.8, stratified: bool = False, trees: int = 15, depth: int = 4, seed: int = 7) -> tuple[PipelineModel, DataFrame]:
-    """Medians for missing values, classes weighted to equal sums, temporal or stratified split."""
+#: Hex digits of a hash range, and so 4,096 ranges for each label.
+RANGE_DIGITS = 3
+
+
+def stratified_split(df: DataFrame, label: str, keys: Sequence[str], share: float = 0.8, seed: int = 7) -> DataFrame:
+    """``is_train`` for the first ``share`` of each label's rows (to the nearest row) in the order of a hash of their keys.
+
+    The split depends on keys, label and seed alone, not on how the rows lie in partitions. Rows are counted by ranges of the
+    hash; only in the range where a label's share ends are they put in order. Rows with the same keys may stand
+    on either side of that end, as any of them may. A null label is a label.
+    """
+    text = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]
+    rows = df.withColumn("_hash", F.md5(F.concat_ws(":", *text, F.lit(str(seed))).cast("binary"))).withColumn("_range", F.substring("_hash", 1, RANGE_DIGITS))
+    counts = rows.groupBy(F.col(label).alias("_label"), F.col("_range").alias("_r")).agg(F.count(F.lit(1)).alias("_n"))
+    over = Window.partitionBy("_label")
+    upto = F.sum("_n").over(over.orderBy("_r"))
+    cut = F.floor(F.sum("_n").over(over) * F.lit(share) + 0.5).cast("bigint")
+    ends = counts.select("_label", "_r", F.greatest(F.lit(0), F.least("_n", cut - upto + F.col("_n"))).alias("_take"), "_n")  # of a range: how many train
+    placed = rows.join(small(written(ends, "ranges")), rows[label].eqNullSafe(F.col("_label")) & (F.col("_range") == F.col("_r")))
+    whole = (F.col("_take") == 0) | (F.col("_take") == F.col("_n"))
+    order = Window.partitionBy("_label", "_range").orderBy("_hash", *keys)
+    clear = placed.where(whole).withColumn("is_train", F.col("_take") > 0)
+    split = placed.where(~whole).withColumn("is_train", F.row_number().over(order) <= F.col("_take"))
+    return clear.unionByName(split).drop("_hash", "_range", "_label", "_r", "_take", "_n")
+
+
+def train_classifier(df: DataFrame, features: Sequence[str], label: str, entity: str, ts: str, share: float = 0.8, stratified: bool = False, trees: int = 15, depth: int = 4, seed: int = 7, keys: Sequence[str] = ()) -> tuple[PipelineModel, DataFrame]:
+    """Medians for missing values, classes weighted to equal sums, temporal or stratified split (by ``keys``, or entity and time)."""
     if stratified:
-        keyed = df.withColumn("_draw", F.rand(seed))
-        limit = keyed.groupBy(label).agg(F.percentile_approx("_draw", share).alias("_limit"))
-        split = keyed.join(F.broadcast(limit), label).withColumn("is_train", F.col("_draw") <= F.col("_limit")).drop("_draw", "_limit")
+        split = stratified_split(df, label, keys or [entity, ts], share, seed)
     else:
         split = W.temporal_split(df, entity, ts, share)
     split = checkpoint(split)
@@ -83,6 +112,57 @@ def leaderboard(scores: Mapping[str, DataFrame], predicted: str, actual: str) ->
     return out.orderBy("mae", "model")
 
 
+@dataclass(frozen=True)
+class Candidate:
+    """A way to predict. Either a column that is the prediction, or the mean of the label by ``keys`` over the training
+    rows (the mean of all of them where a key is new), or a regressor over ``features`` with ``options`` of ``regressor``."""
+
+    column: str | None = None
+    keys: Sequence[str] = ()
+    features: Sequence[str] = ()
+    options: Mapping[str, object] = field(default_factory=dict)
+
+    def predict(self, train: DataFrame, test: DataFrame, label: str) -> DataFrame:
+        if self.column:
+            return test.withColumn("prediction", F.col(self.column).cast("double"))
+        if self.features:
+            return regressor(self.features, label, **self.options).fit(train).transform(test)
+        overall = train.agg(F.avg(label)).first()[0]
+        means = train.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(self.keys)]).agg(F.avg(label).alias("_mean"))
+        met = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(self.keys)])
+        return test.join(means, met, "left").withColumn("prediction", F.coalesce("_mean", F.lit(overall)))
+
+
+def rolling_origins(df: DataFrame, ts: str, folds: int) -> list[int]:
+    """``folds`` + 1 points in time, in microseconds, that cut the time from the first row to the last into equal parts; a fold
+    trains on what lies before its point and is tested on what lies from there to the next one."""
+    low, high = df.agg(F.min(F.unix_micros(F.col(ts).cast("timestamp"))), F.max(F.unix_micros(F.col(ts).cast("timestamp")))).first()
+    return [] if low is None else [low + (high + 1 - low) * i // (folds + 1) for i in range(1, folds + 2)]
+
+
+def search(df: DataFrame, candidates: Mapping[str, Candidate], label: str, ts: str, folds: int = 3, at_once: int = 4) -> DataFrame:
+    """Errors of each candidate in each fold (model, fold, mae, rmse, mape, bias, n).
+
+    The assembly is written once and read by all fits, ``at_once`` of which run side by side. Rows without a label or
+    time take no part. A fold in which there is nothing to train on, or nothing to test, has no row.
+    """
+    rows = written(df.where(F.col(label).isNotNull() & F.col(ts).isNotNull()), "search")
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    ends = rolling_origins(rows, ts, folds)
+
+    def one(job: tuple[int, str]) -> list[tuple]:
+        i, name = job
+        train, test = rows.where(at < ends[i]), rows.where((at >= ends[i]) & (at < ends[i + 1]))
+        if train.isEmpty() or test.isEmpty():
+            return []
+        found = error_metrics(candidates[name].predict(train, test, label), "prediction", label).first()
+        return [(name, i + 1, found["mae"], found["rmse"], found["mape"], found["bias"], found["n"])]
+
+    with ThreadPool(at_once) as pool:
+        found = pool.map(inheritable_thread_target(df.sparkSession)(one), [(i, name) for i in range(len(ends) - 1) for name in candidates], chunksize=1)
+    return df.sparkSession.createDataFrame([r for part in found for r in part], "model string, fold int, mae double, rmse double, mape double, bias double, n bigint")
+
+
 def importances(model: PipelineModel, features: Sequence[str]) -> list[tuple[str, float]]:
     """Features by importance, most important first."""
     weights = model.stages[-1].featureImportances.toArray().tolist()

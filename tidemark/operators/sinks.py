@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import json
-import os
+import re
 import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceStreamWriter, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from tidemark.operators.storage import small
+
 
 def alerts(df: DataFrame, ts: str, region: str, price: str, demand: str, price_threshold: float = 300, demand_threshold: float = 10000) -> DataFrame:
     """A row for each threshold that is passed; one input row can give two. Zero is a value like any other."""
@@ -42,42 +44,82 @@ class _Written(WriterCommitMessage):
     regions: tuple
 
 
-class _JsonLineWriter(DataSourceWriter):
-    """Each task writes a file of its own; the files appear under their names at the commit."""
+def _store(path: str):
+    """The store of a path, through Arrow's file systems, and the path in it."""
+    from pyarrow import fs
+
+    path = re.sub("^file:/*", "/", path)
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+class _LineWriter:
+    """Lines to files, in two phases.
 
-    def __init__(self, options: dict):
-        self.options = options
+    Each task writes a file of its own, under a name that no other has. The commit enters these files in a manifest, which
+    appears under its name whole or not at all: that is the moment at which they count. What a task left that failed or ran
+    twice is in no manifest. ``read_lines`` reads what the manifests have. A stream's manifest is named by its batch, so a
+    batch that is committed again adds nothing; a folder belongs to one stream, as its checkpoint does.
+    """
+
+    def __init__(self, options: dict, overwrite: bool = False):
+        self.options, self.overwrite = options, overwrite
 
     def lines(self, row: Row) -> Iterator[tuple[str, str]]:
         raise NotImplementedError
 
     def write(self, iterator: Iterator[Row]) -> WriterCommitMessage:
-        folder, n, regions = self.options["path"], 0, set()
-        os.makedirs(folder, exist_ok=True)
-        path = os.path.join(folder, f".part-{uuid.uuid4().hex}")
-        with open(path, "w", encoding="utf-8") as out:
+        store, folder = _store(self.options["path"])
+        n, regions, path = 0, set(), f"{folder}/part-{uuid.uuid4().hex}"
+        store.create_dir(folder)
+        with store.open_output_stream(path) as out:
             for row in iterator:
                 for region, line in self.lines(row):
-                    out.write(line + "\n")
+                    out.write(f"{line}\n".encode())
                     n += 1
                     regions.add(region)
         return _Written(path, n, tuple(sorted(map(str, regions))))
 
-    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+    def abort(self, messages: list[WriterCommitMessage | None], batchId: int | None = None) -> None:
+        store, _ = _store(self.options["path"])
+        for m in messages:
+            if m is not None:
+                store.delete_file(m.path)
+
+    def _put(self, path: str, record: dict) -> None:
+        store, _ = _store(self.options["path"])
+        new = f"{path.rpartition('/')[0]}/.{uuid.uuid4().hex}"
+        with store.open_output_stream(new) as out:
+            out.write(json.dumps(record).encode())
+        store.move(new, path)
+
+    def _commit(self, messages: list[WriterCommitMessage | None], name: str) -> None:
+        from pyarrow import fs
+
+        store, folder = _store(self.options["path"])
         done = [m for m in messages if m is not None]
-        for i, m in enumerate(done):
-            os.replace(m.path, os.path.join(os.path.dirname(m.path), f"part-{i:05d}-{os.path.basename(m.path)[6:]}"))
+        store.create_dir(f"{folder}/_manifest")
+        before = [f.path for f in store.get_file_info(fs.FileSelector(f"{folder}/_manifest")) if f.base_name.endswith(".json")]
+        if f"{folder}/_manifest/{name}.json" in before:
+            self.abort(messages)
+            return
         total = {"rows": sum(m.rows for m in done), "regions": sorted({r for m in done for r in m.regions})}
-        with open(os.path.join(self.options["path"], "_totals.json"), "w", encoding="utf-8") as out:
-            json.dump(total, out)
+        self._put(f"{folder}/_manifest/{name}.json", {"files": [m.path.rpartition("/")[2] for m in done]} | total)
+        for path in before if self.overwrite else []:
+            store.delete_file(path)
+        self._put(f"{folder}/_totals.json", total)
+
+
+class _BatchWriter(_LineWriter, DataSourceWriter):
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        self._commit(messages, f"run-{uuid.uuid4().hex}")
 
-    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
-        for m in messages:
-            if m is not None and os.path.exists(m.path):
-                os.remove(m.path)
 
+class _StreamWriter(_LineWriter, DataSourceStreamWriter):
+    def commit(self, messages: list[WriterCommitMessage | None], batchId: int) -> None:
+        self._commit(messages, f"batch-{batchId:09d}")
 
-class _AlertWriter(_JsonLineWriter):
+
+class _Alerts:
     def lines(self, row: Row) -> Iterator[tuple[str, str]]:
         r = row.asDict()
         limits = (("PRICE_SPIKE", "price", float(self.options.get("price_threshold", 300))), ("HIGH_DEMAND", "demand", float(self.options.get("demand_threshold", 10000))))
@@ -87,7 +129,7 @@ class _AlertWriter(_JsonLineWriter):
                 yield r.get("region"), json.dumps({"type": kind, "region": r.get("region"), "value": float(value), "threshold": limit, "timestamp": str(r.get("ts"))})
 
 
-class _MetricWriter(_JsonLineWriter):
+class _Metrics:
     def lines(self, row: Row) -> Iterator[tuple[str, str]]:
         r = row.asDict()
         if r.get("ts") is None:
@@ -97,29 +139,56 @@ class _MetricWriter(_JsonLineWriter):
         yield r.get("region"), f"{self.options.get('prefix', 'market')}_demand,region={r.get('region') or 'unknown'} value={float(r.get('demand') or 0)} {nanos}"
 
 
+class _AlertBatch(_Alerts, _BatchWriter):
+    pass
+
+
+class _AlertStream(_Alerts, _StreamWriter):
+    pass
+
+
+class _MetricBatch(_Metrics, _BatchWriter):
+    pass
+
+
+class _MetricStream(_Metrics, _StreamWriter):
+    pass
+
+
 class AlertSink(DataSource):
-    """S1 as a sink: ``df.write.format("market_alerts")`` over columns ts, region, price, demand, by name.
+    """S1 as a sink: ``df.write`` or ``df.writeStream.format("market_alerts")`` over columns ts, region, price, demand, by name.
 
-    The path has to be a folder that all executors and the driver share.
+    The path has to lie in a store that all executors and the driver share and that Arrow reads, such as a mount.
     """
 
+    batch, stream = _AlertBatch, _AlertStream
+
     @classmethod
     def name(cls) -> str:
         return "market_alerts"
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
-        return _AlertWriter(dict(self.options))
+        return self.batch(dict(self.options), overwrite)
+
+    def streamWriter(self, schema: StructType, overwrite: bool) -> DataSourceStreamWriter:
+        return self.stream(dict(self.options))
 
 
-class MetricSink(DataSource):
-    """S2 as a sink: ``df.write.format("market_metrics")`` over columns ts, region, demand."""
+class MetricSink(AlertSink):
+    """S2 as a sink: format ``market_metrics`` over columns ts, region, demand."""
+
+    batch, stream = _MetricBatch, _MetricStream
 
     @classmethod
     def name(cls) -> str:
         return "market_metrics"
 
-    def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
-        return _MetricWriter(dict(self.options))
+
+def read_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """The lines (``value``) of all files that the manifests of a folder have."""
+    files = spark.read.schema("files array<string>").json(f"{folder}/_manifest").select(F.explode("files").alias("_name"))
+    lines = spark.read.option("pathGlobFilter", "part-*").text(folder).select("value", F.col("_metadata.file_name").alias("_name"))
+    return lines.join(small(files), "_name", "left_semi").select("value")
 
 
 def write_table(df: DataFrame, table: str, mode: str = "append", merge_schema: bool = False) -> None:

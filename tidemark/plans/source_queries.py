@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
-from tidemark.operators import clean, features, layout, models, quality, rollups, sinks
+from tidemark.operators import clean, features, layout, models, quality, rollups, sinks, windows
 from tidemark.plans import medallion
 from tidemark.plans.feature_queries import OVER, _ntz, _played, _range, _replay
 from tidemark.plans.frames import market, query, scratch, table
@@ -222,6 +222,36 @@ def corrected_units(spark, d):
     return rows("good", True).union(rows("bad", False))
 
 
+def _sent(rows):
+    """The rows of a sink, under the names that it takes, its time with a zone."""
+    return rows.select(F.col(TS).cast("timestamp").alias("ts"), F.col(REGION).alias("region"), F.col(PRICE).alias("price"), F.col(DEMAND).alias("demand"))
+
+
+@query("""{m} SELECT kind, region_id AS region, 'PRICE_SPIKE' AS type, rrp AS value FROM m, (SELECT unnest(['batch', 'stream']) AS kind) WHERE rrp > 150
+  UNION ALL SELECT kind, region_id, 'HIGH_DEMAND', total_demand_mw FROM m, (SELECT unnest(['batch', 'stream']) AS kind) WHERE total_demand_mw > 8500""")
+def alerts_sent(spark, d):
+    """Written through the sink, as a batch and as a stream that is run again, and read back by the manifests."""
+    custom.register(spark)
+    folder, limits = scratch(spark, "alerts"), {"price_threshold": "150", "demand_threshold": "8500"}
+    _sent(market(spark, d)).write.format("market_alerts").options(path=f"{folder}/batch", **limits).mode("append").save()
+    for _ in range(2):
+        _sent(_replay(spark, d)).writeStream.format("market_alerts").options(path=f"{folder}/stream", **limits).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    both = [sinks.read_lines(spark, f"{folder}/{kind}").select(F.lit(kind).alias("kind"), F.from_json("value", "region string, type string, value double").alias("a")) for kind in ("batch", "stream")]
+    return both[0].union(both[1]).select("kind", "a.*")
+
+
+@query("{m} SELECT kind, 'market_demand,region=' || region_id || ' value=' || CAST(total_demand_mw AS VARCHAR) || ' ' || CAST(epoch_us(settlement_date) * 1000 AS VARCHAR) AS line FROM m, (SELECT unnest(['batch', 'stream']) AS kind)")
+def metrics_sent(spark, d):
+    """The same for metric lines."""
+    custom.register(spark)
+    folder = scratch(spark, "metrics")
+    _sent(market(spark, d)).write.format("market_metrics").option("path", f"{folder}/batch").mode("append").save()
+    for _ in range(2):
+        _sent(_replay(spark, d)).writeStream.format("market_metrics").option("path", f"{folder}/stream").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    both = [sinks.read_lines(spark, f"{folder}/{kind}").select(F.lit(kind).alias("kind"), F.col("value").alias("line")) for kind in ("batch", "stream")]
+    return both[0].union(both[1])
+
+
 @query("SELECT event_id, value, CAST(NULL AS VARCHAR) AS kind FROM events UNION ALL SELECT event_id, value, event_type FROM events")
 def table_append(spark, d):
     """S3: appended to a table that lacks a column."""
@@ -333,6 +363,33 @@ def model_leaderboard(spark, d):
     return models.leaderboard(candidates, "p", DEMAND)
 
 
+@query("""{m,} x AS (SELECT event_id, CASE WHEN rrp > 60 THEN 1 ELSE 0 END AS is_spike FROM m),
+  r AS (SELECT *, row_number() OVER (PARTITION BY is_spike ORDER BY md5(concat_ws(':', CAST(event_id AS VARCHAR), '7')), event_id) AS rn, count(*) OVER (PARTITION BY is_spike) AS n FROM x)
+  SELECT event_id, is_spike, rn <= floor(n * CAST(0.8 AS DOUBLE) + 0.5) AS is_train FROM r""", ints=["is_spike"])
+def stratified_rows(spark, d):
+    """The same split on any partitions, with four fifths of each class to the row."""
+    labelled = features.labelled(market(spark, d), 60).select("event_id", "is_spike")
+    return models.stratified_split(labelled, "is_spike", ["event_id"])
+
+
+@query("""{m,} x AS (SELECT event_id, region_id, epoch_us(settlement_date) AS t, hour(settlement_date) AS hour, total_demand_mw AS y, lag(total_demand_mw) OVER (PARTITION BY region_id ORDER BY settlement_date, event_id) AS l FROM m),
+  r AS (SELECT * FROM x WHERE l IS NOT NULL), e AS (SELECT min(t) AS low, max(t) + 1 AS high FROM r),
+  f AS (SELECT i AS fold, low + (high - low) * i // 4 AS a, low + (high - low) * (i + 1) // 4 AS b FROM e, (SELECT unnest([1, 2, 3]) AS i)),
+  te AS (SELECT fold, r.* FROM r JOIN f ON t >= a AND t < b), tr AS (SELECT fold, r.* FROM r JOIN f ON t < a),
+  h AS (SELECT fold, region_id, hour, avg(y) AS p FROM tr GROUP BY 1, 2, 3), o AS (SELECT fold, avg(y) AS p FROM tr GROUP BY 1)
+  SELECT 'lag' AS model, fold, count(*) AS n, avg(abs(l - y)) AS mae, avg(l - y) AS bias FROM te GROUP BY fold UNION ALL
+  SELECT 'hour of day', te.fold, count(*), avg(abs(coalesce(h.p, o.p) - y)), avg(coalesce(h.p, o.p) - y) FROM te JOIN o ON te.fold = o.fold LEFT JOIN h ON te.fold = h.fold AND te.region_id = h.region_id AND te.hour = h.hour GROUP BY te.fold UNION ALL
+  SELECT 'boosted trees', fold, count(*), NULL, NULL FROM te GROUP BY fold""", rounded=["mae", "bias"], ints=["fold"])
+def candidate_search(spark, d):
+    """Three candidates in three folds of rolling origin; what the trees err by has no SQL."""
+    m = market(spark, d).withColumn("hour", F.hour(TS))
+    rows = windows.in_chunks(m, REGION, TS, lambda over: {"demand_lag_1": F.lag(DEMAND, 1).over(over)}, 1, "event_id").where("demand_lag_1 IS NOT NULL")
+    candidates = {"lag": models.Candidate(column="demand_lag_1"), "hour of day": models.Candidate(keys=[REGION, "hour"]), "boosted trees": models.Candidate(features=["demand_lag_1", "hour", "available_generation_mw"])}
+    found = models.search(rows.select("event_id", REGION, TS, "hour", DEMAND, "demand_lag_1", "available_generation_mw"), candidates, DEMAND, TS)
+    told = F.col("model") != "boosted trees"
+    return found.select("model", "fold", "n", F.when(told, F.col("mae")).alias("mae"), F.when(told, F.col("bias")).alias("bias"))
+
+
 _SCORED = {n: features.TRAINING_FEATURES[n] for n in ("demand_avg_1h", "rrp_avg_6h", "rrp_std_6h", "rrp_max_24h", "interval_count_1h")}
 _SCORED_SQL = ", ".join(f"{_range(f, c, {'01:00:00': '1 HOUR', '06:00:00': '6 HOUR', '24:00:00': '24 HOUR'}[w])} AS {n}" for n, (f, c, w) in _SCORED.items())
 
