@@ -520,6 +520,21 @@ def test_toxicity_of_odd_rows(spark):
     assert all(r["score"] == 0.5 for r in toxic_segments.toxicity(X.odd(spark), X.labels(spark)).collect())
 
 
+def test_rows_of_one_id_are_numbered_apart(spark):
+    """Half of the rows have one doc_id, a quarter has none; no task numbers more than a partition's share of them."""
+    docs = spark.range(0, 4000, 1, 8).selectExpr("if(id % 2 = 0, 7, if(id % 4 = 1, null, id)) AS doc_id", "if(id % 10 < 7, 'a', null) AS source", "id AS row")
+    mixed = pfair.mix(docs, heavy=100).collect()
+    assert sorted(r["_position"] for r in mixed) == sorted(r["_position"] for r in pfair.mix(docs).collect())
+    assert sorted(r["row"] for r in mixed) == list(range(4000)) and len({r["_position"] for r in mixed}) == 4000
+    picked = docs.selectExpr("doc_id AS _id", "source AS _source", "spark_partition_id() AS _read", "md5(cast(coalesce(cast(doc_id AS string), '') AS binary)) AS _hash")
+    held = pfair._ranged(picked, 100).groupBy("_source", "_range").count().collect()
+    assert max(r["count"] for r in held) <= 4000 / 8 and len({r["_range"] for r in held}) > 100
+    plain = {(r["doc_id"], r["source"]): r["_position"] for r in mixed if r["doc_id"] not in (7, None)}
+    fine = {(r["doc_id"], r["source"]): r["_position"] for r in pfair.mix(docs.where("doc_id <> 7"), heavy=1).collect()}
+    whole = {(r["doc_id"], r["source"]): r["_position"] for r in pfair.mix(docs.where("doc_id <> 7")).collect()}
+    assert fine == whole and len(plain) == len(fine)  # finer ranges keep the order of the hashes
+
+
 # -- quality --------------------------------------------------------------------------------------------------
 def plain_quality(rows, model):
     """(evidence, host posterior, path posterior, score) of rows (text, host, path), by plain sums."""
@@ -541,19 +556,23 @@ def plain_quality(rows, model):
         between = (spread - (len(groups) - len(parents)) * inside) / (n - lost)
         return inside / between if between > 0 else math.inf
 
-    def post(g, k, prior):
-        return prior if math.isinf(k) else (sum(g) + k * prior) / (len(g) + k)
+    def post(e, g, k, prior):
+        """Of the other documents of a site."""
+        return prior if math.isinf(k) or len(g) - 1 + k == 0 else (sum(g) - e + k * prior) / (len(g) - 1 + k)
 
     ks = shrink(by_host, lambda h: None, {None: n})
-    host = {h: post(g, ks, mean) for h, g in by_host.items()}
     kp = shrink(by_path, lambda k: (k[0],), {(h,): len(g) for h, g in by_host.items()})
-    path = {k: post(g, kp, host[k[0]]) for k, g in by_path.items()}
 
     def logit(p):
         p = min(max(p, 1e-6), 1 - 1e-6)
         return math.log(p / (1 - p))
 
-    return [(e, host[h], path[h, p], 1 / (1 + math.exp(-(logit(e) + logit(path[h, p]) - logit(mean))))) for e, (_, h, p) in zip(es, rows)]
+    found = []
+    for e, (_, h, p) in zip(es, rows):
+        host = post(e, by_host[h], ks, mean)
+        path = post(e, by_path[h, p], kp, host)
+        found.append((e, host, path, 1 / (1 + math.exp(-(logit(e) + logit(path) - logit(mean))))))
+    return found
 
 
 def test_quality_accuracy_and_brute_force(spark):
@@ -581,6 +600,15 @@ def test_quality_accuracy_and_brute_force(spark):
     assert "SortMergeJoin" not in kept._jdf.queryExecution().toString()
 
 
+def test_a_document_alone_at_its_site_says_nothing_twice(spark):
+    docs, labels = X.documents(spark), spark.read.parquet(f"{X.SMALL}/labels.parquet")
+    model = site_quality.train(docs, labels)
+    alone = docs.withColumn("source", F.when(F.col("doc_id") == 5, "alone").otherwise(F.col("source")))
+    out = {r["doc_id"]: r for r in site_quality.quality(alone, labels, model=model).collect()}
+    mean = sum(r["evidence"] for r in out.values()) / len(out)
+    assert out[5]["host_posterior"] == pytest.approx(mean) and out[5]["score"] == pytest.approx(out[5]["evidence"], abs=1e-5)
+
+
 def test_sites_that_do_not_differ_are_pooled(spark):
     seen = spark.createDataFrame([(f"h{i % 5}", f"p{i % 2}", 0.2 + 0.1 * (i // 10 % 5)) for i in range(1000)], "host string, path string, evidence double")
     posteriors, overall, n = site_quality.site_posteriors(seen)

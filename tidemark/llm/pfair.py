@@ -11,7 +11,7 @@ The schedule is made over blocks, not over rows: a block has ``BLOCK_ROWS`` rows
 into ``SLOTS`` blocks, so there are SLOTS + sources of them at most at any size of the table. One row makes it, as
 each slot depends on the one before it; its work grows with the slots, and with the sources once in an epoch (see the
 README for times). The rows themselves are numbered in parallel, within hash ranges of a source, after the ranges have been counted, so
-a source may hold any share of them; they meet their block's slot in a broadcast of that bounded schedule.
+a source, or one doc_id, or rows without one, may hold any share of them; they meet their block's slot in a broadcast of that bounded schedule.
 
 DataFrame functions only. A null source is a source of its own. Rows repeated with the same doc_id take a place
 each. An empty table gives an empty result.
@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.operators.storage import small, written
+
 #: Rows of a block at least, blocks of a schedule at most (beside one for each source), hex digits of a hash range.
 BLOCK_ROWS, SLOTS, RANGE_DIGITS = 8, 32_768, 3
 TEMPERATURE = 0.7
@@ -30,8 +32,8 @@ TEMPERATURE = 0.7
 PARTS = 1_000_000_000
 ADDED = ("_block", "_release", "_deadline", "_slot", "_position", "_in_proportion")
 
-#: Slots of an epoch.
-EPOCH = 128
+#: Slots of an epoch; rows that are numbered together at most, but for rows of one hash that one task reads.
+EPOCH, HEAVY = 128, 200_000
 
 # The schedule is made epoch by epoch. An epoch begins at the first slot for which a job is released. As it runs no
 # more than EPOCH jobs, of those released by then only the EPOCH with the earliest deadlines can have their turn; with
@@ -71,7 +73,9 @@ def weighed(sizes: DataFrame, weights: dict[str, float] | None = None, temperatu
         weight: Column = F.coalesce(F.element_at(given, F.col("source")), F.lit(float(min(weights.values()))))
     else:
         weight = F.pow(F.col("n").cast("double"), F.lit(temperature))
-    listed = sizes.groupBy().agg(F.sort_array(F.collect_list(F.struct("source", "n", weight.alias("w")))).alias("q"), F.sum("n").alias("rows"), F.sum(weight).alias("sum_w"))
+    listed = sizes.groupBy().agg(F.sort_array(F.collect_list(F.struct("source", "n", weight.alias("w")))).alias("q"), F.sum("n").alias("rows"))
+    # added up in the order of the sources, so that a task that runs again can't round a weight the other way
+    listed = listed.withColumn("sum_w", F.aggregate("q", F.lit(0.0), lambda total, x: total + x["w"]))
     each = listed.where("rows > 0").select("rows", "sum_w", F.posexplode("q").alias("i", "x"))
     parts = each.select("rows", "x.source", "x.n", "i", F.greatest(F.lit(1), F.round(F.col("x.w") / F.col("sum_w") * PARTS)).cast("bigint").alias("part"))
     whole = parts.groupBy("rows").agg(F.sum("part").alias("whole"))
@@ -92,11 +96,26 @@ def schedule(shares: DataFrame) -> DataFrame:
     return one.select("horizon", F.expr(f"explode({_RUN})").alias("job")).select("job.i", "job.k", "job.slot", "horizon")
 
 
-def _placed(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, block_rows: int = BLOCK_ROWS, slots: int = SLOTS, seed: int = 17, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+def _ranged(rows: DataFrame, heavy: int) -> DataFrame:
+    """``_range``: the beginning of the hash that a source's rows are numbered by. Where more than ``heavy`` rows share one, it is
+    longer; where so many have one hash, as rows of one doc_id have, it ends in the partition that a row was read
+    in: the order among such rows is free. Ranges are in the order of hashes."""
+    rows = rows.withColumn("_range", F.substring("_hash", 1, RANGE_DIGITS))
+    for finer in (F.substring("_hash", 1, 3 * RANGE_DIGITS), F.concat("_hash", F.lpad(F.col("_read").cast("string"), 10, "0"))):
+        full = rows.groupBy(F.col("_source").alias("_s"), F.col("_range").alias("_r")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > heavy)
+        full = written(full.select("_s", "_r"), "ranges")  # a row for each ``heavy`` rows of the table at most
+        if full.isEmpty():
+            break
+        met = rows.join(small(full), F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r")), "left")
+        rows = met.withColumn("_range", F.when(F.col("_r").isNotNull(), finer).otherwise(F.col("_range"))).drop("_s", "_r")
+    return rows
+
+
+def _placed(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, block_rows: int = BLOCK_ROWS, slots: int = SLOTS, seed: int = 17, id_col: str = "doc_id", source_col: str = "source", heavy: int = HEAVY) -> DataFrame:
     """Each row as the struct ``_row``, with its place in the schedule."""
     # the row travels as one struct, so its columns never meet the names used here
-    picked = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"))
-    rows = picked.withColumn("_hash", F.md5(F.concat_ws(":", F.col("_id").cast("string"), F.lit(str(seed))).cast("binary"))).withColumn("_range", F.substring("_hash", 1, RANGE_DIGITS))
+    picked = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"), F.spark_partition_id().alias("_read"))
+    rows = _ranged(picked.withColumn("_hash", F.md5(F.concat_ws(":", F.col("_id").cast("string"), F.lit(str(seed))).cast("binary"))), heavy)
     # one key without nulls for source and range, so that numbering and the join share an exchange of the rows
     rows = rows.withColumn("_bucket", F.concat(F.coalesce(F.hex("_source"), F.lit("-")), F.lit(":"), "_range"))
     counts = rows.groupBy("_bucket", "_source", "_range").agg(F.count(F.lit(1)).alias("_n"))
@@ -123,7 +142,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, **options) ->
 
     ``_position`` orders the mix. ``_in_proportion`` holds up to the slot in which the first source would release a
     block that it can't fill. Columns of the same names in ``docs`` are replaced. Without ``weights`` by source,
-    ``temperature`` decides; further options: ``block_rows``, ``slots``, ``seed``, ``id_col`` and ``source_col``.
+    ``temperature`` decides; further options: ``block_rows``, ``slots``, ``seed``, ``id_col``, ``source_col`` and ``heavy``.
     """
     return _placed(docs, weights, **options).select(*[F.col(f"_row.`{c}`") for c in docs.columns if c not in ADDED], *ADDED)
 

@@ -5,12 +5,14 @@ quality of their own, estimated from that evidence and shrunk: a path towards it
 documents, the more so the fewer documents it has. How strongly follows from the data alone: the variance between
 the sites' means beyond what the documents' own variance explains, by moments. Where there is none beyond it, every
 site takes its parent's mean. A document's odds are those of its text times the ratio of its path's odds to those
-of all documents, as by Bayes' rule the site's mean stands for the prior that the classifier took from all.
+of all documents, as by Bayes' rule the site's mean stands for the prior that the classifier took from all. What a
+document's own text says counts once: its site's sums are taken without it.
 
 The classifier is a logistic regression over counts of the text's characters and words, fitted to at most
 ``TRAIN_ROWS`` labelled rows on average; all else is summed over every document, by partial sums, so a host
 may hold any share of the rows. Null and empty texts are scored like any other text (of no words). A null
-host or path is a site of its own. Repeated rows count each. Without labels of both kinds the classifier
+host or path is a site of its own. Repeated rows count each; texts of any length are described whole. Columns of other names, also of
+those used here, do no harm; an empty table gives an empty result. Without labels of both kinds the classifier
 says 0.5 for every text, and all are kept.
 """
 
@@ -136,7 +138,11 @@ def _shrunk(k: float, prior: Column) -> Column:
 
 
 def site_posteriors(seen: DataFrame) -> tuple[DataFrame, float, int]:
-    """host, path, host_posterior, path_posterior: means of the evidence, shrunk down the hierarchy; the mean of all; how many sites."""
+    """host, path, host_posterior, path_posterior: means of the evidence, shrunk down the hierarchy; the mean of all; how many sites.
+
+    Further columns: counts and means of path and host (n, m, host_n, host_m) and how many documents their priors are
+    worth (path_k, host_k; null if infinitely many).
+    """
     e = F.col("evidence")
     paths = checkpoint(seen.groupBy("host", "path").agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg(e).alias("m"), F.var_pop(e).alias("v")))
     weighted = F.sum(F.col("n") * F.col("m")) / F.sum("n")
@@ -144,11 +150,26 @@ def site_posteriors(seen: DataFrame) -> tuple[DataFrame, float, int]:
     overall = 0.5 if overall is None else float(overall)
     inside = within / (rows - sites) if rows and rows > sites else 0.0
     hosts = paths.groupBy("host").agg(weighted.alias("m"), F.sum("n").alias("n"))
-    host_posterior = _shrunk(_strength(hosts, inside, F.lit(overall)), F.lit(overall))
-    shrunk = hosts.select(F.col("host").alias("h"), F.col("m").alias("host_mean"), host_posterior.alias("host_posterior"))
+    kh = _strength(hosts, inside, F.lit(overall))
+    shrunk = hosts.select(F.col("host").alias("h"), F.col("n").alias("host_n"), F.col("m").alias("host_mean"), _shrunk(kh, F.lit(overall)).alias("host_posterior"))
     below = paths.join(shrunk, F.col("host").eqNullSafe(F.col("h")))
     kp = _strength(below, inside, F.col("host_mean"), "host")
-    return below.select("host", "path", "host_posterior", _shrunk(kp, F.col("host_posterior")).alias("path_posterior")), overall, sites
+    worth = [F.lit(None if math.isinf(k) else float(k)).cast("double").alias(name) for k, name in ((kh, "host_k"), (kp, "path_k"))]
+    return below.select("host", "path", "host_posterior", _shrunk(kp, F.col("host_posterior")).alias("path_posterior"), "n", "m", "host_n", F.col("host_mean").alias("host_m"), *worth), overall, sites
+
+
+def without_own(evidence: Column, site: Column, overall: float) -> tuple[Column, Column]:
+    """Posteriors of host and path as the documents other than one with this evidence make them. ``site``: a row of ``site_posteriors``."""
+
+    def shrunk(n: Column, m: Column, k: Column, prior: Column) -> Column:
+        return F.coalesce((n * m - evidence + k * prior) / F.nullif(n - 1 + k, F.lit(0.0)), prior)
+
+    host = shrunk(site["host_n"], site["host_m"], site["host_k"], F.lit(overall))
+    return host, shrunk(site["n"], site["m"], site["path_k"], host)
+
+
+#: What a document needs to know of its site.
+SITE = ("n", "m", "path_k", "host_n", "host_m", "host_k")
 
 
 def _score(evidence: Column, path_posterior: Column, overall: float) -> Column:
@@ -156,15 +177,16 @@ def _score(evidence: Column, path_posterior: Column, overall: float) -> Column:
 
 
 def quality(docs: DataFrame, labels: DataFrame, keep: float = KEEP, model: Classifier | None = None, **columns) -> DataFrame:
-    """doc_id, evidence, host_posterior, path_posterior, score, keep: one row for each document."""
+    """doc_id, evidence, host_posterior, path_posterior, score, keep: one row for each document; posteriors as the other documents make them."""
     model = model or train(docs, labels)
     seen = checkpoint(evidence(docs, model, **columns))
     posteriors, overall, n = site_posteriors(seen)
-    sites = posteriors.select(F.col("host").alias("h"), F.col("path").alias("p"), "host_posterior", "path_posterior")
+    sites = posteriors.select(F.col("host").alias("h"), F.col("path").alias("p"), F.struct(*SITE).alias("site"))
     sites = F.broadcast(sites) if n <= BROADCAST_SITES else sites
     joined = seen.join(sites, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")))
-    score = _score(F.col("evidence"), F.col("path_posterior"), overall)
-    return joined.select("doc_id", "host", "path", "evidence", "host_posterior", "path_posterior", score.alias("score"), (score >= keep).alias("keep"))
+    of_host, of_path = without_own(F.col("evidence"), F.col("site"), overall)
+    score = _score(F.col("evidence"), of_path, overall)
+    return joined.select("doc_id", "host", "path", "evidence", of_host.alias("host_posterior"), of_path.alias("path_posterior"), score.alias("score"), (score >= keep).alias("keep"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, keep: float = KEEP, model: Classifier | None = None, text_col: str = "text", host: Column | None = None, path: Column | None = None) -> DataFrame:
@@ -177,7 +199,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, keep: float = KEEP, model: Cla
     host, path = F.col("source") if host is None else host, F.col("lang") if path is None else path
     no_id, at_host, at_path, judgement, site_host, site_path, posterior = (fresh(docs, n) for n in ("no_id", "at_host", "at_path", "judgement", "site_host", "site_path", "site_posterior"))
     posteriors, overall, n = site_posteriors(evidence(docs.withColumn(no_id, F.lit(0)), model, no_id, text_col, host, path))
-    sites = posteriors.select(F.col("host").alias(site_host), F.col("path").alias(site_path), F.col("path_posterior").alias(posterior))
+    sites = posteriors.select(F.col("host").alias(site_host), F.col("path").alias(site_path), F.struct(*SITE).alias(posterior))
     sites = F.broadcast(sites) if n <= BROADCAST_SITES else sites
 
     @F.arrow_udf("double")
@@ -187,4 +209,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, keep: float = KEEP, model: Cla
     arrow_batches(docs.sparkSession)
     scored = docs.withColumns({judgement: judged(F.coalesce(F.col(text_col), F.lit(""))), at_host: host.cast("string"), at_path: path.cast("string")})
     joined = scored.join(sites, F.col(at_host).eqNullSafe(F.col(site_host)) & F.col(at_path).eqNullSafe(F.col(site_path)))
-    return joined.where(_score(F.col(judgement), F.col(posterior), overall) >= keep).select(*[F.col(f"`{c}`") for c in docs.columns])
+    of_path = without_own(F.col(judgement), F.col(posterior), overall)[1]
+    return joined.where(_score(F.col(judgement), of_path, overall) >= keep).select(*[F.col(f"`{c}`") for c in docs.columns])
