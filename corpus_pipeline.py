@@ -1,4 +1,11 @@
-"""From raw documents to an encoded training mix: five stages, each written and read again as Parquet."""
+"""From raw documents to an encoded training mix: five stages, each written and read again as Parquet.
+
+Null and empty texts are documents like others: the classifier judges them as texts of no words, and of those kept one
+stays, as they are equal. Texts of any length go through whole. Rows with a null doc_id take part under that id, and of
+equal texts one with an id stays before one without; rows repeated as they are count as equal texts. A null source is a
+source of its own. Further columns, whatever their names, are kept up to the last stage. An empty table gives an
+empty result. Of ties each stage's operator says which row stays.
+"""
 
 from __future__ import annotations
 
