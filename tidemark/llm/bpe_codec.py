@@ -14,7 +14,7 @@ emptied.
 Decoding concatenates the bytes of tokens pair by pair up the same kind of tree.
 
 Null and empty texts give no tokens (both hashes are those of the empty string); repeated rows are encoded each for
-itself; an empty table gives an empty table.
+itself; an empty table gives an empty table. Of columns only those named are read, so others may have any name.
 """
 
 from __future__ import annotations

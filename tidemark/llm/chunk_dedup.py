@@ -8,7 +8,7 @@ never moved.
 
 Null counts as empty; empty texts have the empty recipe and equal each other. Among rows repeated with the
 same doc_id and text, one is kept. Rows without doc_id group like others; they stay only if their whole group
-has none. Columns other than the two named are not read.
+has none. Columns other than the two named are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ Vectors that lie about centroids need few shards at any number of them; vectors
 Equal vectors are one node with the smallest ids of its copies, as many as a result can show, so a vector that
 a third of all rows share costs no more than another. Vectors that are null, zero, or hold null or non-finite
 components take no part. Rows repeated with the same id count once for each. Vectors meet only vectors of the
-same length. An empty table gives an empty result.
+same length. Of neighbours that are equally near the smaller id comes first. An empty table gives an empty result; of columns
+only those named are read, so others may have any name.
 """
 
 from __future__ import annotations

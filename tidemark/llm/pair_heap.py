@@ -5,7 +5,8 @@ The lowest pair is popped and merged until none is left. The count of tokens is
 the merges: no identifiers are made.
 
 Null and empty texts count as no bytes and no tokens. The special strings of the vocabulary count one token
-each wherever they stand, as the library has them by default.
+each wherever they stand, as the library has them by default. Texts of any length are counted whole; repeated rows are counted
+each for itself; an empty table gives an empty one. Of columns only the two named are read, so others may have any name.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ chain however long. What the field finds is added where it does not overlap a sp
 (digit counts, parts of an address); spans of the patterns always stay.
 
 Null and empty texts have no spans (the digest is that of the empty string). Offsets count code points, the
-end is exclusive. Repeated rows give repeated results; an empty table gives an empty one.
+end is exclusive. Texts of any length are searched whole. Repeated rows give repeated results; an empty table gives an empty one.
+Of columns only the two named are read, so others may have any name.
 """
 
 from __future__ import annotations

@@ -7,8 +7,8 @@ text repeated nearby) is no secret; what stays as long as random characters of i
 ``novel``. Copies of the candidate are left out of its dictionary, all that follow it and those before it that
 stand after such a word too: a secret written twice is reported twice. A copy before it in plain text counts.
 
-Null and empty texts have no spans. Offsets count code points, the end is exclusive. Repeated rows give
-repeated results; an empty table gives an empty one.
+Null and empty texts have no spans; texts of any length are searched whole. Offsets count code points, the end is exclusive.
+Repeated rows give repeated results; an empty table gives an empty one. Of columns only the two named are read, so others may have any name.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ verified in blocks, and each block returns no more links than it has members (a
 group costs neither a task of its own nor all its pairs.
 
 Null and empty texts have fingerprint zero and link like any other. Rows without doc_id get the component of
-their fingerprint, which ignores them; it is null if no row has an id. Repeated rows are given repeatedly.
+their fingerprint, which ignores them; it is null if no row has an id. Repeated rows are given repeatedly. Texts of any length
+are read whole; an empty table gives an empty result. Of columns only the two named are read, so others may have any name.
 """
 
 from __future__ import annotations
