@@ -280,6 +280,27 @@ def test_vectors_that_take_no_part_and_copies(spark):
     assert hnsw.nearest(df.limit(0)).count() == 0
 
 
+def test_graphs_stay_where_they_were_built(spark):
+    n = 2_000
+    v, _ = clusters(n, 8, 20, 0.4, seed=4)
+    df = spark.createDataFrame(list(zip(range(n), v.astype(float).tolist())), "vec_id bigint, embedding array<double>")
+    rows = hnsw.usable(df, "vec_id", "embedding")
+    dealt = hnsw.distinct_vectors(rows, 5).select("v", "ids", F.size("v").alias("dim"), F.lit(0).alias("cell"), F.pmod(F.xxhash64("v"), F.lit(3)).cast("int").alias("sub"))
+    shards = hnsw.written_graphs(hnsw.shard_graphs(dealt)).collect()
+    assert sorted((r["dim"], r["cell"], r["sub"]) for r in shards) == [(8, 0, 0), (8, 0, 1), (8, 0, 2)]
+    ids = [i for r in shards for i in hnsw.opened_graph(r["path"])[2].tolist()]
+    assert sorted(ids) == list(range(n))
+    block, hnsw.BLOCK = hnsw.BLOCK, 7  # many blocks of queries a shard change nothing
+    try:
+        many = sorted(map(tuple, hnsw.nearest(df, k=5).collect()))
+    finally:
+        hnsw.BLOCK = block
+    found = hnsw.nearest(df, k=5)
+    assert sorted(map(tuple, found.collect())) == many and len(many) == 5 * n // 20
+    plan = found._jdf.queryExecution().toString()
+    assert "graph" not in plan.replace("graphs-", "")  # no graph moves with the queries
+
+
 @pytest.mark.parametrize("size", [1e-100, 1e150])
 def test_vectors_beyond_single_precision(spark, size):
     rng = np.random.default_rng(2)

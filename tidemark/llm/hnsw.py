@@ -7,8 +7,9 @@ too. Queries go to the shards nearest to them, are searched there in lockstep, a
 are merged. How many shards a query has to see depends on how the vectors lie, so it is measured: a sample of the
 queries is answered by brute force over all vectors, and as many shards are taken as hold ``COVER`` of the answers.
 
-Each vector is shuffled once to its shard, each query once for each shard it sees; each shard's graph is opened once
-for every ``BLOCK`` queries. A cell of more than ``SHARD_ROWS`` vectors is several shards, all of which its queries see.
+Each vector is shuffled once to its shard, each query once for each shard it sees. A graph is written where it was
+built, as a file of its own in the checkpoint folder, and tasks open it there for up to ``BLOCK`` queries at a time, so
+graphs are never shuffled, however many queries there are. Tasks reach the folder through Arrow's file systems. A cell of more than ``SHARD_ROWS`` vectors is several shards, all of which its queries see.
 Vectors that lie about centroids need few shards at any number of them; vectors without any such order need most.
 
 Equal vectors are one node with the smallest ids of its copies, as many as a result can show, so a vector that
@@ -22,15 +23,19 @@ from __future__ import annotations
 
 import io
 import math
+import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs, parquet
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import arrow_batches, checkpoint
+from tidemark.llm.common import arrow_batches, checkpoint, scratch
+from tidemark.operators.storage import small, written
 
 #: Vectors of a shard at most (on average), least and most cells, queries that are searched together in a shard.
 SHARD_ROWS, LEAST_CELLS, MOST_CELLS, BLOCK = 8192, 12, 1024, 4096
@@ -385,6 +390,27 @@ def shard_graphs(dealt: DataFrame, links: int = LINKS) -> DataFrame:
     return dealt.groupBy("dim", "cell", "sub").applyInPandas(build, "dim int, cell int, sub int, graph binary")
 
 
+def written_graphs(graphs: DataFrame) -> DataFrame:
+    """dim, cell, sub, path: each shard's graph as a file of its own, of one row. The table itself holds names only."""
+    folder = scratch(graphs.sparkSession, "graphs")
+    graphs.write.partitionBy("dim", "cell", "sub").parquet(folder)
+    schema = "graph binary, dim int, cell int, sub int"
+    return written(graphs.sparkSession.read.schema(schema).parquet(folder).select("dim", "cell", "sub", F.col("_metadata.file_path").alias("path")), "shards")
+
+
+@lru_cache(maxsize=1)
+def opened_graph(path: str) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Tables of neighbours, vectors, ids and their ends, of a shard's file. A task that meets a shard's blocks of
+    queries one after the other opens it once."""
+    path = re.sub("^file:/*", "/", path)
+    store, at = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    with store.open_input_file(at) as file:
+        graph = parquet.ParquetFile(file).read(columns=["graph"]).column(0)[0].as_py()
+    with np.load(io.BytesIO(graph)) as packed:
+        tables = [packed[f"level{i}"] for i in range(sum(name.startswith("level") for name in packed.files))]
+        return tables, packed["vectors"], packed["ids"], packed["ends"]
+
+
 def nearest(vectors: DataFrame, k: int = 20, every: int = 20, cells: int | None = None, beam: int = BEAM, cover: float = COVER, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest by inner product of every row whose id is divisible by ``every``."""
     arrow_batches(vectors.sparkSession)
@@ -397,20 +423,16 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, cells: int | None
     # MOST_CELLS rows at most for each length of vectors
     splits = F.broadcast(placed.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / SHARD_ROWS).cast("int").alias("subs")))
     sub = F.pmod(F.xxhash64("v"), F.col("subs")).cast("int").alias("sub")
-    graphs = checkpoint(shard_graphs(placed.join(splits, ["dim", "cell"]).select("dim", "cell", sub, "v", "ids")))
+    graphs = written_graphs(shard_graphs(placed.join(splits, ["dim", "cell"]).select("dim", "cell", sub, "v", "ids")))
     routed = query_vectors.select("asked_id", "v", F.size("v").alias("dim"), F.explode(cells_of(router, probes)).alias("cell"))
     blocks = F.broadcast(routed.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")))
-    dealt = routed.join(splits, ["dim", "cell"]).join(blocks, ["dim", "cell"]).select(
-        "asked_id", "v", "dim", "cell", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"), F.pmod(F.xxhash64("asked_id"), F.col("blocks")).cast("int").alias("block")
+    # a row for each shard, all of a cell's for each of its queries
+    dealt = routed.join(blocks, ["dim", "cell"]).join(small(graphs), ["dim", "cell"]).select(
+        "asked_id", "v", "path", F.pmod(F.xxhash64("asked_id"), F.col("blocks")).cast("int").alias("block")
     )
-    opened = graphs.join(blocks, ["dim", "cell"]).select("dim", "cell", "sub", "graph", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"asked_id": [], "vec_id": [], "score": []})
-        with np.load(io.BytesIO(left["graph"].iat[0])) as packed:
-            tables = [packed[f"level{i}"] for i in range(sum(name.startswith("level") for name in packed.files))]
-            exact, ids, ends = packed["vectors"], packed["ids"], packed["ends"]
+
+    def search(right: pd.DataFrame) -> pd.DataFrame:
+        tables, exact, ids, ends = opened_graph(right["path"].iat[0])
         starts = np.concatenate([[0], ends[:-1]])
         coarse = _single(exact)
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -429,8 +451,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, cells: int | None
                 out.append((np.full(len(best), query), members[best], scores[best]))
         return pd.DataFrame({"asked_id": np.concatenate([x[0] for x in out]), "vec_id": np.concatenate([x[1] for x in out]), "score": np.concatenate([x[2] for x in out])})
 
-    key = ["dim", "cell", "sub", "block"]
-    found = opened.groupBy(*key).cogroup(dealt.groupBy(*key)).applyInPandas(search, "asked_id bigint, vec_id bigint, score double")
+    found = dealt.groupBy("path", "block").applyInPandas(search, "asked_id bigint, vec_id bigint, score double")
     # a list for each distinct query vector holds (k + 1) entries for each shard it saw, before it is cut
     merged = found.groupBy("asked_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id", "score"))).alias("found"))
     merged = merged.select("asked_id", F.slice("found", 1, k + 1).alias("found")).join(query_vectors, "asked_id").select("v", "found")
