@@ -17,6 +17,19 @@ def zipped(name, text):
     return out.getvalue()
 
 
+def test_reports_of_a_hot_hour_are_bounded(spark):
+    hot = spark.range(5000, numPartitions=3).select(F.lit("2024-01-01 12:30:00").cast("timestamp").alias("ts"), F.lit("a").alias("x"))
+    rest = spark.range(3).select(F.lit("2024-01-01 13:00:00").cast("timestamp").alias("ts"), F.lit("b").alias("x"))
+    none = spark.range(2).select(F.lit(None).cast("timestamp").alias("ts"), F.lit("c").alias("x"))
+    out = reports.report_slots(hot.union(rest).union(none), "ts", most=500)
+    assert out.columns == ["ts", "x", "slot"]
+    slots = {r["slot"]: r["count"] for r in out.groupBy("slot").count().collect()}
+    mine = {s: n for s, n in slots.items() if s.startswith("202401011200_")}
+    assert set(mine) == {f"202401011200_{i:06d}" for i in range(1, 11)} and sum(mine.values()) == 5000 and max(mine.values()) < 650
+    assert {s: n for s, n in slots.items() if s not in mine} == {"202401011300_000001": 3, "none_000001": 2}
+    assert reports.report_slots(hot.limit(0), "ts").count() == 0
+
+
 REGIONSUM = """C,MARKET,DISPATCH
 I,DISPATCH,REGIONSUM,4,SETTLEMENTDATE,RUNNO,REGIONID,TOTALDEMAND,EXTRA
 D,DISPATCH,REGIONSUM,4,"2024/01/01 12:05:00",1,NSW1,7500.5,x

@@ -44,7 +44,7 @@ class _Written(WriterCommitMessage):
     regions: tuple
 
 
-def _store(path: str):
+def store_of(path: str):
     """The store of a path, through Arrow's file systems, and the path in it."""
     from pyarrow import fs
 
@@ -68,7 +68,7 @@ class _LineWriter:
         raise NotImplementedError
 
     def write(self, iterator: Iterator[Row]) -> WriterCommitMessage:
-        store, folder = _store(self.options["path"])
+        store, folder = store_of(self.options["path"])
         n, regions, path = 0, set(), f"{folder}/part-{uuid.uuid4().hex}"
         store.create_dir(folder)
         with store.open_output_stream(path) as out:
@@ -80,13 +80,13 @@ class _LineWriter:
         return _Written(path, n, tuple(sorted(map(str, regions))))
 
     def abort(self, messages: list[WriterCommitMessage | None], batchId: int | None = None) -> None:
-        store, _ = _store(self.options["path"])
+        store, _ = store_of(self.options["path"])
         for m in messages:
             if m is not None:
                 store.delete_file(m.path)
 
     def _put(self, path: str, record: dict) -> None:
-        store, _ = _store(self.options["path"])
+        store, _ = store_of(self.options["path"])
         new = f"{path.rpartition('/')[0]}/.{uuid.uuid4().hex}"
         with store.open_output_stream(new) as out:
             out.write(json.dumps(record).encode())
@@ -95,7 +95,7 @@ class _LineWriter:
     def _commit(self, messages: list[WriterCommitMessage | None], name: str) -> None:
         from pyarrow import fs
 
-        store, folder = _store(self.options["path"])
+        store, folder = store_of(self.options["path"])
         done = [m for m in messages if m is not None]
         store.create_dir(f"{folder}/_manifest")
         before = [f.path for f in store.get_file_info(fs.FileSelector(f"{folder}/_manifest")) if f.base_name.endswith(".json")]

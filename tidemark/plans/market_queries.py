@@ -619,7 +619,7 @@ def map_lookup(spark, d):
 # -- scans --------------------------------------------------------------------------------------------------
 @query("SELECT date_trunc('second', ts) AS settlement_date, event_type AS region_id, value AS rrp FROM events")
 def report_scan(spark, d):
-    """A1: each hour's events as a report of two record types inside a ZIP inside a ZIP, read back."""
+    """A1: each hour's events as reports of two record types inside a ZIP inside a ZIP, read back."""
     import pandas as pd
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -637,8 +637,7 @@ def report_scan(spark, d):
             z.writestr("part.zip", inner.getvalue())
         return pd.DataFrame({"path": [f"PUBLIC_{pdf['slot'].iloc[0]}.zip"], "content": [outer.getvalue()]})
 
-    slot = F.date_format("ts", "yyyyMMddHH'00'")
-    files = table(spark, d, "events").select("ts", "event_type", "value", slot.alias("slot")).groupBy("slot").applyInPandas(pack, "path string, content binary")
+    files = reports.report_slots(table(spark, d, "events").select("ts", "event_type", "value"), "ts").groupBy("slot").applyInPandas(pack, "path string, content binary")
     return reports.scan(files, "DISPATCHPRICE").select(F.col("SETTLEMENTDATE").cast("timestamp_ntz").alias(TS), F.col("REGIONID").alias(REGION), F.col("RRP").alias(PRICE))
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import functools
 import io
-import os
 import uuid
 import zipfile
 
@@ -26,14 +25,15 @@ SECOND = "date_trunc('second', ts)"
 
 # -- report files -------------------------------------------------------------------------------------------
 def report_folder(spark: SparkSession, d: str, plain: bool = False) -> str:
-    """A folder of ZIPs, one for each hour of the events; written once for a session."""
+    """A folder of ZIPs, one for each hour of the events and 100,000 rows of it; written once for a session."""
     return _written_reports(spark.sparkContext.applicationId, spark, d, plain)
 
 
 @functools.lru_cache(maxsize=8)
 def _written_reports(application: str, spark: SparkSession, d: str, plain: bool) -> str:
-    folder = scratch(spark, "reports").removeprefix("file:")
-    os.makedirs(folder, exist_ok=True)
+    folder = scratch(spark, "reports")
+    store, at = sinks.store_of(folder)
+    store.create_dir(at, recursive=True)
 
     def write(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = list(zip(pdf["ts"].dt.strftime("%Y/%m/%d %H:%M:%S"), pdf["event_type"], pdf["value"], pdf["k"], strict=True))
@@ -45,17 +45,23 @@ def _written_reports(application: str, spark: SparkSession, d: str, plain: bool)
         content = io.BytesIO()
         with zipfile.ZipFile(content, "w") as z:
             z.writestr("part.CSV", "\n".join(lines))
-        path = os.path.join(folder, f"PUBLIC_X_{pdf['slot'].iat[0]}_1.zip")
+        store, at = sinks.store_of(folder)
+        path = f"{at}/PUBLIC_X_{pdf['slot'].iat[0]}.zip"
         # a task that runs again puts the same file in the same place
-        with open(f"{path}.{uuid.uuid4().hex}", "wb") as out:
+        new = f"{path}.{uuid.uuid4().hex}"
+        with store.open_output_stream(new) as out:
             out.write(content.getvalue())
-        os.replace(out.name, path)
+        store.move(new, path)
         return pd.DataFrame({"path": [path]})
 
-    slot = F.date_format("ts", "yyyyMMddHH'00'").alias("slot")
     k = F.get_json_object("props", "$.k").cast("int").alias("k")
-    table(spark, d, "events").select("ts", "event_type", "value", k, slot).groupBy("slot").applyInPandas(write, "path string").count()
-    return folder
+    reports.report_slots(table(spark, d, "events").select("ts", "event_type", "value", k), "ts").groupBy("slot").applyInPandas(write, "path string").count()
+    return folder.removeprefix("file:")
+
+
+def _file_hour():
+    """The hour in a report's name."""
+    return F.regexp_extract(F.element_at(F.split("path", "/"), -1), "_([0-9]{12})_", 1)
 
 
 def _prices(rows: DataFrame) -> DataFrame:
@@ -73,9 +79,9 @@ def plain_scan(spark, d):
 
 @query("SELECT CAST(ts AS DATE) AS day, count(DISTINCT date_trunc('hour', ts)) AS n FROM events WHERE ts >= DATE '2024-01-10' AND ts < DATE '2024-01-13' GROUP BY 1")
 def files_by_date(spark, d):
-    """A3: files by the date in their names, between two dates; no content is read."""
+    """A3: hours that have files by the date in their names, between two dates; no content is read."""
     files = reports.report_files(spark, report_folder(spark, d), "2024-01-10", "2024-01-12")
-    return files.groupBy(reports.file_date(F.element_at(F.split("path", "/"), -1)).alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    return files.groupBy(reports.file_date(F.element_at(F.split("path", "/"), -1)).alias("day")).agg(F.countDistinct(_file_hour()).alias("n"))
 
 
 @query(f"{_PRICES_SQL} WHERE ts >= DATE '2024-01-10' AND ts < DATE '2024-01-13' AND event_type IN ('view', 'click')")
@@ -86,11 +92,14 @@ def report_range(spark, d):
 
 @query(f"{_PRICES_SQL} WHERE date_trunc('hour', ts) IN (SELECT DISTINCT date_trunc('hour', ts) AS h FROM events ORDER BY h DESC LIMIT 3)")
 def newest_reports(spark, d):
-    """The three newest files."""
-    return _prices(reports.scan(reports.newest_files(reports.report_files(spark, report_folder(spark, d)), 3), "DISPATCHPRICE"))
+    """The newest files, those of three hours."""
+    files = reports.report_files(spark, report_folder(spark, d))
+    hours = files.groupBy(_file_hour().alias("hour")).count().orderBy(F.desc("hour")).limit(3)
+    n = hours.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    return _prices(reports.scan(reports.newest_files(files, n), "DISPATCHPRICE"))
 
 
-@query("SELECT count(DISTINCT date_trunc('hour', ts)) AS n_files, CAST(min(ts) AS DATE) AS first_date, CAST(max(ts) AS DATE) AS last_date FROM events")
+@query("SELECT CAST(sum(ceil(n / 100000)) AS BIGINT) AS n_files, CAST(min(first_ts) AS DATE) AS first_date, CAST(max(last_ts) AS DATE) AS last_date FROM (SELECT count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM events GROUP BY date_trunc('hour', ts))")
 def report_inventory(spark, d):
     """A20."""
     return reports.inventory(spark, report_folder(spark, d), "*.zip").select("n_files", "first_date", "last_date")

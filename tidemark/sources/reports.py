@@ -19,11 +19,11 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
 from tidemark.operators.quality import partition_id
-from tidemark.operators.storage import checkpoint, exists, remove
+from tidemark.operators.storage import checkpoint, exists, remove, small
 from tidemark.sources import schemas
 
-#: Rows handed to Spark at once.
-BATCH = 20_000
+#: Rows handed to Spark at once, rows of a report that is written at most (on average).
+BATCH, FILE_ROWS = 20_000, 100_000
 
 
 def members(content: bytes, name: str = "", depth: int = 1) -> Iterator[tuple[str, bytes]]:
@@ -74,6 +74,16 @@ def report_files(spark: SparkSession, path: str, start: str | None = None, end:
     return files
 
 
+def report_slots(rows: DataFrame, ts: str, most: int = FILE_ROWS) -> DataFrame:
+    """``rows`` with ``slot``, the hour and number of the report that each is written to: an hour of n rows is dealt to
+    ceil(n / ``most``) reports, equal rows among them too, so none grows with the hour. Rows without a time have slots ``none_...``."""
+    hour = F.coalesce(F.date_format(ts, "yyyyMMddHH'00'"), F.lit("none"))
+    numbered = rows.withColumn("_hour", hour).withColumn("_at", F.xxhash64(F.monotonically_increasing_id()))
+    reports = rows.groupBy(hour.alias("_hour")).agg(F.ceil(F.count(F.lit(1)) / most).cast("bigint").alias("_reports"))
+    number = F.format_string("%06d", F.pmod("_at", F.col("_reports")) + 1)
+    return numbered.join(small(reports), "_hour").withColumn("slot", F.concat_ws("_", "_hour", number)).drop("_hour", "_at", "_reports")
+
+
 def newest_files(files: DataFrame, n: int) -> DataFrame:
     """The n files that come last by name. Names only are sorted; contents follow by a semi-join on the path."""
     last = files.select("path").orderBy(F.desc(F.element_at(F.split("path", "/"), -1))).limit(n)
