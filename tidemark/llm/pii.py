@@ -95,6 +95,8 @@ fax {phone|+49 30 901820}
 {phone|415-555-0132} {phone|212-555-7788} {phone|303-555-0176}
 {phone|(499) 555-6503} {phone|(212) 555-0199} {phone|(303) 555-2211}
 {email|amy4@host2} {email|k55@intranet} {email|x901@node331} {email|bo@relay} today
+{email|tom@desk8} / {email|ida@host31}
+cc {email|uma@relay17}, {email|kim@desk} (both)
 server {ip|10.0.0.1} down
 from {ip|192.168.17.254} to {ip|8.8.8.8}
 at {ip|42.144.35.254} again
@@ -358,6 +360,9 @@ def added_spans(texts: list[str], bases: list[list[tuple[str, int, int]]], model
             # two stretches may share the pieces between them, but not a span
             last = added[i][-1][2] if added[i] else 0
             if a >= last and plausible(kind, texts[i][a:b]) and not taken[i].meets(a, b):
+                # the part before the at sign is whole, as far as no other span holds its beginning
+                while kind == "email" and a > max(last, taken[i].reach) and texts[i][a - 1] in LOCAL:
+                    a -= 1
                 added[i].append((kind, a, b))
             t = end
     return added
