@@ -27,6 +27,8 @@ KINDS = ("email", "ip", "card", "phone")
 
 # The patterns of the contract. The possessive runs only spare retries inside a run of digits.
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+#: What may follow of a host's name (63 characters at most) behind where the field ends, and what may stand about an address.
+HOST, BRACKETS = re.compile(r"[A-Za-z0-9-]*[A-Za-z0-9]"), frozenset("<>()[]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
@@ -335,6 +337,10 @@ class Taken:
             self.at += 1
         return self.reach > a
 
+    def next(self) -> int:
+        """Where the first span begins that none has asked about yet."""
+        return self.spans[self.at][0] if self.at < len(self.spans) else 1 << 62
+
 
 def added_spans(texts: list[str], bases: list[list[tuple[str, int, int]]], model: tuple[np.ndarray, np.ndarray]) -> list[list[tuple[str, int, int]]]:
     """What the field adds to each text, decoded over all stretches of the batch at once."""
@@ -357,12 +363,16 @@ def added_spans(texts: list[str], bases: list[list[tuple[str, int, int]]], model
             while end < len(part) and LABELS[labels[end]] == f"I-{kind}":
                 end += 1
             a, b = part[t][0], part[end - 1][1]
+            if kind == "email":  # brackets about an address are not part of it
+                a, b = a + (texts[i][a] in BRACKETS), b - (texts[i][b - 1] in BRACKETS)
             # two stretches may share the pieces between them, but not a span
             last = added[i][-1][2] if added[i] else 0
             if a >= last and plausible(kind, texts[i][a:b]) and not taken[i].meets(a, b):
-                # the part before the at sign is whole, as far as no other span holds its beginning
+                # an address is whole on both sides, as far as no other span holds its beginning or end
                 while kind == "email" and a > max(last, taken[i].reach) and texts[i][a - 1] in LOCAL:
                     a -= 1
+                if kind == "email" and (more := HOST.match(texts[i], b, min(taken[i].next(), b + 63))):
+                    b = more.end()
                 added[i].append((kind, a, b))
             t = end
     return added
