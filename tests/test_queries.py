@@ -60,6 +60,10 @@ def test_model_queries_give_rows(spark):
     assert scored.count() > 0
     spikes = registry.queries()["spike_classifier"](spark, SMALL).collect()
     assert spikes and {r["predicted"] for r in spikes} <= {0, 1}
+    ranked = registry.queries()["model_importances"](spark, SMALL).collect()
+    weights = [r["importance"] for r in ranked]
+    assert [r["place"] for r in ranked] == list(range(1, len(ranked) + 1)) and weights == sorted(weights, reverse=True)
+    assert sum(weights) == pytest.approx(1) and "hour_sin" in {r["feature"] for r in ranked}
 
 
 def test_model_queries_take_the_operators_parameters(spark, monkeypatch):

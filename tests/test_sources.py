@@ -6,7 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import sinks
+from tidemark.operators import sinks, storage
 from tidemark.sources import custom, json_sources, reports, schemas, synthetic, tables
 
 
@@ -322,6 +322,23 @@ def test_stream_sink_commits_a_batch_once(tmp_path):
     assert len(list(tmp_path.glob("part-*"))) == 2
 
 
+def test_folder_is_filled_once_and_again_if_it_is_gone(spark):
+    made = []
+
+    def fill(folder):
+        made.append(folder)
+        spark.range(3).write.parquet(folder)
+
+    first = storage.once(spark, ("once", "a"), fill)
+    assert storage.once(spark, ("once", "a"), fill) == first and storage.once(spark, ("once", "b"), fill) != first
+    storage.remove(spark, first)
+    again = storage.once(spark, ("once", "a"), fill)
+    assert again != first and made[-1] == again and len(made) == 3 and spark.read.parquet(again).count() == 3
+    with pytest.raises(ZeroDivisionError):
+        storage.once(spark, ("once", "c"), lambda folder: 1 / 0)
+    assert spark.read.parquet(storage.once(spark, ("once", "c"), fill)).count() == 3
+
+
 def test_csv_binds_by_name(spark, tmp_path):
     (tmp_path / "a.csv").write_text("rrp,region_id\n5.5,NSW1\njunk,VIC1\n")
     df = tables.read_csv(spark, str(tmp_path / "a.csv"), "region_id string, rrp double, missing int")

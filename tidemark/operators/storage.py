@@ -5,10 +5,13 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Folders that ``once`` filled, by application and key.
+_FILLED: dict[tuple, str] = {}
 
 #: Largest size in bytes that Catalyst may estimate for a side before it is no longer broadcast by hint.
 BROADCAST_BYTES = 32 << 20
@@ -60,6 +63,16 @@ def exists(spark: SparkSession, path: str) -> bool:
     return store.exists(at)
 
 
+def once(spark: SparkSession, key: tuple, make: Callable[[str], None]) -> str:
+    """The folder that ``make`` fills, filled once for an application and key; anew if it is gone. No session is kept."""
+    key = (spark.sparkContext.applicationId, *key)
+    if key not in _FILLED or not exists(spark, _FILLED[key]):
+        folder = scratch(spark, str(key[1]))
+        make(folder)
+        _FILLED[key] = folder
+    return _FILLED[key]
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder in whatever store it lies."""
     at, store = _at(spark, path)

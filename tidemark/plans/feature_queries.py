@@ -174,18 +174,33 @@ def training_set(spark, d):
 _INPUTS = ["demand_rolling_1h_mean", "demand_rolling_1d_mean", "hour_sin", "hour_cos", "rrp_lag_1"]
 
 
-@query()
-def train_score(spark, d):
-    """Trained on the earlier part of each type, scored on the later. Lags and day are those of L1; where no
-    type has so many rows, as on the smallest tables, the longest lag that there is stands for them."""
+def _trained(spark, d):
+    """A model of the earlier part of each type, what it says of the later part, and its inputs. Lags
+    and day are those of L1; where no type has so many rows, as on the smallest tables, the longest lag that there is
+    stands for them."""
     m = market(spark, d)
     longest = windows.history(m, REGION).agg(F.max("n")).first()[0] or 0
     lags = [k for k in features.LOAD_LAGS if k < longest]
     rows = features.load_features(m, lag_steps=lags, day_rows=min(features.DAY, max(lags, default=1)), tie="event_id")
-    model, later = models.train_regressor(rows, [f"demand_lag_{k}" for k in lags] + _INPUTS, DEMAND, REGION, TS)
+    names = [f"demand_lag_{k}" for k in lags] + _INPUTS
+    return *models.train_regressor(rows, names, DEMAND, REGION, TS), names
+
+
+@query()
+def train_score(spark, d):
+    """Trained on the earlier part of each type, scored on the later."""
+    model, later, _ = _trained(spark, d)
     return models.score(later.drop("features", "prediction"), model, [TS, REGION], DEMAND, "demand", 1)
 
 
+@query()
+def model_importances(spark, d):
+    """The inputs of L7's model by their importance in its trees, which add up to one."""
+    model, _, names = _trained(spark, d)
+    ranked = [(n + 1, name, weight) for n, (name, weight) in enumerate(models.importances(model, names))]
+    return spark.createDataFrame(ranked, "place int, feature string, importance double")
+
+
 @query()
 def spike_classifier(spark, d):
     """L8."""

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
-from tidemark.operators import clean, joins, layout, metrics, models, quality, ranking, rollups, sinks
+from tidemark.operators import clean, joins, layout, metrics, models, quality, ranking, rollups, sinks, storage
 from tidemark.operators.percentiles import exact_percentiles
-from tidemark.plans.frames import market, query, scratch, table
+from tidemark.plans.frames import market, query, table
 from tidemark.sources import reports
 
 TS, REGION, DEMAND, GENERATION, PRICE, INTERCHANGE = "settlement_date", "region_id", "total_demand_mw", "available_generation_mw", "rrp", "net_interchange_mw"
@@ -493,16 +491,14 @@ def line_protocol(spark, d):
 
 def _layouts(spark, d):
     """Both layouts of the events, written once for a session."""
-    folder = _written_layouts(spark.sparkContext.applicationId, spark, d)
-    return spark.read.parquet(f"{folder}/partitioned"), spark.read.parquet(f"{folder}/clustered")
 
+    def write(folder):
+        m = market(spark, d).select(TS, REGION, PRICE, DEMAND)
+        sinks.write_partitioned(m, f"{folder}/partitioned", TS)
+        sinks.write_clustered(m, f"{folder}/clustered", [TS, REGION])
 
-@functools.lru_cache(maxsize=8)
-def _written_layouts(application, spark, d):
-    folder, m = scratch(spark, "layout"), market(spark, d).select(TS, REGION, PRICE, DEMAND)
-    sinks.write_partitioned(m, f"{folder}/partitioned", TS)
-    sinks.write_clustered(m, f"{folder}/clustered", [TS, REGION])
-    return folder
+    folder = storage.once(spark, ("layout", d), write)
+    return spark.read.parquet(f"{folder}/partitioned"), spark.read.parquet(f"{folder}/clustered")
 
 
 @query("{m} SELECT region_id, count(*) AS n, avg(rrp) AS avg_value, max(rrp) AS max_value FROM m WHERE settlement_date >= DATE '2024-01-15' AND settlement_date < DATE '2024-01-16' GROUP BY 1", rounded=["avg_value"])

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
-from tidemark.operators import clean, features, layout, models, quality, rollups, sinks, windows
+from tidemark.operators import clean, features, layout, models, quality, rollups, sinks, storage, windows
 from tidemark.plans import medallion
 from tidemark.plans.feature_queries import OVER, _ntz, _played, _range, _replay
 from tidemark.plans.frames import market, query, scratch, table
@@ -26,12 +26,10 @@ SECOND = "date_trunc('second', ts)"
 # -- report files -------------------------------------------------------------------------------------------
 def report_folder(spark: SparkSession, d: str, plain: bool = False) -> str:
     """A folder of ZIPs, one for each hour of the events and 100,000 rows of it; written once for a session."""
-    return _written_reports(spark.sparkContext.applicationId, spark, d, plain)
+    return storage.once(spark, ("reports", d, plain), lambda folder: _write_reports(folder, spark, d, plain)).removeprefix("file:")
 
 
-@functools.lru_cache(maxsize=8)
-def _written_reports(application: str, spark: SparkSession, d: str, plain: bool) -> str:
-    folder = scratch(spark, "reports")
+def _write_reports(folder: str, spark: SparkSession, d: str, plain: bool) -> None:
     store, at = sinks.store_of(folder)
     store.create_dir(at, recursive=True)
 
@@ -56,7 +54,6 @@ def _written_reports(application: str, spark: SparkSession, d: str, plain: bool)
 
     k = F.get_json_object("props", "$.k").cast("int").alias("k")
     reports.report_slots(table(spark, d, "events").select("ts", "event_type", "value", k), "ts").groupBy("slot").applyInPandas(write, "path string").count()
-    return folder.removeprefix("file:")
 
 
 def _file_hour():
