@@ -12,10 +12,10 @@ from tidemark.plans import registry
 def events(spark, tmp_path_factory):
     """A table of events: (id, time, type, user, price, k); some share type and time, and the user or price differs."""
 
-    def make(rows):
+    def make(rows, files=1):
         folder = str(tmp_path_factory.mktemp("events"))
         df = spark.createDataFrame([(i, t, u, e, v, f'{{"k": {k}}}') for i, t, e, u, v, k in rows], "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string")
-        df.coalesce(1).write.parquet(f"{folder}/events.parquet")
+        df.repartition(files).write.parquet(f"{folder}/events.parquet")
         return folder
 
     return make
@@ -42,3 +42,24 @@ def agrees(spark, name, folder):
 def test_rules_hold_for_prices_of_zero_and_below(spark, events):
     prices = (0.0, -5.0, None, 10.0)
     assert len(agrees(spark, "rules_hold", events([(i, time(1, i), "view", 2, v, 1) for i, v in enumerate(prices)]))) == 4
+
+
+def test_months_of_several_files_count_once(spark, events):
+    folder = events([(i, time(1 + i % 25, i % 1440), "view", 2, float(i * 7919 % 1009), 1) for i in range(20000)], files=4)
+    advisory = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    kept = spark.conf.get(advisory)
+    spark.conf.set(advisory, "16k")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")  # as only what several tasks send is split
+    try:
+        assert agrees(spark, "file_sizes", folder)[0][0] == ("number", 1.0)
+    finally:
+        spark.conf.set(advisory, kept)
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_files_and_folders_are_told_apart(spark, tmp_path):
+    from tidemark.operators import layout
+
+    spark.range(100).selectExpr("id", "id % 2 AS half").repartition(3).write.partitionBy("half").parquet(str(tmp_path / "t"))
+    told = layout.file_report(spark.read.parquet(str(tmp_path / "t"))).first()
+    assert (told["n_files"], told["n_folders"]) == (6, 2)

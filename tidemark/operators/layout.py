@@ -56,6 +56,7 @@ def analyze(spark: SparkSession, table: str) -> None:
 
 
 def file_report(df: DataFrame) -> DataFrame:
-    """Files, bytes and mean bytes of what a DataFrame reads; only metadata is read."""
+    """Files, bytes and mean bytes of what a DataFrame reads, and folders that hold files; only metadata is read."""
     files = df.select("_metadata.file_path", "_metadata.file_size").distinct()
-    return files.agg(F.count(F.lit(1)).alias("n_files"), F.sum("file_size").alias("bytes"), F.avg("file_size").alias("avg_bytes"))
+    folder = F.regexp_extract("file_path", "^(.*)/[^/]*$", 1)
+    return files.agg(F.count(F.lit(1)).alias("n_files"), F.sum("file_size").alias("bytes"), F.avg("file_size").alias("avg_bytes"), F.countDistinct(folder).alias("n_folders"))
