@@ -63,3 +63,14 @@ def test_files_and_folders_are_told_apart(spark, tmp_path):
     spark.range(100).selectExpr("id", "id % 2 AS half").repartition(3).write.partitionBy("half").parquet(str(tmp_path / "t"))
     told = layout.file_report(spark.read.parquet(str(tmp_path / "t"))).first()
     assert (told["n_files"], told["n_folders"]) == (6, 2)
+
+
+@pytest.fixture(scope="module")
+def tied(events):
+    """Pairs of events of one time and type, before and after the month's middle."""
+    return events([(10 * day + i, time(day, day), "view" if i < 2 else "click", 2 + i, 40.0 + 7 * i + day, 30 + 10 * i) for day in (2, 9, 17, 20, 25, 28) for i in range(4)])
+
+
+@pytest.mark.parametrize("name", ["forecast_vs_actual", "forecast_accuracy", "model_vs_published"])
+def test_forecasts_of_events_of_one_time(spark, tied, name):
+    assert agrees(spark, name, tied)

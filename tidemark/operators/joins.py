@@ -45,21 +45,23 @@ def latest_by(df: DataFrame, keys: Sequence[str], ts: str, values: Sequence[str]
     return df.groupBy(*keys).agg(newest).select(*keys, "_newest.*")
 
 
-def forecast_vs_actual(forecasts: DataFrame, actuals: DataFrame, run: str, interval: str, region: str, pairs: Mapping[str, tuple[str, str, str, int]], intervention: str | None = "INTERVENTION") -> DataFrame:
+def forecast_vs_actual(forecasts: DataFrame, actuals: DataFrame, run: str, interval: str, region: str, pairs: Mapping[str, tuple[str, str, str, int]], intervention: str | None = "INTERVENTION", also: Sequence[str] = ()) -> DataFrame:
     """W1 + J5: the latest run of each interval against what happened. Runs are summed up before they are shuffled.
 
-    ``actuals`` has the columns ``interval`` and ``region`` under the same names. ``pairs`` maps the name of an
+    ``actuals`` has the columns ``interval`` and ``region`` under the same names; where several of its rows may share both,
+    ``also`` names further columns of both sides that tell them apart, or each would meet the others' runs. ``pairs`` maps the name of an
     error to (forecast column, actual column, suffix, digits); the columns come out as ``forecast_<suffix>`` and
     ``actual_<suffix>``.
     """
     if intervention:
         forecasts = forecasts.where(F.col(intervention) == "0")
     kept = F.struct(run, *[F.col(p).alias(f"forecast_{s}") for p, _, s, _ in pairs.values()])
-    f = forecasts.groupBy(interval, region).agg(F.max_by(kept, F.struct(run)).alias("_newest")).select(interval, region, "_newest.*")
-    a = actuals.select(interval, region, *[F.col(q).alias(f"actual_{s}") for _, q, s, _ in pairs.values()])
-    joined = f.join(a, [interval, region])
+    keys = [interval, region, *also]
+    f = forecasts.groupBy(*keys).agg(F.max_by(kept, F.struct(run)).alias("_newest")).select(*keys, "_newest.*")
+    a = actuals.select(*keys, *[F.col(q).alias(f"actual_{s}") for _, q, s, _ in pairs.values()])
+    joined = f.join(a, keys)
     errors = [F.round(F.col(f"forecast_{s}") - F.col(f"actual_{s}"), digits).alias(name) for name, (_, _, s, digits) in pairs.items()]
-    return joined.select(interval, region, F.col(run).alias("forecast_run_time"), C.minutes_between(interval, run).alias("lead_time_minutes"), *[c for _, _, s, _ in pairs.values() for c in (f"forecast_{s}", f"actual_{s}")], *errors)
+    return joined.select(*keys, F.col(run).alias("forecast_run_time"), C.minutes_between(interval, run).alias("lead_time_minutes"), *[c for _, _, s, _ in pairs.values() for c in (f"forecast_{s}", f"actual_{s}")], *errors)
 
 
 def above_group_percentile(df: DataFrame, key: str, value: str, share: float = 0.95, name: str = "p95") -> DataFrame:

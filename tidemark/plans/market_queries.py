@@ -334,13 +334,14 @@ def _forecasts(spark, d):
     """Three runs before each interval, the newer the closer to it; some flagged as interventions."""
     m = market(spark, d)
     run = F.explode(F.array(*[F.struct(F.lit(x).alias("ahead"), F.lit(o).alias("off")) for x, o in ((15, 30.0), (10, 20.0), (5, 10.0))])).alias("r")
-    runs = m.select(TS, REGION, DEMAND, PRICE, "user_id", run)
-    return runs.select(F.col(TS), F.col(REGION), (F.col(TS) - F.make_dt_interval(mins=F.col("r.ahead"))).alias("run_time"), (F.col(DEMAND) + F.col("r.off")).alias("f_demand"), (F.col(PRICE) + F.col("r.off") / 10).alias("f_price"), F.when((F.col("user_id") % 2 == 1) & (F.col("r.ahead") == 5), "1").otherwise("0").alias("INTERVENTION"))
+    runs = m.select("event_id", TS, REGION, DEMAND, PRICE, "user_id", run)
+    return runs.select("event_id", F.col(TS), F.col(REGION), (F.col(TS) - F.make_dt_interval(mins=F.col("r.ahead"))).alias("run_time"), (F.col(DEMAND) + F.col("r.off")).alias("f_demand"), (F.col(PRICE) + F.col("r.off") / 10).alias("f_price"), F.when((F.col("user_id") % 2 == 1) & (F.col("r.ahead") == 5), "1").otherwise("0").alias("INTERVENTION"))
 
 
 def _scored(spark, d):
     pairs = {"demand_error_mw": ("f_demand", DEMAND, "demand_mw", 1), "price_error": ("f_price", PRICE, "rrp", 2)}
-    return joins.forecast_vs_actual(_forecasts(spark, d), market(spark, d), "run_time", TS, REGION, pairs)
+    scored = joins.forecast_vs_actual(_forecasts(spark, d), market(spark, d), "run_time", TS, REGION, pairs, also=["event_id"])
+    return scored.drop("event_id")  # events may share time and type
 
 
 _SCORED_SQL = """f AS (SELECT settlement_date, region_id, total_demand_mw, rrp, CASE WHEN user_id % 2 = 1 THEN 10 ELSE 5 END AS ahead, CASE WHEN user_id % 2 = 1 THEN 20.0 ELSE 10.0 END AS off FROM m),
