@@ -74,3 +74,7 @@ def tied(events):
 @pytest.mark.parametrize("name", ["forecast_vs_actual", "forecast_accuracy", "model_vs_published"])
 def test_forecasts_of_events_of_one_time(spark, tied, name):
     assert agrees(spark, name, tied)
+
+
+def test_layouts_join_by_event(spark, tied):
+    assert agrees(spark, "layout_join", tied)

@@ -494,7 +494,7 @@ def _layouts(spark, d):
     """Both layouts of the events, written once for a session."""
 
     def write(folder):
-        m = market(spark, d).select(TS, REGION, PRICE, DEMAND)
+        m = market(spark, d).select("event_id", TS, REGION, PRICE, DEMAND)
         sinks.write_partitioned(m, f"{folder}/partitioned", TS)
         sinks.write_clustered(m, f"{folder}/clustered", [TS, REGION])
 
@@ -524,7 +524,7 @@ def layout_q4(spark, d):
 
 @query("{m} SELECT region_id, count(*) AS n, sum(total_demand_mw) AS total FROM m GROUP BY 1")
 def layout_join(spark, d):
-    """One layout joined with the other."""
+    """One layout joined with the other, row by row; events may share time and type."""
     a, b = _layouts(spark, d)
     both = a.select(TS, REGION, DEMAND).join(b.select(TS, REGION, PRICE), [TS, REGION])
     return both.groupBy(REGION).agg(F.count(F.lit(1)).alias("n"), F.sum(DEMAND).alias("total"))
