@@ -78,3 +78,7 @@ def test_forecasts_of_events_of_one_time(spark, tied, name):
 
 def test_layouts_join_by_event(spark, tied):
     assert agrees(spark, "layout_join", tied)
+
+
+def test_late_events_of_one_time(spark, tied):
+    assert len(agrees(spark, "stream_late", tied)) == 16

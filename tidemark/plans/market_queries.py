@@ -526,7 +526,7 @@ def layout_q4(spark, d):
 def layout_join(spark, d):
     """One layout joined with the other, row by row; events may share time and type."""
     a, b = _layouts(spark, d)
-    both = a.select(TS, REGION, DEMAND).join(b.select(TS, REGION, PRICE), [TS, REGION])
+    both = a.select("event_id", TS, REGION, DEMAND).join(b.select("event_id", TS, REGION, PRICE), ["event_id", TS, REGION])
     return both.groupBy(REGION).agg(F.count(F.lit(1)).alias("n"), F.sum(DEMAND).alias("total"))
 
 
