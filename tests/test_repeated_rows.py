@@ -82,3 +82,13 @@ def test_layouts_join_by_event(spark, tied):
 
 def test_late_events_of_one_time(spark, tied):
     assert len(agrees(spark, "stream_late", tied)) == 16
+
+
+@pytest.mark.parametrize("n", [40, 400])
+def test_tasks_of_time_frames_follow_the_rows(spark, events, monkeypatch, n):
+    from tidemark.operators import windows
+
+    monkeypatch.setattr(windows, "TASK_ROWS", 100)
+    rows = registry.queries()["training_set"](spark, events([(i, time(1 + i % 25, i), "view", 2, 1.0 * i, 1) for i in range(n)]))
+    assert rows.rdd.getNumPartitions() == max(spark.sparkContext.defaultParallelism, n // 20)  # three durations: a row comes five times
+    assert rows.count() == n

@@ -20,6 +20,15 @@ from tidemark.functions import columns as C
 #: Rows of an entity that one task sees at once; the time whose rows are numbered together.
 CHUNK_ROWS, BUCKET = 20_000, "hour"
 
+#: Rows that a task of ``trailing`` sorts, on average: a row of running figures takes about a kilobyte there.
+TASK_ROWS = 200_000
+
+
+def tasks(df: DataFrame, rows_each: int = TASK_ROWS) -> int:
+    """How many tasks the rows are dealt to, so that a task's memory doesn't grow with the table; one a core at least (one
+    number comes to the driver)."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows_each))
+
 
 def lags(value: Column | str, steps: Iterable[int], over: WindowSpec, name: str) -> dict[str, Column]:
     """W5."""
@@ -158,7 +167,7 @@ def trailing(df: DataFrame, entity: str, ts: str, measures: Mapping[str, tuple[s
     Time is cut into buckets that divide every duration, so a frame is the end of one bucket, whole buckets, and the
     beginning of another. Beginnings and ends are running figures within a bucket, found at the row's time and at the
     time a duration before it; whole buckets are summed over one row each. The work is that of the rows, however long
-    the frames are, and a task holds a bucket of an entity.
+    the frames are, and a task holds a bucket of an entity. Rows are counted first and dealt to as many tasks as they need.
     """
     lengths = sorted({seconds(d) for _, _, d in measures.values()})
     width = bucket_seconds or math.gcd(*lengths)
@@ -182,13 +191,14 @@ def trailing(df: DataFrame, entity: str, ts: str, measures: Mapping[str, tuple[s
     # rows, and each time with the times that its frames begin at, meet in their buckets
     asked = times.select("_e", F.col("_t").alias("_origin"), F.explode(F.array(*[F.lit(d).cast("bigint") for d in (0, *lengths)])).alias("_d"))
     asked = asked.select("_e", (F.col("_origin") - F.col("_d") * micros).alias("_t"), "_origin", "_d")
-    met = rows.unionByName(asked, allowMissingColumns=True).withColumn("_b", F.floor(F.col("_t") / span))
+    parts = tasks(df, TASK_ROWS // (len(lengths) + 2))  # a row comes once, its time once and once for each duration
+    met = rows.unionByName(asked, allowMissingColumns=True).withColumn("_b", F.floor(F.col("_t") / span)).repartition(parts, "_e", "_b")
     since = Window.partitionBy("_e", "_b").orderBy("_t").rangeBetween(Window.unboundedPreceding, 0 if include_current else -1)
     until = Window.partitionBy("_e", "_b").orderBy(F.desc("_t")).rangeBetween(Window.unboundedPreceding, 0)
     running = met.select("_e", "_b", "_t", "_origin", "_d", *[F.struct(*_part(v, need[c], since)).alias(f"_s{i}") for i, (v, c) in enumerate(zip(values, columns))], *[F.struct(*_part(v, need[c], until)).alias(f"_u{i}") for i, (v, c) in enumerate(zip(values, columns))])
     found = running.where(F.col("_origin").isNotNull()).join(middle, _same(["_e", "_b"], ["_me", "_mb"]), "left")
     own, asked_of = F.col("_d") == 0, sorted({(columns.index(c), seconds(d)) for _, c, d in measures.values()})
-    gathered = found.groupBy("_e", "_origin").agg(
+    gathered = found.repartition(parts, "_e", "_origin").groupBy("_e", "_origin").agg(
         *[F.max_by(f"_s{i}", F.when(own, 1)).alias(f"_s{i}") for i in range(len(columns))],
         *[F.max_by(m, F.when(own, 1)).alias(m) for _, _, m in lists],
         *[F.max_by(f"_u{i}", F.when(F.col("_d") == d, 1)).alias(f"_u{i}_{d}") for i, d in asked_of],
@@ -198,7 +208,7 @@ def trailing(df: DataFrame, entity: str, ts: str, measures: Mapping[str, tuple[s
         i, d = columns.index(c), seconds(d)
         figures.append(_together([F.col(x) for x in (f"_u{i}_{d}", *([f"_m{i}_{d}"] if d > width else []), f"_s{i}")], f).alias(name))
     results = gathered.select(F.col("_e").alias("_re"), F.col("_origin").alias("_rt"), *figures)
-    out = df.withColumn("_t", at).join(results, (F.col(entity) == F.col("_re")) & (F.col("_t") == F.col("_rt")), "left").drop("_t", "_re", "_rt")
+    out = df.withColumn("_t", at).repartition(parts, entity, "_t").join(results, (F.col(entity) == F.col("_re")) & (F.col("_t") == F.col("_rt")), "left").drop("_t", "_re", "_rt")
     return out.withColumns({n: F.coalesce(n, F.lit(0)) for n, (f, _, _) in measures.items() if f == "count"})
 
 
