@@ -197,6 +197,58 @@ def test_temporal_split_keeps_both_sides(spark):
     assert n == {("a", True): 8, ("a", False): 2, ("b", True): 1, ("b", False): 1}
 
 
+def test_long_means_are_put_together_from_short_frames(spark):
+    values = [None if i in (7, 100) else 1000.0 + (i * 37) % 101 for i in range(400)]
+    df = spark.createDataFrame([("a", i, v) for i, v in enumerate(values)], "k string, ts int, v double")
+    lengths = {f"m{n}": n for n in (1, 2, 7, 12, 23, 48, 288)}
+    made = windows.in_chunks(df, "k", "ts", lambda over: {}, 288, chunk_rows=300, means={m: ("v", n) for m, n in lengths.items()}).collect()
+    assert len(made) == 400 and set(made[0].asDict()) == {"k", "ts", "v", *lengths}
+    for r in made:
+        for m, n in lengths.items():
+            last = values[max(0, r["ts"] + 1 - n) : r["ts"] + 1]
+            assert r[m] == (pytest.approx(sum(last) / n, rel=1e-12) if len(last) == n and None not in last else None)
+
+
+def test_no_frame_of_load_features_is_long(spark):
+    """Spark goes over a frame for each row, so the work of a day's frame is 288 times that of the rows."""
+    df = synthetic.region_series(spark, 10, regions=("A",))
+    for made in (features.load_features(df), features.adaptive_features(synthetic.region_series(spark, 300, regions=("A",)))):
+        assert "demand_rolling_1d_mean" in made.columns
+        frames = re.findall(r"RowFrame, -([0-9]+), currentrow", made._jdf.queryExecution().optimizedPlan().toString())
+        assert frames and max(map(int, frames)) < 20
+
+
+@pytest.mark.parametrize("share", [0.0, 0.5, 0.8, 1.0])
+def test_temporal_split_is_that_of_one_numbering(spark, share):
+    """Times none, one, or many to a bucket; the share ends within a bucket, at its end, and among rows without a time."""
+    rows = [("a", i * 7_000, i) for i in range(60)] + [("b", 5, i) for i in range(9)] + [("c", None, i) for i in range(8)] + [("c", 3, 8), ("c", 200_000, 9)]
+    rows += [(None, i, i) for i in range(4)] + [(None, None, 4), ("one", 1, 0), ("two", 1, 0), ("two", None, 1)]
+    df = spark.createDataFrame(rows, "k string, ts int, id int")
+    got = windows.temporal_split(df, "k", "ts", share, tie="id")
+    assert got.columns == ["k", "ts", "id", "is_train"]
+    expected = []
+    for key in {k for k, _, _ in rows}:
+        own = sorted((t is not None, t or 0, i) for k, t, i in rows if k == key)
+        cut = max(1, min(len(own) - 1, int(len(own) * share)))
+        expected += [(key, t if known else None, i, n < cut) for n, (known, t, i) in enumerate(own)]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, expected))
+
+
+def test_features_are_worked_out_once_for_a_model(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(v):
+        seen.add(1)
+        return v
+
+    df = synthetic.region_series(spark, 40, regions=("A", "B")).withColumn("x", F.udf(told, "double").asNondeterministic()("rrp")).where("x IS NOT NULL")
+    _, later = models.train_regressor(df, ["x"], "total_demand_mw", "region_id", "settlement_date", trees=1, depth=1)
+    assert later.count() == 16 and seen.value == 80
+    labelled = df.withColumn("label", (F.minute("settlement_date") > 20).cast("int"))
+    _, later = models.train_classifier(labelled, ["x"], "label", "region_id", "settlement_date", trees=1, depth=1)
+    assert later.count() == 16 and seen.value == 160
+
+
 def test_feature_properties(spark):
     df = synthetic.region_series(spark, 576, regions=("A", "B")).withColumn("demand_forecast_mw", F.col("total_demand_mw") + 10)
     out = features.load_features(df).persist()

@@ -38,12 +38,11 @@ def load_features(df: DataFrame, entity: str = "region_id", ts: str = "settlemen
         return W.lags("total_demand_mw", lag_steps, over, "demand") | {
             "demand_rolling_1h_mean": W.rolling("total_demand_mw", HOUR, over),
             "demand_rolling_1h_std": W.rolling("total_demand_mw", HOUR, over, "stddev"),
-            "demand_rolling_1d_mean": W.rolling("total_demand_mw", day_rows, over),
             "rrp_lag_1": F.lag("rrp", 1).over(over),
             "rrp_rolling_1h_mean": W.rolling("rrp", HOUR, over),
         }
 
-    out = W.in_chunks(df, entity, ts, make, max(*lag_steps, day_rows, HOUR), tie, fills=_fills(df, WEATHER)).withColumns(time_features(ts))
+    out = W.in_chunks(df, entity, ts, make, max(*lag_steps, day_rows, HOUR), tie, fills=_fills(df, WEATHER), means={"demand_rolling_1d_mean": ("total_demand_mw", day_rows)}).withColumns(time_features(ts))
     if "demand_forecast_mw" in df.columns:
         out = out.withColumn("published_forecast_error", F.col("demand_forecast_mw") - F.col("total_demand_mw"))
     return out.dropna() if drop else out
@@ -88,12 +87,12 @@ def simple_features(df: DataFrame, target: str, entity: str = "region_id", ts: s
 def adaptive_features(df: DataFrame, entity: str = "region_id", ts: str = "settlement_date", tie: str | None = None) -> DataFrame:
     """L1 + W12: only the lags and rolling means that every entity's history allows."""
     allowed = W.affordable(df, entity, sorted({*LOAD_LAGS, HOUR, DAY}))
-    means = {name: n for n, name in ((HOUR, "1h"), (DAY, "1d")) if n in allowed}
+    means = {f"demand_rolling_{name}_mean": ("total_demand_mw", n) for n, name in ((HOUR, "1h"), (DAY, "1d")) if n in allowed}
 
     def make(over):
-        return W.lags("total_demand_mw", [k for k in LOAD_LAGS if k in allowed], over, "demand") | {f"demand_rolling_{name}_mean": W.rolling("total_demand_mw", n, over) for name, n in means.items()}
+        return W.lags("total_demand_mw", [k for k in LOAD_LAGS if k in allowed], over, "demand")
 
-    made = W.in_chunks(df, entity, ts, make, max(allowed, default=1), tie) if allowed else df
+    made = W.in_chunks(df, entity, ts, make, max(allowed, default=1), tie, means=means) if allowed else df
     return made.withColumns(time_features(ts))
 
 

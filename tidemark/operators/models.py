@@ -32,7 +32,7 @@ def regressor(features: Sequence[str], label: str, kind: str = "boosted", trees:
 
 def train_regressor(df: DataFrame, features: Sequence[str], label: str, entity: str, ts: str, share: float = 0.8, **options) -> tuple[PipelineModel, DataFrame]:
     """Fit on the earlier part of each entity, predict the later part; (model, predictions of the later part)."""
-    split = checkpoint(W.temporal_split(df, entity, ts, share))  # features are worked out once, not for each tree
+    split = W.temporal_split(written(df, "features"), entity, ts, share)  # features are worked out once
     model = regressor(features, label, **options).fit(split.where("is_train"))
     return model, model.transform(split.where("NOT is_train"))
 
@@ -70,10 +70,9 @@ def stratified_split(df: DataFrame, label: str, keys: Sequence[str], share: floa
 def train_classifier(df: DataFrame, features: Sequence[str], label: str, entity: str, ts: str, share: float = 0.8, stratified: bool = False, trees: int = 15, depth: int = 4, seed: int = 7, keys: Sequence[str] = ()) -> tuple[PipelineModel, DataFrame]:
     """Medians for missing values, classes weighted to equal sums, temporal or stratified split (by ``keys``, or entity and time)."""
     if stratified:
-        split = stratified_split(df, label, keys or [entity, ts], share, seed)
+        split = checkpoint(stratified_split(df, label, keys or [entity, ts], share, seed))
     else:
-        split = W.temporal_split(df, entity, ts, share)
-    split = checkpoint(split)
+        split = W.temporal_split(written(df, "features"), entity, ts, share)
     train = split.where("is_train")
     counts = {r[0]: r[1] for r in train.groupBy(label).count().collect()}
     total = sum(counts.values())

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window, WindowSpec
 
 from tidemark.functions import columns as C
+from tidemark.operators.storage import small, written
 
 #: Rows of an entity that one task sees at once; the time whose rows are numbered together.
 CHUNK_ROWS, BUCKET = 20_000, "hour"
@@ -42,6 +43,24 @@ def rolling(value: Column | str, n: int, over: WindowSpec, function: str = "avg"
     return F.when(F.count(v).over(frame) == n, getattr(F, function)(v).over(frame))
 
 
+def _rolling_means(df: DataFrame, means: Mapping[str, tuple[str, int]], over: WindowSpec) -> DataFrame:
+    """W6 for long frames: the mean of the last ``n`` rows, {name: (column, n)}, as a double; null until all of them have a value.
+
+    Spark goes over a whole frame for each row. Here a frame is put together from sums of short ones, which lie one after
+    another: 18 sums of 16 rows for 288. Nothing is taken off a running sum, so no digits are lost.
+    """
+    sums, made = {}, {}
+    for i, (name, (c, n)) in enumerate(means.items()):
+        value, part = F.col(c).cast("double"), math.isqrt(n)
+        sums[f"_sum{i}"] = rolling(value, part, over, "sum")
+        parts = [F.lag(f"_sum{i}", k).over(over) for k in range(0, n - part + 1, part)]
+        if n % part:  # the oldest rows
+            sums[f"_rest{i}"] = rolling(value, n % part, over, "sum")
+            parts.append(F.lag(f"_rest{i}", n - n % part).over(over))
+        made[name] = sum(parts[1:], parts[0]) / F.lit(float(n))
+    return df.withColumns(sums).withColumns(made).drop(*sums) if means else df
+
+
 def _same(left: Sequence[str], right: Sequence[str]) -> Column:
     both = [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(left, right, strict=True)]
     return both[0] & both[1] if len(both) == 2 else both[0]
@@ -79,8 +98,9 @@ def numbered(df: DataFrame, entity: str, ts: str, tie: str | None = None, bucket
     return placed.withColumns(filled).drop("_key", "_rn", "_before", *[f"{x}{i}" for i in range(len(names)) for x in ("_l", "_last", "_f", "_first")])
 
 
-def in_chunks(df: DataFrame, entity: str, ts: str, make: Callable[[WindowSpec], Mapping[str, Column]], lookback: int, tie: str | None = None, chunk_rows: int = CHUNK_ROWS, bucket: str = BUCKET, fills: Mapping[str, str] | None = None) -> DataFrame:
-    """Columns of a window that looks back ``lookback`` rows at most; with ``fills``, W7 in the same dealing of the rows.
+def in_chunks(df: DataFrame, entity: str, ts: str, make: Callable[[WindowSpec], Mapping[str, Column]], lookback: int, tie: str | None = None, chunk_rows: int = CHUNK_ROWS, bucket: str = BUCKET, fills: Mapping[str, str] | None = None, means: Mapping[str, tuple[str, int]] | None = None) -> DataFrame:
+    """Columns of a window that looks back ``lookback`` rows at most; with ``fills``, W7 in the same dealing of the rows;
+    with ``means``, {name: (column, rows)}, means over long frames, whose work doesn't grow with their length as ``rolling`` does.
 
     Rows of an entity are cut into chunks of equal length. The last rows of a chunk are copied to the next one, where
     they are seen but not given back. So a task holds a chunk, and the result is that of one window over the entity.
@@ -90,7 +110,8 @@ def in_chunks(df: DataFrame, entity: str, ts: str, make: Callable[[WindowSpec],
     placed = numbered(df, entity, ts, tie, bucket, fills).drop("_total").withColumn("_own", F.floor(F.col("_at") / chunk_rows))
     tail = F.col("_at") % chunk_rows >= chunk_rows - lookback
     dealt = placed.withColumn("_chunk", F.explode(F.when(tail, F.array("_own", F.col("_own") + 1)).otherwise(F.array("_own"))))
-    made = dealt.withColumns(dict(make(Window.partitionBy(entity, "_chunk").orderBy("_at"))))
+    over = Window.partitionBy(entity, "_chunk").orderBy("_at")
+    made = _rolling_means(dealt.withColumns(dict(make(over))), means or {}, over)
     return made.where("_own = _chunk").drop("_at", "_own", "_chunk")
 
 
@@ -227,10 +248,28 @@ def sliding(df: DataFrame, entity: str, ts: str, value: str, duration: str, slid
     return out.select(entity, F.col("w.start").cast("timestamp_ntz").alias("window_start"), "window_avg", "window_n")
 
 
-def temporal_split(df: DataFrame, entity: str, ts: str, share: float = 0.8, tie: str | None = None) -> DataFrame:
-    """The first ``share`` of each entity's rows train, the rest test; both have a row where there are two."""
-    cut = F.greatest(F.lit(1), F.least(F.col("_total") - 1, F.floor(F.col("_total") * F.lit(share))))
-    return numbered(df, entity, ts, tie).withColumn("is_train", F.col("_at") < cut).drop("_at", "_total")
+def temporal_split(df: DataFrame, entity: str, ts: str, share: float = 0.8, tie: str | None = None, bucket: str = BUCKET) -> DataFrame:
+    """The first ``share`` of each entity's rows train, the rest test; both have a row where there are two.
+
+    Rows are counted by buckets of time. Only in the bucket where an entity's share ends are they put in order, and those
+    are written, so that the split is the same whenever it is read; all others stay where they lie. ``df`` is read
+    for the counts and again for the rows, so one that is dear to work out is written first.
+    """
+    rows = df.withColumn("_b", C.time_bucket(df, ts, bucket))
+    counts = rows.groupBy(F.col(entity).alias("_e"), F.col("_b").alias("_end")).agg(F.count(F.lit(1)).alias("_n"))
+    over = Window.partitionBy("_e")
+    total = F.sum("_n").over(over)
+    cut = F.greatest(F.lit(1), F.least(total - 1, F.floor(total * F.lit(share))))
+    placed = counts.select("_e", "_end", "_n", (cut - F.sum("_n").over(over.orderBy("_end")) + F.col("_n")).alias("_take"))  # of a bucket: how many train
+    ends = small(written(placed.where("_take BETWEEN 1 AND _n").withColumn("_whole", F.expr("_take = _n")).drop("_n"), "ends"))  # one bucket of an entity
+    met = rows.join(ends, F.col(entity).eqNullSafe(F.col("_e")))
+    at_end = F.col("_b").eqNullSafe(F.col("_end"))
+    earlier = F.coalesce(F.col("_b") < F.col("_end"), F.col("_b").isNull())  # no time comes first
+    order = Window.partitionBy("_e").orderBy(ts, *([tie] if tie else []))
+    names = [*df.columns, "is_train"]
+    clear = met.where(~at_end | F.col("_whole")).withColumn("is_train", at_end | earlier).select(*names)
+    parted = met.where(at_end & ~F.col("_whole")).withColumn("is_train", F.row_number().over(order) <= F.col("_take")).select(*names)
+    return clear.unionByName(written(parted, "split"))
 
 
 def history(df: DataFrame, entity: str) -> DataFrame:
