@@ -249,6 +249,18 @@ def test_features_are_worked_out_once_for_a_model(spark):
     assert later.count() == 16 and seen.value == 160
 
 
+@pytest.mark.parametrize(("limit", "pools"), [(1_000, [4]), (50, [2]), (10, [1])])
+def test_fits_run_side_by_side_where_rows_are_few(spark, monkeypatch, limit, pools):
+    """Side by side, fits keep all their rows in memory at once; results are the same however many they are."""
+    made = []
+    pool = models.ThreadPool
+    monkeypatch.setattr(models, "ROWS_AT_ONCE", limit)
+    monkeypatch.setattr(models, "ThreadPool", lambda n: made.append(n) or pool(n))
+    df = spark.createDataFrame([(1_000_000 * i, float(i % 5), float(i % 3)) for i in range(24)], "t long, y double, x double").withColumn("ts", F.timestamp_micros("t"))
+    found = models.search(df, {"x": models.Candidate(column="x")}, "y", "ts").collect()
+    assert made == pools and [(r["fold"], r["n"]) for r in found] == [(1, 6), (2, 6), (3, 6)]
+
+
 def test_feature_properties(spark):
     df = synthetic.region_series(spark, 576, regions=("A", "B")).withColumn("demand_forecast_mw", F.col("total_demand_mw") + 10)
     out = features.load_features(df).persist()

@@ -139,10 +139,20 @@ def rolling_origins(df: DataFrame, ts: str, folds: int) -> list[int]:
     return [] if low is None else [low + (high + 1 - low) * i // (folds + 1) for i in range(1, folds + 2)]
 
 
+#: Rows of a search of which fits side by side keep their parts in memory. A boosted fit keeps some 200 bytes for each row it
+#: trains on, and works out anew what no longer fits, round upon round.
+ROWS_AT_ONCE = 24_000_000
+
+
+def side_by_side(rows: int, at_once: int) -> int:
+    """How many fits run at once: fewer the more rows there are, as one fit of many rows keeps all machines busy by itself."""
+    return max(1, min(at_once, ROWS_AT_ONCE // max(rows, 1)))
+
+
 def search(df: DataFrame, candidates: Mapping[str, Candidate], label: str, ts: str, folds: int = 3, at_once: int = 4) -> DataFrame:
     """Errors of each candidate in each fold (model, fold, mae, rmse, mape, bias, n).
 
-    The assembly is written once and read by all fits, ``at_once`` of which run side by side. Rows without a label or
+    The assembly is written once and read by all fits, ``at_once`` of which run side by side, or fewer where rows are many. Rows without a label or
     time take no part. A fold in which there is nothing to train on, or nothing to test, has no row.
     """
     rows = written(df.where(F.col(label).isNotNull() & F.col(ts).isNotNull()), "search")
@@ -157,7 +167,7 @@ def search(df: DataFrame, candidates: Mapping[str, Candidate], label: str, ts: s
         found = error_metrics(candidates[name].predict(train, test, label), "prediction", label).first()
         return [(name, i + 1, found["mae"], found["rmse"], found["mape"], found["bias"], found["n"])]
 
-    with ThreadPool(at_once) as pool:
+    with ThreadPool(side_by_side(rows.count(), at_once)) as pool:
         found = pool.map(inheritable_thread_target(df.sparkSession)(one), [(i, name) for i in range(len(ends) - 1) for name in candidates], chunksize=1)
     return df.sparkSession.createDataFrame([r for part in found for r in part], "model string, fold int, mae double, rmse double, mape double, bias double, n bigint")
 
