@@ -261,6 +261,41 @@ def test_fits_run_side_by_side_where_rows_are_few(spark, monkeypatch, limit, poo
     assert made == pools and [(r["fold"], r["n"]) for r in found] == [(1, 6), (2, 6), (3, 6)]
 
 
+def test_a_fit_is_dealt_to_all_cores_and_does_not_depend_on_files(spark, monkeypatch):
+    """All cores wait for the largest part at each level of each tree; thresholds come from a draw that parts and their order decide."""
+    df = spark.range(15_000).selectExpr("if(id % 2 = 0, 'a', 'b') AS k", "timestamp_seconds(id * 60) AS ts", "cast(pmod(xxhash64(id), 1000003) AS double) AS x").withColumn("y", F.sqrt("x") + F.col("x") % 7)
+    seen = []
+    learner = models.GBTRegressor
+    monkeypatch.setattr(models.GBTRegressor, "_fit", lambda self, rows, fit=learner._fit: seen.append(rows.rdd.glom().map(len).collect()) or fit(self, rows))
+    thresholds = []
+    for n in (1, 7):
+        model, _ = models.train_regressor(df.repartition(n), ["x"], "y", "k", "ts", trees=2, depth=3)
+        thresholds.append(re.findall(r"<= ([-0-9.E]+)", model.stages[-1].toDebugString))
+    assert seen[0] == seen[1] and sum(seen[0]) == 12_000 and len(seen[0]) == 4 and max(seen[0]) < 3_300
+    assert thresholds[0] == thresholds[1] and len(thresholds[0]) > 7
+    monkeypatch.setattr(models, "FIT_ROWS", 1_000)
+    assert models.dealt(df, ["ts", "k"]).rdd.getNumPartitions() == 16
+
+
+def test_columns_of_the_time_are_made_only_where_asked_for(spark):
+    df = synthetic.region_series(spark, 40, regions=("A", "B")).withColumn("demand_forecast_mw", F.col("total_demand_mw"))
+    for out in (features.load_features(df, lag_steps=(1, 2), day_rows=24), features.price_features(df.withColumns({"available_generation_mw": F.col("total_demand_mw"), "net_interchange_mw": F.col("rrp")}))):
+        plan = out.select("demand_lag_1")._jdf.queryExecution().optimizedPlan().toString().lower()
+        assert "demand_lag_1" in plan and "weekday(" not in plan
+        assert {"hour_sin", "dow_cos", "is_weekend"} <= set(out.columns) and out.count() == out.dropna().count() > 0
+
+
+def test_rows_are_sorted_by_a_number_first_and_no_key_stands_for_two(spark):
+    rows = [(k, t, i) for i, (k, t) in enumerate((k, t) for k in (None, "", "-", "2D", ":", "-:") for t in (None, 0, 1, -1, 5_000, None))]
+    df = spark.createDataFrame(rows, "k string, ts int, id int")
+    got = {r["id"]: r["_at"] for r in windows.numbered(df, "k", "ts", "id").collect()}
+    plain = df.withColumn("_at", F.row_number().over(Window.partitionBy("k").orderBy("ts", "id")) - 1)
+    assert got == {r["id"]: r["_at"] for r in plain.collect()}
+    plan = windows.numbered(df.withColumn("ts", F.timestamp_seconds("ts")), "k", "ts", "id", fills={"ts": "ts"})._jdf.queryExecution().executedPlan().toString()
+    inside = re.findall(r"row_number\(\) windowspecdefinition\((\w+)", plan)
+    assert inside and set(inside) == {"_place"}
+
+
 def test_feature_properties(spark):
     df = synthetic.region_series(spark, 576, regions=("A", "B")).withColumn("demand_forecast_mw", F.col("total_demand_mw") + 10)
     out = features.load_features(df).persist()

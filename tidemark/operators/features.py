@@ -28,6 +28,11 @@ def _fills(df: DataFrame, names: Sequence[str]) -> dict[str, str]:
     return {n: n for n in names if n in df.columns}
 
 
+def _complete(df: DataFrame, times: Mapping[str, Column]) -> DataFrame:
+    """Rows without a null. Columns made from the time are null only where it is, so they aren't worked out to see that."""
+    return df.dropna(subset=[c for c in df.columns if c not in times])
+
+
 def load_features(df: DataFrame, entity: str = "region_id", ts: str = "settlement_date", lag_steps: Sequence[int] = LOAD_LAGS, day_rows: int = DAY, drop: bool = True, tie: str | None = None) -> DataFrame:
     """L1: demand lags, rolling figures, price, weather carried forward, error of the published forecast.
 
@@ -42,10 +47,10 @@ def load_features(df: DataFrame, entity: str = "region_id", ts: str = "settlemen
             "rrp_rolling_1h_mean": W.rolling("rrp", HOUR, over),
         }
 
-    out = W.in_chunks(df, entity, ts, make, max(*lag_steps, day_rows, HOUR), tie, fills=_fills(df, WEATHER), means={"demand_rolling_1d_mean": ("total_demand_mw", day_rows)}).withColumns(time_features(ts))
+    out = W.in_chunks(df, entity, ts, make, max(*lag_steps, day_rows, HOUR), tie, fills=_fills(df, WEATHER), means={"demand_rolling_1d_mean": ("total_demand_mw", day_rows)}).withColumns(times := time_features(ts))
     if "demand_forecast_mw" in df.columns:
         out = out.withColumn("published_forecast_error", F.col("demand_forecast_mw") - F.col("total_demand_mw"))
-    return out.dropna() if drop else out
+    return _complete(out, times) if drop else out
 
 
 def price_features(df: DataFrame, entity: str = "region_id", ts: str = "settlement_date", drop: bool = True, tie: str | None = None) -> DataFrame:
@@ -67,8 +72,8 @@ def price_features(df: DataFrame, entity: str = "region_id", ts: str = "settleme
     rows = df.withColumn("supply_margin_mw", F.col("available_generation_mw") - F.col("total_demand_mw"))
     if "demand_forecast_mw" in df.columns:
         rows = rows.withColumn("demand_forecast_error", F.col("demand_forecast_mw") - F.col("total_demand_mw"))
-    out = W.in_chunks(rows, entity, ts, make, max(*PRICE_LAGS, HOUR), tie, fills=_fills(rows, ("air_temp_c", "wind_speed_kmh"))).withColumns(time_features(ts, month=False))
-    return out.dropna() if drop else out
+    out = W.in_chunks(rows, entity, ts, make, max(*PRICE_LAGS, HOUR), tie, fills=_fills(rows, ("air_temp_c", "wind_speed_kmh"))).withColumns(times := time_features(ts, month=False))
+    return _complete(out, times) if drop else out
 
 
 def minimal_features(df: DataFrame, target: str, entity: str = "region_id", ts: str = "settlement_date", tie: str | None = None) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
+from pyspark.storagelevel import StorageLevel
 
 from tidemark.operators import windows as W
 from tidemark.operators.rollups import error_metrics
@@ -30,10 +31,28 @@ def regressor(features: Sequence[str], label: str, kind: str = "boosted", trees:
     return Pipeline(stages=[assemble, model])
 
 
+#: Rows that a task of a fit goes over, at most on average.
+FIT_ROWS = 1_000_000
+
+
+def dealt(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows for a fit, in as many equal parts as cores or a multiple, since all cores wait for the slowest part at each level of
+    each tree. Parts and their order follow from the rows alone, so a fit is the same however the rows lay in files."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    order = [*keys, *[c for c in df.columns if c not in keys]]
+    return df.repartition(cores * max(1, -(-df.count() // (cores * FIT_ROWS))), *order).sortWithinPartitions(*order)
+
+
 def train_regressor(df: DataFrame, features: Sequence[str], label: str, entity: str, ts: str, share: float = 0.8, **options) -> tuple[PipelineModel, DataFrame]:
     """Fit on the earlier part of each entity, predict the later part; (model, predictions of the later part)."""
     split = W.temporal_split(written(df, "features"), entity, ts, share)  # features are worked out once
-    model = regressor(features, label, **options).fit(split.where("is_train"))
+    assemble, learner = regressor(features, label, **options).getStages()
+    train = dealt(split.where("is_train").select(*dict.fromkeys([ts, entity, label, *features])), [ts, entity])
+    ready = assemble.transform(train).select(label, "features").persist(StorageLevel.DISK_ONLY)  # read three times before the fit keeps its own form
+    try:
+        model = PipelineModel([assemble, learner.fit(ready)])
+    finally:
+        ready.unpersist()
     return model, model.transform(split.where("NOT is_train"))
 
 

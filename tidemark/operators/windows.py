@@ -70,32 +70,33 @@ def numbered(df: DataFrame, entity: str, ts: str, tie: str | None = None, bucket
     """Rows with ``_at``, their place among their entity's rows by time from 0, and ``_total``, how many it has.
 
     Rows of a bucket of time are numbered there; what lies before it comes from the counts of buckets. ``fills`` maps columns to
-    their filled forms (see ``fill``), which are worked out in the same buckets. One key without nulls stands for
-    entity and bucket, so the rows are dealt once for both and for what they get from other buckets.
+    their filled forms (see ``fill``), which are worked out in the same buckets. Two keys without nulls stand for bucket and
+    entity, so the rows are dealt once for both and for what they get from other buckets. The bucket is a number and comes first,
+    as rows are sorted by it then: texts that begin alike would have to be compared to their ends.
     """
     names = dict(fills or {})
     when = C.time_bucket(df, ts, bucket)
-    if isinstance(df.schema[ts].dataType, T.TimestampType):
-        when = F.unix_micros(when)  # as text, an hour may stand for two where clocks are put back
-    parts = [F.hex(F.encode(F.col(entity).cast("string"), "UTF-8")), when.cast("string")]
-    rows = df.withColumn("_key", F.concat_ws(":", *[F.coalesce(p, F.lit("-")) for p in parts]))
+    place = when if isinstance(df.schema[ts].dataType, T.NumericType) else F.unix_micros(when)
+    of = F.coalesce(F.hex(F.encode(F.col(entity).cast("string"), "UTF-8")), F.lit("-"))
+    keys = ["_place", "_key"]
+    rows = df.withColumns({"_place": F.coalesce(place, F.lit(0)), "_key": F.when(place.isNull(), F.concat(of, F.lit(":"))).otherwise(of)})
     order = [F.col(ts), *([F.col(tie)] if tie else [])]
     known = {c: F.when(F.col(c).isNotNull(), F.struct(*order)) for c in names}
     found = [F.count(F.lit(1)).alias("_n"), *[F.max_by(F.col(c), known[c]).alias(f"_last{i}") for i, c in enumerate(names)], *[F.min_by(F.col(c), known[c]).alias(f"_first{i}") for i, c in enumerate(names) if c in both_ways]]
-    counts = rows.groupBy("_key", F.col(entity).alias("_e"), C.time_bucket(df, ts, bucket).alias("_b")).agg(*found)
+    counts = rows.groupBy(*keys, F.col(entity).alias("_e"), C.time_bucket(df, ts, bucket).alias("_b")).agg(*found)
     over = Window.partitionBy("_e").orderBy("_b")
     whole, earlier, later = over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), over.rowsBetween(Window.unboundedPreceding, -1), over.rowsBetween(1, Window.unboundedFollowing)
     others = [F.last(f"_last{i}", ignorenulls=True).over(earlier).alias(f"_last{i}") for i in range(len(names))] + [F.first(f"_first{i}", ignorenulls=True).over(later).alias(f"_first{i}") for i, c in enumerate(names) if c in both_ways]
-    offsets = counts.select("_key", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"), F.sum("_n").over(whole).alias("_total"), *others)
-    inside = Window.partitionBy("_key").orderBy(*order)
+    offsets = counts.select(*keys, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"), F.sum("_n").over(whole).alias("_total"), *others)
+    inside = Window.partitionBy(*keys).orderBy(*order)
     made = {"_rn": F.row_number().over(inside)}
     for i, c in enumerate(names):
         made[f"_l{i}"] = F.last(c, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
         if c in both_ways:
             made[f"_f{i}"] = F.first(c, ignorenulls=True).over(inside.rowsBetween(0, Window.unboundedFollowing))
-    placed = rows.withColumns(made).join(offsets, "_key").withColumn("_at", F.col("_before") + F.col("_rn") - 1)
+    placed = rows.withColumns(made).join(offsets, keys).withColumn("_at", F.col("_before") + F.col("_rn") - 1)
     filled = {name: F.coalesce(*[F.col(f"{x}{i}") for x in ("_l", "_last", *(("_f", "_first") if c in both_ways else ()))]) for i, (c, name) in enumerate(names.items())}
-    return placed.withColumns(filled).drop("_key", "_rn", "_before", *[f"{x}{i}" for i in range(len(names)) for x in ("_l", "_last", "_f", "_first")])
+    return placed.withColumns(filled).drop(*keys, "_rn", "_before", *[f"{x}{i}" for i in range(len(names)) for x in ("_l", "_last", "_f", "_first")])
 
 
 def in_chunks(df: DataFrame, entity: str, ts: str, make: Callable[[WindowSpec], Mapping[str, Column]], lookback: int, tie: str | None = None, chunk_rows: int = CHUNK_ROWS, bucket: str = BUCKET, fills: Mapping[str, str] | None = None, means: Mapping[str, tuple[str, int]] | None = None) -> DataFrame:

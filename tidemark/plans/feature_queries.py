@@ -183,7 +183,7 @@ def _trained(spark, d):
     lags = [k for k in features.LOAD_LAGS if k < longest]
     rows = features.load_features(m, lag_steps=lags, day_rows=min(features.DAY, max(lags, default=1)), tie="event_id")
     names = [f"demand_lag_{k}" for k in lags] + _INPUTS
-    return *models.train_regressor(rows, names, DEMAND, REGION, TS), names
+    return *models.train_regressor(rows.select(TS, REGION, DEMAND, *names), names, DEMAND, REGION, TS), names
 
 
 @query()
