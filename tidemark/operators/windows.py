@@ -51,7 +51,9 @@ def _rolling_means(df: DataFrame, means: Mapping[str, tuple[str, int]], over: Wi
     """
     sums, made = {}, {}
     for i, (name, (c, n)) in enumerate(means.items()):
-        value, part = F.col(c).cast("double"), math.isqrt(n)
+        value, part = F.col(c), math.isqrt(n)
+        if not isinstance(df.schema[c].dataType, T.DoubleType):  # even an idle cast would part this window from the one before it
+            value = value.cast("double")
         sums[f"_sum{i}"] = rolling(value, part, over, "sum")
         parts = [F.lag(f"_sum{i}", k).over(over) for k in range(0, n - part + 1, part)]
         if n % part:  # the oldest rows
